@@ -74,6 +74,18 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return out
 
 
+def grams(words: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all ``k`` consecutive words, across document borders too; ``len(words) - k + 1`` of them."""
+    n = len(words) - k + 1
+    if n <= 0:
+        return np.zeros(0, U64)
+    h = words[:n] * SHINGLE[0]
+    for j in range(1, k):
+        h += words[j : j + n] * SHINGLE[j]
+    h += U64(k)
+    return mix(h)
+
+
 def shingles(words: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all ``k`` consecutive words inside each document, with each document's range of them.
 
@@ -85,11 +97,10 @@ def shingles(words: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray,
     total = int(out_bounds[-1])
     if not total:
         return np.zeros(0, U64), out_bounds
-    at = np.arange(total) - np.repeat(out_bounds[:-1], have) + np.repeat(bounds[:-1], have)
-    padded = np.concatenate((words, np.zeros(k, U64)))
-    rest = np.repeat(np.minimum(n, k), have)
-    h = rest.astype(U64)
-    for j in range(k):
-        part = padded[at + j] * SHINGLE[j]
-        h += part if j == 0 else np.where(rest > j, part, U64(0))
-    return mix(h), out_bounds
+    at = np.arange(total) + np.repeat(bounds[:-1] - out_bounds[:-1], have)
+    full = grams(np.concatenate((words, np.zeros(k, U64))), k)
+    out = full[at]
+    for d in np.flatnonzero((n > 0) & (n < k)):
+        own = words[bounds[d] : bounds[d + 1]]
+        out[out_bounds[d]] = mix(np.array([(own * SHINGLE[: len(own)]).sum() + U64(len(own))], U64))[0]
+    return out, out_bounds
