@@ -98,7 +98,7 @@ def _sketch(texts: DataFrame, n: int) -> np.ndarray:
         return pa.table({"part": table.column("part")[:1], "block": pa.array([np.minimum(total, 65535).astype("<u2").tobytes()], pa.binary())})
 
     out = np.zeros(1 << SKETCH_BITS, np.uint16)
-    for r in texts.select("text").mapInArrow(count, BLOCKS).groupBy("part").applyInArrow(add, "part int, block binary").toLocalIterator():
+    for r in texts.select("text").mapInArrow(count, BLOCKS).groupBy("part").applyInArrow(add, "part int, block binary").collect():  # 2 ** (SKETCH_BITS - SLICE_BITS) rows
         out[r["part"] << SLICE_BITS : (r["part"] + 1) << SLICE_BITS] = np.frombuffer(r["block"], "<u2")
     return out
 
