@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, jaccard, lm, mixing, pii, quality, sharding, substrings
+from . import bpe, fingerprints, jaccard, lm, mixing, pii, quality, sharding, substrings, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    toxic, good = F.col("toxic") == 1, F.col("quality") == 1
+    return toxicity.score(documents(spark, sf_dir), labels, {"abusive_junk": toxic & ~good, "abusive_fluent": toxic & good, "toxic": toxic})
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect(documents(spark, sf_dir))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", pii.spans_column().alias("spans"), F.size("added").cast("long").alias("n_added"))
