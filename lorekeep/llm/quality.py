@@ -50,6 +50,11 @@ def _covered(hashes: Column) -> Column:
     return let(F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), from_sorted)
 
 
+def row_hash(id_col: str, text_col: str) -> Column:
+    """What tells rows apart: id and text."""
+    return F.xxhash64(F.col(id_col), F.col(text_col))
+
+
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The measures that the rules look at, one row a document."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -72,6 +77,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     per_doc = docs.select(
         F.col(id_col).alias("doc_id"),
+        row_hash(id_col, text_col).alias("row"),
         let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), of_words).alias("w"),
         let(lines, of_lines).alias("l"),
         left("[\\x20\\x09-\\x0D]+").cast("long").alias("word_chars"),
@@ -80,7 +86,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         (n - left("[0-9]")).cast("long").alias("n_digits"),
         (n - left("\\p{Lu}+")).cast("long").alias("n_upper"),
     )
-    return per_doc.select("doc_id", "w.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.n_lines", "n_exclaim", "n_digits", "n_upper")
+    return per_doc.select("doc_id", "row", "w.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.n_lines", "n_exclaim", "n_digits", "n_upper")
 
 
 def rules() -> dict[str, Column]:
@@ -155,6 +161,12 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     p = _posterior(names, theta)
     return voted.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "doc_id", "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), (~failed & (p >= keep_from)).alias("kept"), p.alias("p_good"), *names,
     )
+
+
+def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns."""
+    good = judge(docs, id_col, text_col).filter("kept").select(F.col("row").alias("_row"), F.col("doc_id").alias("_id")).distinct()
+    return docs.join(good, (row_hash(id_col, text_col) == F.col("_row")) & docs[id_col].eqNullSafe(F.col("_id")), "left_semi")
