@@ -1,15 +1,50 @@
-"""All registered queries of the engine and their SQL oracles."""
+"""All registered queries of the engine and their SQL oracles.
+
+A query is registered under ``<operator id>_<name>`` by the module in
+``lorekeep.plans`` that composes it; its oracle is the same computation in plain
+SQL over the same tables.
+"""
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+PLANS = ("texts", "catalog", "retrieval", "dedup", "privacy", "graph", "analytics", "quality", "versions", "tags", "chunks", "relational", "streams", "ingest")
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_oracles: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register the decorated ``(spark, sf_dir) -> DataFrame``, with its oracle if SQL can express it."""
+
+    def put(f):
+        if name in _queries:
+            raise ValueError(f"{name} is registered twice")
+        _queries[name] = f
+        if sql:
+            _oracles[name] = sql
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _load() -> None:
+    for name in PLANS:
+        importlib.import_module(f"lorekeep.plans.{name}")
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    _load()
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(_oracles)
