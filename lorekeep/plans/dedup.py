@@ -1 +1,63 @@
-"""Queries to come."""
+"""Duplicate plans."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import dedup as D
+from ..registry import query, table
+
+
+@query("j08_exact_duplicates", "with h as (select doc_id as id, min(doc_id) over (partition by sha256(text)) as original_id from documents) select id, original_id from h where id <> original_id")
+def j08(spark, d):
+    return D.exact(table(spark, d, "documents"), T.content_hash(F.col("text")))
+
+
+@query("j09_near_duplicates")
+def j09(spark, d):
+    return D.near(table(spark, d, "documents"))
+
+
+@query("j10_semantic_duplicates", """with p as (select a.vec_id as left_id, b.vec_id as right_id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::double * z[2]::double)) / (sqrt(list_sum(list_transform(a.embedding, lambda z: z::double * z::double))) * sqrt(list_sum(list_transform(b.embedding, lambda z: z::double * z::double)))), 6) as cosine
+ from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id) select left_id, right_id, cosine from p where cosine >= 0.9""")
+def j10(spark, d):
+    return D.semantic(table(spark, d, "embeddings"), block=F.col("label"))
+
+
+@query("j12_point_against_index", "select b.item_id, count(d.doc_id) as n_same from benchmark b left join documents d on sha256(d.text) = sha256(b.text) group by 1")
+def j12(spark, d):
+    new = table(spark, d, "benchmark").select("item_id", T.content_hash(F.col("text")).alias("h"))
+    index = table(spark, d, "documents").select(T.content_hash(F.col("text")).alias("h"), "doc_id")
+    return new.join(index, "h", "left").groupBy("item_id").agg(F.count("doc_id").alias("n_same"))
+
+
+@query("a27_duplicate_report", "with h as (select sha256(text) as h, count(*) as n, max(length(text)) as size from documents group by 1) select sum((n > 1)::bigint)::bigint as n_groups, sum(n - 1)::bigint as n_copies, sum((n - 1) * size)::bigint as reclaimable from h")
+def a27(spark, d):
+    h = table(spark, d, "documents").groupBy(T.content_hash(F.col("text")).alias("h")).agg(F.count("*").alias("n"), F.max(F.char_length("text")).alias("size"))
+    return h.agg(F.sum((F.col("n") > 1).cast("long")).alias("n_groups"), F.sum(F.col("n") - 1).alias("n_copies"), F.sum((F.col("n") - 1) * F.col("size")).alias("reclaimable"))
+
+
+@query("x12_minhash_signature")
+def x12(spark, d):
+    s = table(spark, d, "documents").select("doc_id", D.signature(T.shingles(F.col("text"))).alias("sig"))
+    return s.select("doc_id", F.size("sig").cast("long").alias("n"), F.md5(F.array_join(F.transform("sig", lambda x: x.cast("string")), ",").cast("binary")).alias("digest"))
+
+
+@query("x13_signature_similarity")
+def x13(spark, d):
+    s = table(spark, d, "documents").select("doc_id", D.signature(T.shingles(F.col("text"))).alias("sig"))
+    nxt = s.select((F.col("doc_id") - 1).alias("doc_id"), F.col("sig").alias("other"))
+    return s.join(nxt, "doc_id").select("doc_id", F.round(D.signature_similarity(F.col("sig"), F.col("other")), 6).alias("similarity"))
+
+
+JAC = "list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' ')))"
+
+
+@query("x11_exact_jaccard_neighbours", rf"""with w as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[\s\p{{Z}}]+'), lambda x: x <> '') as w from documents), s as (select doc_id, case when len(w) >= 3 then {JAC} else [] end as s from w),
+p as (select a.doc_id, len(list_intersect(a.s, b.s)) as same, len(a.s) as na, len(b.s) as nb from s a join s b on b.doc_id = a.doc_id + 1)
+select doc_id, round(case when na + nb - same > 0 then same::double / (na + nb - same) else 0.0::double end, 6) as jaccard from p""")
+def x11b(spark, d):
+    s = table(spark, d, "documents").select("doc_id", T.shingles(F.col("text")).alias("s"))
+    nxt = s.select((F.col("doc_id") - 1).alias("doc_id"), F.col("s").alias("t"))
+    return s.join(nxt, "doc_id").select("doc_id", F.round(T.jaccard(F.col("s"), F.col("t")), 6).alias("jaccard"))
