@@ -1 +1,62 @@
-"""Queries to come."""
+"""Privacy plans over the corpus."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import labels as L
+from ..operators import privacy as P
+from ..registry import query, table
+
+MAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+PHONE = r"\+[0-9][ ().0-9-]{7,}[0-9]"
+FOUND = f"f as (select doc_id, 'EMAIL' as kind, unnest(regexp_extract_all(text, '{MAIL}')) as value from documents union all select doc_id, 'PHONE', unnest(regexp_extract_all(text, '{PHONE}')) from documents)"
+
+
+def found(spark, d):
+    return P.findings(table(spark, d, "documents"))
+
+
+@query("x29_secret_counts", f"with {FOUND} select doc_id, kind, count(*) as n from f group by all")
+def x29(spark, d):
+    return found(spark, d).groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
+
+
+@query("x31_masking", f"with {FOUND} select doc_id, kind, case when kind = 'EMAIL' then concat(substr(value, 1, 2), '***@', split_part(value, '@', 2)) else concat('***', right(value, 4)) end as masked from f")
+def x31(spark, d):
+    return found(spark, d).select("doc_id", "kind", L.mask(F.col("kind"), F.col("value")).alias("masked"))
+
+
+@query("x32_privacy_tier", f"with {FOUND} select d.doc_id, case when count(f.kind) > 0 then 'private' else 'public' end as tier from documents d left join f using (doc_id) group by 1")
+def x32(spark, d):
+    kinds = found(spark, d).groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"))
+    all_ = table(spark, d, "documents").select("doc_id").join(kinds, "doc_id", "left")
+    return all_.select("doc_id", L.tier(F.coalesce("kinds", F.expr("cast(array() as array<string>)"))).alias("tier"))
+
+
+@query("x33_risk_level", f"with {FOUND} select d.doc_id, case when count(f.kind) > 0 then 'medium' else 'low' end as risk from documents d left join f using (doc_id) group by 1")
+def x33(spark, d):
+    return x32(spark, d).select("doc_id", L.risk(F.col("tier")).alias("risk"))
+
+
+@query("x34_redaction", f"select doc_id, md5(regexp_replace(regexp_replace(text, '{MAIL}', '[REDACTED-EMAIL]', 'g'), '{PHONE}', '[REDACTED-PHONE]', 'g')) as digest from documents")
+def x34(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return P.redact(docs, found(spark, d)).select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("x35_sensitivity", f"with {FOUND} select d.doc_id, count(f.kind) >= 2 as sensitive from documents d left join f using (doc_id) group by 1")
+def x35(spark, d):
+    n = found(spark, d).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return table(spark, d, "documents").select("doc_id").join(n, "doc_id", "left").select("doc_id", (F.coalesce("n", F.lit(0)) >= 2).alias("sensitive"))
+
+
+@query("a25_audit_report", f"with {FOUND} select kind, count(*) as n, count(distinct doc_id) as n_documents from f group by 1")
+def a25(spark, d):
+    return found(spark, d).groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_documents"))
+
+
+@query("j21_custom_terms", "with t(term, kind) as (values ('worthless', 'INSULT'), ('license', 'LEGAL'), ('token', 'SECRET')) select doc_id, term, kind, ((length(lower(text)) - length(replace(lower(text), term, ''))) // length(term))::bigint as n from documents join t on contains(lower(text), term)")
+def j21(spark, d):
+    terms = spark.createDataFrame([("worthless", "INSULT"), ("license", "LEGAL"), ("token", "SECRET")], "term string, kind string")
+    return P.custom_terms(table(spark, d, "documents").select("doc_id", "text"), terms)
