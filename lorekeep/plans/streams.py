@@ -1 +1,44 @@
-"""Queries to come."""
+"""Streaming plans over the event table, run to the end of the files; their oracles are the batch results."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..registry import query
+from ..streaming import events as E
+
+
+def _plain(rows):
+    """Times as in the table, without a zone."""
+    return rows.select(*[F.col(c).cast("timestamp_ntz").alias(c) if t == "timestamp" else F.col(c) for c, t in rows.dtypes])
+
+
+@query("m07_windowed_log", "select date_trunc('hour', ts) as started, event_type, count(*) as n, round(sum(value::decimal(18,6))::double, 4) as total from events group by all")
+def m07(spark, d):
+    return _plain(E.drain(E.windowed(E.read(spark, d, "events")), "complete"))
+
+
+@query("m07_sliding_windows", "with s as (select unnest([date_trunc('hour', ts), date_trunc('hour', ts) - interval 1 hour]) as started, event_type, value from events) select started, event_type, count(*) as n, round(sum(value::decimal(18,6))::double, 4) as total from s group by all")
+def m07b(spark, d):
+    return _plain(E.drain(E.windowed(E.read(spark, d, "events"), "2 hours", "1 hour"), "complete"))
+
+
+@query("m08_session_windows", """with g as (select *, coalesce(epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id order by ts, event_id)) >= 7200000000, true) as fresh from events), s as (select *, sum(fresh::bigint) over (partition by user_id order by ts, event_id rows unbounded preceding) as k from g)
+select user_id, min(ts) as started, count(*) as n from s group by user_id, k""")
+def m08(spark, d):
+    return _plain(E.drain(E.sessions(E.read(spark, d, "events")), "complete"))
+
+
+@query("m09_entity_counters", "select user_id, event_type, min(ts) as first_seen, max(ts) as last_seen, count(*) as mentions, max(value) as score from events group by all")
+def m09(spark, d):
+    return _plain(E.drain(E.counters(E.read(spark, d, "events")), "complete"))
+
+
+@query("m05_incremental_dedup", "select distinct event_id from events")
+def m05(spark, d):
+    return _plain(E.drain(E.without_repeats(E.read(spark, d, "events"), "event_id").select("event_id"), "append"))
+
+
+@query("m01_file_arrival", "select doc_id, length(text)::bigint as n from documents")
+def m01(spark, d):
+    return _plain(E.drain(E.read(spark, d, "documents").select("doc_id", F.char_length("text").cast("long").alias("n")), "append"))
