@@ -5,15 +5,16 @@ Sets of word n-grams link when ``100 * |intersection| >= percent * |union|``.
 * Equal sets are one class; only its representative goes on.
 * Answers are shared between highly similar sets: each class is compared with a few
   leaders (the least of a MinHash bucket under a bucket-specific order).  Classes
-  linked to a leader take its label, and from then on the label is one party:
-  what is found for one of its sets holds for all.
+  linked to a leader are one party from then on: what is found for one of its sets
+  holds for all.  Classes at half the similarity or more, linked or not, share a family.
 * Index lists hold the prefix tokens of every class, rarest first, but one entry
-  per label.  A list is sorted by set size and read in blocks; a block is
+  per family.  A list is sorted by set size and read in blocks; a block is
   skipped when its sizes or its remaining positions cannot reach the overlap.
-  So the join proposes pairs of *labels* whose sets share a prefix token: by the prefix
-  principle no link between different labels is missed.
-* For a proposed pair of labels the smaller one's sets are held against the other's,
-  in chunks of a bounded size, exactly; a label pair whose link is found is done.
+  So the join proposes pairs of *families* whose sets share a prefix token: by the prefix
+  principle no link between different families is missed.
+* For a proposed pair the smaller family's sets are held against the other's, in
+  chunks of a bounded size, exactly.  Inside a family all sets outside its largest
+  party are held against the family's chunks in the same way.
 
 Tokens are ranked by a sketch of document frequencies of a fixed size (the
 only broadcast); any common order gives right results, this one keeps lists short.
@@ -45,6 +46,7 @@ SLICE_BITS = 16
 BANDS, BAND_ROWS = 6, 2
 BLOCK = 64
 CHUNK = 400
+FAMILY = 50
 BROADCAST_IDS = 500_000
 _SALT = mix(np.arange(1, BANDS * BAND_ROWS + 1, dtype=U64))
 _ENTRY = np.dtype([("key", "<u8"), ("label", "<i8"), ("lo", "<u4"), ("hi", "<u4"), ("rest", "<u4")])
@@ -149,7 +151,7 @@ def _texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _leader_links(classes: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Verified links ``u, v`` between classes and the leaders of their MinHash buckets."""
+    """Classes and the leaders of their MinHash buckets, ``u, v, close``: similar at ``FAMILY`` percent, ``close`` if they link."""
     keyed = classes.select("node", F.posexplode("bands").alias("band", "bucket"))
     heads = keyed.groupBy("band", "bucket").agg(F.min(F.struct(F.xxhash64("band", "node").alias("h"), "node")).alias("head"), F.count("*").alias("n"))
     heads = heads.filter("n > 1").select("band", "bucket", F.col("head.node").alias("u"))
@@ -161,19 +163,23 @@ def _leader_links(classes: DataFrame, texts: DataFrame, n: int, percent: int) ->
     def verify(batches):
         last: tuple = (None, None)
         for b in batches:
-            keep = []
+            keep, close = [], []
             heads_ = b.column(2).to_pylist()
             for a, y in zip(heads_, sets_of(b.column(3), n), strict=True):
                 if last[0] != a:
                     last = (a, next(iter(sets_of(pa.array([a], pa.string()), n))))
-                keep.append(bool(linked(len(np.intersect1d(last[1], y, assume_unique=True)), len(last[1]), len(y), percent)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+                same = len(np.intersect1d(last[1], y, assume_unique=True))
+                close.append(bool(linked(same, len(last[1]), len(y), percent)))
+                keep.append(close[-1] or bool(linked(same, len(last[1]), len(y), FAMILY)))
+            found = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(close, pa.bool_())], names=["u", "v", "close"])
+            yield found.filter(pa.array(keep, pa.bool_()))
 
-    return stage(both.select("u", "v", "a", "b").mapInArrow(verify, "u long, v long"))
+    return stage(both.select("u", "v", "a", "b").mapInArrow(verify, "u long, v long, close boolean"))
 
 
 def _labels(classes: DataFrame, links: DataFrame) -> DataFrame:
     """``node, label``: equal labels are connected by links; some connected nodes may still have different ones."""
+    links = links.select("u", "v")
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     near = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("label"))
     now = stage(classes.select("node").join(near.withColumnRenamed("u", "node"), "node", "left").select("node", F.coalesce("label", "node").alias("label")))
@@ -266,60 +272,65 @@ def _label_pairs(classes: DataFrame, labels: DataFrame, percent: int) -> DataFra
     return stage(entries.mapInArrow(send, BLOCKS).groupBy("part").applyInArrow(propose, "p long, q long").distinct())
 
 
-def _cross_links(pairs: DataFrame, labels: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Exact links between the sets of proposed label pairs, one per pair and chunk at least where there is any."""
-    sizes = labels.groupBy("label").agg(F.count("*").alias("m"))
-    used = pairs.select(F.col("p").alias("label")).unionByName(pairs.select(F.col("q").alias("label"))).distinct()
-    sizes = stage(sizes.join(used, "label"))
-    with_p = pairs.join(sizes.select(F.col("label").alias("p"), F.col("m").alias("mp")), "p")
-    sized = with_p.join(sizes.select(F.col("label").alias("q"), F.col("m").alias("mq")), "q")
-    # the larger label stays where it is, cut into chunks; the smaller one's sets visit every chunk
-    turned = sized.select(
-        F.when(F.col("mp") >= F.col("mq"), F.col("p")).otherwise(F.col("q")).alias("home"),
-        F.when(F.col("mp") >= F.col("mq"), F.col("q")).otherwise(F.col("p")).alias("guest"),
-        F.greatest("mp", "mq").alias("m"),
+def _cross_links(pairs: DataFrame, members: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Exact links between different parties: of proposed pairs of families, and inside each family.
+
+    ``members`` has ``node, label`` (family) and ``party``.  A task reports a link only if it joins parties that it
+    has not seen joined.
+    """
+    parties = members.groupBy("label", "party").agg(F.count("*").alias("k"))
+    families = stage(parties.groupBy("label").agg(F.sum("k").alias("m"), F.count("*").alias("parties"), F.max_by("party", F.struct("k", -F.col("party"))).alias("main")))
+    with_p = pairs.join(families.select(F.col("label").alias("p"), F.col("m").alias("mp")), "p")
+    sized = with_p.join(families.select(F.col("label").alias("q"), F.col("m").alias("mq")), "q")
+    # the larger family stays where it is, cut into chunks; the smaller one's sets visit every chunk
+    larger = F.col("mp") >= F.col("mq")
+    between = sized.select(
+        F.when(larger, F.col("p")).otherwise(F.col("q")).alias("home"), F.when(larger, F.col("q")).otherwise(F.col("p")).alias("guest"), F.greatest("mp", "mq").alias("m"), F.lit(None).cast("long").alias("main")
     )
+    within = families.filter("parties > 1").select(F.col("label").alias("home"), F.col("label").alias("guest"), "m", "main")
+    visits = stage(between.unionByName(within))
     chunks = F.ceil(F.col("m") / CHUNK).cast("int")
-    members = labels.join(used, "label")
-    own = _texts_of(texts, members.select("node"))
-    homes = turned.select("home", "m").distinct()
-    at_home = members.join(homes, members["label"] == homes["home"]).select(
-        "home", F.pmod(F.xxhash64("node"), chunks).cast("int").alias("chunk"), F.col("home").alias("label"), "node", F.lit(0).alias("guest")
-    )
-    visits = turned.withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    guests = visits.join(members, visits["guest"] == members["label"]).select("home", "chunk", "label", "node", F.lit(1).alias("guest"))
-    seats = at_home.unionByName(guests).join(own, "node")
+    homes = visits.select("home", "m").distinct()
+    at_home = members.join(homes, members["label"] == homes["home"]).select("home", F.pmod(F.xxhash64("node"), chunks).cast("int").alias("chunk"), "party", "node", F.lit(0).alias("guest"))
+    guests = visits.withColumnRenamed("guest", "label").join(members, "label").filter("main is null or party <> main")
+    guests = guests.withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1))).select("home", "chunk", "party", "node", F.lit(1).alias("guest"))
+    seated = at_home.unionByName(guests)
+    seats = seated.join(_texts_of(texts, seated.select("node")), "node")
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         guest = table.column("guest").to_numpy()
-        node, label = table.column("node").to_numpy(), table.column("label").to_numpy()
+        node, party = table.column("node").to_numpy(), table.column("party").to_numpy()
         text = table.column("text").combine_chunks()
         sets = list(sets_of(text if isinstance(text, pa.Array) else pa.concat_arrays(text.chunks), n))
-        home = np.flatnonzero(guest == 0)
-        u, v = [], []
+        home, u, v = np.flatnonzero(guest == 0), [], []
         if len(home):
             size = np.array([len(sets[i]) for i in home])
             token = np.concatenate([sets[i] for i in home])
             owner = np.repeat(np.arange(len(home)), size)
             order = np.argsort(token, kind="stable")
             token, owner = token[order], owner[order]
-            done = set()
+            joined: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while joined.get(x, x) != x:
+                    x = joined[x]
+                return x
+
             for g in np.flatnonzero(guest == 1):
-                if label[g] in done:
-                    continue  # the answer of a similar set is this one's too
                 s = sets[g]
                 a, z = np.searchsorted(token, s, "left"), np.searchsorted(token, s, "right")
                 hits = np.repeat(a, z - a) + np.arange(int((z - a).sum())) - np.repeat(np.cumsum(z - a) - (z - a), z - a)
                 both = np.bincount(owner[hits], minlength=len(home))
-                ok = np.flatnonzero((both > 0) & linked(both, size, len(s), percent))
-                if len(ok):
-                    u.append(node[home[ok[0]]])
-                    v.append(node[g])
-                    done.add(label[g])
+                for h in home[np.flatnonzero((both > 0) & linked(both, size, len(s), percent))]:
+                    x, y = root(int(party[h])), root(int(party[g]))
+                    if x != y:  # else the answer of a similar set is this one's too
+                        joined[max(x, y)] = min(x, y)
+                        u.append(node[h])
+                        v.append(node[g])
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    return seats.select("home", "chunk", "label", "node", "guest", "text").groupBy("home", "chunk").applyInArrow(compare, "u long, v long")
+    return seats.select("home", "chunk", "party", "node", "guest", "text").groupBy("home", "chunk").applyInArrow(compare, "u long, v long")
 
 
 def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -333,9 +344,12 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
     keys = sets.select("node", "sig1", "sig2", "n_shingles", "bands", "prefix")
     classes = keys.join(least.select("sig1", "sig2", "node"), ["sig1", "sig2", "node"], "left_semi").dropDuplicates(["node", "sig1", "sig2"])
     classes = classes.select("node", "n_shingles", "bands", "prefix")
-    near = _leader_links(classes, texts, n, percent)
-    labels = _labels(classes.select("node").distinct(), near)
-    far = _cross_links(_label_pairs(classes, labels, percent), labels, texts, n, percent)
+    similar = _leader_links(classes, texts, n, percent)
+    near = similar.filter("close")
+    nodes = classes.select("node").distinct()
+    labels = _labels(nodes, similar)
+    members = stage(labels.join(_labels(nodes, near).withColumnRenamed("label", "party"), "node"))
+    far = _cross_links(_label_pairs(classes, labels, percent), members, texts, n, percent)
     roots = components(copy_links.unionByName(near.select("u", "v")).unionByName(far.select("u", "v")))
     joined = rows.select("node", "n_shingles").join(roots, "node", "left")
     root = F.coalesce("root", "node")
