@@ -360,7 +360,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
 def deduplicate(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near copies: of each component, the document with the least id; of rows that share an id, one."""
     member = stage(join(docs, n, percent, id_col, text_col))
-    heads = member.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"))
-    out = docs.join(heads.distinct(), docs[id_col].eqNullSafe(F.col("_id")), "left_semi")
-    many = heads.groupBy("_id").agg(F.count("*").alias("n")).filter("n > 1")
+    heads = member.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__lk_id"))
+    out = docs.join(heads.distinct(), docs[id_col].eqNullSafe(F.col("__lk_id")), "left_semi")
+    many = heads.groupBy("__lk_id").agg(F.count("*").alias("n")).filter("n > 1")
     return out if many.isEmpty() else out.dropDuplicates([id_col])

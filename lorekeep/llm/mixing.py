@@ -147,15 +147,16 @@ def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
 
     Rows are matched on ``doc_id``; for repeated ids call it on tables whose ids are distinct.
     """
-    plan = mixed.select(F.col("doc_id").alias("_id"), "passes", "cuts", F.col("size").alias("_size"))
-    both = docs.join(plan, docs["doc_id"].eqNullSafe(F.col("_id")))
+    # names of its own, so that no column of the documents can be meant by mistake
+    plan = mixed.select(F.col("doc_id").alias("__lk_id"), F.col("passes").cast("int").alias("__lk_passes"), F.col("cuts").alias("__lk_cuts"))
+    both = docs.join(plan, docs["doc_id"].eqNullSafe(F.col("__lk_id")))
     words = F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))
     # the one-element array binds the words once; a plain reference inside the lambda would cut the text anew for each piece
-    pieces = F.transform(F.array(words), lambda w: F.flatten(F.transform("cuts", lambda c: F.slice(w, (c["from"] + 1).cast("int"), (c["to"] - c["from"]).cast("int")))))
+    pieces = F.transform(F.array(words), lambda w: F.flatten(F.transform("__lk_cuts", lambda c: F.slice(w, (c["from"] + 1).cast("int"), (c["to"] - c["from"]).cast("int")))))
     part = F.array_join(F.element_at(pieces, 1), " ")
-    whole = F.array_repeat(F.col("text"), F.col("passes").cast("int"))
-    texts = F.when(F.size("cuts") > 0, F.concat(whole, F.array(part))).otherwise(whole)
-    kept = [c for c in docs.columns if c not in ("text", "n_chars")]
-    out = both.withColumn("_text", F.explode(texts))
-    out = out.select(*kept, F.col("_text").alias("text"), F.char_length("_text").cast("long").alias("n_chars"))
-    return out.select(*[c for c in docs.columns if c in out.columns])
+    whole = F.array_repeat(F.col("text"), F.col("__lk_passes"))
+    texts = F.when(F.size("__lk_cuts") > 0, F.concat(whole, F.array(part))).otherwise(whole)
+    out = both.withColumn("__lk_text", F.explode(texts)).withColumn("text", F.col("__lk_text"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast("long"))
+    return out.select(*docs.columns)

@@ -224,11 +224,11 @@ def redact(docs: DataFrame) -> DataFrame:
     Rows are matched on ``doc_id``, whose values must be distinct; documents without spans pass unchanged.
     """
     found = detect(docs).filter(F.size("base") + F.size("added") > 0)
-    spans = found.select(F.col("doc_id").alias("_id"), F.array_sort(F.concat(
+    spans = found.select(F.col("doc_id").alias("__lk_id"), F.array_sort(F.concat(
         F.transform("base", lambda x: F.struct(x["start"].alias("s"), x["end"].alias("e"), x["kind"].alias("k"))),
         F.transform("added", lambda x: F.struct(x["start"].alias("s"), x["end"].alias("e"), x["kind"].alias("k"))),
-    )).alias("_spans"))
-    joined = docs.join(spans, docs["doc_id"].eqNullSafe(F.col("_id")), "left").drop("_id")
+    )).alias("__lk_spans"))
+    joined = docs.join(spans, docs["doc_id"].eqNullSafe(F.col("__lk_id")), "left").drop("__lk_id")
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
@@ -236,9 +236,9 @@ def redact(docs: DataFrame) -> DataFrame:
         apart = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, x["s"] - acc["at"]), F.element_at(names, x["k"] + 1))
         return F.struct(F.when(x["s"] >= acc["at"], apart).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], x["e"]).alias("at"))
 
-    masked = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.lit(2147483647) - acc["at"])))
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(masked)
-    out = joined.withColumn("text", text).drop("_spans")
+    masked = F.aggregate("__lk_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.lit(2147483647) - acc["at"])))
+    text = F.when(F.col("__lk_spans").isNull(), F.col("text")).otherwise(masked)
+    out = joined.withColumn("text", text).drop("__lk_spans")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast("long"))
     return out.select(*docs.columns)

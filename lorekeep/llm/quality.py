@@ -168,5 +168,5 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns."""
-    good = judge(docs, id_col, text_col).filter("kept").select(F.col("row").alias("_row"), F.col("doc_id").alias("_id")).distinct()
-    return docs.join(good, (row_hash(id_col, text_col) == F.col("_row")) & docs[id_col].eqNullSafe(F.col("_id")), "left_semi")
+    good = judge(docs, id_col, text_col).filter("kept").select(F.col("row").alias("__lk_row"), F.col("doc_id").alias("__lk_id")).distinct()
+    return docs.join(good, (row_hash(id_col, text_col) == F.col("__lk_row")) & docs[id_col].eqNullSafe(F.col("__lk_id")), "left_semi")

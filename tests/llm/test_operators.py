@@ -1,0 +1,377 @@
+"""Each operator against a brute-force version, on rows with nulls, repeats, ties, empty and long texts and clashing columns."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lorekeep.llm import bpe, components, fingerprints, jaccard, lm, mixing, pii, quality, sharding, substrings, toxicity
+from lorekeep.llm._words import shingles, word_hashes, word_spans
+
+SCHEMA = "doc_id long, text string, source string, node long, row string, label string, size long, cuts string, kept string"
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def words(text):
+    return re.findall(WORD, text or "")
+
+
+def rows():
+    r = random.Random(11)
+    vocabulary = ["alpha", "beta", "gamma", "delta", "émile", "zeta,", "eta.", "theta", "iota", "kappa"]
+    base = [r.choice(vocabulary) + str(r.randint(0, 30)) for _ in range(90)]
+    out = []
+    for i in range(60):
+        w = list(base)
+        for _ in range(r.randint(0, 6)):
+            w[r.randrange(90)] = f"edit{r.randint(0, 99)}"
+        out.append((i, " ".join(w)))
+    passage = " ".join(f"p{k}" for k in range(50))
+    out += [(100 + i, " ".join(f"w{r.randint(0, 5000)}" for _ in range(40)) + "\n" + passage + " end") for i in range(5)]
+    out += [(200, None), (201, ""), (202, " \t\n"), (203, "One two"), (204, "one  TWO"), (205, "a b " * 120), (206, "Line one.\nLine one.\nmail a.b@c.de or +1 (017) 555-7713 and 4111 1111 1111 1111 at 10.0.0.256")]
+    out += [(207, "long " + " ".join(f"t{k}" for k in range(6000))), (208, "same"), (208, "same"), (None, "null id text here"), (209, "​ x ẞ Σίσυφος " + "é" * 30)]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    sources = ["s1", "s2", "s3", None, "s4"]
+    data = [(i, t, sources[k % 5], k, "r", "l", 7, "c", "k") for k, (i, t) in enumerate(rows())]
+    return spark.createDataFrame(data, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_word_cutting_matches_regex():
+    texts = [t or "" for _, t in rows()]
+    data = [t.encode() for t in texts]
+    buf, offsets = np.frombuffer(b"".join(data), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in data])))
+    starts, ends, bounds = word_spans(buf, offsets)
+    got = [[bytes(buf[starts[k] : ends[k]]).decode() for k in range(bounds[d], bounds[d + 1])] for d in range(len(texts))]
+    assert got == [words(t) for t in texts]
+    h = word_hashes(buf, starts, ends)
+    flat = [w for t in texts for w in words(t)]
+    assert len(set(h.tolist())) == len(set(flat))
+    s, at = shingles(h, bounds, 4)
+    expected = [len(w) - 3 if len(w) > 3 else int(bool(w)) for w in map(words, texts)]
+    assert np.diff(at).tolist() == expected and len(s) == sum(expected)
+
+
+def test_sharding(docs, empty):
+    got = sharding.shard(docs, 4).toPandas()
+    size = {(i, zlib.crc32((t or "").encode())): len((t or "").encode()) + 8 for i, t in rows()}
+    assert len(got) == len(rows()) and all(size[None if math.isnan(r.doc_id) else int(r.doc_id), r.text_crc32] == r["size"] for _, r in got.iterrows())
+    for _, g in got.groupby("shard"):
+        assert sorted(g.slot) == list(range(len(g)))
+    assert sharding.shard(empty, 4).count() == 0
+
+
+def test_packing_is_even_and_splits_hot_groups(spark):
+    data = [(i, "hot text " * 20) for i in range(3000)] + [(5000 + i, "x" * (i % 700)) for i in range(6000)]
+    got = sharding.shard(spark.createDataFrame(data, "doc_id long, text string"), 24).groupBy("shard").agg(F.sum("size").alias("b"), F.count("*").alias("n")).toPandas()
+    assert len(got) == 24 and got.b.max() / got.b.mean() < 1.05 and got.n.max() / got.n.mean() < 1.3
+
+
+def brute_components(data, n, percent):
+    sets = {}
+    for i, t in data:
+        w = (t or "").encode().lower().split()
+        sets.setdefault(i, []).append(frozenset(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) or (frozenset([tuple(w)]) if w else frozenset()))
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    key = lambda x: (x is None, x)
+    ids = sorted(sets, key=key)
+    for a in ids:
+        for b in ids:
+            if key(a) < key(b) and any(x and y and 100 * len(x & y) >= percent * len(x | y) for x in sets[a] for y in sets[b]):
+                x, y = sorted((find(a), find(b)), key=key)
+                parent[y] = x
+    return {i: find(i) for i in ids}
+
+
+@pytest.mark.parametrize(("n", "percent"), [(4, 85), (5, 80), (2, 60)])
+def test_jaccard_join(docs, n, percent):
+    got = {(r.doc_id, r.component_id) for r in jaccard.join(docs, n, percent).collect()}
+    assert got == set(brute_components(rows(), n, percent).items())
+
+
+def test_jaccard_empty_and_deduplicate(docs, empty):
+    assert jaccard.join(empty).count() == 0
+    kept = jaccard.deduplicate(docs)
+    roots = brute_components(rows(), 5, 80)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id if r.doc_id is not None else -1 for r in kept.collect()) == sorted(i if i is not None else -1 for i, c in roots.items() if i == c)
+
+
+def test_components(spark):
+    chain = [(i, i + 1) for i in range(30)] + [(100, 50), (50, 70), (7, 7)]
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(chain, "u long, v long")).collect()}
+    assert got == {**{i: 0 for i in range(31)}, 100: 50, 50: 50, 70: 50}
+
+
+def brute_quality(t):
+    w = words(t)
+    seen = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    cover = {i + k for i in range(len(w) - 4) if seen[tuple(w[i : i + 5])] > 1 for k in range(5)}
+    lines = [x for x in (t or "").split("\n") if re.search(WORD, x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(cover)
+
+
+def test_quality(docs, empty):
+    expected = defaultdict(set)
+    for i, t in rows():
+        expected[i].add(brute_quality(t))
+    got = quality.judge(docs).collect()
+    assert len(got) == len(rows())
+    for r in got:
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) in expected[r.doc_id]
+        assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words) and not (r.base_failed and r.kept)
+    assert quality.judge(empty).count() == 0
+    kept = quality.keep(docs)
+    assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in got)
+
+
+def test_quality_estimation_agrees_with_a_plain_loop(docs):
+    """The estimates of the DataFrame rounds against the same rounds over collected votes."""
+    names = list(quality.rules())
+    voted = quality.features(docs).withColumns(quality.rules()).select(*names)
+    theta = quality.estimate(voted, names, rounds=4)
+    votes = [tuple(r) for r in voted.collect()]
+    mine = None
+    for _ in range(4):
+        p = []
+        for v in votes:
+            if mine is None:
+                p.append(0.98 if -1 not in v else 0.05)
+            else:
+                odds = math.log(mine["prior"] / (1 - mine["prior"])) + sum(math.log(mine[k][0][x] / mine[k][1][x]) for k, x in zip(names, v, strict=True) if x)
+                p.append(1 / (1 + math.exp(-odds)))
+        good, bad = sum(p), sum(1 - x for x in p)
+        weight = 1 + quality.BELIEF_SHARE * (good + bad)
+        new = {"prior": (good + 1) / (good + bad + 2)}
+        for j, k in enumerate(names):
+            pair = []
+            for c, total, belief in ((p, good, quality.BELIEF[0]), ([1 - x for x in p], bad, quality.BELIEF[1])):
+                pv = {s: (sum(x for x, v in zip(c, votes, strict=True) if v[j] == s) + weight * belief[s]) / (total + weight) for s in (-1, 1)}
+                pair.append(pv)
+            pair[0][-1] = min(pair[0][-1], quality.MAX_FALSE_ALARM)
+            new[k] = pair
+        mine = new
+    assert abs(theta["prior"] - mine["prior"]) < 1e-9
+    assert all(abs(theta[k][c][s] - mine[k][c][s]) < 1e-9 for k in names for c in (0, 1) for s in (-1, 1))
+
+
+def test_toxicity(spark, empty):
+    r = random.Random(2)
+    common, rude = [f"w{i}" for i in range(400)], ["nasty", "vile", "awful"]
+    data = []
+    for i in range(900):
+        toxic = i % 4 == 0
+        w = [r.choice(common) for _ in range(60)] + ([r.choice(rude) for _ in range(3)] if toxic else [])
+        r.shuffle(w)
+        data.append((i, " ".join(w), int(toxic)))
+    docs = spark.createDataFrame(data, "doc_id long, text string, toxic int")
+    labels = docs.filter("doc_id % 2 = 0").select("doc_id", "toxic").unionByName(spark.createDataFrame([(5, None)], "doc_id long, toxic int"))
+    got = toxicity.score(docs.select("doc_id", "text"), labels, {"rare": F.col("toxic") * 0, "toxic": F.col("toxic") == 1}).toPandas().merge(docs.select("doc_id", F.col("toxic").alias("y")).toPandas(), on="doc_id")
+    held = got[got.doc_id % 2 == 1]
+    assert ((held.toxic == (held.y == 1)).mean() > 0.97) and not got.rare.any()
+    assert toxicity.score(empty, labels, {"toxic": F.col("toxic") == 1}).count() == 0
+    none = toxicity.score(docs.select("doc_id", "text"), labels.filter("false"), {"toxic": F.col("toxic") == 1})
+    assert none.filter("toxic").count() == 0 and none.count() == 900
+
+
+def brute_spans(t):
+    out = [(0, m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [(1, m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = re.sub(r"\D", "", m[0])
+        total = sum(v - 9 if v > 9 else v for v in (int(c) * (2 if k % 2 else 1) for k, c in enumerate(reversed(d))))
+        if 13 <= len(d) <= 19 and total % 10 == 0:
+            out.append((2, m.start(), m.end()))
+    return out + [(3, m.start(), m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(re.sub(r"\D", "", m[0])) <= 15]
+
+
+def test_pii_base(docs, empty):
+    r = random.Random(1)
+    for _ in range(20000):
+        t = "".join(r.choice("a1@.-+ 9(5)b\n") for _ in range(r.randint(0, 60)))
+        assert brute_spans(t) == pii.base_spans(t), t
+    got = {(x.doc_id, tuple(sorted(tuple(s) for s in x.base))) for x in pii.detect(docs).collect()}
+    assert got == {(i, tuple(sorted(brute_spans(t or "")))) for i, t in rows()}
+    assert pii.detect(empty).count() == 0
+
+
+def test_pii_bootstrap_finds_unseen_identifiers(spark):
+    data = [(i, f"hello there please write to ticket-desk: user{i}@mail.example.com thanks {i}") for i in range(30)]
+    data += [(100 + i, f"hello there please write to ticket-desk: user{i}@localhost thanks") for i in range(3)]
+    data += [(200 + i, f"the order number {10000 + i} was shipped") for i in range(30)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    added = {r.doc_id: r.added for r in pii.detect(docs).filter(F.size("added") > 0).collect()}
+    assert set(added) == {100, 101, 102}
+    assert data[30][1][added[100][0].start : added[100][0].end] == "user0@localhost" and added[100][0].kind == 0
+    masked = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert masked[0] == "hello there please write to ticket-desk: [EMAIL] thanks 0" and masked[200] == data[33][1]
+
+
+def test_fingerprints(docs, empty):
+    got = fingerprints.edited_likeness(docs.filter("doc_id is not null and doc_id <> 208")).toPandas().sort_values("doc_id").reset_index(drop=True)
+    data = sorted((i, t or "") for i, t in rows() if i is not None and i != 208)
+
+    def grams(t):
+        w = t.encode().lower().split()
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+    for k, (i, t) in enumerate(data):
+        nxt, cut = data[(k + 1) % len(data)][1], len(t) // 4
+        edited = t[: len(t) - cut] + nxt[:cut]
+        assert got.doc_id[k] == i and got.n_chars[k] == len(t) and got.edited_sha256[k] == hashlib.sha256(edited.encode()).hexdigest()
+        for b, near in ((edited, got.near_edited[k]), (nxt, got.near_next[k])):
+            x, y = grams(t), grams(b)
+            assert abs(near - (len(x & y) / len(x | y) if x | y else 1.0)) < 0.25
+    assert fingerprints.edited_likeness(docs).count() == len(rows()) and fingerprints.edited_likeness(empty).count() == 0
+
+
+def test_fingerprint_pairs_are_verified(docs):
+    texts = dict(rows())
+    for r in fingerprints.near_pairs(docs).collect():
+        x, y = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)} for w in (texts[i].encode().lower().split() for i in (r.left_id, r.right_id)))
+        assert abs(r.jaccard - len(x & y) / len(x | y)) < 1e-9 and r.jaccard >= 0.8
+
+
+def test_language_model(docs, empty):
+    got = lm.score(docs).toPandas()
+    held = {i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i, _ in rows()}
+    tokens = [(i, (t or "").encode().lower().split() + [None]) for i, t in rows()]
+    counts = Counter(w for i, t in tokens if not held[i] for w in t)
+    n, v = sum(counts.values()), len(counts)
+    expected = defaultdict(list)
+    for i, t in tokens:
+        expected[i].append((held[i], len(t), sum(w in counts for w in t), round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in t), 6)))
+    assert len(got) == len(rows()) and (got.train_tokens == n).all() and (got.score < 0).all()
+    for r in got.itertuples():
+        i = None if math.isnan(r.doc_id) else int(r.doc_id)
+        assert (r.held_out, r.n_tokens, r.n_known, round(r.base_score, 6)) in expected[i]
+    assert lm.score(empty).count() == 0
+
+
+def test_class_model_is_a_distribution_and_learns():
+    r = np.random.default_rng(3)
+    counts = np.zeros((lm.CLASSES * lm.CLASSES // lm.SLICES, lm.CLASSES))
+    counts[:, :4] = r.integers(0, 50, (len(counts), 4))
+    w = lm.zero_weights()
+    two, one = np.divmod(np.arange(len(counts)), lm.CLASSES)
+    likelihood = []
+    for _ in range(4):
+        p = lm._log_softmax(lm._logits(w, two, one))
+        assert np.allclose(np.exp(p).sum(axis=1), 1, atol=1e-4)
+        likelihood.append((counts * p).sum())
+        seen, expected = np.split(lm._expectations(0, counts, w), 2)
+        step, at = (seen - expected) / (4 * ((seen + expected) / 2 + 1)), 0
+        for k, m in w.items():
+            w[k] = m + 1.6 * step[at : at + m.size].reshape(m.shape).astype(np.float32)
+            at += m.size
+    assert likelihood == sorted(likelihood)
+
+
+def test_repeated_passages(docs, empty):
+    texts = [(i, words(t)) for i, t in rows()]
+    count = Counter(tuple(w[k : k + 35]) for _, w in texts for k in range(len(w) - 34))
+    expected = Counter()
+    for i, w in texts:
+        stay = [True] * len(w)
+        for k in range(len(w) - 34):
+            if count[tuple(w[k : k + 35])] > 1:
+                stay[k : k + 35] = [False] * 35
+        expected[i, len(w), stay.count(False), " ".join(x for x, y in zip(w, stay, strict=True) if y)] += 1
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substrings.remove_repeated(docs).collect()) == expected
+    assert substrings.remove_repeated(empty).count() == 0
+
+
+def test_automaton_counts_windows():
+    r = random.Random(5)
+    for _ in range(60):
+        seqs = [[r.randint(0, 2) for _ in range(r.randint(5, 25))] for _ in range(r.randint(1, 5))]
+        weights = [r.randint(1, 2) for _ in seqs]
+        count = Counter()
+        for s, w in zip(seqs, weights, strict=True):
+            for k in range(len(s) - 4):
+                count[tuple(s[k : k + 5])] += w
+        auto = substrings.Automaton(seqs, weights)
+        for s in seqs:
+            assert auto.repeated(s, 5) == [count[tuple(s[k : k + 5])] > 1 for k in range(len(s) - 4)]
+
+
+def test_sainte_lague():
+    assert mixing.sainte_lague([53, 24, 23], 7) == [3, 2, 2]
+    assert mixing.sainte_lague([1, 1, 1], 2) == [1, 1, 0] and mixing.sainte_lague([0, 0], 5) == [0, 0] and mixing.sainte_lague([], 3) == []
+    r = random.Random(4)
+    for _ in range(100):
+        votes = [r.randint(0, 50) for _ in range(6)]
+        seats, got = r.randint(0, 30), [0] * 6
+        for _ in range(seats if any(votes) else 0):
+            i = max(range(6), key=lambda k: (votes[k] / (2 * got[k] + 1), -k))
+            got[i] += 1
+        mine = mixing.sainte_lague(votes, seats)
+        assert sum(mine) == sum(got) and sorted(v / (2 * g + 1) for v, g in zip(votes, mine, strict=True)) == pytest.approx(sorted(v / (2 * g + 1) for v, g in zip(votes, got, strict=True)))
+
+
+def test_mixing(docs, empty):
+    got = mixing.mix(docs).toPandas()
+    sizes = Counter()
+    for k, (_, t) in enumerate(rows()):
+        sizes[["s1", "s2", "s3", None, "s4"][k % 5]] += len(words(t))
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    goal = dict(zip(names, mixing.targets([sizes[s] for s in names], [(5.0, 2.0, 1.0)[i % 3] for i in range(len(names))]), strict=True))
+    assert abs(sum(goal.values()) - sum(sizes.values())) < 1e-6 and all(goal[s] <= 3 * sizes[s] + 1e-6 for s in names)
+    for s, g in got.groupby(got.source.fillna("")):
+        assert g.target.iloc[0] == pytest.approx(goal[s or None]) and abs(g.taken.sum() - goal[s or None]) <= max(3, 0.02 * goal[s or None])
+    assert (got.taken <= 3 * got["size"]).all() and len(got) == len(rows())
+    again = mixing.mix(docs.repartition(2)).toPandas()
+    assert sorted(map(str, zip(got.doc_id, got["size"], got.taken, strict=True))) == sorted(map(str, zip(again.doc_id, again["size"], again.taken, strict=True)))
+    assert mixing.mix(empty).count() == 0
+
+
+def test_applied_mix_has_the_words_taken(docs):
+    own = docs.filter("doc_id is not null and doc_id <> 208")
+    mixed = mixing.mix(own)
+    out = mixing.apply_mix(own, mixed)
+    assert out.columns == docs.columns
+    count = Counter()
+    for r in out.collect():
+        count[r.doc_id] += len(words(r.text))
+    assert all(count[r.doc_id] == r.taken for r in mixed.collect())
+
+
+def test_bpe_is_the_librarys(docs, empty):
+    tokenizers = pytest.importorskip("tokenizers")
+    from lorekeep.llm.queries import tokenizer_path
+
+    path = tokenizer_path()
+    reference, own = tokenizers.Tokenizer.from_file(path), bpe.load(path)
+    odd = ["", "   ", "Hello World İstanbul ΣΊΣΥΦΟΣ ΑΣ", "a<|endoftext|>b", "é café \U0001f600 naïve don't I'LL 123 ½\x00\x1c\x85y", "x" * 3000, "ab" * 2000, "ﬁ Å K", "日本語 한국어 العربية", "<|", "qzxjkvbpyg"]
+    r = random.Random(9)
+    odd += ["".join(chr(r.choice([r.randint(32, 126), r.randint(160, 1000), r.randint(0x4E00, 0x4E40), 0x20])) for _ in range(60)) for _ in range(300)]
+    for t in odd + [t or "" for _, t in rows()]:
+        ids = reference.encode(t, add_special_tokens=False).ids
+        assert own.encode(t) == ids and own.decode(ids) == reference.decode(ids, skip_special_tokens=False)
+    for w in ("lower", "international", "xyzzy"):
+        assert [own.token_of[i] for i in own._encode_word(w)] == own.merge_all([*w[:-1], w[-1] + bpe.SUFFIX])
+    got = bpe.digests(docs, path).collect()
+    assert len(got) == len(rows()) and bpe.digests(empty, path).count() == 0
+    assert {(x.doc_id, x.text) for x in bpe.decode(bpe.encode(docs, path), path).collect()} == {(i, reference.decode(reference.encode(t or "", add_special_tokens=False).ids, skip_special_tokens=False)) for i, t in rows()}
