@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def numbered(rows: DataFrame, by: str, order: list[str]) -> DataFrame:
@@ -25,7 +26,10 @@ def changed(rows: DataFrame, by: str, order: list[str], state: Column) -> DataFr
     return rows.withColumn("_s", state).withColumn("_p", F.lag("_s").over(w)).filter(F.col("_p").isNull() | (F.col("_s") != F.col("_p"))).drop("_s", "_p")
 
 
-@F.pandas_udf("struct<added:long,removed:long>")
+DIFF = T.StructType([T.StructField("added", T.LongType()), T.StructField("removed", T.LongType())])
+
+
+@F.pandas_udf(DIFF)
 def line_diff(old: pd.Series, new: pd.Series) -> pd.DataFrame:
     """Lines added and removed between two texts."""
     out = []

@@ -30,7 +30,7 @@ def scan(spark: SparkSession, folder: str, glob: str = "*", recursive: bool = Tr
 def extract(files: DataFrame, extractors: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
     """``path, name, text``: text and code as they are, other suffixes by their extractor, failures and unknown ones empty."""
     own = dict(extractors or {})
-    plain = F.when(F.col("suffix").isin(*TEXT, *CODE), F.decode("content", F.lit("UTF-8")))
+    plain = F.when(F.col("suffix").isin(*TEXT, *CODE), F.decode("content", "UTF-8"))
     if not own:
         return files.select("path", "name", F.coalesce(plain, F.lit("")).alias("text"))
 
