@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-PLANS = ("texts", "catalog", "retrieval", "dedup", "privacy", "graph", "analytics", "quality", "versions", "tags", "chunks", "relational", "streams", "ingest")
+PLANS = ("texts", "catalog", "retrieval", "dedup", "privacy", "graph", "analytics", "quality", "versions", "tags", "chunks", "relational", "streams", "ingest", "notes")
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _oracles: dict[str, str] = {}
 
