@@ -11,7 +11,11 @@ from . import bpe, fingerprints, jaccard, lm, mixing, pii, quality, sharding, su
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The corpus.  An input of fewer splits than cores (one file of one row group is one) is spread over them first."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    if (cores := spark.sparkContext.defaultParallelism) > rows._jdf.queryExecution().toRdd().getNumPartitions():
+        return rows.repartition(cores)
+    return rows
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
