@@ -38,9 +38,13 @@ def gaps(log: DataFrame, words: Column) -> DataFrame:
     return g.withColumn("confidence", F.least(F.lit(1.0), F.col("n") / 5))
 
 
+def _micros(at: Column) -> Column:
+    return F.unix_micros(at.cast("timestamp"))
+
+
 def sessions(events: DataFrame, by: str, at: str, gap_seconds: int) -> DataFrame:
     """``by, session, started, ended, n``: a new session begins after a pause of more than ``gap_seconds``."""
     w = Window.partitionBy(by).orderBy(at, "event_id")
-    new = F.coalesce((F.unix_micros(at) - F.unix_micros(F.lag(at).over(w))) > gap_seconds * 1_000_000, F.lit(True))
+    new = F.coalesce((_micros(F.col(at)) - _micros(F.lag(at).over(w))) > gap_seconds * 1_000_000, F.lit(True))
     numbered = events.withColumn("session", F.sum(new.cast("long")).over(w))
     return numbered.groupBy(by, "session").agg(F.min(at).alias("started"), F.max(at).alias("ended"), F.count("*").alias("n"))

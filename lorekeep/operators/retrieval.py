@@ -44,8 +44,9 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", te
     terms = queries.select("query_id", F.explode(F.array_distinct(T.words(F.col("qtext")))).alias("term"))
     sized = docs.select(F.col(id_col).alias("id"), T.words(F.col(text_col)).alias("w")).withColumn("length", F.size("w"))
     stats = sized.agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"))
-    wanted = terms.select("term").distinct()
-    hits = sized.select("id", "length", F.explode("w").alias("term")).join(F.broadcast(wanted), "term")
+    wanted = F.broadcast(terms.agg(F.collect_set("term").alias("wanted")))  # one row: the words of a stated query set
+    found = F.filter("w", lambda x: F.array_contains("wanted", x))
+    hits = sized.join(wanted).select("id", "length", F.explode(found).alias("term"))
     tf = hits.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     joined = tf.join(F.broadcast(df), "term").join(F.broadcast(terms), "term").join(F.broadcast(stats))

@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 PLANS = ("texts", "catalog", "retrieval", "dedup", "privacy", "graph", "analytics", "quality", "versions", "tags", "chunks", "relational", "streams", "ingest", "notes")
+COSTLY = ("documents", "embeddings", "pages")
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _oracles: dict[str, str] = {}
 
@@ -32,7 +33,11 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table.  One file of one row group would be one task; on tables of documents, whose rows are costly, that is spread over the cores."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in COSTLY and (cores := spark.sparkContext.defaultParallelism) > rows._jdf.queryExecution().toRdd().getNumPartitions():
+        return rows.repartition(cores)
+    return rows
 
 
 def _load() -> None:
