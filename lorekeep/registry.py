@@ -8,7 +8,9 @@ SQL over the same tables.
 from __future__ import annotations
 
 import importlib
+import os
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,8 +34,17 @@ def query(name: str, sql: str | None = None):
     return put
 
 
+def reach(spark: SparkSession) -> None:
+    """Let Python workers find this package wherever the driver was started; paths that a machine lacks do no harm."""
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parent.parent)
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table.  One file of one row group would be one task; on tables of documents, whose rows are costly, that is spread over the cores."""
+    reach(spark)
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     if name in COSTLY and (cores := spark.sparkContext.defaultParallelism) > rows._jdf.queryExecution().toRdd().getNumPartitions():
         return rows.repartition(cores)
