@@ -1,10 +1,11 @@
 """Mixing sources to target weights by Sainte-Lague apportionment.
 
-A source's words, in a seeded order of its documents, form a stream that is cut
-into blocks of equally many words.  Blocks are seats: sources get them by
-highest quotients of their targets, then each source's seats go the same way
-to its shards (documents dealt by hash).  A shard's quota is met by whole passes
-over its stream and, for the rest, by a seeded selection of its blocks.
+Words are seats: sources get them by highest quotients of their targets, none
+above its cap, then each source's seats go the same way to its shards (documents
+dealt by hash).  A shard's words, in a seeded order of its documents, form a
+stream.  Its quota is met to the word by whole passes over the stream and, for
+the rest, by a seeded selection of the stream's blocks, the last of them in part.
+Blocks are sized by shard, so that small sources are cut as evenly as large ones.
 
 The driver holds one row per source and per (source, shard) cell; their number
 is held at ``MAX_CELLS`` by using fewer shards, and more than ``MAX_SOURCES``
@@ -29,6 +30,7 @@ from ._runtime import stage
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 BLOCKS = 1 << 18
+CELL_BLOCKS = 64
 ROWS_PER_CELL = 50_000
 MAX_CELLS = 200_000
 MAX_SOURCES = 1_000_000
@@ -72,6 +74,21 @@ def targets(sizes: list[int], weights: list[float], repeats: int = MAX_REPEATS)
         fixed.update({i: float(repeats * sizes[i]) for i in over})
 
 
+def quotas(goal: list[float], caps: list[int], words: int) -> list[int]:
+    """``words`` by highest quotients of ``goal``, none above its cap; what a cap cuts off goes to the others."""
+    got, free = [0] * len(goal), list(range(len(goal)))
+    while free:
+        now = sainte_lague([goal[i] for i in free], words)
+        over = {i for i, g in zip(free, now, strict=True) if g > caps[i]}
+        for i, g in zip(free, now, strict=True):
+            got[i] = caps[i] if i in over else g
+        if not over:
+            break
+        words -= sum(caps[i] for i in over)
+        free = [i for i in free if i not in over]
+    return got
+
+
 def _stride(n: int, salt: int) -> int:
     """A step coprime to ``n`` near the golden section, which spreads chosen blocks evenly."""
     a = max(1, round(n * 0.6180339887) + salt % 7)
@@ -80,6 +97,27 @@ def _stride(n: int, salt: int) -> int:
     return a % n or 1
 
 
+def cell_plan(words: int, quota: int, block: int, salt: int) -> tuple[int, ...]:
+    """``passes, extra, rest, n, step, start, width`` that take exactly ``quota`` words of a stream of ``words``.
+
+    Block ``j`` of ``n`` has the rank ``(j step + start) mod n``.  Ranks below ``extra`` are taken whole, and the
+    first ``rest`` words of the block of rank ``extra``.  The stream's last block may be shorter than ``width``.
+    """
+    if not words:
+        return 0, 0, 0, 1, 1, 0, 1
+    width = max(1, min(block, words // CELL_BLOCKS))
+    n = -(-words // width)
+    step, start = _stride(n, salt), salt % n
+    passes, left = divmod(quota, words)
+    short = n * width - words  # what the last block lacks
+    rank = ((n - 1) * step + start) % n
+    if left >= (rank + 1) * width - short:
+        left += short
+    elif left >= rank * width:  # the part-block is the last block
+        return passes, rank, left - rank * width, n, step, start, width
+    return passes, left // width, left % width, n, step, start, width
+
+
 def mix(
     docs: DataFrame, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: tuple = WEIGHTS, repeats: int = MAX_REPEATS, blocks: int = BLOCKS,
@@ -112,30 +150,30 @@ def mix(
     total = sum(sizes)
     block = max(1, total // blocks)
     goal = targets(sizes, [float(weights[i % len(weights)]) for i in range(len(sums))], repeats) if total else [0.0] * len(sums)
-    seats = sainte_lague(goal, round(total / block))
+    seats = quotas(goal, [repeats * s for s in sizes], total)
     plan = []
     for r, t, quota in zip(sums, goal, seats, strict=True):
         own = sorted(cells[r["source"]].items())
         for (s, words), q in zip(own, sainte_lague([float(w) for _, w in own], quota), strict=True):
-            n = -(-words // block)
-            q = min(q, repeats * n)
             salt = zlib.crc32(f"{seed}:{r['source']}:{s}".encode())
-            plan.append((r["source"], s, r["size"], t, q // n if n else 0, q % n if n else 0, max(n, 1), _stride(max(n, 1), salt), salt % max(n, 1)))
-    plan_df = spark.createDataFrame(plan, "source string, shard int, source_size long, target double, passes long, extra long, n long, step long, start long")
+            plan.append((r["source"], s, r["size"], t, *cell_plan(words, q, block, salt)))
+    plan_df = spark.createDataFrame(plan, "source string, shard int, source_size long, target double, passes long, extra long, rest long, n long, step long, start long, width long")
     stream = Window.partitionBy("source", "shard").orderBy("order", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, 0)
     placed = facts.withColumn("hi", F.sum("size").over(stream)).withColumn("lo", F.col("hi") - F.col("size"))
     placed = placed.withColumnsRenamed({"source": "_source", "shard": "_shard"})
     joined = placed.join(F.broadcast(plan_df), F.col("_source").eqNullSafe(F.col("source")) & (F.col("_shard") == F.col("shard")))  # at most MAX_CELLS rows
-    width = F.lit(block).cast("long")
+    width = F.col("width")
     first, last = F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width)
-    chosen = F.filter(F.sequence(first, last), lambda j: (j * F.col("step") + F.col("start")) % F.col("n") < F.col("extra"))
-    cuts = F.transform(
-        chosen,
-        lambda j: F.struct(
+
+    def cut(j):
+        rank = (j * F.col("step") + F.col("start")) % F.col("n")
+        words = F.when(rank < F.col("extra"), width).when(rank == F.col("extra"), F.col("rest")).otherwise(F.lit(0))
+        return F.struct(
             (F.greatest(j * width, F.col("lo")) - F.col("lo")).alias("from"),
-            (F.least((j + 1) * width, F.col("hi")) - F.col("lo")).alias("to"),
-        ),
-    )
+            (F.least(j * width + words, F.col("hi")) - F.col("lo")).alias("to"),
+        )
+
+    cuts = F.filter(F.transform(F.sequence(first, last), cut), lambda c: c["from"] < c["to"])
     none = F.expr("cast(array() as array<struct<`from`:bigint,`to`:bigint>>)")
     out = joined.withColumn("cuts", F.when(F.col("size") > 0, cuts).otherwise(none))
     taken = F.col("passes") * F.col("size") + F.aggregate("cuts", F.lit(0).cast("long"), lambda a, c: a + c["to"] - c["from"])

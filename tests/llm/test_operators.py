@@ -347,6 +347,31 @@ def test_mixing(docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_cell_plan_takes_the_quota_to_the_word():
+    r = random.Random(6)
+    for _ in range(400):
+        words, block, salt = r.randint(1, 400), r.choice([1, 3, 7, 50, 1000]), r.randint(0, 1 << 31)
+        quota = r.randint(0, 3 * words)
+        passes, extra, rest, n, step, start, width = mixing.cell_plan(words, quota, block, salt)
+        ranks = [(j * step + start) % n for j in range(n)]
+        assert sorted(ranks) == list(range(n)) and (n - 1) * width < words <= n * width
+        own = [min(width, words - j * width) for j in range(n)]
+        assert passes * words + sum(w if k < extra else min(w, rest) if k == extra else 0 for w, k in zip(own, ranks, strict=True)) == quota
+    for total in (80_000_000, 4_800_000_000):  # a block of 305 and of 18,310 words
+        passes, extra, rest, n, step, start, width = mixing.cell_plan(50, 150, total // mixing.BLOCKS, 5)
+        assert passes * 50 + extra * width + rest == 150
+    assert mixing.quotas([9.0, 0.5, 0.5], [9, 1, 1], 10) == [9, 1, 0] and mixing.quotas([3.0] + [1.4] * 9, [3] + [5] * 9, 15)[0] == 3
+
+
+def test_small_sources_meet_their_targets(spark):
+    data = [(i, " ".join(f"w{k}" for k in range(60)), "big") for i in range(400)]
+    data += [(1000 + i, " ".join(f"v{k}" for k in range(7)), s) for i, s in enumerate(["few", "few", "mid", "zero"] + ["mid"] * 12)]
+    got = mixing.mix(spark.createDataFrame(data, "doc_id long, text string, source string"), blocks=16).toPandas()  # blocks of 1,500 words, as a large corpus has
+    for _, g in got.groupby("source"):
+        assert g.target.iloc[0] > 0 and abs(g.taken.sum() - g.target.iloc[0]) <= 1
+    assert got.taken.sum() == got["size"].sum() and (got.taken <= 3 * got["size"]).all()
+
+
 def test_applied_mix_has_the_words_taken(docs):
     own = docs.filter("doc_id is not null and doc_id <> 208")
     mixed = mixing.mix(own)
