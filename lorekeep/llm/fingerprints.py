@@ -2,8 +2,9 @@
 
 The set of a text is its word 5-shingles (lower-cased; with fewer words the whole
 sequence is one shingle).  A signature holds, for each of 128 universal
-hash functions ``(a h + b) mod 2^32``, the least value over the set, cut to its 16
-high bits; the share of equal places estimates the Jaccard similarity.
+hash functions ``(a h + b) mod 2^32``, the least value over the set, with all its 32
+bits (the high bits alone shrink to zero on long texts); the share of equal places
+estimates the Jaccard similarity.
 
 Defined results: null text counts as empty; a text without words has the empty
 fingerprint, which is like another empty one (1.0) and like nothing else (0.0);
@@ -64,18 +65,18 @@ def _sets(buf: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.
 
 
 def signatures(texts: pa.Array, k: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """16-bit signatures (documents, PERMUTATIONS) and whether the document has any shingle."""
+    """32-bit signatures (documents, PERMUTATIONS) and whether the document has any shingle."""
     buf, offsets = text_buffers(texts)
-    out, some = np.zeros((len(texts), PERMUTATIONS), np.uint16), np.zeros(len(texts), bool)
+    out, some = np.zeros((len(texts), PERMUTATIONS), np.uint32), np.zeros(len(texts), bool)
     for i, j in pieces(offsets, 1 << 20):
         h, bounds = _sets(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
-        out[i:j] = minima(h, bounds) >> np.uint32(16)
         some[i:j] = np.diff(bounds) > 0
+        out[i:j][some[i:j]] = minima(h, bounds)[some[i:j]]
     return out, some
 
 
 def _hex(sig: np.ndarray, some: bool) -> str:
-    return sig.astype(">u2").tobytes().hex() if some else ""
+    return sig.astype(">u4").tobytes().hex() if some else ""
 
 
 def _likeness(a: np.ndarray, b: np.ndarray, some_a: np.ndarray, some_b: np.ndarray) -> np.ndarray:
@@ -101,7 +102,7 @@ def near_pairs(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc
     """
     sigs = stage(fingerprint(docs, id_col, text_col, k).filter("fingerprint <> ''"))
     classes = sigs.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"))
-    width = PERMUTATIONS * 4 // BANDS
+    width = PERMUTATIONS * 8 // BANDS  # hex digits
     bands = F.array(*[F.struct(F.lit(i).alias("band"), F.xxhash64(F.substring("fingerprint", i * width + 1, width)).alias("key")) for i in range(BANDS)])
     keyed = classes.select("doc_id", F.explode(bands).alias("b")).select("doc_id", "b.band", "b.key")
     heads = keyed.groupBy("band", "key").agg(F.min("doc_id").alias("left_id"))

@@ -247,6 +247,16 @@ def test_fingerprints(docs, empty):
     assert fingerprints.edited_likeness(docs).count() == len(rows()) and fingerprints.edited_likeness(empty).count() == 0
 
 
+def test_fingerprints_of_long_texts(spark):
+    data = [(k, " ".join(f"{k}x{j}" for j in range(n))) for k, n in enumerate([20_000, 20_000, 100_000, 100_000])]
+    got = fingerprints.edited_likeness(spark.createDataFrame(data, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert all(r.near_next < 0.05 for r in got) and len({r.fingerprint for r in got}) == 4
+    for k, r in enumerate(got):
+        t, nxt = data[k][1], data[(k + 1) % 4][1]
+        x, y = ({tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (t.split(), (t[: len(t) - len(t) // 4] + nxt[: len(t) // 4]).split()))
+        assert abs(r.near_edited - len(x & y) / len(x | y)) < 0.15
+
+
 def test_fingerprint_pairs_are_verified(docs):
     texts = dict(rows())
     for r in fingerprints.near_pairs(docs).collect():
