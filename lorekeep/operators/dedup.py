@@ -1,11 +1,16 @@
 """Duplicates of documents: exact, near and semantic, each level without the pairs of the one before.
 
-Exact copies are one window over the hash.  Near pairs come from MinHash bands and are verified by
-exact Jaccard; semantic pairs come from blocks of the vectors' signs and are verified by cosine.
+Exact copies are one window over the hash.  Near pairs come from MinHash bands, in whole buckets, and are verified
+by exact Jaccard; semantic pairs come from blocks of the vectors' signs and are verified by cosine.
 """
 
 from __future__ import annotations
 
+import os
+import tempfile
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +19,7 @@ from ..functions import vectors as V
 
 PRIME = (1 << 31) - 1
 PERMUTATIONS, BANDS = 128, 32
+CHUNK = 256
 
 
 def _coefficients(n: int, seed: int = 42) -> list[tuple[int, int]]:
@@ -47,22 +53,86 @@ def signature_similarity(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), same / F.size(a)).otherwise(F.lit(0.0))
 
 
-def near(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS) -> DataFrame:
-    """``left_id, right_id, jaccard`` between distinct texts: each text with the least id of its bands' buckets.
-
-    Copies are left out beforehand, so that a bucket holds distinct texts, and pairs are formed with a bucket's head alone.
+def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, original_id`` of the rows that ``near`` leaves out as copies: those whose normalised text has a lesser id."""
+    return exact(docs.filter(F.col(text_col).isNotNull()), T.content_hash(T.normalise_content(F.col(text_col))), id_col)
+
+
+def _staged(df: DataFrame) -> DataFrame:
+    spark = df.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "lorekeep-checkpoints"))
+    return df.checkpoint(eager=True)
+
+
+def jaccards(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Jaccard similarity of every set of ``left`` with every set of ``right``; the sets' members are distinct."""
+    flat = [np.concatenate(x) for x in (left, right)]
+    row = [np.repeat(np.arange(len(x)), [len(v) for v in x]) for x in (left, right)]
+    both = np.intersect1d(*flat)
+    same = np.zeros((len(left), len(right)))
+    code = [np.searchsorted(both, f) for f in flat]
+    known = [(c < len(both)) & (both[np.minimum(c, len(both) - 1)] == f) if len(both) else np.zeros(len(f), bool) for c, f in zip(code, flat, strict=True)]
+    for at in range(0, len(both), width):
+        m = []
+        for c, k, r, n in zip(code, known, row, (len(left), len(right)), strict=True):
+            here = k & (c >= at) & (c < at + width)
+            m.append(np.zeros((n, min(width, len(both) - at)), np.float32))
+            m[-1][r[here], c[here] - at] = 1
+        same += m[0] @ m[1].T
+    size = [np.array([len(v) for v in x]) for x in (left, right)]
+    return same / (size[0][:, None] + size[1][None, :] - same)
+
+
+def _least(sets: pd.Series) -> pd.Series:
+    """``signature`` over sets of 64-bit hashes, in place of shingles."""
+    a, b = (np.array(x, np.int64)[:, None] for x in zip(*_coefficients(PERMUTATIONS), strict=True))
+    out = []
+    for s in sets:
+        h = (np.asarray(s, np.int64) & 0x7FFFFFFF) % PRIME
+        parts = [((a * h[None, i : i + 8192] + b) % PRIME).min(axis=1) for i in range(0, len(h), 8192)]
+        out.append(np.minimum.reduce(parts))
+    return pd.Series(out)
+
+
+def near(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, chunk: int = CHUNK) -> DataFrame:
+    """``left_id, right_id, jaccard`` of all pairs of distinct texts that share a band's bucket (at 0.8 all but one in 10^7 do).
+
+    Copies are left out beforehand; ``copies`` has them.  A text's family is the least id of its buckets.  Families are
+    cut into cells of about ``chunk`` texts, and two cells that meet in a bucket are compared as a whole in one task.
     """
     one = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).withColumn("h", T.content_hash(T.normalise_content(F.col("t"))))
     least = one.groupBy("h").agg(F.min("id").alias("id"))
-    texts = one.join(least, ["h", "id"], "left_semi").select("id", T.shingles(F.col("t")).alias("s")).filter(F.size("s") > 0)
-    sig = texts.select("id", signature(F.col("s")).alias("sig"))
+    texts = one.join(least, ["h", "id"], "left_semi").select("id", F.transform(T.shingles(F.col("t")), lambda x: F.xxhash64(x)).alias("s")).filter(F.size("s") > 0)
     rows = PERMUTATIONS // bands
-    keys = F.array(*[F.struct(F.lit(i).alias("band"), F.xxhash64(F.slice("sig", i * rows + 1, rows)).alias("key")) for i in range(bands)])
-    keyed = sig.select("id", F.explode(keys).alias("k")).select("id", "k.band", "k.key")
-    heads = keyed.groupBy("band", "key").agg(F.min("id").alias("left_id"), F.count("*").alias("n")).filter("n > 1")
-    pairs = keyed.join(heads, ["band", "key"]).filter("id > left_id").select("left_id", F.col("id").alias("right_id")).distinct()
-    both = pairs.join(texts.select(F.col("id").alias("left_id"), F.col("s").alias("a")), "left_id").join(texts.select(F.col("id").alias("right_id"), F.col("s").alias("b")), "right_id")
-    return both.select("left_id", "right_id", F.round(T.jaccard(F.col("a"), F.col("b")), 6).alias("jaccard")).filter(F.col("jaccard") >= threshold)
+    signed = texts.withColumn("sig", F.pandas_udf(_least, "array<long>")("s"))
+    keys = F.array(*[F.xxhash64(F.slice("sig", i * rows + 1, rows)) for i in range(bands)])
+    texts = _staged(signed.select("id", "s", keys.alias("keys")))
+    keyed = texts.select("id", F.posexplode("keys").alias("band", "key"))
+    heads = keyed.groupBy("band", "key").agg(F.min("id").alias("head"), F.count("*").alias("n")).filter("n > 1")
+    met = _staged(keyed.join(heads.select("band", "key", "head"), ["band", "key"]))
+    family = met.groupBy("id").agg(F.min("head").alias("family"))
+    parts = family.groupBy("family").agg(F.ceil(F.count("*") / chunk).alias("parts"))
+    cell = _staged(family.join(parts, "family").select("id", F.struct("family", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part")).alias("cell")))
+    seen = met.join(cell, "id").select("band", "key", "cell").distinct()
+    units = seen.join(seen.select("band", "key", F.col("cell").alias("other")), ["band", "key"]).filter("cell <= other").select("cell", "other").distinct()
+    units = _staged(units.select(F.struct("cell", "other").alias("unit"), "cell", "other"))
+    sets = texts.select("id", "s").join(cell, "id")
+    left = units.select("unit", "cell", F.lit(0).alias("side")).join(sets, "cell")
+    right = units.filter("cell <> other").select("unit", F.col("other").alias("cell"), F.lit(1).alias("side")).join(sets, "cell")
+
+    def compare(g: pd.DataFrame) -> pd.DataFrame:
+        a = g[g.side == 0]
+        b = g[g.side == 1]
+        own = not len(b)
+        b = a if own else b
+        x, y = a.id.to_numpy(), b.id.to_numpy()
+        j = jaccards(list(a.s), list(b.s)).round(6)
+        i, k = np.nonzero((j >= threshold) & ((x[:, None] < y[None, :]) | (not own)))
+        return pd.DataFrame({"left_id": np.minimum(x[i], y[k]), "right_id": np.maximum(x[i], y[k]), "jaccard": j[i, k]})
+
+    dealt = left.unionByName(right).select("unit", "side", F.col("id").cast("long").alias("id"), "s")
+    return dealt.groupBy("unit").applyInPandas(compare, "left_id long, right_id long, jaccard double")
 
 
 def semantic(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec: str = "embedding", block: Column | None = None) -> DataFrame:

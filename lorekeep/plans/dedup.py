@@ -16,7 +16,9 @@ def j08(spark, d):
 
 @query("j09_near_duplicates")
 def j09(spark, d):
-    return D.near(table(spark, d, "documents"))
+    docs = table(spark, d, "documents")
+    copies = D.copies(docs).select(F.col("original_id").alias("left_id"), F.col("id").alias("right_id"), F.lit(1.0).alias("jaccard"), F.lit("copy").alias("kind"))
+    return D.near(docs).withColumn("kind", F.lit("near")).unionByName(copies)
 
 
 @query("j10_semantic_duplicates", """with p as (select a.vec_id as left_id, b.vec_id as right_id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::double * z[2]::double)) / (sqrt(list_sum(list_transform(a.embedding, lambda z: z::double * z::double))) * sqrt(list_sum(list_transform(b.embedding, lambda z: z::double * z::double)))), 6) as cosine

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,6 +111,26 @@ def test_near_and_exact_duplicates(spark):
     assert [(r.left_id, r.right_id) for r in D.near(docs).collect()] == [(1, 3)]
 
 
+def test_near_duplicates_are_all_pairs(spark):
+    r = random.Random(3)
+    base, data = [f"w{i}" for i in range(300)], []
+    for i in range(60):
+        w = list(base)
+        for k in range(r.randint(3, 7)):
+            w[r.randrange(300)] = f"e{i}x{k}"
+        data.append((i, " ".join(w)))
+    data += [(100, data[7][1]), (101, data[7][1].upper()), (102, None), (103, "two words"), (104, "two words")]
+    docs = spark.createDataFrame(data, "doc_id int, text string")
+    sets = {i: {tuple(w[k : k + 3]) for k in range(298)} for i, w in ((i, t.split()) for i, t in data[:60])}
+    score = {(a, b): round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6) for a in sets for b in sets if a < b}
+    expected = {p: s for p, s in score.items() if s >= 0.8}
+    assert 0 < len(expected) < len(score)
+    for chunk in (7, 256):
+        got = D.near(docs, chunk=chunk).collect()
+        assert len(got) == len(expected) and {(x.left_id, x.right_id): x.jaccard for x in got} == expected
+    assert {(x.id, x.original_id) for x in D.copies(docs).collect()} >= {(100, 7), (104, 103)}
+
+
 def test_query_understanding(spark):
     rows = spark.createDataFrame([(1, "cats vs dogs"), (2, "tea and milk"), (3, "how to swim?")], "id int, q string")
     got = [(r.id, r.sub_query, r.kind, r.weight) for r in Q.decompose(rows, "q").orderBy("id", "weight", "sub_query").collect()]
