@@ -3,8 +3,10 @@
 Every rule votes good, bad or abstains on a document.  Expectation-maximisation
 over the table of vote patterns (at most 3 ** n_rules rows, counted over all
 documents) estimates how each rule votes on good and on bad documents; the
-posterior probability of being good replaces an all-rules-must-pass filter.  The
-estimates, a few dozen numbers, are the only thing that reaches the driver.
+posterior probability of being good replaces an all-rules-must-pass filter.  Several
+rules look at each kind of fault, so that their votes agree where there is one: a
+rule is trusted as far as the others bear it out, and one that votes bad all by itself
+says little.  The estimates, a few dozen numbers, are the only thing that reaches the driver.
 
 Defined results: null text has no words, so ``base_failed`` holds; a text
 without words likewise; repeated rows and null ids are scored row by row; with no
@@ -24,13 +26,12 @@ from ._runtime import stage
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-ROUNDS = 12
+ROUNDS = 25
 #: Prior belief in a rule (votes bad, abstains, votes good) on good and on bad documents, worth this share of all documents.
-BELIEF = ({-1: 0.002, 0: 0.098, 1: 0.9}, {-1: 0.12, 0: 0.08, 1: 0.8})
-BELIEF_SHARE = 0.01
-#: No rule votes bad on more than this share of good documents.  Faults come one kind at a time, so their votes
-#: do not agree with each other, and without this bound the model may read a common fault as a habit of good documents.
-MAX_FALSE_ALARM = 0.0005
+BELIEF = ({-1: 0.01, 0: 0.09, 1: 0.9}, {-1: 0.2, 0: 0.2, 1: 0.6})
+BELIEF_SHARE = 0.002
+#: The start: how likely a document is good with no bad vote, with one, with more.
+START = (0.98, 0.6, 0.05)
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -65,7 +66,13 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)])),
         ).otherwise(F.expr("cast(array() as array<bigint>)"))
         repeat = let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), _covered(h)).otherwise(F.lit(0).cast("long")))
-        return F.struct(F.size(w).cast("long").alias("n_words"), repeat.alias("n_repeat_words"))
+        again = F.size(F.filter(w, lambda x, i: x == F.get(w, i - 1)))
+        return F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            repeat.alias("n_repeat_words"),
+            F.size(F.array_distinct(w)).cast("long").alias("n_distinct"),
+            again.cast("long").alias("n_adjacent"),
+        )
 
     def of_lines(x: Column) -> Column:
         return F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))
@@ -82,15 +89,16 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         let(lines, of_lines).alias("l"),
         left("[\\x20\\x09-\\x0D]+").cast("long").alias("word_chars"),
         (n - left("[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        (n - left("[#*$%&|<>](?=[\\x20\\x09-\\x0D]|\\z)")).cast("long").alias("n_symbol_words"),
         (n - left("[!?]")).cast("long").alias("n_exclaim"),
         (n - left("[0-9]")).cast("long").alias("n_digits"),
         (n - left("\\p{Lu}+")).cast("long").alias("n_upper"),
     )
-    return per_doc.select("doc_id", "row", "w.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.n_lines", "n_exclaim", "n_digits", "n_upper")
+    return per_doc.select("doc_id", "row", "w.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.n_lines", "w.n_distinct", "w.n_adjacent", "n_symbol_words", "n_exclaim", "n_digits", "n_upper")
 
 
 def rules() -> dict[str, Column]:
-    """Votes: 1 good, -1 bad, 0 abstain."""
+    """Votes: 1 good, -1 bad, 0 abstain.  Symbols, repetition and shouting are each looked at by more than one rule."""
     words, chars = F.col("n_words"), F.col("word_chars")
 
     def vote(bad: Column, good: Column) -> Column:
@@ -100,8 +108,12 @@ def rules() -> dict[str, Column]:
         "length": vote(words < 10, words >= 40),
         "word_length": vote((chars < 2 * words) | (chars > 14 * words), (chars >= 3 * words) & (chars <= 10 * words)),
         "symbols": vote(F.col("n_symbols") * 10 > words, F.col("n_symbols") * 50 <= words),
+        "symbol_words": vote(F.col("n_symbol_words") * 20 > words, F.col("n_symbol_words") * 100 <= words),
+        "symbol_chars": vote(F.col("n_symbols") * 40 > chars, F.col("n_symbols") * 400 <= chars),
         "dup_lines": vote((F.col("n_dup_lines") > 2) & (F.col("n_dup_lines") * 10 > F.col("n_lines") * 3), (F.col("n_lines") > 1) & (F.col("n_dup_lines") == 0)),
         "repeats": vote(F.col("n_repeat_words") * 5 > words, F.col("n_repeat_words") * 50 <= words),
+        "adjacent": vote(F.col("n_adjacent") * 10 > words, F.col("n_adjacent") * 50 <= words),
+        "variety": vote((words >= MIN_WORDS) & (F.col("n_distinct") * 10 < F.least(words, F.lit(120)) * 6), F.col("n_distinct") * 4 >= F.least(words, F.lit(60)) * 3),
         "exclaim": vote(F.col("n_exclaim") * 4 > words, F.col("n_exclaim") * 20 <= words),
         "digits": vote(F.col("n_digits") * 4 > chars, F.col("n_digits") * 10 <= chars),
         "capitals": vote(F.col("n_upper") * 2 > chars, F.col("n_upper") * 5 <= chars),
@@ -109,9 +121,9 @@ def rules() -> dict[str, Column]:
 
 
 def _posterior(names: list[str], theta: dict | None) -> Column:
-    if theta is None:  # the start: any bad vote speaks against the document
+    if theta is None:
         bad = sum((F.when(F.col(k) == -1, 1).otherwise(0) for k in names), F.lit(0))
-        return F.when(bad == 0, 0.98).otherwise(0.05)
+        return F.when(bad == 0, START[0]).when(bad == 1, START[1]).otherwise(START[2])
     # one array literal, so that the generated code is the same in every round and is compiled once
     weights = [math.log(theta["prior"] / (1 - theta["prior"]))]
     for k in names:
@@ -143,7 +155,6 @@ def estimate(voted: DataFrame, names: list[str], rounds: int = ROUNDS) -> dict:
             pair = []
             for c, total, belief in (("g", good, BELIEF[0]), ("b", bad, BELIEF[1])):
                 p_v = {v: ((r[f"{c}_{k}_{v}"] or 0.0) + weight * belief[v]) / (total + weight) for v in (-1, 1)}
-                p_v[-1] = min(p_v[-1], MAX_FALSE_ALARM) if c == "g" else p_v[-1]
                 pair.append(p_v | {0: max(1e-6, 1 - p_v[-1] - p_v[1])})
             new[k] = tuple(pair)
         moved = theta is None or max(abs(new[k][c][v] - theta[k][c][v]) for k in names for c in (0, 1) for v in (-1, 0, 1)) > 1e-3

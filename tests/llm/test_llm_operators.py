@@ -147,34 +147,71 @@ def test_quality(docs, empty):
     assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in got)
 
 
-def test_quality_estimation_agrees_with_a_plain_loop(docs):
-    """The estimates of the DataFrame rounds against the same rounds over collected votes."""
-    names = list(quality.rules())
-    voted = quality.features(docs).withColumns(quality.rules()).select(*names)
-    theta = quality.estimate(voted, names, rounds=4)
-    votes = [tuple(r) for r in voted.collect()]
-    mine = None
-    for _ in range(4):
-        p = []
+def plain_estimate(votes, names, rounds):
+    """The rounds of expectation-maximisation as a plain loop over rows; estimates and the posterior of each row."""
+
+    def posterior(theta):
+        out = []
         for v in votes:
-            if mine is None:
-                p.append(0.98 if -1 not in v else 0.05)
+            if theta is None:
+                out.append(quality.START[min(2, v.count(-1))])
             else:
-                odds = math.log(mine["prior"] / (1 - mine["prior"])) + sum(math.log(mine[k][0][x] / mine[k][1][x]) for k, x in zip(names, v, strict=True) if x)
-                p.append(1 / (1 + math.exp(-odds)))
+                odds = math.log(theta["prior"] / (1 - theta["prior"])) + sum(math.log(theta[k][0][x] / theta[k][1][x]) for k, x in zip(names, v, strict=True) if x)
+                out.append(1 / (1 + math.exp(-odds)))
+        return out
+
+    mine = None
+    for _ in range(rounds):
+        p = posterior(mine)
         good, bad = sum(p), sum(1 - x for x in p)
         weight = 1 + quality.BELIEF_SHARE * (good + bad)
         new = {"prior": (good + 1) / (good + bad + 2)}
         for j, k in enumerate(names):
             pair = []
             for c, total, belief in ((p, good, quality.BELIEF[0]), ([1 - x for x in p], bad, quality.BELIEF[1])):
-                pv = {s: (sum(x for x, v in zip(c, votes, strict=True) if v[j] == s) + weight * belief[s]) / (total + weight) for s in (-1, 1)}
-                pair.append(pv)
-            pair[0][-1] = min(pair[0][-1], quality.MAX_FALSE_ALARM)
+                pair.append({s: (sum(x for x, v in zip(c, votes, strict=True) if v[j] == s) + weight * belief[s]) / (total + weight) for s in (-1, 1)})
             new[k] = pair
+        moved = mine is None or max(abs(new[k][c][s] - mine[k][c][s]) for k in names for c in (0, 1) for s in (-1, 1)) > 1e-3
         mine = new
+        if not moved:
+            break
+    return mine, posterior(mine)
+
+
+def test_quality_estimation_agrees_with_a_plain_loop(docs):
+    """The estimates and the verdicts of the DataFrame rounds against the same rounds over collected votes."""
+    names = list(quality.rules())
+    voted = quality.features(docs).withColumns(quality.rules()).select(*names)
+    theta = quality.estimate(voted, names, rounds=4)
+    mine, _ = plain_estimate([tuple(r) for r in voted.collect()], names, 4)
     assert abs(theta["prior"] - mine["prior"]) < 1e-9
     assert all(abs(theta[k][c][s] - mine[k][c][s]) < 1e-9 for k in names for c in (0, 1) for s in (-1, 1))
+    got = quality.judge(docs).collect()
+    _, p = plain_estimate([tuple(r[k] for k in names) for r in got], names, quality.ROUNDS)
+    assert all(abs(r.p_good - x) < 1e-6 and r.kept == (not r.base_failed and x >= 0.5) for r, x in zip(got, p, strict=True))
+
+
+def test_quality_measures_of_the_rules(docs):
+    expected = defaultdict(set)
+    for i, t in rows():
+        w = words(t)
+        expected[i].add((len(set(w)), sum(a == b for a, b in zip(w, w[1:], strict=False)), len(re.findall(r"[#*$%&|<>](?=[\x20\x09-\x0D]|\Z)", t or ""))))
+    assert all((r.n_distinct, r.n_adjacent, r.n_symbol_words) in expected[r.doc_id] for r in quality.features(docs).collect())
+
+
+def test_quality_weighs_rules_by_what_others_bear_out(spark):
+    """Neither all rules must pass nor is every document that passes the base kept: a lone vote says little, agreeing ones reject."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    text = lambda k: [word() for _ in range(k)]
+    data = [(i, " ".join(text(60))) for i in range(400)]
+    data += [(1000 + i, " ".join(w + "###" for w in text(60))) for i in range(40)]
+    data += [(2000 + i, " ".join(w for w in text(12) for _ in range(4))) for i in range(40)]
+    data += [(3000 + i, " ".join([*text(30), *(str(r.randint(10**7, 10**8)) for _ in range(12))])) for i in range(12)]
+    got = {x.doc_id: x for x in quality.judge(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert all(got[i].kept for i in range(400))
+    assert not any(got[i].kept or got[i].base_failed for i in [*range(1000, 1040), *range(2000, 2040)])
+    assert all(got[i].kept and got[i].digits == -1 for i in range(3000, 3012))
 
 
 def test_toxicity(spark, empty):
