@@ -1,21 +1,18 @@
 """Duplicates of documents: exact, near and semantic, each level without the pairs of the one before.
 
 Exact copies are one window over the hash.  Near pairs come from MinHash bands, in whole buckets, and are verified
-by exact Jaccard; semantic pairs come from blocks of the vectors' signs and are verified by cosine.
+by exact Jaccard; semantic pairs come from the buckets of random projections and are verified by cosine.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions import vectors as V
+from ..staging import settle, stage
 
 PRIME = (1 << 31) - 1
 PERMUTATIONS, BANDS = 128, 32
@@ -58,13 +55,6 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return exact(docs.filter(F.col(text_col).isNotNull()), T.content_hash(T.normalise_content(F.col(text_col))), id_col)
 
 
-def _staged(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "lorekeep-checkpoints"))
-    return df.checkpoint(eager=True)
-
-
 def jaccards(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
     """Jaccard similarity of every set of ``left`` with every set of ``right``; the sets' members are distinct."""
     flat = [np.concatenate(x) for x in (left, right)]
@@ -95,6 +85,30 @@ def _least(sets: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+def meetings(keyed: DataFrame, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """``id, cell`` and ``unit, cell, other``: ids that share a bucket (``id, band, key``) are in the two cells of some unit.
+
+    An id's family is the least id of its buckets; families are cut into cells of about ``chunk`` ids, so that a
+    hot bucket is many units of a bounded size.
+    """
+    heads = keyed.groupBy("band", "key").agg(F.min("id").alias("head"), F.count("*").alias("n")).filter("n > 1")
+    met = settle(keyed.join(heads.select("band", "key", "head"), ["band", "key"]))
+    family = met.groupBy("id").agg(F.min("head").alias("family"))
+    parts = family.groupBy("family").agg(F.ceil(F.count("*") / chunk).alias("parts"))
+    cell = settle(family.join(parts, "family").select("id", F.struct("family", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part")).alias("cell")))
+    seen = met.join(cell, "id").select("band", "key", "cell").distinct()
+    units = seen.join(seen.select("band", "key", F.col("cell").alias("other")), ["band", "key"]).filter("cell <= other").select("cell", "other").distinct()
+    return cell, settle(units.select(F.struct("cell", "other").alias("unit"), "cell", "other"))
+
+
+def seat(rows: DataFrame, cell: DataFrame, units: DataFrame) -> DataFrame:
+    """``unit, side, id, ...``: the rows of both cells of every unit; a cell that meets itself has one side."""
+    seated = rows.join(cell, "id")
+    left = units.select("unit", "cell", F.lit(0).alias("side")).join(seated, "cell")
+    right = units.filter("cell <> other").select("unit", F.col("other").alias("cell"), F.lit(1).alias("side")).join(seated, "cell")
+    return left.unionByName(right).drop("cell").withColumn("id", F.col("id").cast("long"))
+
+
 def near(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, chunk: int = CHUNK) -> DataFrame:
     """``left_id, right_id, jaccard`` of all pairs of distinct texts that share a band's bucket (at 0.8 all but one in 10^7 do).
 
@@ -107,19 +121,9 @@ def near(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_c
     rows = PERMUTATIONS // bands
     signed = texts.withColumn("sig", F.pandas_udf(_least, "array<long>")("s"))
     keys = F.array(*[F.xxhash64(F.slice("sig", i * rows + 1, rows)) for i in range(bands)])
-    texts = _staged(signed.select("id", "s", keys.alias("keys")))
-    keyed = texts.select("id", F.posexplode("keys").alias("band", "key"))
-    heads = keyed.groupBy("band", "key").agg(F.min("id").alias("head"), F.count("*").alias("n")).filter("n > 1")
-    met = _staged(keyed.join(heads.select("band", "key", "head"), ["band", "key"]))
-    family = met.groupBy("id").agg(F.min("head").alias("family"))
-    parts = family.groupBy("family").agg(F.ceil(F.count("*") / chunk).alias("parts"))
-    cell = _staged(family.join(parts, "family").select("id", F.struct("family", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part")).alias("cell")))
-    seen = met.join(cell, "id").select("band", "key", "cell").distinct()
-    units = seen.join(seen.select("band", "key", F.col("cell").alias("other")), ["band", "key"]).filter("cell <= other").select("cell", "other").distinct()
-    units = _staged(units.select(F.struct("cell", "other").alias("unit"), "cell", "other"))
-    sets = texts.select("id", "s").join(cell, "id")
-    left = units.select("unit", "cell", F.lit(0).alias("side")).join(sets, "cell")
-    right = units.filter("cell <> other").select("unit", F.col("other").alias("cell"), F.lit(1).alias("side")).join(sets, "cell")
+    texts = stage(signed.select("id", "s", keys.alias("keys")))
+    cell, units = meetings(texts.select("id", F.posexplode("keys").alias("band", "key")), chunk)
+    dealt = seat(texts.select("id", "s"), cell, units)
 
     def compare(g: pd.DataFrame) -> pd.DataFrame:
         a = g[g.side == 0]
@@ -131,14 +135,55 @@ def near(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_c
         i, k = np.nonzero((j >= threshold) & ((x[:, None] < y[None, :]) | (not own)))
         return pd.DataFrame({"left_id": np.minimum(x[i], y[k]), "right_id": np.maximum(x[i], y[k]), "jaccard": j[i, k]})
 
-    dealt = left.unionByName(right).select("unit", "side", F.col("id").cast("long").alias("id"), "s")
     return dealt.groupBy("unit").applyInPandas(compare, "left_id long, right_id long, jaccard double")
 
 
-def semantic(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec: str = "embedding", block: Column | None = None) -> DataFrame:
-    """``left_id, right_id, cosine`` of vectors in the same block (a stated column, or the signs of the first twelve places)."""
-    sign = F.aggregate(F.transform(F.slice(vec, 1, 12), lambda x: (x > 0).cast("int")), F.lit(0), lambda s, x: s * 2 + x)
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vec).alias("v"), (sign if block is None else block).alias("block"))
-    left, right = rows.select(F.col("id").alias("left_id"), F.col("v").alias("a"), "block"), rows.select(F.col("id").alias("right_id"), F.col("v").alias("b"), "block")
-    pairs = left.join(right, "block").filter("left_id < right_id")
-    return pairs.select("left_id", "right_id", F.round(V.cosine(F.col("a"), F.col("b")), 6).alias("cosine")).filter(F.col("cosine") >= threshold)
+TABLES, PLANES = 48, 10
+
+
+def same_vectors(vectors: DataFrame, id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
+    """``id, original_id`` of vectors equal to one with a lesser id, which ``semantic`` leaves out."""
+    return exact(vectors.filter(F.col(vec).isNotNull()), F.sha2(F.to_json(vec).cast("binary"), 256), id_col)
+
+
+def semantic(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec: str = "embedding", tables: int = TABLES, planes: int = PLANES, chunk: int = 4 * CHUNK, seed: int = 7) -> DataFrame:
+    """``left_id, right_id, cosine`` of different vectors that share a bucket of one of ``tables`` random projections.
+
+    A bucket is the signs of ``planes`` projections: at a cosine of 0.9 a pair shares a given one with probability 0.21, so
+    all but one in 10^4 share some.  Equal vectors are left out beforehand (``same_vectors`` has them); vectors
+    without direction are in no pair.  All pairs of a bucket are compared, in cells of a bounded size.
+    """
+    rows = vectors.select(F.col(id_col).alias("id"), F.transform(vec, lambda x: x.cast("double")).alias("v")).filter(F.exists("v", lambda x: x != 0))
+    least = rows.groupBy(F.sha2(F.to_json("v").cast("binary"), 256).alias("h")).agg(F.min("id").alias("id"))
+    rows = rows.join(least.select("id"), "id", "left_semi")
+
+    def sign(values: pd.Series) -> pd.Series:
+        out, lengths = [None] * len(values), np.array([len(x) for x in values])
+        for n in np.unique(lengths):
+            at = np.flatnonzero(lengths == n)
+            normal = np.random.Generator(np.random.PCG64([seed, int(n)])).standard_normal((int(n), tables * planes))
+            bits = (np.stack([np.asarray(values.iloc[i], float) for i in at]) @ normal > 0).reshape(len(at), tables, planes)
+            codes = bits @ (1 << np.arange(planes, dtype=np.int64)) + (int(n) << planes)
+            for i, c in zip(at, codes, strict=True):
+                out[i] = c
+        return pd.Series(out)
+
+    keyed = stage(rows.withColumn("keys", F.pandas_udf(sign, "array<long>")("v")))
+    cell, units = meetings(keyed.select("id", F.posexplode("keys").alias("band", "key")), chunk)
+
+    def compare(g: pd.DataFrame) -> pd.DataFrame:
+        a, b = g[g.side == 0], g[g.side == 1]
+        own = not len(b)
+        b = a if own else b
+        found = []
+        for n in {len(x) for x in a.v} & {len(x) for x in b.v}:
+            p, q = (x[[len(v) == n for v in x.v]] for x in (a, b))
+            x, y = p.id.to_numpy(), q.id.to_numpy()
+            m = [np.stack(s.v.to_numpy()).astype(float) for s in (p, q)]
+            m = [s / np.linalg.norm(s, axis=1, keepdims=True) for s in m]
+            c = (m[0] @ m[1].T).round(6)
+            i, k = np.nonzero((c >= threshold) & ((x[:, None] < y[None, :]) | (not own)))
+            found.append(pd.DataFrame({"left_id": np.minimum(x[i], y[k]), "right_id": np.maximum(x[i], y[k]), "cosine": c[i, k]}))
+        return pd.concat(found) if found else pd.DataFrame({"left_id": [], "right_id": [], "cosine": []})
+
+    return seat(keyed.select("id", "v"), cell, units).groupBy("unit").applyInPandas(compare, "left_id long, right_id long, cosine double")

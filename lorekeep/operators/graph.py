@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import settle
+
 NAME = "\\b([A-Z][a-z]+(?:\\s+[A-Z][a-z]+){0,3})\\b"
 # fixed values: verbs between two words that state a relationship
 RELATIONS = {
@@ -36,19 +38,35 @@ def _with(pairs: Column, predicate: str) -> Column:
     return F.transform(pairs, lambda x: F.struct(x["subject"].alias("subject"), F.lit(predicate).alias("predicate"), x["object"].alias("object")))
 
 
-def shared(mentions: DataFrame, most_documents: int | None = None) -> DataFrame:
-    """``doc_id, other_id, n_shared, names`` for documents that mention the same names (case-insensitive).
+def _keys(mentions: DataFrame) -> DataFrame:
+    return mentions.select("doc_id", F.lower("name").alias("key")).distinct()
+
 
-    Mentions are made distinct before the join.  ``most_documents`` leaves out names in more documents: they tie
-    everything to everything; None keeps all.
+def shared(mentions: DataFrame, of: Column) -> DataFrame:
+    """``doc_id, other_id, n_shared, names``: the documents that ``of`` picks (a stated set) and all that mention the same names, in any case.
+
+    Mentions are made distinct before the join; no name is left out, however many documents have it.
     """
-    m = mentions.select("doc_id", F.lower("name").alias("key")).distinct()
-    if most_documents:
-        m = m.join(m.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") <= most_documents).select("key"), "key", "left_semi")
-    pairs = m.join(m.select(F.col("doc_id").alias("other_id"), "key"), "key").filter("doc_id <> other_id")
+    m = _keys(mentions)
+    pairs = m.filter(of).join(m.select(F.col("doc_id").alias("other_id"), "key"), "key").filter("doc_id <> other_id")
     return pairs.groupBy("doc_id", "other_id").agg(F.count("*").alias("n_shared"), F.array_sort(F.collect_set("key")).alias("names"))
 
 
+def membership(mentions: DataFrame) -> DataFrame:
+    """``doc_id, key, n_documents, first_id`` for every name of two documents or more: linear in the mentions, where pairs are quadratic."""
+    m = _keys(mentions)
+    names = m.groupBy("key").agg(F.count("*").alias("n_documents"), F.min("doc_id").alias("first_id")).filter("n_documents > 1")
+    return m.join(names, "key").select("doc_id", "key", "n_documents", "first_id")
+
+
+def two_hops(mentions: DataFrame, known: DataFrame) -> DataFrame:
+    """Documents within two steps over shared names from ``known`` (column ``doc_id``), without them: semi-joins alone."""
+    m = _keys(mentions)
+    near = m.join(m.join(known, "doc_id", "left_semi").select("key").distinct(), "key", "left_semi").select("doc_id").distinct()
+    second = m.join(near, "doc_id", "left_semi").select("key").distinct()
+    return m.join(second, "key", "left_semi").join(known, "doc_id", "left_anti").select("doc_id").distinct()
+
+
 def neighbours(edges: DataFrame, names: DataFrame) -> DataFrame:
     """``entity, relation, direction, other``: both directions of the edges of ``names`` (a stated, small set)."""
     n = F.broadcast(names.select("entity"))
@@ -64,7 +82,7 @@ def reachable(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
     front = seen
     for hop in range(1, hops + 1):
         step = front.join(both, front["node"] == both["a"]).select(F.col("b").alias("node")).distinct()
-        front = step.join(seen.select("node"), "node", "left_anti").withColumn("distance", F.lit(hop))
+        front = settle(step.join(seen.select("node"), "node", "left_anti").withColumn("distance", F.lit(hop)))  # else every hop computes those before again
         seen = seen.unionByName(front)
     return seen
 

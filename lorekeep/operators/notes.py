@@ -7,6 +7,7 @@ import json
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,16 +82,27 @@ def wikilinks(text: Column, name: str) -> Column:
 
 
 def chapters(segments: DataFrame, by: str, at: str, least_gap: float) -> DataFrame:
-    """``chapter`` of each segment: a new one begins when ``least_gap`` has passed since the last one's start (a fold over the row's own list)."""
-    grouped = segments.groupBy(by).agg(F.array_sort(F.collect_list(F.col(at).cast("double"))).alias("_t"))
-    start = F.struct(F.expr("cast(array() as array<double>)").alias("cuts"), F.lit(None).cast("double").alias("last"))
-    fold = F.aggregate(
-        "_t",
-        start,
-        lambda s, x: F.when(s["last"].isNull() | (x - s["last"] >= least_gap), F.struct(F.concat(s["cuts"], F.array(x)).alias("cuts"), x.alias("last"))).otherwise(s),
-        lambda s: s["cuts"],
-    )
-    return grouped.select(by, F.posexplode(fold).alias("chapter", "started"))
+    """``by, chapter, started``: a chapter begins when ``least_gap`` has passed since the last one's start.
+
+    The rule looks back at its own result, so each key's times are walked in order, in sorted partitions and constant memory.
+    """
+    key_type = dict(segments.dtypes)[by]
+    ordered = segments.select(by, F.col(at).cast("double").alias("t")).filter("t is not null").repartition(by).sortWithinPartitions(by, "t")
+
+    def walk(batches):
+        key, last, n = object(), 0.0, 0
+        for b in batches:
+            keys, numbers, starts = [], [], []
+            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if k != key:
+                    key, n = k, -1
+                elif t - last < least_gap:
+                    continue
+                last, n = t, n + 1
+                keys.append(k), numbers.append(n), starts.append(t)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.field(0).type), pa.array(numbers, pa.int32()), pa.array(starts, pa.float64())], names=[by, "chapter", "started"])
+
+    return ordered.mapInArrow(walk, f"`{by}` {key_type}, chapter int, started double")
 
 
 def assign(points: DataFrame, spans: DataFrame, by: str, at: str) -> DataFrame:
@@ -107,15 +119,29 @@ def cited(answers: DataFrame, evidence: DataFrame, keys: list[str]) -> DataFrame
     return joined.withColumn("known", F.col("content").isNotNull()).withColumn("verbatim", F.coalesce(plain(F.col("content")).contains(plain(F.col("quote"))), F.lit(False))).drop("content")
 
 
-def adaptive_rate(choices: DataFrame, by: str, order: str, start: float = 0.1) -> DataFrame:
-    """Decay rate per category after its choices, in order: older picks lower it, newer picks raise it, within bounds."""
-    g = choices.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(order, "picked", "others"))).alias("x"))
-    rate = F.aggregate(
-        "x",
-        F.lit(start),
-        lambda r, c: F.when(c["picked"] > 1.5 * c["others"], F.greatest(r * 0.9, F.lit(0.01))).when(c["picked"] < 0.5 * c["others"], F.least(r * 1.1, F.lit(0.5))).otherwise(r),
+def adaptive_rate(choices: DataFrame, by: str, order: str, start: float = 0.1, block: int = 1 << 16) -> DataFrame:
+    """Decay rate per category after its choices, in order: older picks lower it, newer picks raise it, within bounds.
+
+    A run of updates is ``rate -> min(max(a * rate, lo), hi)`` whatever its length, so runs of ``block`` order values are
+    folded apart and their results are folded after: no task holds a whole category.
+    """
+    older, newer = F.col("picked") > 1.5 * F.col("others"), F.col("picked") < 0.5 * F.col("others")
+    one = F.struct(
+        F.when(older, 0.9).when(newer, 1.1).otherwise(1.0).alias("a"), F.when(older, 0.01).otherwise(0.0).alias("lo"), F.when(newer, 0.5).otherwise(F.lit(float("inf"))).alias("hi")
     )
-    return g.select(by, F.round(rate, 9).alias("rate"))
+
+    def then(f: Column, g: Column) -> Column:
+        bound = lambda x: F.least(F.greatest(x, g["lo"]), g["hi"])
+        return F.struct((f["a"] * g["a"]).alias("a"), bound(f["lo"] * g["a"]).alias("lo"), bound(f["hi"] * g["a"]).alias("hi"))
+
+    def folded(rows: DataFrame, keys: list[str], at: str) -> DataFrame:
+        g = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col("f.a").alias("a"), F.col("f.lo").alias("lo"), F.col("f.hi").alias("hi")))).alias("x"))
+        same = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("lo"), F.lit(float("inf")).alias("hi"))
+        return g.select(*keys, F.aggregate("x", same, then).alias("f"))
+
+    runs = folded(choices.select(by, order, F.floor(F.col(order) / block).alias("_run"), one.alias("f")), [by, "_run"], order)
+    f = F.col("f")
+    return folded(runs, [by], "_run").select(by, F.round(F.least(F.greatest(f["a"] * start, f["lo"]), f["hi"]), 6).alias("rate"))
 
 
 def expand_hypothetical(rows: DataFrame, q: str, generate: Column) -> DataFrame:
@@ -128,7 +154,7 @@ def keep_facts(facts: DataFrame, by: list[str], order: str) -> DataFrame:
     """The fact of each category after all updates: a new one replaces the old unless the old contains it and is as sure."""
     g = facts.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(order, "fact", "confidence"))).alias("x"))
     last = F.aggregate(
-        F.slice("x", 2, 1_000_000),
+        F.slice("x", 2, F.size("x")),
         F.element_at("x", 1),
         lambda a, b: F.when(F.lower(a["fact"]).contains(F.lower(b["fact"])) & (b["confidence"] <= a["confidence"]), a).otherwise(b),
     )

@@ -18,11 +18,14 @@ PATTERNS = [
     ("SSN", r"\b(?:ssn|social\s*security)[:\s]*(\d{9})\b", 0.85),
     ("API_KEY", r"(?:api[_-]?key|apikey|secret[_-]?key|access[_-]?token)[\"']?\s*[:=]\s*[\"']?([a-zA-Z0-9_\-]{20,})", 0.90),
     ("API_KEY", r"AKIA[0-9A-Z]{16}", 0.95),
+    ("API_KEY", r"(?:aws)?_?(?:secret)?_?(?:access)?_?key[\"']?\s*[:=]\s*[\"']?([A-Za-z0-9/+=]{40})", 0.95),
     ("API_KEY", r"gh[pousr]_[A-Za-z0-9_]{36,}", 0.98),
     ("API_KEY", r"Bearer\s+[A-Za-z0-9\-_]+\.[A-Za-z0-9\-_]+\.[A-Za-z0-9\-_]+", 0.90),
     ("API_KEY", r"xox[baprs]-[0-9]{10,13}-[0-9]{10,13}[a-zA-Z0-9-]*", 0.95),
     ("API_KEY", r"AIza[0-9A-Za-z\-_]{35}", 0.95),
     ("API_KEY", r"(?:sk|pk)_(?:test|live)_[0-9a-zA-Z]{24,}", 0.98),
+    ("API_KEY", r"sk-[A-Za-z0-9]{48}", 0.98),
+    ("API_KEY", r"sk-ant-[A-Za-z0-9\-]{40,}", 0.98),
     ("PASSWORD", r"(?:password|passwd|pwd|secret)[\"']?\s*[:=]\s*[\"']?([^\s'\"]{4,})", 0.85),
     ("PASSWORD", r"(?:mysql|postgres|mongodb)://[^:]+:([^@]+)@", 0.90),
     ("PASSWORD", r"-----BEGIN (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----", 0.99),
@@ -70,3 +73,16 @@ def custom_terms(docs: DataFrame, terms: DataFrame) -> DataFrame:
     pairs = docs.join(F.broadcast(terms), F.expr("contains(lower(text), lower(term))"))
     n = (F.char_length(F.lower("text")) - F.char_length(F.replace(F.lower("text"), F.lower("term"), F.lit("")))) / F.char_length("term")
     return pairs.select("doc_id", "term", "kind", n.cast("long").alias("n"))
+
+
+def cards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, value`` of digit runs of 13 to 19 that pass the check sum of payment cards: what a recogniser of named entities would add to the patterns."""
+    runs = F.transform(F.regexp_extract_all(text_col, F.lit("[0-9](?:[ -]?[0-9]){12,}"), F.lit(0)), lambda x: F.regexp_replace(x, "[ -]", ""))
+    good = F.filter(runs, lambda x: (F.char_length(x) <= 19) & F.call_function("luhn_check", x))
+    return docs.select(F.col(id_col).alias("doc_id"), F.explode(good).alias("value"))
+
+
+def sensitive(docs: DataFrame, found: DataFrame, card: DataFrame, custom: DataFrame, least: float = 0.7) -> DataFrame:
+    """``doc_id, sensitive``: a term of the user's dictionary, or a social security or card number that is sure enough (X35); other findings do not count."""
+    hits = found.filter((F.col("kind") == "SSN") & (F.col("confidence") >= least)).select("doc_id").unionByName(card.select("doc_id")).unionByName(custom.select("doc_id"))
+    return docs.select("doc_id").join(hits.distinct().withColumn("sensitive", F.lit(True)), "doc_id", "left").select("doc_id", F.coalesce("sensitive", F.lit(False)).alias("sensitive"))

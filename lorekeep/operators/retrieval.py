@@ -44,9 +44,8 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", te
     terms = queries.select("query_id", F.explode(F.array_distinct(T.words(F.col("qtext")))).alias("term"))
     sized = docs.select(F.col(id_col).alias("id"), T.words(F.col(text_col)).alias("w")).withColumn("length", F.size("w"))
     stats = sized.agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"))
-    wanted = F.broadcast(terms.agg(F.collect_set("term").alias("wanted")))  # one row: the words of a stated query set
-    found = F.filter("w", lambda x: F.array_contains("wanted", x))
-    hits = sized.join(wanted).select("id", "length", F.explode(found).alias("term"))
+    tokens = sized.select("id", "length", F.explode("w").alias("term"))
+    hits = tokens.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
     tf = hits.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     joined = tf.join(F.broadcast(df), "term").join(F.broadcast(terms), "term").join(F.broadcast(stats))
@@ -79,10 +78,10 @@ def redistribute(dense: float, text: float, sparse_weight: float, has_sparse: bo
 
 
 def hybrid(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 10, weights: tuple = (0.5, 0.2, 0.3), over: int = 3) -> DataFrame:
-    """The top ``k`` of dense and full-text search, fused; ``queries`` has ``query_id, qtext, qvec``."""
+    """The top ``k`` of dense and full-text search, fused; ``queries`` has ``query_id, qtext, qvec``, of which one may be null."""
     wd, wt, _ = redistribute(*weights, has_sparse=False)
-    dense = knn(vectors, queries.select("query_id", "qvec"), over * k)
-    text = bm25(docs, queries.select("query_id", "qtext"), over * k)
+    dense = knn(vectors, queries.filter("qvec is not null").select("query_id", "qvec"), over * k)
+    text = bm25(docs, queries.filter("qtext is not null").select("query_id", "qtext"), over * k)
     return top(fuse({"dense": (dense, wd), "text": (text, wt)}), ["query_id"], [F.desc("rrf_score"), F.asc("id")], k)
 
 

@@ -37,3 +37,11 @@ def line_diff(old: pd.Series, new: pd.Series) -> pd.DataFrame:
         lines = list(difflib.ndiff(a.split("\n"), b.split("\n")))
         out.append((sum(x.startswith("+ ") for x in lines), sum(x.startswith("- ") for x in lines)))
     return pd.DataFrame(out, columns=["added", "removed"])
+
+
+def rendered(facts: DataFrame, by: list[str], category: str, order: str, text: str, expires: str | None = None, now: Column | None = None) -> DataFrame:
+    """A heading per category and a line a fact, in order, of the facts that have not expired; a list is bounded by its owner's facts."""
+    alive = facts if expires is None else facts.filter(F.col(expires).isNull() | (F.col(expires) > now))
+    g = alive.groupBy(*by, category).agg(F.array_sort(F.collect_list(F.struct(order, F.col(text).alias("_t")))).alias("_x"))
+    lines = F.array_join(F.transform("_x", lambda x: F.concat(F.lit("- "), x["_t"])), "\n")
+    return g.select(*by, category, F.concat(F.lit("## "), F.col(category), F.lit("\n"), lines).alias("rendered"))

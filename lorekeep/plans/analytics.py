@@ -58,19 +58,19 @@ def a18(spark, d):
     return A.gaps(bad, F.filter(F.split("q", " "), lambda w: F.char_length(w) > 3))
 
 
-@query("a19_topic_imbalance", "with c as (select source as tag, count(*) as n from documents where doc_id % 7 > 0 or source in ('src1', 'src2') group by 1), t as (select tag, case when tag in ('src3', 'src5') then n // 10 else n end as n from c) select tag, n from (select *, avg(n) over () as mean from t) where n < 0.3 * mean")
+@query("a19_topic_imbalance", "with c as (select source as tag, count(*) as n from documents group by 1), t as (select tag, case when tag in ('src3', 'src5') then n // 10 else n end as n from c) select tag, n from (select *, avg(n) over () as mean from t) where n < 0.3 * mean")
 def a19(spark, d):
-    c = table(spark, d, "documents").filter("doc_id % 7 > 0 or source in ('src1', 'src2')").groupBy(F.col("source").alias("tag")).agg(F.count("*").alias("n"))
+    c = table(spark, d, "documents").groupBy(F.col("source").alias("tag")).agg(F.count("*").alias("n"))
     t = c.withColumn("n", F.when(F.col("tag").isin("src3", "src5"), F.floor(F.col("n") / 10)).otherwise(F.col("n")))
     mean = t.agg(F.avg("n").alias("mean"))  # one row
     return t.join(F.broadcast(mean), F.col("n") < 0.3 * F.col("mean")).select("tag", "n")
 
 
-@query("a20_sparse_folders", "with f as (select r_name as folder from region union all select 'EMPTY'), c as (select r_name as folder, count(*) as n from nation join region on n_regionkey = r_regionkey where n_nationkey < 9 group by 1) select f.folder, coalesce(n, 0) as n from f left join c using (folder) where coalesce(n, 0) < 2")
+@query("a20_sparse_folders", "with f as (select r_name as folder from region union all select 'EMPTY'), c as (select r_name as folder, count(*) as n from nation join region on n_regionkey = r_regionkey group by 1) select f.folder, coalesce(n, 0) as n from f left join c using (folder) where coalesce(n, 0) < 6")
 def a20(spark, d):
     folders = table(spark, d, "region").select(F.col("r_name").alias("folder")).union(spark.createDataFrame([("EMPTY",)], "folder string"))
-    n = table(spark, d, "nation").filter("n_nationkey < 9").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy(F.col("r_name").alias("folder")).agg(F.count("*").alias("n"))
-    return folders.join(n, "folder", "left").select("folder", F.coalesce("n", F.lit(0).cast("long")).alias("n")).filter("n < 2")
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy(F.col("r_name").alias("folder")).agg(F.count("*").alias("n"))
+    return folders.join(n, "folder", "left").select("folder", F.coalesce("n", F.lit(0).cast("long")).alias("n")).filter("n < 6")
 
 
 @query("a21_gap_rollup", f"with {LOG}, g as (select concat('search:', q) as gap, least(1.0::double, count(*) / 5000.0::double) as confidence from log where score < 0.3 group by 1 union all select concat('user:', user_id), least(1.0::double, count(*) / 500.0::double) from log where score < 0.3 group by 1) select gap, confidence from g order by confidence desc, gap limit 5")

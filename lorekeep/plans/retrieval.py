@@ -10,9 +10,10 @@ from ..functions import vectors as V
 from ..operators import retrieval as R
 from ..registry import query, table
 
-QUERIES = "select item_id as query_id, array_to_string(string_split(text, ' ')[1:6], ' ') as qtext from benchmark where item_id < 5"
+# the stated query set: every row whose id is divisible by 100, with its whole text, against all rows
+QUERIES = "select item_id as query_id, text as qtext from benchmark where item_id % 100 = 0"
 DIST = "round(list_sum(list_transform(list_zip(e.embedding, q.qvec), lambda z: (z[1]::double - z[2]::double) * (z[1]::double - z[2]::double))), 9)"
-QV = "qv as (select vec_id as query_id, embedding as qvec from embeddings where vec_id < 5)"
+QV = "qv as (select vec_id as query_id, embedding as qvec from embeddings where vec_id % 100 = 0)"
 KNN = f"""{QV}, dist as (select q.query_id, e.vec_id as id, {DIST} as distance from embeddings e, qv q),
 dense as (select *, (row_number() over (partition by query_id order by distance, id))::integer as rank from dist qualify rank <= 30)"""
 BM25 = rf"""qs as ({QUERIES}), qt as (select distinct query_id, unnest(regexp_extract_all(lower(qtext), '[\p{{L}}\p{{N}}_]+')) as term from qs),
@@ -32,11 +33,11 @@ fused as (select *, (row_number() over (partition by query_id order by rrf_score
 
 
 def texts(spark, d):
-    return table(spark, d, "benchmark").filter("item_id < 5").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("qtext"))
+    return table(spark, d, "benchmark").filter("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("qtext"))
 
 
 def vecs(spark, d):
-    return table(spark, d, "embeddings").filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+    return table(spark, d, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
 
 
 def dense_list(spark, d, k=30):
@@ -97,10 +98,12 @@ def r06(spark, d):
     return R.top(fused, ["query_id"], [F.desc("rrf_score"), F.asc("id")], 10).select("query_id", "id", "rrf_score", "rank")
 
 
-@query("r07_weight_redistribution", "select 0.71::double as dense, 0.29::double as text, 0.0::double as sparse")
+@query("r07_weight_redistribution", "select r_regionkey, case when r_regionkey % 2 = 0 then 0.71::double else 0.5::double end as dense, case when r_regionkey % 2 = 0 then 0.29::double else 0.2::double end as text, case when r_regionkey % 2 = 0 then 0.0::double else 0.3::double end as sparse from region")
 def r07(spark, d):
-    w = R.redistribute(0.5, 0.2, 0.3, has_sparse=False)
-    return table(spark, d, "region").limit(1).select(*[F.round(F.lit(x), 6).alias(n) for x, n in zip(w, ("dense", "text", "sparse"), strict=True)])
+    """Queries with and without sparse hits."""
+    got, lost = (R.redistribute(0.5, 0.2, 0.3, has_sparse=x) for x in (True, False))
+    weights = [F.round(F.when(F.col("r_regionkey") % 2 == 0, b).otherwise(a), 6).alias(n) for a, b, n in zip(got, lost, ("dense", "text", "sparse"), strict=True)]
+    return table(spark, d, "region").select("r_regionkey", *weights)
 
 
 HYBRID = f"{KNN}, {BM25}, {_fused('dense', 'txt', WD, WT, 10)}"
@@ -108,7 +111,7 @@ HYBRID = f"{KNN}, {BM25}, {_fused('dense', 'txt', WD, WT, 10)}"
 
 @query("r08_hybrid_search", f"with {HYBRID} select query_id, id, rrf_score, dense_rank, text_rank, rank from fused")
 def r08(spark, d):
-    q = texts(spark, d).join(vecs(spark, d), "query_id")
+    q = texts(spark, d).join(vecs(spark, d), "query_id", "full_outer")
     return R.hybrid(table(spark, d, "documents"), table(spark, d, "embeddings"), q, 10)
 
 

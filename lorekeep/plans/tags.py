@@ -19,9 +19,9 @@ def x40(spark, d):
     return G.keyword_scores(table(spark, d, "documents"), spark.createDataFrame(TAX, "tag string, keyword string"))
 
 
-@query("x41_hybrid_tag_score", "with k as (select doc_id as id, n_chars / 40000.0::double as ks from documents where doc_id % 2 = 0), e as (select vec_id as id, label / 10.0::double as es from embeddings) select coalesce(k.id, e.id) as id, round(0.4::double * coalesce(ks, 0) + 0.6::double * coalesce(es, 0), 6) as score from k full join e on k.id = e.id")
+@query("x41_hybrid_tag_score", "with k as (select doc_id as id, n_chars / 40000.0::double as ks from documents), e as (select vec_id as id, label / 10.0::double as es from embeddings) select coalesce(k.id, e.id) as id, round(0.4::double * coalesce(ks, 0) + 0.6::double * coalesce(es, 0), 6) as score from k full join e on k.id = e.id")
 def x41(spark, d):
-    k = table(spark, d, "documents").filter("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), (F.col("n_chars") / 40000).alias("ks"))
+    k = table(spark, d, "documents").select(F.col("doc_id").alias("id"), (F.col("n_chars") / 40000).alias("ks"))
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), (F.col("label") / 10).alias("es"))
     return k.join(e, "id", "full_outer").select("id", F.round(0.4 * F.coalesce("ks", F.lit(0.0)) + 0.6 * F.coalesce("es", F.lit(0.0)), 6).alias("score"))
 

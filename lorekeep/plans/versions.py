@@ -74,10 +74,10 @@ def a33(spark, d):
     return table(spark, d, "conversations").groupBy(F.col("role").alias("category"), origin.alias("origin")).agg(F.count("*").alias("n"))
 
 
-@query("x52_context_rendering", "select role, array_to_string(list(conv_id::varchar order by conv_id, turn), ',') as convs from conversations where turn < 2 group by 1")
+@query("x52_context_rendering", "select conv_id, role, md5(concat('## ', role, chr(10), string_agg(concat('- ', text), chr(10) order by turn))) as rendered from conversations group by conv_id, role")
 def x52(spark, d):
-    g = table(spark, d, "conversations").filter("turn < 2").groupBy("role").agg(F.array_sort(F.collect_list(F.struct("conv_id", "turn"))).alias("x"))
-    return g.select("role", F.array_join(F.transform("x", lambda s: s["conv_id"].cast("string")), ",").alias("convs"))
+    """A user's facts that have not expired, grouped by category: here a conversation's turns by role."""
+    return V.rendered(table(spark, d, "conversations"), ["conv_id"], "role", "turn", "text").select("conv_id", "role", F.md5(F.col("rendered").cast("binary")).alias("rendered"))
 
 
 @query("x49_correction_diff", "with o as (select l_orderkey, l_linenumber, l_returnflag as ai_flag, case when l_linenumber % 3 = 0 then 'X' else l_returnflag end as human_flag, l_linestatus as ai_status, l_linestatus as human_status from lineitem) select l_orderkey, l_linenumber, (ai_flag <> human_flag)::integer + (ai_status <> human_status)::integer as n_changed from o")

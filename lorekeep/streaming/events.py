@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import checkpoint_folder
+
 
 def read(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int = 1) -> DataFrame:
     """A table's files as a stream; ``files_per_trigger`` is the rate limit."""
@@ -39,8 +41,16 @@ def counters(events: DataFrame) -> DataFrame:
 
 
 def drain(stream: DataFrame, mode: str) -> DataFrame:
-    """Everything the stream gives for what is there now, as a table of the session."""
-    name = f"lk_{uuid.uuid4().hex}"
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Everything the stream gives for what is there now: a table of Parquet files in the shared checkpoint folder.
+
+    In ``append`` mode the sink writes files; other modes rewrite the result at every batch, of which the last one stays.
+    """
+    spark = stream.sparkSession
+    folder = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    if mode == "append":
+        q = writer.format("parquet").option("path", f"{folder}/out").start()
+    else:
+        q = writer.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{folder}/out")).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
