@@ -14,7 +14,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-PLANS = ("texts", "catalog", "retrieval", "dedup", "privacy", "graph", "analytics", "quality", "versions", "tags", "chunks", "relational", "streams", "ingest", "notes", "writes", "state", "search", "intake", "hooked")
+PLANS = ("texts", "catalog", "retrieval", "dedup", "privacy", "graph", "analytics", "quality", "versions", "tags", "chunks", "relational", "streams", "ingest", "notes", "writes", "state", "search", "intake", "hooked", "parts", "files")
 COSTLY = ("documents", "embeddings", "pages")
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _oracles: dict[str, str] = {}

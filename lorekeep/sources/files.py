@@ -1,7 +1,8 @@
 """File sources: dispatch by suffix, plain text, term dictionaries, JSON-lines logs, plug-ins.
 
-Formats that need a model or a library that is not there (images, audio, video, PDF, DOCX) go through
-``extractors``: a mapping from suffix to a function of bytes, to be supplied; without one they give empty text.
+Workbooks and text documents are read by ``office.EXTRACTORS``.  Formats that need a model or a library that is not there
+(images, audio, video, PDF) go through ``extractors`` as well: a mapping from suffix to a function of bytes, to be
+supplied; without one they give empty text.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -48,6 +49,43 @@ def extract(files: DataFrame, extractors: dict[str, Callable[[bytes], str]] | No
     return files.select("path", "name", "suffix", plain.alias("text"), "content").mapInArrow(run, "path string, name string, text string")
 
 
+def with_fallback(text: Column, other: Column, least: int = 50) -> Column:
+    """A page's own text, or what recognition of its image gave where fewer than ``least`` characters that are not blank came out."""
+    solid = F.char_length(F.regexp_replace(F.coalesce(text, F.lit("")), "[\\s\\p{Z}]+", ""))
+    return F.when(solid >= least, text).otherwise(F.coalesce(other, text, F.lit("")))
+
+
+def image_text(ocr: Column, caption: Column) -> Column:
+    """Recognised text and caption of an image, two parts of which either may be missing."""
+    part = lambda c: F.when(F.trim(F.coalesce(c, F.lit(""))) != "", F.trim(c))
+    return F.concat_ws("\n\n", part(ocr), part(caption))
+
+
+def chaptered(segments: DataFrame, by: str, at: str, text: str, least_gap: float, title: str = "Chapter") -> DataFrame:
+    """``by, text``: a recording's segments under a heading per chapter, in order (S09); chapters begin as ``notes.chapters`` says."""
+    from ..operators import notes as N
+
+    starts = N.chapters(segments, by, at, least_gap).select(by, F.col("started").alias("_at"), "chapter")
+    rows = segments.select(by, F.col(at).cast("double").alias("_at"), F.col(text).alias("_t"), F.lit(None).cast("int").alias("chapter"), F.lit(1).alias("_k"))
+    both = rows.unionByName(starts.select(by, "_at", F.lit(None).cast("string").alias("_t"), "chapter", F.lit(0).alias("_k")))
+    w = Window.partitionBy(by).orderBy("_at", "_k").rowsBetween(Window.unboundedPreceding, 0)
+    placed = both.withColumn("chapter", F.last("chapter", ignorenulls=True).over(w)).filter("_k = 1")
+    lines = placed.groupBy(by, "chapter").agg(F.array_sort(F.collect_list(F.struct("_at", "_t"))).alias("x"))
+    body = lines.select(by, "chapter", F.concat(F.lit(f"## {title} "), (F.col("chapter") + 1).cast("string"), F.lit("\n"), F.array_join(F.transform("x", lambda s: s["_t"]), " ")).alias("t"))
+    return body.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("chapter", "t"))).alias("x")).select(by, F.array_join(F.transform("x", lambda s: s["t"]), "\n\n").alias("text"))
+
+
+def keyframes(frames: DataFrame, by: str, at: str, distance: str, least_gap: float, threshold: float) -> DataFrame:
+    """``by, at, kept``: a frame starts a scene if it differs enough from the one before and the last scene is long enough."""
+    from ..operators.walks import walk
+
+    def step(last, row):
+        new = last is None or (row[distance] > threshold and row[at] - last >= least_gap)
+        return (row[at] if new else last), new
+
+    return walk(frames, by, [at], [distance], lambda: None, step, "kept", "boolean")
+
+
 def unindexed(files: DataFrame, indexed: DataFrame, force: bool = False) -> DataFrame:
     """Files whose name is not in ``indexed`` (column ``name``); all of them with ``force``."""
     return files if force else files.join(indexed.select("name").distinct(), "name", "left_anti")
@@ -67,12 +105,14 @@ def terms(spark: SparkSession, entries: list[dict]) -> DataFrame:
     return spark.createDataFrame(rows, "term string, kind string")
 
 
-def table_markdown(rows: DataFrame, columns: list[str], title: str, order: list[str]) -> DataFrame:
-    """One Markdown table of ``rows``: title, header, a line a row."""
-    line = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), F.lit(" |"))
-    body = rows.groupBy().agg(F.array_sort(F.collect_list(F.struct(*order, line.alias("_line")))).alias("x"))
-    head = f"## {title}\n| {' | '.join(columns)} |\n|{'---|' * len(columns)}\n"
-    return body.select(F.concat(F.lit(head), F.array_join(F.transform("x", lambda s: s["_line"]), "\n")).alias("text"))
+def table_markdown(rows: DataFrame, sheet: str, columns: list[str], order: list[str]) -> DataFrame:
+    """``sheet, text``: the rows of each sheet as a Markdown table under its name; a sheet of one row is one line."""
+    cell = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
+    g = rows.groupBy(sheet).agg(F.array_sort(F.collect_list(F.struct(*order, F.concat_ws(" | ", *cell).alias("_line")))).alias("x"))
+    lines = F.array_join(F.transform("x", lambda s: F.concat(F.lit("| "), s["_line"], F.lit(" |"))), "\n")
+    head = f"| {' | '.join(columns)} |\n| {' | '.join('---' for _ in columns)} |\n"
+    body = F.when(F.size("x") == 1, F.element_at("x", 1)["_line"]).otherwise(F.concat(F.lit(head), lines))
+    return g.select(sheet, F.concat(F.lit("## "), F.col(sheet), F.lit("\n\n"), body).alias("text"))
 
 
 class JsonPages(DataSource):
