@@ -10,33 +10,34 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from lorekeep.llm import bpe, jaccard, mixing, pii, quality
-from lorekeep.llm._runtime import ensure_checkpoint_dir
 from lorekeep.llm.queries import tokenizer_path
+from lorekeep.staging import checkpoint_folder, packed
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return quality.keep(docs)
+    return quality.keep(packed(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, Jaccard 0.8 or more) stays."""
-    return jaccard.deduplicate(docs, n=5, percent=80)
+    return packed(jaccard.deduplicate(packed(docs), n=5, percent=80))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span of personal data becomes its kind in brackets."""
-    return pii.redact(docs)
+    return packed(pii.redact(packed(docs)))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are brought to their target weights: documents are taken whole, in part, or more than once."""
-    return mixing.apply_mix(docs, mixing.mix(docs))
+    docs = packed(docs)
+    return packed(mixing.apply_mix(docs, mixing.mix(docs)))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text."""
-    return bpe.encode(docs, tokenizer_path()).selectExpr("doc_id", "cast(size(ids) as bigint) as n_tokens", "ids")
+    return bpe.encode(packed(docs), tokenizer_path()).selectExpr("doc_id", "cast(size(ids) as bigint) as n_tokens", "ids")
 
 
 STAGES = [
@@ -52,11 +53,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, over ``documents``; each stage's rows are kept as Parquet in the shared checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages, over ``documents``; each stage's rows are Parquet in the shared checkpoint folder until the next ones are written."""
+    folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{k}-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path.toString())
+        docs = spark.read.parquet(path.toString())
+        if before is not None:  # nothing reads it any more
+            before.getFileSystem(spark._jsc.hadoopConfiguration()).delete(before, True)
+        before = path
     return docs

@@ -13,15 +13,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ._runtime import tidy
+
 BLOCKS = "part int, kind int, block binary"
 _SCHEMA = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("block", pa.binary())])
 
 
 class Router:
-    """Collects structured records and hands them out as blocks, ``flush_at`` records at a time."""
+    """Collects structured records and hands them out as blocks, ``flush_at`` records at a time; groups are numbered from ``first``."""
 
-    def __init__(self, n_groups: int, kind: int = 0, flush_at: int = 1 << 20):
-        self.n, self.kind, self.flush_at = n_groups, kind, flush_at
+    def __init__(self, n_groups: int, kind: int = 0, flush_at: int = 1 << 20, first: int = 0):
+        self.n, self.kind, self.flush_at, self.first = n_groups, kind, flush_at, first
         self.held: list[np.ndarray] = []
         self.size = 0
 
@@ -44,7 +46,7 @@ class Router:
         lo, hi = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(part)]))
         blocks = [rec[i:j].tobytes() for i, j in zip(lo, hi, strict=True)]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(part[lo], pa.int32()), pa.array(np.full(len(lo), self.kind, np.int32)), pa.array(blocks, pa.binary())],
+            [pa.array(part[lo] + self.first, pa.int32()), pa.array(np.full(len(lo), self.kind, np.int32)), pa.array(blocks, pa.binary())],
             schema=_SCHEMA,
         )
 
@@ -62,4 +64,4 @@ def records_of(table: pa.Table, dtype: np.dtype, kind: int | None = None) -> np.
 
 def reduce_blocks(blocks: DataFrame, func: Callable, schema: str) -> DataFrame:
     """Apply ``func(pa.Table) -> pa.Table`` to all blocks of each group."""
-    return blocks.groupBy("part").applyInArrow(func, schema)
+    return blocks.groupBy("part").applyInArrow(tidy(func), schema)

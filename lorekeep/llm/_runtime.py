@@ -1,32 +1,46 @@
-"""Session plumbing shared by the operators: reliable staging and Arrow access."""
+"""Plumbing shared by the operators: staging, Arrow access, and memory that workers give back."""
 
 from __future__ import annotations
 
-import os
-import tempfile
+import ctypes
+import inspect
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
 
+from ..staging import checkpoint_folder, settle, stage
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named by ``spark.checkpoint.dir``; only if that is unset (tests) take a local one."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "lorekeep-checkpoints"))
+__all__ = ["checkpoint_folder", "partitions_for", "pieces", "settle", "stage", "text_buffers", "tidy", "trim"]
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
 
-def stage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` once in the shared checkpoint folder and cut its lineage.
 
-    The copy is reliable (it survives lost executors) and is removed by Spark's
-    cleaner when the returned frame is no longer referenced.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def trim() -> None:
+    """Give memory that is free back to the system: workers live on after a task, and what they keep adds up with the next one's."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def tidy(f: Callable) -> Callable:
+    """``f``, a function of batches (a generator) or of one group, with ``trim`` after each task or group."""
+    if inspect.isgeneratorfunction(f):
+
+        def run(batches):
+            try:
+                yield from f(batches)
+            finally:
+                trim()
+    else:
+
+        def run(table):
+            try:
+                return f(table)
+            finally:
+                trim()
+
+    return run
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -31,12 +31,16 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from ._runtime import tidy
+
 SUFFIX = "</w>"
 #: Words kept with their ids, per worker; the least recent ones go.  A bound on memory alone: results don't depend on it.
 CACHE = 1 << 19
 #: Pair verdicts kept per worker before the table starts anew; again a bound on memory alone.
-PAIRS = 1 << 21
+PAIRS = 1 << 19
 NEVER = 1 << 60
+#: Rows whose ids are held at once.
+ROWS = 256
 
 
 def byte_letters() -> list[str]:
@@ -139,6 +143,7 @@ class WordBpe:
                 j += 1
         if len(self.pairs) >= PAIRS:
             self.pairs.clear()
+            self.spines.clear()
         self.pairs[left << 32 | right] = known
         return known
 
@@ -236,11 +241,13 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def run(batches):
         bpe = load(path)
         for b in batches:
-            ids = [bpe.encode(t or "") for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            for i in range(0, len(b), ROWS):
+                some = b.slice(i, ROWS)
+                ids = [np.array(bpe.encode(t.as_py() or ""), np.int32) for t in some.column(1)]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     picked = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    return picked.mapInArrow(run, "doc_id long, ids array<int>")
+    return picked.mapInArrow(tidy(run), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -252,7 +259,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             texts = [bpe.decode(i or []) for i in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(run), "doc_id long, text string")
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -273,4 +280,4 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
             )
 
     picked = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    return picked.mapInArrow(run, _SCHEMA)
+    return picked.mapInArrow(tidy(run), _SCHEMA)

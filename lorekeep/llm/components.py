@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._runtime import stage
+from ._runtime import settle
 
 MAX_ROUNDS = 60
 
@@ -29,10 +29,10 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``edges`` (columns ``u, v``, long); the root is the component's least node."""
-    now = stage(edges.filter("u <> v").select("u", "v").distinct())
+    now = settle(edges.filter("u <> v").select("u", "v").distinct())
     mark = None
     for _ in range(MAX_ROUNDS):
-        now = stage(_small_star(_large_star(now)))
+        now = settle(_small_star(_large_star(now)))
         seen = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if mark == (seen["n"], seen["x"]):
             break

@@ -7,23 +7,27 @@ Sets of word n-grams link when ``100 * |intersection| >= percent * |union|``.
   leaders (the least of a MinHash bucket under a bucket-specific order).  Classes
   linked to a leader are one party from then on: what is found for one of its sets
   holds for all.  Classes at half the similarity or more, linked or not, share a family.
+  Parties and families are the connected components of what the leaders found.
 * Index lists hold the prefix tokens of every class, rarest first, but one entry
   per family.  A list is sorted by set size and read in blocks; a block is
   skipped when its sizes or its remaining positions cannot reach the overlap.
   So the join proposes pairs of *families* whose sets share a prefix token: by the prefix
   principle no link between different families is missed.
-* For a proposed pair the smaller family's sets are held against the other's, in
-  chunks of a bounded size, exactly.  Inside a family all sets outside its largest
-  party are held against the family's chunks in the same way.
+  A list of more than ``LIST`` entries is cut into blocks of that size, and pairs
+  of blocks are tasks of their own.
+* For a proposed pair the smaller family's sets are held against the other's, exactly.
+  Inside a family all sets outside its largest party are held against the family in the
+  same way.  Both sides are cut into cells of a bounded number of sets and
+  n-grams, and a task holds one cell of either side.
 
 Tokens are ranked by a sketch of document frequencies of a fixed size (the
 only broadcast); any common order gives right results, this one keeps lists short.
 
 Defined results: a text with fewer words than ``n`` has its whole sequence as one
 n-gram; null texts and texts without words have an empty set, link with nothing and are
-their own component; rows that share an id are one node; a null id is a node of its
-own, above all others; an empty table gives an empty result; only the id and
-text columns are read.
+their own component; rows that share an id are one node; all null ids are one node,
+above all others (the id 2**63 - 1 stands for it and counts as null); an empty table
+gives an empty result; only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -32,11 +36,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._exchange import BLOCKS, Router, records_of
-from ._runtime import partitions_for, pieces, stage, text_buffers
+from ._runtime import partitions_for, pieces, settle, stage, text_buffers, tidy
 from ._words import LOWER, U64, mix, shingles, word_hashes, word_spans
 from .components import components
 
@@ -45,8 +50,11 @@ SKETCH_BITS = 22
 SLICE_BITS = 16
 BANDS, BAND_ROWS = 6, 2
 BLOCK = 64
-CHUNK = 400
+CELL_SETS, CELL_GRAMS = 400, 1 << 20
+LIST = 4096
+GROUP = 1 << 18
 FAMILY = 50
+MERGE = 256
 BROADCAST_IDS = 500_000
 _SALT = mix(np.arange(1, BANDS * BAND_ROWS + 1, dtype=U64))
 _ENTRY = np.dtype([("key", "<u8"), ("label", "<i8"), ("lo", "<u4"), ("hi", "<u4"), ("rest", "<u4")])
@@ -90,18 +98,22 @@ def _sketch(texts: DataFrame, n: int) -> np.ndarray:
             # low and high bytes apart, so that the mostly empty high bytes cost nothing
             blocks = [zlib.compress(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 2).T).tobytes(), 1) for c in cut]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(cut), dtype=np.int32)), pa.array(np.zeros(len(cut), np.int32)), pa.array(blocks, pa.binary())], names=["part", "kind", "block"]
+                [pa.array(np.arange(len(cut), dtype=np.int32)), pa.array(np.full(len(cut), TaskContext.get().partitionId() // MERGE, np.int32)), pa.array(blocks, pa.binary())],
+                names=["part", "kind", "block"],
             )
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(1 << SLICE_BITS, np.uint32)
         for x in table.column("block"):
             total += np.frombuffer(zlib.decompress(x.as_py()), np.uint8).reshape(2, -1).T.copy().view("<u2").ravel()
-        return pa.table({"part": table.column("part")[:1], "block": pa.array([np.minimum(total, 65535).astype("<u2").tobytes()], pa.binary())})
+        block = zlib.compress(np.ascontiguousarray(np.minimum(total, 65535).astype("<u2").view(np.uint8).reshape(-1, 2).T).tobytes(), 1)
+        return pa.table({"part": table.column("part")[:1], "kind": table.column("kind")[:1], "block": pa.array([block], pa.binary())})
 
     out = np.zeros(1 << SKETCH_BITS, np.uint16)
-    for r in texts.select("text").mapInArrow(count, BLOCKS).groupBy("part").applyInArrow(add, "part int, block binary").collect():  # 2 ** (SKETCH_BITS - SLICE_BITS) rows
-        out[r["part"] << SLICE_BITS : (r["part"] + 1) << SLICE_BITS] = np.frombuffer(r["block"], "<u2")
+    # slices of at most MERGE map tasks meet first, then what is left of each slice
+    merged = texts.select("text").mapInArrow(tidy(count), BLOCKS).groupBy("part", "kind").applyInArrow(tidy(add), BLOCKS).groupBy("part").applyInArrow(tidy(add), BLOCKS)
+    for r in merged.collect():  # 2 ** (SKETCH_BITS - SLICE_BITS) rows
+        out[r["part"] << SLICE_BITS : (r["part"] + 1) << SLICE_BITS] = np.frombuffer(zlib.decompress(r["block"]), np.uint8).reshape(2, -1).T.copy().view("<u2").ravel()
     return out
 
 
@@ -141,21 +153,21 @@ def _summaries(texts: DataFrame, n: int, percent: int, sketch: np.ndarray) -> Da
                 names=["node", "n_shingles", "sig1", "sig2", "bands", "prefix"],
             )
 
-    return stage(texts.select("node", "text").mapInArrow(run, _STAGED))
+    return stage(texts.select("node", "text").mapInArrow(tidy(run), _STAGED))
 
 
 def _texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
     """One text for each of ``ids`` (column ``node``); few ids are sent to the texts, many meet them in a shuffle."""
-    ids = stage(ids.distinct())
+    ids = settle(ids.distinct())
     return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "node", "left_semi")
 
 
-def _leader_links(classes: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+def leader_links(classes: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Classes and the leaders of their MinHash buckets, ``u, v, close``: similar at ``FAMILY`` percent, ``close`` if they link."""
     keyed = classes.select("node", F.posexplode("bands").alias("band", "bucket"))
     heads = keyed.groupBy("band", "bucket").agg(F.min(F.struct(F.xxhash64("band", "node").alias("h"), "node")).alias("head"), F.count("*").alias("n"))
     heads = heads.filter("n > 1").select("band", "bucket", F.col("head.node").alias("u"))
-    pairs = stage(keyed.join(heads, ["band", "bucket"]).filter("node <> u").select("u", F.col("node").alias("v")).distinct())
+    pairs = settle(keyed.join(heads, ["band", "bucket"]).filter("node <> u").select("u", F.col("node").alias("v")).distinct())
     own = _texts_of(texts, pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))))
     left = pairs.join(own.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
     both = left.join(own.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
@@ -174,26 +186,25 @@ def _leader_links(classes: DataFrame, texts: DataFrame, n: int, percent: int) ->
             found = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(close, pa.bool_())], names=["u", "v", "close"])
             yield found.filter(pa.array(keep, pa.bool_()))
 
-    return stage(both.select("u", "v", "a", "b").mapInArrow(verify, "u long, v long, close boolean"))
+    return settle(both.select("u", "v", "a", "b").mapInArrow(tidy(verify), "u long, v long, close boolean"))
 
 
-def _labels(classes: DataFrame, links: DataFrame) -> DataFrame:
-    """``node, label``: equal labels are connected by links; some connected nodes may still have different ones."""
-    links = links.select("u", "v")
-    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    near = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("label"))
-    now = stage(classes.select("node").join(near.withColumnRenamed("u", "node"), "node", "left").select("node", F.coalesce("label", "node").alias("label")))
-    for _ in range(2):
-        up = now.filter("node <> label").select(F.col("node").alias("label"), F.col("label").alias("top"))
-        now = stage(now.join(up, "label", "left").select("node", F.coalesce("top", "label").alias("label")))
-    return now
+def labels(nodes: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """``node`` and the least node that links reach from it, as column ``name``."""
+    roots = components(links.select("u", "v")).withColumnRenamed("root", name)
+    return nodes.join(roots, "node", "left").select("node", F.coalesce(name, "node").alias(name))
 
 
-def list_pairs(rec: np.ndarray, percent: int) -> np.ndarray:
-    """Label pairs (k, 2) that the entries of one index list propose; ``rec`` is sorted by size."""
+def list_pairs(rec: np.ndarray, percent: int, other: np.ndarray | None = None) -> np.ndarray:
+    """Label pairs (k, 2) that the entries of one index list propose; ``rec`` is sorted by size.
+
+    With ``other``, a later part of the same list, pairs of an entry of ``rec`` and one of ``other``.
+    """
     out = []
-    lo, hi, rest, label = (rec[f].astype(np.int64) for f in ("lo", "hi", "rest", "label"))
-    blocks = range(0, len(rec), BLOCK)
+    first = 0 if other is None else len(rec)
+    every = rec if other is None else np.concatenate((rec, other))
+    lo, hi, rest, label = (every[f].astype(np.int64) for f in ("lo", "hi", "rest", "label"))
+    blocks = range(first, len(every), BLOCK)
     low = [int(lo[s : s + BLOCK].min()) for s in blocks]
     most = [int(rest[s : s + BLOCK].max()) for s in blocks]
     for i in range(len(rec)):
@@ -205,13 +216,23 @@ def list_pairs(rec: np.ndarray, percent: int) -> np.ndarray:
             if min(rest[i], most[k]) * (100 + percent) < percent * (lo[i] + low[k]):
                 continue  # too few positions are left in the whole block
             a = max(s, i + 1)
-            z = min(s + BLOCK, len(rec))
+            z = min(s + BLOCK, len(every))
             fits = (lo[a:z] * percent <= hi[i] * 100) & (label[a:z] != label[i])
             fits &= np.minimum(rest[i], rest[a:z]) * (100 + percent) >= percent * (lo[i] + lo[a:z])
             hit = label[a:z][fits]
             if len(hit):
                 out.append(np.stack([np.minimum(hit, label[i]), np.maximum(hit, label[i])], axis=1))
-    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+
+
+def cut_list(rec: np.ndarray, percent: int, size: int = LIST) -> tuple[list[bytes], list[tuple[int, int]]]:
+    """A long list, sorted by size, as blocks of ``size`` entries, and the pairs of blocks (also of one with itself) that can hold a pair."""
+    parts = [rec[s : s + size] for s in range(0, len(rec), size)]
+    low, high = [int(p["lo"].min()) for p in parts], [int(p["hi"].max()) for p in parts]
+    most = [int(p["rest"].max()) for p in parts]
+    n = len(parts)
+    meet = [(i, j) for i in range(n) for j in range(i, n) if low[j] * percent <= high[i] * 100 and min(most[i], most[j]) * (100 + percent) >= percent * (low[i] + low[j])]
+    return [p.tobytes() for p in parts], meet
 
 
 def _combine(rec: np.ndarray) -> np.ndarray:
@@ -225,13 +246,13 @@ def _combine(rec: np.ndarray) -> np.ndarray:
     return out
 
 
-def _label_pairs(classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _label_pairs(classes: DataFrame, families: DataFrame, percent: int) -> DataFrame:
     """Pairs of labels with sets that share a prefix token and may reach the overlap."""
     total = classes.agg(F.sum(F.octet_length("prefix") / 8)).first()[0]
-    n_groups = partitions_for(int(total or 0), 500_000)
+    n_groups = partitions_for(int(total or 0), GROUP)
 
     def send(batches):
-        router = Router(n_groups)
+        router = Router(n_groups, flush_at=GROUP)
         for b in batches:
             sizes, marks = b.column(1).to_numpy(), b.column(2).to_numpy()
             raw = b.column(0).cast(pa.large_binary())
@@ -250,7 +271,7 @@ def _label_pairs(classes: DataFrame, labels: DataFrame, percent: int) -> DataFra
         rec = _combine(records_of(table, _ENTRY))
         start = np.flatnonzero(np.concatenate(([True], rec["key"][1:] != rec["key"][:-1])))
         size = np.diff(np.concatenate((start, [len(rec)])))
-        found = []
+        found, cut = [], {"token": [], "i": [], "j": [], "block": []}
         two = start[size == 2]
         if len(two):
             a, b = rec[two], rec[two + 1]
@@ -261,39 +282,85 @@ def _label_pairs(classes: DataFrame, labels: DataFrame, percent: int) -> DataFra
             found.append(np.stack([a["label"][fits], b["label"][fits]], axis=1))
         for s, m in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
             own = rec[s : s + m]
-            found.append(list_pairs(own[np.argsort(own["lo"], kind="stable")], percent))
+            own = own[np.argsort(own["lo"], kind="stable")]
+            if m > LIST:
+                blocks, meet = cut_list(own, percent)
+                token = int(own["key"][0].view(np.int64))
+                cut["token"] += [token] * (len(blocks) + len(meet))
+                cut["i"] += [*range(len(blocks)), *(i for i, _ in meet)]
+                cut["j"] += [*[None] * len(blocks), *(j for _, j in meet)]
+                cut["block"] += [*blocks, *[None] * len(meet)]
+                continue
+            found.append(list_pairs(own, percent))
             if sum(map(len, found)) > 1 << 20:
                 found = [np.unique(np.concatenate(found), axis=0)]
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
         pairs = np.sort(pairs, axis=1)
-        return pa.table({"p": pa.array(pairs[:, 0], pa.int64()), "q": pa.array(pairs[:, 1], pa.int64())})
+        n, k = len(pairs), len(cut["token"])
+        return pa.table(
+            {
+                "p": pa.concat_arrays([pa.array(pairs[:, 0], pa.int64()), pa.nulls(k, pa.int64())]),
+                "q": pa.concat_arrays([pa.array(pairs[:, 1], pa.int64()), pa.nulls(k, pa.int64())]),
+                "token": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(cut["token"], pa.int64())]),
+                "i": pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array(cut["i"], pa.int32())]),
+                "j": pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array(cut["j"], pa.int32())]),
+                "block": pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(cut["block"], pa.binary())]),
+            }
+        )
+
+    def meet_blocks(batches):
+        for b in batches:
+            for i, j, x, y in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                pairs = list_pairs(np.frombuffer(x, _ENTRY), percent, None if i == j else np.frombuffer(y, _ENTRY))
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["p", "q"])
 
-    entries = classes.select("node", "prefix", "n_shingles").join(labels, "node").select("prefix", "n_shingles", "label")
-    return stage(entries.mapInArrow(send, BLOCKS).groupBy("part").applyInArrow(propose, "p long, q long").distinct())
+    entries = classes.select("node", "prefix", "n_shingles").join(families, "node").select("prefix", "n_shingles", "label")
+    listed = settle(entries.mapInArrow(tidy(send), BLOCKS).groupBy("part").applyInArrow(tidy(propose), "p long, q long, token long, i int, j int, block binary"))
+    pairs = listed.filter("p is not null").select("p", "q")
+    duos = listed.filter("j is not null").select("token", "i", "j")
+    if not duos.isEmpty():
+        blocks = listed.filter("block is not null").select("token", "i", "block")
+        left = duos.repartition(partitions_for(duos.count(), 4), "token", "i", "j").join(blocks.withColumnRenamed("block", "x"), ["token", "i"])
+        both = left.join(blocks.withColumnsRenamed({"i": "j", "block": "y"}), ["token", "j"]).select("i", "j", "x", "y")
+        pairs = pairs.unionByName(both.mapInArrow(tidy(meet_blocks), "p long, q long"))
+    return settle(pairs.distinct())
 
 
-def _cross_links(pairs: DataFrame, members: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+def _cells(sets: Column, grams: Column) -> Column:
+    """In how many cells a side of so many sets and n-grams is cut."""
+    return F.greatest(F.ceil(sets / CELL_SETS), F.ceil(grams / CELL_GRAMS)).cast("int")
+
+
+def cross_links(pairs: DataFrame, members: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Exact links between different parties: of proposed pairs of families, and inside each family.
 
-    ``members`` has ``node, label`` (family) and ``party``.  A task reports a link only if it joins parties that it
-    has not seen joined.
+    ``members`` has ``node, label`` (family), ``party`` and ``n_shingles``.  A task reports a link only if it joins
+    parties that it has not seen joined.
     """
-    parties = members.groupBy("label", "party").agg(F.count("*").alias("k"))
-    families = stage(parties.groupBy("label").agg(F.sum("k").alias("m"), F.count("*").alias("parties"), F.max_by("party", F.struct("k", -F.col("party"))).alias("main")))
-    with_p = pairs.join(families.select(F.col("label").alias("p"), F.col("m").alias("mp")), "p")
-    sized = with_p.join(families.select(F.col("label").alias("q"), F.col("m").alias("mq")), "q")
-    # the larger family stays where it is, cut into chunks; the smaller one's sets visit every chunk
-    larger = F.col("mp") >= F.col("mq")
-    between = sized.select(
-        F.when(larger, F.col("p")).otherwise(F.col("q")).alias("home"), F.when(larger, F.col("q")).otherwise(F.col("p")).alias("guest"), F.greatest("mp", "mq").alias("m"), F.lit(None).cast("long").alias("main")
+    parties = members.groupBy("label", "party").agg(F.count("*").alias("k"), F.sum("n_shingles").alias("w"))
+    families = settle(
+        parties.groupBy("label").agg(F.struct(F.sum("k").alias("m"), F.sum("w").alias("w")).alias("size"), F.count("*").alias("parties"), F.max_by("party", F.struct("k", -F.col("party"))).alias("main"))
+    )
+    with_p = pairs.join(families.select(F.col("label").alias("p"), F.struct("size", F.col("label").alias("of")).alias("fp")), "p")
+    sized = with_p.join(families.select(F.col("label").alias("q"), F.struct("size", F.col("label").alias("of")).alias("fq")), "q")
+    # the larger family stays where it is, cut into cells; the smaller one's sets visit every cell
+    large, small = F.greatest("fp", "fq"), F.least("fp", "fq")
+    between = sized.select(large["of"].alias("home"), small["of"].alias("label"), large["size"].alias("size"), small["size"].alias("visitors"), F.lit(None).cast("long").alias("main"))
+    within = families.filter("parties > 1").select(F.col("label").alias("home"), "label", "size", F.col("size").alias("visitors"), "main")
+    visits = settle(between.unionByName(within))
+    homes = visits.groupBy("home").agg(
+        F.first(_cells(F.col("size.m"), F.col("size.w"))).alias("home_cells"), _cells(F.sum("visitors.m"), F.sum("visitors.w")).alias("guest_cells")
     )
-    within = families.filter("parties > 1").select(F.col("label").alias("home"), F.col("label").alias("guest"), "m", "main")
-    visits = stage(between.unionByName(within))
-    chunks = F.ceil(F.col("m") / CHUNK).cast("int")
-    homes = visits.select("home", "m").distinct()
-    at_home = members.join(homes, members["label"] == homes["home"]).select("home", F.pmod(F.xxhash64("node"), chunks).cast("int").alias("chunk"), "party", "node", F.lit(0).alias("guest"))
-    guests = visits.withColumnRenamed("guest", "label").join(members, "label").filter("main is null or party <> main")
-    guests = guests.withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1))).select("home", "chunk", "party", "node", F.lit(1).alias("guest"))
+
+    def every(cells: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(cells) - 1))
+
+    def one(cells: str, salt: int) -> Column:
+        return F.pmod(F.xxhash64("node", F.lit(salt)), F.col(cells)).cast("int")
+
+    at_home = members.join(homes, members["label"] == homes["home"]).select("home", one("home_cells", 0).alias("cell"), every("guest_cells").alias("guests"), "party", "node", F.lit(0).alias("guest"))
+    guests = visits.select("home", "label", "main").join(members, "label").filter("main is null or party <> main").join(homes, "home")
+    guests = guests.select("home", every("home_cells").alias("cell"), one("guest_cells", 1).alias("guests"), "party", "node", F.lit(1).alias("guest"))
     seated = at_home.unionByName(guests)
     seats = seated.join(_texts_of(texts, seated.select("node")), "node")
 
@@ -330,7 +397,7 @@ def _cross_links(pairs: DataFrame, members: DataFrame, texts: DataFrame, n: int,
                         v.append(node[g])
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    return seats.select("home", "chunk", "party", "node", "guest", "text").groupBy("home", "chunk").applyInArrow(compare, "u long, v long")
+    return seats.select("home", "cell", "guests", "party", "node", "guest", "text").groupBy("home", "cell", "guests").applyInArrow(tidy(compare), "u long, v long")
 
 
 def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -344,13 +411,13 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
     keys = sets.select("node", "sig1", "sig2", "n_shingles", "bands", "prefix")
     classes = keys.join(least.select("sig1", "sig2", "node"), ["sig1", "sig2", "node"], "left_semi").dropDuplicates(["node", "sig1", "sig2"])
     classes = classes.select("node", "n_shingles", "bands", "prefix")
-    similar = _leader_links(classes, texts, n, percent)
-    near = similar.filter("close")
-    nodes = classes.select("node").distinct()
-    labels = _labels(nodes, similar)
-    members = stage(labels.join(_labels(nodes, near).withColumnRenamed("label", "party"), "node"))
-    far = _cross_links(_label_pairs(classes, labels, percent), members, texts, n, percent)
-    roots = components(copy_links.unionByName(near.select("u", "v")).unionByName(far.select("u", "v")))
+    similar = leader_links(classes, texts, n, percent)
+    nodes = classes.groupBy("node").agg(F.max("n_shingles").alias("n_shingles"))
+    parties = labels(nodes.select("node"), similar.filter("close"), "party")
+    members = settle(nodes.join(labels(nodes.select("node"), similar, "label"), "node").join(parties, "node"))
+    far = cross_links(_label_pairs(classes, members.select("node", "label"), percent), members, texts, n, percent)
+    near = members.filter("node <> party").select(F.col("party").alias("u"), F.col("node").alias("v"))
+    roots = components(copy_links.unionByName(near).unionByName(far.select("u", "v")))
     joined = rows.select("node", "n_shingles").join(roots, "node", "left")
     root = F.coalesce("root", "node")
     out = F.when(F.col("node") != NULL_ID, F.col("node"))
@@ -359,7 +426,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
 
 def deduplicate(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near copies: of each component, the document with the least id; of rows that share an id, one."""
-    member = stage(join(docs, n, percent, id_col, text_col))
+    member = settle(join(docs, n, percent, id_col, text_col))
     heads = member.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__lk_id"))
     out = docs.join(heads.distinct(), docs[id_col].eqNullSafe(F.col("__lk_id")), "left_semi")
     many = heads.groupBy("__lk_id").agg(F.count("*").alias("n")).filter("n > 1")

@@ -56,8 +56,8 @@ def row_hash(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The measures that the rules look at, one row a document."""
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """The measures that the rules look at, one row a document; ``carry`` names columns that go along."""
     text = F.coalesce(F.col(text_col), F.lit(""))
 
     def of_words(w: Column) -> Column:
@@ -83,6 +83,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     n = F.char_length(text)
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     per_doc = docs.select(
+        *carry,
         F.col(id_col).alias("doc_id"),
         row_hash(id_col, text_col).alias("row"),
         let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), of_words).alias("w"),
@@ -94,7 +95,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         (n - left("[0-9]")).cast("long").alias("n_digits"),
         (n - left("\\p{Lu}+")).cast("long").alias("n_upper"),
     )
-    return per_doc.select("doc_id", "row", "w.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.n_lines", "w.n_distinct", "w.n_adjacent", "n_symbol_words", "n_exclaim", "n_digits", "n_upper")
+    return per_doc.select(*carry, "doc_id", "row", "w.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.n_lines", "w.n_distinct", "w.n_adjacent", "n_symbol_words", "n_exclaim", "n_digits", "n_upper")
 
 
 def rules() -> dict[str, Column]:
@@ -164,20 +165,25 @@ def estimate(voted: DataFrame, names: list[str], rounds: int = ROUNDS) -> dict:
     return theta
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_from: float = 0.5) -> DataFrame:
-    """Measures, ``base_failed``, ``p_good`` and ``kept`` for every row of ``docs``."""
+def _judged(docs: DataFrame, id_col: str, text_col: str, keep_from: float, carry: tuple[str, ...] = ()) -> DataFrame:
     names = list(rules())
-    voted = stage(features(docs, id_col, text_col).withColumns(rules()))
-    theta = estimate(voted, names)
+    voted = stage(features(docs, id_col, text_col, carry).withColumns(rules()))
+    p = _posterior(names, estimate(voted, names))
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
-    p = _posterior(names, theta)
-    return voted.select(
-        "doc_id", "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), (~failed & (p >= keep_from)).alias("kept"), p.alias("p_good"), *names,
-    )
+    return voted.withColumns({"base_failed": failed, "kept": ~failed & (p >= keep_from), "p_good": p})
+
+
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_from: float = 0.5) -> DataFrame:
+    """Measures, ``base_failed``, ``p_good`` and ``kept`` for every row of ``docs``."""
+    measures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return _judged(docs, id_col, text_col, keep_from).select("doc_id", "row", *measures, "base_failed", "kept", "p_good", *rules())
+
 
+def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_from: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns.
 
-def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns."""
-    good = judge(docs, id_col, text_col).filter("kept").select(F.col("row").alias("__lk_row"), F.col("doc_id").alias("__lk_id")).distinct()
-    return docs.join(good, (row_hash(id_col, text_col) == F.col("__lk_row")) & docs[id_col].eqNullSafe(F.col("__lk_id")), "left_semi")
+    The rows go along while their votes are counted, so that they need not meet their verdicts in a join.
+    """
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__lk_whole"))
+    named = whole.select("__lk_whole", *[F.col("__lk_whole")[c].alias(c) for c in {id_col, text_col}])
+    return _judged(named, id_col, text_col, keep_from, ("__lk_whole",)).filter("kept").select("__lk_whole.*")

@@ -8,16 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..registry import reach
+from ..staging import packed
 from . import bpe, fingerprints, jaccard, lm, mixing, pii, quality, sharding, substrings, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The corpus.  An input of fewer splits than cores (one file of one row group is one) is spread over them first."""
+    """The corpus.  An input of fewer splits than cores (one file of one row group is one) is spread over them first, very many splits are packed."""
     reach(spark)
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
     if (cores := spark.sparkContext.defaultParallelism) > rows._jdf.queryExecution().toRdd().getNumPartitions():
         return rows.repartition(cores)
-    return rows
+    return packed(rows)
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

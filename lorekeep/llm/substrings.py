@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._exchange import BLOCKS, Router
-from ._runtime import partitions_for, pieces, text_buffers
+from ._runtime import partitions_for, pieces, text_buffers, tidy
 from ._words import U64, grams, word_hashes, word_spans
 
 WINDOW = 35
@@ -169,8 +169,8 @@ def _seen_twice(texts: DataFrame, window: int, k: int, bits: int) -> np.ndarray:
         np.bitwise_or.at(value, which, U64(1) << (hit & 63).astype(U64))
         return pa.table({"word": pa.array(words, pa.int64()), "bits": pa.array(value.view(np.int64))})
 
-    blocks = texts.select("text").mapInArrow(find, BLOCKS)
-    found = blocks.groupBy("part").applyInArrow(twice, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    blocks = texts.select("text").mapInArrow(tidy(find), BLOCKS)
+    found = blocks.groupBy("part").applyInArrow(tidy(twice), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
     packed = found.toArrow()  # at most 2 ** (bits - 6) rows
     out = np.zeros(1 << (bits - 6), np.uint64)
     out[packed.column("word").to_numpy()] = packed.column("bits").to_numpy().view(np.uint64)
@@ -314,8 +314,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR_WORDS,
         flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (doc, row, lo, hi)]
         return pa.table({"doc": pa.array(flat[0], pa.int64()), "row": pa.array(flat[1], pa.int64()), "lo": pa.array(flat[2].astype(np.int32)), "hi": pa.array(flat[3].astype(np.int32))})
 
-    blocks = texts.select("doc_id", "row", "text").mapInArrow(send, BLOCKS)
-    found = blocks.groupBy("part").applyInArrow(shard, "doc long, row long, lo int, hi int")
+    blocks = texts.select("doc_id", "row", "text").mapInArrow(tidy(send), BLOCKS)
+    found = blocks.groupBy("part").applyInArrow(tidy(shard), "doc long, row long, lo int, hi int")
     spans = found.groupBy("doc", "row").agg(F.collect_list(F.struct(F.col("lo").alias("from"), F.col("hi").alias("to"))).alias("spans"))
     return spans.select(F.when(F.col("doc") != _NULL_ID, F.col("doc")).alias("doc_id"), "row", "spans")
 
@@ -352,4 +352,4 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR_WORDS
                 names=["doc_id", "n_words", "n_removed", "kept"],
             )
 
-    return joined.select("doc_id", "text", "spans").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
+    return joined.select("doc_id", "text", "spans").mapInArrow(tidy(cut), "doc_id long, n_words long, n_removed long, kept string")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._runtime import pieces, text_buffers
+from ._runtime import pieces, text_buffers, tidy
 from ._words import LOWER, word_hashes, word_spans
 
 SAMPLE = 12_000
@@ -145,7 +145,7 @@ def score(docs: DataFrame, labelled: DataFrame, categories: dict[str, Column], s
             ids = pa.array([f.tolist() for f in word_features(b.column(1))], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), ids], names=["doc_id", "y", "ids"])
 
-    train = texts.join(F.broadcast(taken), "doc_id").select("doc_id", "text", "y").mapInArrow(features, "doc_id long, y array<int>, ids array<int>")
+    train = texts.join(F.broadcast(taken), "doc_id").select("doc_id", "text", "y").mapInArrow(tidy(features), "doc_id long, y array<int>, ids array<int>")
     got = sorted(train.toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["y"], r["ids"]))
     chain = fit_chain([np.array(r["ids"], np.int32) for r in got], np.array([r["y"] for r in got], np.int64).reshape(-1, len(names)))
     shared = docs.sparkSession.sparkContext.broadcast([m | {"w": m["w"].astype(np.float32)} for m in chain])  # 2 ** BITS numbers a category
@@ -162,4 +162,4 @@ def score(docs: DataFrame, labelled: DataFrame, categories: dict[str, Column], s
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, p), *marks], names=["doc_id", *[f"p_{n}" for n in names], *names])
 
     schema = ", ".join(["doc_id long", *[f"p_{n} double" for n in names], *[f"{n} boolean" for n in names]])
-    return texts.mapInArrow(run, schema)
+    return texts.mapInArrow(tidy(run), schema)
