@@ -2,18 +2,19 @@
 
 Words are seats: sources get them by highest quotients of their targets, none
 above its cap, then each source's seats go the same way to its shards (documents
-dealt by hash).  A shard's words, in a seeded order of its documents, form a
+dealt by hash, to as many shards as the source's rows ask for).  A shard's words, in a seeded order of its documents, form a
 stream.  Its quota is met to the word by whole passes over the stream and, for
 the rest, by a seeded selection of the stream's blocks, the last of them in part.
 Blocks are sized by shard, so that small sources are cut as evenly as large ones.
 
-The driver holds one row per source and per (source, shard) cell; their number
-is held at ``MAX_CELLS`` by using fewer shards, and more than ``MAX_SOURCES``
-sources raise.  All word counts and cuts stay in Spark.
+The driver holds one row per source and per (source, shard) cell, a cell being some
+50,000 rows or more: at most ``MAX_CELLS`` beside one per source.  More than
+``MAX_SOURCES`` sources raise.  All word counts and cuts stay in Spark.
 
 Defined results: null text has size 0 and takes nothing; a null source is a
-source of its own, ordered last; repeated rows are mixed row by row; an
-empty table gives an empty result; only the three named columns are read.
+source of its own, ordered last; repeated rows are mixed row by row, and rows equal
+in id, source and text are taken together when the mix is applied; an empty table gives
+an empty result; only the three named columns are read.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import heapq
 import math
 import zlib
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._runtime import stage
@@ -32,6 +33,7 @@ MAX_REPEATS = 3
 BLOCKS = 1 << 18
 CELL_BLOCKS = 64
 ROWS_PER_CELL = 50_000
+LEAST_CELLS = 256
 MAX_CELLS = 200_000
 MAX_SOURCES = 1_000_000
 
@@ -118,11 +120,20 @@ def cell_plan(words: int, quota: int, block: int, salt: int) -> tuple[int, ...]:
     return passes, left // width, left % width, n, step, start, width
 
 
+KEYS = ("__lk_key", "__lk_key2")
+
+
+def row_keys(id_col: str, text_col: str, source_col: str) -> list[Column]:
+    """Two hashes of 64 bits that tell rows of different id, source or text apart."""
+    columns = [F.col(id_col), F.col(source_col), F.col(text_col)]
+    return [F.xxhash64(*columns).alias(KEYS[0]), F.xxhash64(F.lit(31), *columns).alias(KEYS[1])]
+
+
 def mix(
     docs: DataFrame, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: tuple = WEIGHTS, repeats: int = MAX_REPEATS, blocks: int = BLOCKS,
 ) -> DataFrame:
-    """``doc_id, source, size, source_size, target, taken, passes, cuts`` for every row.
+    """``doc_id, source, size, source_size, target, taken, passes, cuts`` for every row, and its keys for ``apply_mix``.
 
     The mix takes a document ``passes`` times as a whole and once more the words of
     ``cuts``, an array of ``(from, to)`` word positions counted from 0, ``to`` exclusive.
@@ -132,7 +143,7 @@ def mix(
     facts = stage(
         docs.select(
             F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"),
-            F.xxhash64(F.lit(seed), F.col(id_col)).alias("order"), F.xxhash64(F.col(text_col)).alias("tie"),
+            F.xxhash64(F.lit(seed), F.col(id_col)).alias("order"), F.xxhash64(F.col(text_col)).alias("tie"), *row_keys(id_col, text_col, source_col),
         )
     )
     sums = facts.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
@@ -140,8 +151,10 @@ def mix(
         raise ValueError(f"more than {MAX_SOURCES} sources")
     sums.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     n_rows = sum(r["n"] for r in sums)
-    shards = max(1, min(max(16, -(-n_rows // ROWS_PER_CELL)), MAX_CELLS // max(1, len(sums))))
-    facts = facts.withColumn("shard", F.pmod(F.col("order"), F.lit(shards)).cast("int"))
+    per_cell = max(1, min(ROWS_PER_CELL, n_rows // LEAST_CELLS), n_rows // MAX_CELLS)
+    dealt = spark.createDataFrame([(r["source"], -(-r["n"] // per_cell)) for r in sums], "_of string, _shards long")
+    facts = facts.join(F.broadcast(dealt), F.col("source").eqNullSafe(F.col("_of")))  # at most MAX_SOURCES rows
+    facts = facts.withColumn("shard", F.pmod(F.col("order"), F.col("_shards")).cast("int")).drop("_of", "_shards")
     cells: dict = {}
     for r in facts.groupBy("source", "shard").agg(F.sum("size").alias("size")).collect():
         cells.setdefault(r["source"], {})[r["shard"]] = r["size"]
@@ -161,7 +174,7 @@ def mix(
     stream = Window.partitionBy("source", "shard").orderBy("order", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, 0)
     placed = facts.withColumn("hi", F.sum("size").over(stream)).withColumn("lo", F.col("hi") - F.col("size"))
     placed = placed.withColumnsRenamed({"source": "_source", "shard": "_shard"})
-    joined = placed.join(F.broadcast(plan_df), F.col("_source").eqNullSafe(F.col("source")) & (F.col("_shard") == F.col("shard")))  # at most MAX_CELLS rows
+    joined = placed.join(F.broadcast(plan_df), F.col("_source").eqNullSafe(F.col("source")) & (F.col("_shard") == F.col("shard")))  # a row per cell
     width = F.col("width")
     first, last = F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width)
 
@@ -177,24 +190,31 @@ def mix(
     none = F.expr("cast(array() as array<struct<`from`:bigint,`to`:bigint>>)")
     out = joined.withColumn("cuts", F.when(F.col("size") > 0, cuts).otherwise(none))
     taken = F.col("passes") * F.col("size") + F.aggregate("cuts", F.lit(0).cast("long"), lambda a, c: a + c["to"] - c["from"])
-    return out.select("doc_id", F.col("_source").alias("source"), "size", "source_size", "target", taken.cast("long").alias("taken"), "passes", "cuts")
+    return out.select("doc_id", F.col("_source").alias("source"), "size", "source_size", "target", taken.cast("long").alias("taken"), "passes", "cuts", *KEYS)
 
 
-def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+def apply_mix(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mixed corpus: each document ``passes`` times whole, and once more the words of its cuts.
 
-    Rows are matched on ``doc_id``; for repeated ids call it on tables whose ids are distinct.
+    Rows are matched on id, source and text.  Rows equal in these are one document that is taken as often as they were
+    together; of their other columns those of some row stay.  ``n_chars``, if there is one, follows the text.
     """
     # names of its own, so that no column of the documents can be meant by mistake
-    plan = mixed.select(F.col("doc_id").alias("__lk_id"), F.col("passes").cast("int").alias("__lk_passes"), F.col("cuts").alias("__lk_cuts"))
-    both = docs.join(plan, docs["doc_id"].eqNullSafe(F.col("__lk_id")))
-    words = F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))
+    keys = [F.col(k).alias(f"_{k}") for k in KEYS]
+    plan = mixed.select(*keys, F.col("passes").cast("int").alias("passes"), "cuts").groupBy(*[f"_{k}" for k in KEYS])
+    plan = plan.agg(F.sum("passes").cast("int").alias("__lk_passes"), F.collect_list(F.when(F.size("cuts") > 0, F.col("cuts"))).alias("__lk_cuts"))
+    own = docs.withColumns({f"_{k}": c for k, c in zip(KEYS, row_keys(id_col, text_col, source_col), strict=True)}).dropDuplicates([f"_{k}" for k in KEYS])
+    both = own.join(plan, [f"_{k}" for k in KEYS])
+    words = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))
+
+    def part(w):
+        return lambda cuts: F.array_join(F.flatten(F.transform(cuts, lambda c: F.slice(w, (c["from"] + 1).cast("int"), (c["to"] - c["from"]).cast("int")))), " ")
+
     # the one-element array binds the words once; a plain reference inside the lambda would cut the text anew for each piece
-    pieces = F.transform(F.array(words), lambda w: F.flatten(F.transform("__lk_cuts", lambda c: F.slice(w, (c["from"] + 1).cast("int"), (c["to"] - c["from"]).cast("int")))))
-    part = F.array_join(F.element_at(pieces, 1), " ")
-    whole = F.array_repeat(F.col("text"), F.col("__lk_passes"))
-    texts = F.when(F.size("__lk_cuts") > 0, F.concat(whole, F.array(part))).otherwise(whole)
-    out = both.withColumn("__lk_text", F.explode(texts)).withColumn("text", F.col("__lk_text"))
+    parts = F.element_at(F.transform(F.array(words), lambda w: F.transform("__lk_cuts", part(w))), 1)
+    whole = F.array_repeat(F.col(text_col), F.col("__lk_passes"))
+    texts = F.when(F.size("__lk_cuts") > 0, F.concat(whole, parts)).otherwise(whole)
+    out = both.withColumn("__lk_text", F.explode(texts)).withColumn(text_col, F.col("__lk_text"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast("long"))
+        out = out.withColumn("n_chars", F.char_length(text_col).cast("long"))
     return out.select(*docs.columns)

@@ -1,11 +1,12 @@
 """Personal data by bootstrapped contextual extraction.
 
 Four base patterns find the seeds: e-mail, IP address, payment card, phone
-number.  The words around every identifier-like token (seed or not) are its
-lexical patterns.  Patterns and instances form a bipartite graph that Spark
-scores in rounds: a pattern is as good as the share of its distinct instances
-that are believed to be of a kind, an instance is believed as much as its best
-pattern.  Tokens that high-confidence patterns introduce are added as
+number.  The words around every identifier-like token (seed or not), without case,
+digits' values and punctuation at their ends, are its lexical patterns.  Patterns and
+instances form a bipartite graph that Spark scores in rounds: a pattern is as good as
+the share of its distinct instances that are believed to be of a kind, less the fewer
+they are; an instance is believed as much as its best pattern.  Tokens that
+high-confidence patterns introduce, and that look as the kind may look, are added as
 spans of the pattern's kind; base spans always stay.
 
 One pass over the texts, in Python, gives the seeds and the graph's edges; the
@@ -26,12 +27,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._runtime import stage
+from ._runtime import settle, stage, tidy
+from .quality import row_hash
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
 MIN_SUPPORT = 3
 MIN_CONFIDENCE = 0.75
+#: So many instances of no kind are imagined with every pattern: where contexts are chance, few instances often agree.
+DOUBT = 1.5
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -43,8 +47,9 @@ _DIGIT = re.compile(r"[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _SPACES = frozenset(" \t\n\x0b\f\r")
-#: Words on either side are cut at this length, so that a pattern's size is bounded.
+#: A longer word stands in its patterns as a hash, so that a pattern's size is bounded.
 WORD_LIMIT = 40
+_EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 _DOUBLED = (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)
 
 
@@ -89,6 +94,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def _normal(word: str) -> str:
+    """A word as patterns have it; one of punctuation alone stays as it is."""
+    bare = _DIGIT.sub("0", (word.strip(_EDGES) or word).lower())
+    return bare if len(bare) <= WORD_LIMIT else hashlib.md5(bare.encode()).hexdigest()
+
+
 def _before(text: str, at: int) -> tuple[str, int]:
     """The word that ends before ``at`` and where it starts."""
     while at > 0 and text[at - 1] in _SPACES:
@@ -96,14 +107,14 @@ def _before(text: str, at: int) -> tuple[str, int]:
     end = at
     while at > 0 and text[at - 1] not in _SPACES:
         at -= 1
-    return text[max(at, end - WORD_LIMIT) : end].lower(), at
+    return _normal(text[at:end]), at
 
 
 def _after(text: str, at: int) -> str:
     n = len(text)
     while at < n and text[at] in _SPACES:
         at += 1
-    return text[at : min(_END.search(text, at).start(), at + WORD_LIMIT)].lower() if at < n else ""
+    return _normal(text[at : _END.search(text, at).start()]) if at < n else ""
 
 
 def _patterns(text: str, start: int, end: int) -> list[str]:
@@ -112,15 +123,20 @@ def _patterns(text: str, start: int, end: int) -> list[str]:
     two, _ = _before(text, at)
     out = []
     if one:
-        one = _DIGIT.sub("0", one)
         if two:
-            out.append(f"{_DIGIT.sub('0', two)} {one} _")
+            out.append(f"{two} {one} _")
         if after := _after(text, end):
-            out.append(f"{one} _ {_DIGIT.sub('0', after)}")
+            out.append(f"{one} _ {after}")
         out.append(f"{one} _")
     return out
 
 
+def _looks(token: str) -> int:
+    """The kinds that a token may be of, as bits: an e-mail has an @ inside, the others digits enough, an IP address also separators."""
+    digits = len(_NOT_DIGIT.sub("", token))
+    return ("@" in token[1:-1]) | (digits >= 4 and token.count(".") + token.count(":") >= 3) << 1 | (digits >= 12) << 2 | (7 <= digits <= 15) << 3
+
+
 def _candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Other tokens with four digits or more, or with an @ inside; kind -1."""
     taken = sorted((s, e) for _, s, e in spans)
@@ -144,7 +160,7 @@ def _candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int,
     return out
 
 
-_SCANNED = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<kind:int,start:int,end:int>>, near array<struct<kind:int,start:int,end:int,instance:string,patterns:array<string>>>"
+_SCANNED = "doc_id long, row long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<kind:int,start:int,end:int>>, near array<struct<kind:int,start:int,end:int,looks:int,instance:string,patterns:array<string>>>"
 
 
 def spans_text(spans: list[tuple[int, int, int]]) -> str:
@@ -153,10 +169,10 @@ def spans_text(spans: list[tuple[int, int, int]]) -> str:
 
 def _scan(batches):
     span = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
-    near = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("instance", pa.string()), ("patterns", pa.list_(pa.string()))])
+    near = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("looks", pa.int32()), ("instance", pa.string()), ("patterns", pa.list_(pa.string()))])
     for b in batches:
         counts, shas, bases, nears = ([], [], [], []), [], [], []
-        for value in b.column(1):
+        for value in b.column(2):
             text = value.as_py() or ""
             spans = base_spans(text)
             for k in range(4):
@@ -166,19 +182,19 @@ def _scan(batches):
             around = spans + _candidates(text, spans) if spans or _MARK.search(text) else []
             nears.append(
                 [
-                    {"kind": k, "start": s, "end": e, "instance": hashlib.md5(text[s:e].encode()).hexdigest()[:16], "patterns": _patterns(text, s, e)}
+                    {"kind": k, "start": s, "end": e, "looks": _looks(text[s:e]) if k < 0 else 0, "instance": hashlib.md5(text[s:e].encode()).hexdigest()[:16], "patterns": _patterns(text, s, e)}
                     for k, s, e in around
                 ]
             )
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), *[pa.array(c, pa.int64()) for c in counts], pa.array(shas), pa.array(bases, pa.list_(span)), pa.array(nears, pa.list_(near))],
-            names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "near"],
+            [b.column(0), b.column(1), *[pa.array(c, pa.int64()) for c in counts], pa.array(shas), pa.array(bases, pa.list_(span)), pa.array(nears, pa.list_(near))],
+            names=["doc_id", "row", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "near"],
         )
 
 
 def score(edges: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """``pattern, kind, confidence`` of the patterns that reach the confidence; ``edges`` has ``pattern, instance, kind`` (-1: unknown)."""
-    graph = stage(edges.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")))
+    graph = settle(edges.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")))
     size = graph.groupBy("pattern").agg(F.count("*").alias("n"))
     believed = graph.filter("kind >= 0").select("pattern", "instance", "kind", F.lit(1.0).alias("belief"))
     seeds = believed
@@ -186,8 +202,8 @@ def score(edges: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPPORT
     for i in range(rounds):
         support = believed.groupBy("pattern", "kind").agg(F.sum("belief").alias("mass"), F.count("*").alias("support"))
         support = support.filter(F.col("support") >= min_support)  # few patterns are left for the join with their sizes
-        scored = size.join(support, "pattern").select("pattern", "kind", (F.col("mass") / (F.col("n") + 0.5)).alias("confidence"))
-        good = stage(scored.filter(F.col("confidence") >= min_confidence))
+        scored = size.join(support, "pattern").select("pattern", "kind", (F.col("mass") / (F.col("n") + DOUBT)).alias("confidence"))
+        good = settle(scored.filter(F.col("confidence") >= min_confidence))
         if i + 1 == rounds or good.isEmpty():
             break
         # an unknown instance is believed as its best pattern, and lends that belief to its other patterns
@@ -198,12 +214,12 @@ def score(edges: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPPORT
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts, ``base_sha256``, ``base`` and ``added`` spans (arrays of kind, start, end) for every row."""
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    scanned = stage(picked.mapInArrow(_scan, _SCANNED)).withColumn("_row", F.monotonically_increasing_id())
+    """Counts, ``base_sha256``, ``base`` and ``added`` spans (arrays of kind, start, end) for every row; ``row`` tells rows apart."""
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_hash(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
+    scanned = stage(picked.mapInArrow(tidy(_scan), _SCANNED)).withColumn("_row", F.monotonically_increasing_id())
     near = scanned.filter(F.size("near") > 0).select("_row", F.explode("near").alias("x")).select("_row", "x.*").withColumn("pattern", F.explode("patterns"))
     good = score(near.select("pattern", "instance", "kind"))
-    new = near.filter("kind < 0").select("_row", "start", "end", "pattern").join(good, "pattern")
+    new = near.filter("kind < 0").select("_row", "start", "end", "looks", "pattern").join(good, "pattern").filter("looks & shiftleft(1, kind) > 0")
     best = new.groupBy("_row", "start", "end").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind"))
     per_row = best.groupBy("_row").agg(F.collect_list(F.struct("kind", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))).alias("added"))
     none = F.expr("cast(array() as array<struct<kind:int,start:int,end:int>>)")
@@ -218,27 +234,26 @@ def spans_column() -> Column:
     return F.array_join(F.transform(F.array_sort(F.concat("base", "added")), text), ",")
 
 
-def redact(docs: DataFrame) -> DataFrame:
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; overlapping spans are replaced once, named by the first.
 
-    Rows are matched on ``doc_id``, whose values must be distinct; documents without spans pass unchanged.
+    Rows are matched on id and text, so that repeated ids, null ids and equal rows keep one row each; documents without spans
+    pass unchanged.  ``n_chars``, if there is one, follows the text.
     """
-    found = detect(docs).filter(F.size("base") + F.size("added") > 0)
-    spans = found.select(F.col("doc_id").alias("__lk_id"), F.array_sort(F.concat(
-        F.transform("base", lambda x: F.struct(x["start"].alias("s"), x["end"].alias("e"), x["kind"].alias("k"))),
-        F.transform("added", lambda x: F.struct(x["start"].alias("s"), x["end"].alias("e"), x["kind"].alias("k"))),
-    )).alias("__lk_spans"))
-    joined = docs.join(spans, docs["doc_id"].eqNullSafe(F.col("__lk_id")), "left").drop("__lk_id")
+    found = detect(docs, id_col, text_col).filter(F.size("base") + F.size("added") > 0)
+    struct = lambda x: F.struct(x["start"].alias("s"), x["end"].alias("e"), x["kind"].alias("k"))
+    spans = found.select(F.col("row").alias("__lk_row"), F.col("doc_id").alias("__lk_id"), F.array_sort(F.concat(F.transform("base", struct), F.transform("added", struct))).alias("__lk_spans"))
+    spans = spans.dropDuplicates(["__lk_row", "__lk_id"])  # equal rows have equal spans
+    joined = docs.join(spans, (row_hash(id_col, text_col) == F.col("__lk_row")) & F.col(id_col).cast("long").eqNullSafe(F.col("__lk_id")), "left")
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def step(acc: Column, x: Column) -> Column:
-        apart = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, x["s"] - acc["at"]), F.element_at(names, x["k"] + 1))
+        apart = F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, x["s"] - acc["at"]), F.element_at(names, x["k"] + 1))
         return F.struct(F.when(x["s"] >= acc["at"], apart).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], x["e"]).alias("at"))
 
-    masked = F.aggregate("__lk_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.lit(2147483647) - acc["at"])))
-    text = F.when(F.col("__lk_spans").isNull(), F.col("text")).otherwise(masked)
-    out = joined.withColumn("text", text).drop("__lk_spans")
+    masked = F.aggregate("__lk_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, F.lit(2147483647) - acc["at"])))
+    out = joined.withColumn(text_col, F.when(F.col("__lk_spans").isNull(), F.col(text_col)).otherwise(masked))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast("long"))
+        out = out.withColumn("n_chars", F.char_length(text_col).cast("long"))
     return out.select(*docs.columns)
