@@ -22,13 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._runtime import pieces, stage, text_buffers
-from ._words import LOWER, shingles, word_hashes, word_spans
+from ._runtime import pieces, settle, stage, text_buffers, tidy
+from ._words import LOWER, SHINGLE, mix, shingles, word_hashes, word_spans
+from .components import components
+from .jaccard import NULL_ID, cross_links, labels, leader_links, sets_of
 
 PERMUTATIONS = 128
 SHINGLE_WORDS = 5
-BANDS = 16
-THRESHOLD = 0.8
+BANDS, BAND_ROWS = 21, 6
 _RNG = np.random.Generator(np.random.PCG64(97))
 _A = (_RNG.integers(0, 2**31, PERMUTATIONS).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
 _B = _RNG.integers(0, 2**32, PERMUTATIONS, dtype=np.uint64).astype(np.uint32)
@@ -91,36 +92,61 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             sig, some = signatures(b.column(1), k)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_hex(s, x) for s, x in zip(sig, some, strict=True)])], names=["doc_id", "fingerprint"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), "doc_id long, fingerprint string")
 
 
-def near_pairs(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE_WORDS) -> DataFrame:
-    """``left_id, right_id, jaccard`` of verified near copies between *different* texts, one link at least per similar text and band.
+def _bucketed(texts: DataFrame, k: int) -> DataFrame:
+    """Per row: number of shingles, 128 bits that tell sets apart, and a key per band of the signature."""
 
-    Equal signatures are one class, represented by its least id, so that copies are not expanded into
-    pairs; within a band's bucket every class is compared with the bucket's least class only.
-    """
-    sigs = stage(fingerprint(docs, id_col, text_col, k).filter("fingerprint <> ''"))
-    classes = sigs.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"))
-    width = PERMUTATIONS * 8 // BANDS  # hex digits
-    bands = F.array(*[F.struct(F.lit(i).alias("band"), F.xxhash64(F.substring("fingerprint", i * width + 1, width)).alias("key")) for i in range(BANDS)])
-    keyed = classes.select("doc_id", F.explode(bands).alias("b")).select("doc_id", "b.band", "b.key")
-    heads = keyed.groupBy("band", "key").agg(F.min("doc_id").alias("left_id"))
-    pairs = keyed.join(heads, ["band", "key"]).filter("doc_id > left_id").select("left_id", F.col("doc_id").alias("right_id")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    both = pairs.join(texts.withColumnsRenamed({"doc_id": "left_id", "text": "l"}), "left_id").join(texts.withColumnsRenamed({"doc_id": "right_id", "text": "r"}), "right_id")
-
-    def verify(batches):
+    def run(batches):
         for b in batches:
-            out = []
-            for l, r in zip(b.column(2), b.column(3), strict=True):
-                x, y = (np.unique(_sets(*text_buffers(pa.array([v.as_py()], pa.string())), k)[0]) for v in (l, r))
-                same = len(np.intersect1d(x, y, assume_unique=True))
-                out.append(same / max(1, len(x) + len(y) - same))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out)], names=["left_id", "right_id", "jaccard"])
-
-    checked = both.select("left_id", "right_id", "l", "r").mapInArrow(verify, "left_id long, right_id long, jaccard double")
-    return checked.filter(F.col("jaccard") >= threshold)
+            sig, some = signatures(b.column(1), k)
+            keys = np.zeros((len(b), BANDS), np.int64)
+            for i in range(BANDS):
+                rows = sig[:, i * BAND_ROWS : (i + 1) * BAND_ROWS].astype(np.uint64)
+                keys[:, i] = (mix(rows @ SHINGLE[:BAND_ROWS]) >> np.uint64(1)).astype(np.int64)
+            size, one, two = [], [], []
+            for s in sets_of(b.column(1), k):
+                size.append(len(s))
+                one.append(int(s.sum()) & 0xFFFFFFFFFFFFFFFF)
+                two.append(int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum()) & 0xFFFFFFFFFFFFFFFF)
+            bits = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (one, two)]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(size, pa.int64()), *bits, pa.array([x if y else [] for x, y in zip(keys.tolist(), some, strict=True)], pa.list_(pa.int64()))],
+                names=["node", "n_shingles", "sig1", "sig2", "bands"],
+            )
+
+    return stage(texts.mapInArrow(tidy(run), "node long, n_shingles long, sig1 long, sig2 long, bands array<long>"))
+
+
+def near_classes(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE_WORDS) -> DataFrame:
+    """``doc_id, class_id`` for every row: the least id that verified near copies reach.
+
+    Signatures are cut into bands whose buckets are joined in Spark; documents that buckets connect are held against each other,
+    all of them and not a bucket's first alone, in cells of a bounded size, and a pair counts if its sets' Jaccard similarity is
+    ``percent`` or more.  Of pairs at 80 percent all but one in 500 share a bucket.  Equal sets are one class beforehand, so copies
+    are not expanded.  Texts without words are a class each; rows that share an id are one; null ids are one, with a null class.
+    """
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("node"), F.col(text_col).alias("text"))
+    rows = _bucketed(texts, k)
+    sets = rows.filter("n_shingles > 0")
+    least = sets.groupBy("sig1", "sig2").agg(F.min("node").alias("u"))
+    copies = sets.join(least, ["sig1", "sig2"]).filter("node <> u").select("u", F.col("node").alias("v")).distinct()
+    classes = sets.join(least.select("sig1", "sig2", F.col("u").alias("node")), ["sig1", "sig2", "node"], "left_semi").dropDuplicates(["node", "sig1", "sig2"])
+    keyed = classes.select("node", F.posexplode("bands").alias("band", "bucket"))
+    heads = keyed.groupBy("band", "bucket").agg(F.min("node").alias("u"), F.count("*").alias("n")).filter("n > 1")
+    met = keyed.join(heads, ["band", "bucket"]).filter("node <> u").select("u", F.col("node").alias("v")).distinct()
+    nodes = classes.groupBy("node").agg(F.max("n_shingles").alias("n_shingles"))
+    close = leader_links(classes, texts, k, percent).filter("close")
+    members = nodes.join(labels(nodes.select("node"), met, "label"), "node").join(labels(nodes.select("node"), close, "party"), "node")
+    members = settle(members)
+    none = met.select(F.col("u").alias("p"), F.col("v").alias("q")).filter("false")
+    far = cross_links(none, members, texts, k, percent)
+    near = members.filter("node <> party").select(F.col("party").alias("u"), F.col("node").alias("v"))
+    roots = components(copies.unionByName(near).unionByName(far))
+    out = rows.select("node").join(roots, "node", "left")
+    root = F.coalesce("root", "node")
+    return out.select(F.when(F.col("node") != NULL_ID, F.col("node")).alias("doc_id"), F.when(root != NULL_ID, root).alias("class_id"))
 
 
 _EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -209,4 +235,4 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if held:
             yield from emit(True)
 
-    return dealt.select("doc_id", "text", "range", "copy").mapInArrow(run, _EDITED)
+    return dealt.select("doc_id", "text", "range", "copy").mapInArrow(tidy(run), _EDITED)
