@@ -37,10 +37,21 @@ def best_date(text: Column) -> Column:
 
 
 def all_dates(text: Column) -> Column:
-    """One ``struct(date, confidence)`` per distinct date, the surest first."""
-    found = F.filter(F.array(*_candidates(text)), lambda x: x.isNotNull())
+    """One ``struct(date, confidence)`` per distinct date, the surest first, of equal ones by pattern and place in the text."""
+    parts = []
+    for pattern, form, confidence in PATTERNS:
+        parts.append(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), _read(form, confidence)))
+    found = F.filter(F.concat(*parts), lambda x: x["date"].isNotNull())
     return F.aggregate(
         found,
         F.expr("cast(array() as array<struct<date:date,confidence:double>>)"),
         lambda kept, x: F.when(F.exists(kept, lambda k: k["date"] == x["date"]), kept).otherwise(F.concat(kept, F.array(x))),
     )
+
+
+def _read(form: str, confidence: float):
+    def of(found: Column) -> Column:
+        plain = F.regexp_replace(F.regexp_replace(found, ",", ""), "\\s+", " ")
+        return F.struct(F.try_to_date(plain, form).alias("date"), F.lit(confidence).alias("confidence"))
+
+    return of

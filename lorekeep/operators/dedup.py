@@ -37,11 +37,11 @@ def exact(docs: DataFrame, key: Column, id_col: str = "doc_id") -> DataFrame:
 
 
 def signature(shingles: Column, n: int = PERMUTATIONS) -> Column:
-    """Least (a h + b) mod p over the shingles' hashes, for each of ``n`` functions; null without shingles."""
+    """Least (a h + b) mod p over the shingles' hashes, for each of ``n`` functions; zeros without shingles."""
     pairs = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in _coefficients(n)])
-    base = F.transform(shingles, lambda s: F.crc32(s.cast("binary")) % PRIME)
+    base = F.transform(shingles, lambda s: F.conv(F.substring(F.md5(s.cast("binary")), 1, 8), 16, 10).cast("long") % PRIME)
     made = F.element_at(F.transform(F.array(base), lambda h: F.transform(pairs, lambda c: F.array_min(F.transform(h, lambda x: (c["a"] * x + c["b"]) % PRIME)))), 1)
-    return F.when(F.size(shingles) > 0, made)
+    return F.when(F.size(shingles) > 0, made).otherwise(F.array_repeat(F.lit(0).cast("long"), n))
 
 
 def signature_similarity(a: Column, b: Column) -> Column:

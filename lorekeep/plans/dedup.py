@@ -49,22 +49,26 @@ def a27(spark, d):
     return h.agg(F.sum((F.col("n") > 1).cast("long")).alias("n_groups"), F.sum(F.col("n") - 1).alias("n_copies"), F.sum((F.col("n") - 1) * F.col("size")).alias("reclaimable"))
 
 
-@query("x12_minhash_signature")
+JAC = "list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' ')))"
+PAIRS = "[" + ", ".join(f"{{'a': {a}, 'b': {b}}}" for a, b in D._coefficients(D.PERMUTATIONS)) + "]"
+SIGS = rf"""w as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[\s\p{{Z}}]+'), lambda x: x <> '') as w from documents), s as (select doc_id, case when len(w) >= 3 then {JAC} else [] end as s from w),
+h as (select doc_id, list_transform(s, lambda x: ('0x' || substr(md5(x), 1, 8))::bigint % {D.PRIME}) as h from s),
+g as (select doc_id, case when len(h) = 0 then list_transform({PAIRS}, lambda c: 0::bigint) else list_transform({PAIRS}, lambda c: list_min(list_transform(h, lambda x: (c.a::bigint * x + c.b) % {D.PRIME}))) end as sig from h)"""
+
+
+@query("x12_minhash_signature", f"with {SIGS} select doc_id, len(sig)::bigint as n, md5(array_to_string(sig, ',')) as digest from g")
 def x12(spark, d):
     s = table(spark, d, "documents").select("doc_id", D.signature(T.shingles(F.col("text"))).alias("sig"))
     return s.select("doc_id", F.size("sig").cast("long").alias("n"), F.md5(F.array_join(F.transform("sig", lambda x: x.cast("string")), ",").cast("binary")).alias("digest"))
 
 
-@query("x13_signature_similarity")
+@query("x13_signature_similarity", f"with {SIGS} select a.doc_id, round(len(list_filter(list_zip(a.sig, b.sig), lambda z: z[1] = z[2])) / {D.PERMUTATIONS}, 6) as similarity from g a join g b on b.doc_id = a.doc_id + 1")
 def x13(spark, d):
     s = table(spark, d, "documents").select("doc_id", D.signature(T.shingles(F.col("text"))).alias("sig"))
     nxt = s.select((F.col("doc_id") - 1).alias("doc_id"), F.col("sig").alias("other"))
     return s.join(nxt, "doc_id").select("doc_id", F.round(D.signature_similarity(F.col("sig"), F.col("other")), 6).alias("similarity"))
 
 
-JAC = "list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' ')))"
-
-
 @query("x11_exact_jaccard_neighbours", rf"""with w as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[\s\p{{Z}}]+'), lambda x: x <> '') as w from documents), s as (select doc_id, case when len(w) >= 3 then {JAC} else [] end as s from w),
 p as (select a.doc_id, len(list_intersect(a.s, b.s)) as same, len(a.s) as na, len(b.s) as nb from s a join s b on b.doc_id = a.doc_id + 1)
 select doc_id, round(case when na + nb - same > 0 then same::double / (na + nb - same) else 0.0::double end, 6) as jaccard from p""")

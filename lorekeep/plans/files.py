@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
+from xml.sax.saxutils import escape
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..registry import query, table
 from ..sources import files as S
+from ..sources.office import EXTRACTORS, WORDS
 from ..staging import checkpoint_folder
 
 PAGES = 7
@@ -62,6 +67,27 @@ def s05(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(S.with_fallback(F.col("text"), seen).cast("binary")).alias("digest"))
 
 
+def _packed(batches):
+    """Each text as a document file: a zip archive with its paragraphs."""
+    for b in batches:
+        out = []
+        for text in b.column(1):
+            data = io.BytesIO()
+            with zipfile.ZipFile(data, "w") as z:
+                body = "".join(f"<w:p><w:r><w:t>{escape(line)}</w:t></w:r></w:p>" for line in (text.as_py() or "").split("\n"))
+                z.writestr("word/document.xml", f'<w:document xmlns:w="{WORDS[1:-1]}"><w:body>{body}</w:body></w:document>')
+            out.append(data.getvalue())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["path", "content"])
+
+
+@query("s06_document_files", "select item_id, md5(text) as digest from benchmark")
+def s06(spark, d):
+    """Texts packed as document files and read again."""
+    made = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("path"), "text").mapInArrow(_packed, "path string, content binary")
+    files = made.select("path", F.concat("path", F.lit(".docx")).alias("name"), F.lit("docx").alias("suffix"), "content")
+    return S.extract(files, EXTRACTORS).select(F.col("path").cast("long").alias("item_id"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
 @query("s07_image_texts", "select event_id, concat_ws(chr(10) || chr(10), case when event_id % 3 > 0 then event_type end, case when event_id % 2 = 0 then concat('user ', user_id) end) as text from events")
 def s07(spark, d):
     ocr = F.when(F.col("event_id") % 3 > 0, F.concat(F.col("event_type"), F.lit(" "))).otherwise(F.lit("  "))

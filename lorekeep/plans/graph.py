@@ -28,9 +28,16 @@ def x25(spark, d):
     return names(spark, d).groupBy("doc_id", "name").agg(F.count("*").alias("n"))
 
 
-@query("x25_relations")
+# the corpus states no relationships: one of each kind, by document
+SAID = ["Alpha uses Beta", "Beta depends on Gamma and Gamma requires Delta", "Ada created Engine", "Engine is part of Museum", "Paper mentions Engine", "nothing"]
+SAYS = "r as (select doc_id, concat(text, ' . ', [" + ", ".join(f"'{x}'" for x in SAID) + f"][1 + doc_id % {len(SAID)}], ' .') as text from documents)"
+RELATED = " union all ".join(f"select doc_id, unnest(regexp_extract_all(text, '(?i){p}', 1)) as subject, '{k}' as predicate, unnest(regexp_extract_all(text, '(?i){p}', 2)) as object from r" for k, p in G.RELATIONS.items())
+
+
+@query("x25_relations", f"with {SAYS} {RELATED}")
 def x25b(spark, d):
-    return G.relations(table(spark, d, "documents").select("doc_id", "text"))
+    said = F.concat("text", F.lit(" . "), F.get(F.array(*[F.lit(x) for x in SAID]), (F.col("doc_id") % len(SAID)).cast("int")), F.lit(" ."))
+    return G.relations(table(spark, d, "documents").select("doc_id", said.alias("text")))
 
 
 @query("j01_shared_entities", f"""with {NAMES}, k as (select distinct doc_id, lower(name) as key from m)

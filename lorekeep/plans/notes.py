@@ -33,7 +33,13 @@ def x19(spark, d):
     return best.select("o_orderkey", F.date_format("b.date", "yyyy-MM-dd").alias("found"), F.col("b.confidence").alias("confidence"))
 
 
-@query("x19b_all_dates")
+DAY, MONTH = "strftime(o_orderdate, '%Y-%m-%d')::date", "date_trunc('month', o_orderdate)::date"
+
+
+@query("x19b_all_dates", f"""with d as (select o_orderkey, o_orderkey % 5 as k, {DAY} as day, {MONTH} as month, date_trunc('year', o_orderdate)::date as year, year(o_orderdate) >= 2000 as late from orders),
+a as (select o_orderkey, 1 as i, day as date, 0.9::double as confidence from d where k = 0 union all select o_orderkey, 2, day, 0.6 from d where k = 1 union all select o_orderkey, 3, month, 0.5 from d where k in (0, 2)
+ union all select o_orderkey, 4, year, 0.3 from d where k < 3 and late union all select o_orderkey, 5, '2031-01-01'::date, 0.3 from d where k = 1 union all select o_orderkey, 5, '2024-01-01'::date, 0.3 from d where k = 3),
+f as (select o_orderkey, date, arg_min(confidence, i) as confidence, min(i) as i from a group by o_orderkey, date) select o_orderkey, (row_number() over (partition by o_orderkey order by i) - 1)::integer as place, date, confidence from f""")
 def x19b(spark, d):
     return dated(spark, d).select("o_orderkey", F.posexplode(D.all_dates(F.col("text"))).alias("place", "x")).select("o_orderkey", "place", "x.date", "x.confidence")
 

@@ -1,0 +1,200 @@
+"""Operators that SQL cannot express, against versions of their own."""
+
+from __future__ import annotations
+
+import ast
+import difflib
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lorekeep import hooks, registry
+from lorekeep.operators import chunking, dedup, jobs, walks
+from lorekeep.operators import quality as K
+from lorekeep.staging import checkpoint_folder
+
+DATA = "/root/testdata/sf0.001"
+QUERIES = registry.queries()
+
+
+def texts(spark, name="documents"):
+    key = {"documents": "doc_id", "conversations": "conv_id"}[name]
+    return {(r[key], r["turn"] if name == "conversations" else 0): r["text"] for r in spark.read.parquet(f"{DATA}/{name}.parquet").collect()}
+
+
+def split(text):
+    """Sentences as the chunker cuts them, abbreviations aside (the corpus has none)."""
+    return [x for x in re.split(r"(?<=[.!?])\s+", text) if x]
+
+
+def pack(pieces, limit, overlap):
+    out, held = [], []
+    size = lambda x: len(x) // 4
+    for p in pieces:
+        if held and sum(map(size, held)) + size(p) > limit:
+            out.append(" ".join(held))
+            kept, n = [], 0
+            for q in reversed(held):
+                if n + size(q) > overlap:
+                    break
+                kept.insert(0, q)
+                n += size(q)
+            held = kept
+        held.append(p)
+    return [*out, " ".join(held)] if held else out
+
+
+def test_child_chunks(spark):
+    got = {(r.doc_id, r.chunk_index): r.n_tokens for r in QUERIES["x07_child_chunks"](spark, DATA).collect()}
+    expected = {}
+    for (i, _), t in texts(spark).items():
+        expected.update({(i, k): len(c) // 4 for k, c in enumerate(pack(split(t or ""), 150, 25))})
+    assert got == expected
+
+
+def test_ingest_counts_chunks(spark):
+    got = {r.doc_id: r for r in QUERIES["i01_ingest"](spark, DATA).collect()}
+    strip = lambda t: re.sub(r"^\s+|\s+$", "", t)
+    for (i, _), t in texts(spark).items():
+        paragraphs = [strip(x) for x in re.split(r"\n[ \t]*\n", t or "")]
+        parents, held = [], []
+        for p in filter(None, paragraphs):
+            if held and sum(len(x) // 4 for x in held) + len(p) // 4 > 1500:
+                parents.append("\n\n".join(held))
+                held = []
+            held.append(p)
+        parents += ["\n\n".join(held)] if held else []
+        n = sum(len(pack(split(p), 150, 25)) for p in parents)
+        assert (got[i].n_chunks if i in got else 0) == n
+    assert all(0 <= r.quality <= 1 for r in got.values())
+
+
+def test_code_blocks(spark):
+    got = [(r.p_partkey, r.place, r.block) for r in QUERIES["x08_code_blocks"](spark, DATA).collect()]
+    by_part = {}
+    for k, place, block in sorted(got):
+        by_part.setdefault(k, []).append(block)
+    for k, blocks in by_part.items():
+        assert len(blocks) == 3 and blocks[0].strip() == "import os" and f"def f{k}(x)" in blocks[1] and blocks[2].startswith("class C")
+        ast.parse("\n".join(blocks))
+
+
+def test_line_diffs(spark):
+    said = texts(spark, "conversations")
+    got = {(r.conv_id, r.turn): (r.added, r.removed) for r in QUERIES["x45_line_diff"](spark, DATA).collect()}
+    assert len(got) == len(said)
+    turns = {}
+    for c, t in said:
+        turns.setdefault(c, []).append(t)
+    for c, ts in turns.items():
+        before = ""
+        for t in sorted(ts):
+            lines = list(difflib.ndiff(before.split("\n"), (said[c, t] or "").split("\n")))
+            assert got[c, t] == (sum(x.startswith("+ ") for x in lines), sum(x.startswith("- ") for x in lines))
+            before = said[c, t] or ""
+
+
+def test_near_duplicates_find_what_all_pairs_find(spark):
+    """Recall of the query's own rows against all pairs of the table."""
+    got = QUERIES["j09_near_duplicates"](spark, DATA).collect()
+    near = {(r.left_id, r.right_id) for r in got if r.kind == "near"}
+    norm = {}
+    for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", F.split(F.lower("text"), r"[\s\p{Z}]+").alias("w")).collect():
+        w = [x for x in r.w if x]
+        norm[r.doc_id] = frozenset(tuple(w[k : k + 3]) for k in range(len(w) - 2))
+    copies = {r.right_id for r in got if r.kind == "copy"}
+    ids = sorted(i for i, s in norm.items() if s and i not in copies)
+    wanted = {(a, b) for a in ids for b in ids if a < b and len(norm[a] & norm[b]) >= 0.8 * len(norm[a] | norm[b])}
+    assert near <= wanted and len(near) >= 0.9 * len(wanted) > 0
+
+
+def test_semantic_duplicates_find_planted_pairs(spark):
+    r = np.random.default_rng(4)
+    base = r.standard_normal((60, 32))
+    rows = [(i, v.tolist()) for i, v in enumerate(base)]
+    for i, v in enumerate(base):
+        noise = r.standard_normal(32)
+        noise -= v * (noise @ v) / (v @ v)
+        angle = 0.44 if i % 2 else 0.5  # a cosine of 0.905 and of 0.878
+        rows.append((100 + i, (v * np.cos(angle) + noise / np.linalg.norm(noise) * np.linalg.norm(v) * np.sin(angle)).tolist()))
+    rows += [(500, base[0].tolist()), (501, [0.0] * 32), (502, None), (503, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(x.left_id, x.right_id) for x in dedup.semantic(df, 0.9, chunk=16).collect()}
+    assert got == {(i, 100 + i) for i in range(60) if i % 2}
+    assert [(x.id, x.original_id) for x in dedup.same_vectors(df).collect()] == [(500, 0)]
+    assert dedup.semantic(df.filter("false")).count() == 0
+
+
+def test_state_machines_against_plain_loops(spark):
+    r = random.Random(7)
+    rows = [(k, r.randrange(5), r.randrange(2000), r.random() < 0.4) for k in range(600)]
+    df = spark.createDataFrame(rows, "id long, who int, t long, bad boolean").repartition(5)
+    order = sorted(rows, key=lambda x: (x[1], x[2], x[0]))
+    bucket, cache, breaker = {}, {}, {}
+    allowed, hits, states = {}, {}, {}
+    for k, who, t, bad in order:
+        tokens, last = bucket.get(who, (3.0, None))
+        tokens = min(3.0, tokens + (t - last) * 0.01) if last is not None else 3.0
+        allowed[k] = tokens >= 1
+        bucket[who] = (tokens - allowed[k], t)
+        stored = cache.get(who)
+        hits[k] = stored is not None and t - stored < 100
+        cache[who] = stored if hits[k] else t
+        b = breaker.setdefault(who, {"mode": "closed", "fails": 0, "wins": 0, "since": 0})
+        if b["mode"] == "open" and t - b["since"] >= 50:
+            b.update(mode="half_open", wins=0)
+        states[k] = b["mode"]
+        if b["mode"] == "open":
+            continue
+        if bad:
+            b.update(fails=b["fails"] + 1, since=t)
+            if b["mode"] == "half_open" or b["fails"] >= 3:
+                b["mode"] = "open"
+        elif b["mode"] == "half_open":
+            b["wins"] += 1
+            if b["wins"] >= 2:
+                b.update(mode="closed", fails=0)
+        else:
+            b["fails"] = 0
+    assert {x.id: x.allowed for x in walks.token_bucket(df, "who", "t", "id", 3.0, 0.01).collect()} == allowed
+    assert {x.id: x.hit for x in walks.cache_hits(df, "who", "t", "id", 100).collect()} == hits
+    assert {x.id: x.state for x in walks.circuit_breaker(df, "who", "t", "id", "bad", 3, 2, 50).collect()} == states
+    assert walks.cache_hits(df.filter("false"), "who", "t", "id", 100).count() == 0
+
+
+def test_resumed_and_synced_tables_take_nothing_twice(spark):
+    path = f"{checkpoint_folder(spark)}/test-{random.random()}"
+    rows = spark.range(10).withColumnRenamed("id", "k")
+    for n in (4, 10, 10):
+        done = jobs.resume(rows.filter(F.col("k") < n), "k", f"{path}/job", lambda x: x.withColumn("twice", F.col("k") * 2))
+    assert sorted((x.k, x.run) for x in done.collect()) == [(k, 1 if k < 4 else 2) for k in range(10)]
+    source = rows.withColumn("updated", F.col("k"))
+    for n in (3, 3, 8):
+        taken = jobs.sync(source.filter(F.col("k") < n), "updated", f"{path}/sync")
+    assert sorted(x.k for x in taken.collect()) == list(range(8))
+
+
+def test_conflicts_by_rule_and_by_classifier(spark):
+    rows = [(1, [1.0, 0.0], "the red fox jumps over small fences"), (2, [0.99, 0.1], "the red fox never jumps over small fences"), (3, [0.0, 1.0], "not the red fox jumps over small fences"), (4, [1.0, 0.0], "red fox jumps over")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, text string")
+    assert {(x.left_id, x.right_id, x.confidence) for x in K.semantic_conflicts(df).collect()} == {(1, 2, 0.6)}
+    says = hooks.classifier(lambda pairs: ["contradiction" if "never" in a + b else "neutral" for a, b in pairs])
+    assert {(x.left_id, x.right_id, x.confidence) for x in K.semantic_conflicts(df, classify=says).collect()} == {(1, 2, 0.9)}
+
+
+def test_packing_of_nothing(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "One. Two.")], "doc_id long, text string")
+    got = [(r.doc_id, r.content) for r in chunking.children(df, ["doc_id"], "text").collect()]
+    assert got == [(3, "One. Two.")]
+
+
+def test_checkpoint_folder_must_be_shared_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    undefined = SimpleNamespace(isDefined=lambda: False)
+    context = SimpleNamespace(master="yarn", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: undefined)))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_folder(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *_: None)))
