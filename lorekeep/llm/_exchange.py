@@ -11,7 +11,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ._runtime import tidy
 
@@ -62,6 +64,32 @@ def records_of(table: pa.Table, dtype: np.dtype, kind: int | None = None) -> np.
     return np.concatenate(parts) if parts else np.zeros(0, dtype)
 
 
-def reduce_blocks(blocks: DataFrame, func: Callable, schema: str) -> DataFrame:
-    """Apply ``func(pa.Table) -> pa.Table`` to all blocks of each group."""
-    return blocks.groupBy("part").applyInArrow(tidy(func), schema)
+#: Blocks that meet in one step of a tree.
+FAN = 32
+
+
+def node_of() -> int:
+    """The number of this map task's node on the first level of a tree."""
+    return TaskContext.get().partitionId() // FAN
+
+
+def tree(blocks: DataFrame, add: Callable[[pa.Table], bytes], nodes: int) -> DataFrame:
+    """``part, kind, block`` with one block for each part: those of a part are added up ``FAN`` at a time, level by level.
+
+    ``kind`` is the node's number among ``nodes``; ``add`` makes one block of a node's.  However many map tasks there are, no
+    task holds more than ``FAN`` blocks.
+    """
+
+    def one(table: pa.Table) -> pa.Table:
+        return pa.table({"part": table.column("part")[:1], "kind": table.column("kind")[:1], "block": pa.array([add(table)], pa.binary())})
+
+    while True:
+        blocks = blocks.groupBy("part", "kind").applyInArrow(tidy(one), BLOCKS)
+        if nodes <= 1:
+            return blocks
+        blocks, nodes = blocks.withColumn("kind", F.floor(F.col("kind") / FAN).cast("int")), -(-nodes // FAN)
+
+
+def nodes_of(df: DataFrame) -> int:
+    """How many nodes the first level over ``df``'s map tasks has."""
+    return -(-max(1, df._jdf.queryExecution().toRdd().getNumPartitions()) // FAN)

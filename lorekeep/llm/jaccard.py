@@ -36,11 +36,10 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._exchange import BLOCKS, Router, records_of
+from ._exchange import BLOCKS, Router, node_of, nodes_of, records_of, tree
 from ._runtime import partitions_for, pieces, settle, stage, text_buffers, tidy
 from ._words import LOWER, U64, mix, shingles, word_hashes, word_spans
 from .components import components
@@ -54,7 +53,6 @@ CELL_SETS, CELL_GRAMS = 400, 1 << 20
 LIST = 4096
 GROUP = 1 << 18
 FAMILY = 50
-MERGE = 256
 BROADCAST_IDS = 500_000
 _SALT = mix(np.arange(1, BANDS * BAND_ROWS + 1, dtype=U64))
 _ENTRY = np.dtype([("key", "<u8"), ("label", "<i8"), ("lo", "<u4"), ("hi", "<u4"), ("rest", "<u4")])
@@ -98,21 +96,19 @@ def _sketch(texts: DataFrame, n: int) -> np.ndarray:
             # low and high bytes apart, so that the mostly empty high bytes cost nothing
             blocks = [zlib.compress(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 2).T).tobytes(), 1) for c in cut]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(cut), dtype=np.int32)), pa.array(np.full(len(cut), TaskContext.get().partitionId() // MERGE, np.int32)), pa.array(blocks, pa.binary())],
+                [pa.array(np.arange(len(cut), dtype=np.int32)), pa.array(np.full(len(cut), node_of(), np.int32)), pa.array(blocks, pa.binary())],
                 names=["part", "kind", "block"],
             )
 
-    def add(table: pa.Table) -> pa.Table:
+    def add(table: pa.Table) -> bytes:
         total = np.zeros(1 << SLICE_BITS, np.uint32)
         for x in table.column("block"):
             total += np.frombuffer(zlib.decompress(x.as_py()), np.uint8).reshape(2, -1).T.copy().view("<u2").ravel()
-        block = zlib.compress(np.ascontiguousarray(np.minimum(total, 65535).astype("<u2").view(np.uint8).reshape(-1, 2).T).tobytes(), 1)
-        return pa.table({"part": table.column("part")[:1], "kind": table.column("kind")[:1], "block": pa.array([block], pa.binary())})
+        return zlib.compress(np.ascontiguousarray(np.minimum(total, 65535).astype("<u2").view(np.uint8).reshape(-1, 2).T).tobytes(), 1)
 
     out = np.zeros(1 << SKETCH_BITS, np.uint16)
-    # slices of at most MERGE map tasks meet first, then what is left of each slice
-    merged = texts.select("text").mapInArrow(tidy(count), BLOCKS).groupBy("part", "kind").applyInArrow(tidy(add), BLOCKS).groupBy("part").applyInArrow(tidy(add), BLOCKS)
-    for r in merged.collect():  # 2 ** (SKETCH_BITS - SLICE_BITS) rows
+    read = texts.select("text")
+    for r in tree(read.mapInArrow(tidy(count), BLOCKS), add, nodes_of(read)).collect():  # 2 ** (SKETCH_BITS - SLICE_BITS) rows
         out[r["part"] << SLICE_BITS : (r["part"] + 1) << SLICE_BITS] = np.frombuffer(zlib.decompress(r["block"]), np.uint8).reshape(2, -1).T.copy().view("<u2").ravel()
     return out
 
@@ -186,7 +182,7 @@ def leader_links(classes: DataFrame, texts: DataFrame, n: int, percent: int) ->
             found = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(close, pa.bool_())], names=["u", "v", "close"])
             yield found.filter(pa.array(keep, pa.bool_()))
 
-    return settle(both.select("u", "v", "a", "b").mapInArrow(tidy(verify), "u long, v long, close boolean"))
+    return settle(both.select("u", "v", "a", "b").mapInArrow(tidy(verify), "u long, v long, close boolean"), 8)
 
 
 def labels(nodes: DataFrame, links: DataFrame, name: str) -> DataFrame:
@@ -315,7 +311,7 @@ def _label_pairs(classes: DataFrame, families: DataFrame, percent: int) -> DataF
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["p", "q"])
 
     entries = classes.select("node", "prefix", "n_shingles").join(families, "node").select("prefix", "n_shingles", "label")
-    listed = settle(entries.mapInArrow(tidy(send), BLOCKS).groupBy("part").applyInArrow(tidy(propose), "p long, q long, token long, i int, j int, block binary"))
+    listed = settle(entries.mapInArrow(tidy(send), BLOCKS).groupBy("part").applyInArrow(tidy(propose), "p long, q long, token long, i int, j int, block binary"), 8)
     pairs = listed.filter("p is not null").select("p", "q")
     duos = listed.filter("j is not null").select("token", "i", "j")
     if not duos.isEmpty():

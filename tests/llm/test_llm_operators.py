@@ -332,6 +332,15 @@ def test_jaccard_of_a_hot_template_in_small_cells(spark, monkeypatch):
     assert got == brute_components(data, 5, 80)
 
 
+def test_tree_adds_all_blocks(spark):
+    from lorekeep.llm import _exchange
+
+    rows = [(t % 3, t // _exchange.FAN, np.int64(t).tobytes()) for t in range(2000)]
+    add = lambda table: sum(np.frombuffer(x.as_buffer(), np.int64) for x in table.column("block")).tobytes()
+    got = _exchange.tree(spark.createDataFrame(rows, _exchange.BLOCKS), add, -(-2000 // _exchange.FAN)).collect()
+    assert {r["part"]: int(np.frombuffer(r["block"], np.int64)[0]) for r in got} == {p: sum(t for t in range(2000) if t % 3 == p) for p in range(3)} and len(got) == 3
+
+
 def test_long_lists_are_cut_into_blocks():
     r = np.random.default_rng(5)
     rec = np.zeros(300, jaccard._ENTRY)
