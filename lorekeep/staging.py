@@ -27,11 +27,11 @@ def stage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """``stage`` for what comes out of a shuffle: in no more files than twice the cores, so that a small frame is not hundreds of them."""
-    return stage(df.coalesce(max(8, 2 * df.sparkSession.sparkContext.defaultParallelism)))
+def settle(df: DataFrame, each: int = 2) -> DataFrame:
+    """``stage`` for what comes out of a shuffle: in no more files than ``each`` a core, so that a small frame is not hundreds of them."""
+    return stage(packed(df, each))
 
 
-def packed(df: DataFrame) -> DataFrame:
-    """``df`` in no more partitions than eight a core: what is written from it is not a great many small files."""
-    return df.coalesce(max(8, 8 * df.sparkSession.sparkContext.defaultParallelism))
+def packed(df: DataFrame, each: int = 8) -> DataFrame:
+    """``df`` in no more partitions than ``each`` a core: what is written from it is not a great many small files."""
+    return df.coalesce(max(8, each * df.sparkSession.sparkContext.defaultParallelism))
