@@ -199,7 +199,9 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     order = [r["range"] for r in firsts]
     copies = [(r["first"]["doc_id"], order[i - 1], int(i == 0)) for i, r in enumerate(firsts)]
     copy_df = F.broadcast(docs.sparkSession.createDataFrame(copies, "first_id long, to_range int, around int"))
-    copied = ranged.drop("range").join(copy_df, F.col("doc_id").eqNullSafe(F.col("first_id"))).select("doc_id", "text", F.col("to_range").alias("range"), F.lit(1).alias("copy"))
+    # of rows that share a range's first id the first one goes; the least is found before the shuffle, so a hot id is no large group
+    starts = ranged.drop("range").join(copy_df, F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy("to_range").agg(F.min(F.struct("doc_id", "text")).alias("x"))
+    copied = starts.select("x.doc_id", "x.text", F.col("to_range").alias("range"), F.lit(1).alias("copy"))
     rows = ranged.select("doc_id", "text", "range", F.lit(0).alias("copy")).unionByName(copied)
     dealt = rows.repartition(n_ranges, "range").sortWithinPartitions("range", "copy", "doc_id", "text")
 

@@ -233,6 +233,20 @@ def test_toxicity(spark, empty):
     assert none.filter("toxic").count() == 0 and none.count() == 900
 
 
+def test_toxicity_of_odd_rows(spark):
+    """Null and empty texts by the intercepts, repeated rows one by one, columns with the operator's own names ignored, a third of labels on one id."""
+    r = random.Random(5)
+    text = lambda bad: " ".join([r.choice([f"w{k}" for k in range(200)]) for _ in range(30)] + (["vile"] * 2 if bad else []))
+    data = [(i, text(i % 3 == 0), 0.5, "x") for i in range(300)] + [(1000, None, 0.1, "x"), (1001, "", 0.1, "x"), (1002, " \n", 0.1, "x"), (0, "vile vile", 0.2, "y"), (None, "vile words", 0.1, "z"), (1003, "vile " * 20_000, 0.0, None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, toxic double, y string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)] + [(7, 0)] * 100 + [(None, 1), (9, None)], "doc_id long, toxic int")
+    got = toxicity.score(docs, labels, {"toxic": F.col("toxic") == 1}).collect()
+    assert len(got) == len(data) and sum(r.doc_id == 0 for r in got) == 2
+    one = {r.doc_id: r.toxic for r in got if r.doc_id is None or r.doc_id >= 1000}
+    assert not any(one[i] for i in (1000, 1001, 1002)) and one[1003] and one[None]
+    assert sum(r.toxic == (r.doc_id % 3 == 0) for r in got if r.doc_id is not None and 0 < r.doc_id < 300) > 290
+
+
 def brute_spans(t):
     out = [(0, m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [(1, m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
@@ -284,6 +298,19 @@ def test_fingerprints(docs, empty):
     assert fingerprints.edited_likeness(docs).count() == len(rows()) and fingerprints.edited_likeness(empty).count() == 0
 
 
+def test_fingerprints_with_repeated_and_null_ids(spark):
+    """Successors in the order of id (null first) and text, where a hot id and null ids stand at the start of ranges."""
+    data = [(None, f"null id {k} " * 9) for k in range(40)] + [(5, f"hot {k} " * 12) for k in range(60)] + [(k, f"row {k} of some words here " * 4) for k in range(6, 40)] + [(5, "same"), (5, "same"), (3, None)]
+    got = fingerprints.edited_likeness(spark.createDataFrame(data, "doc_id long, text string").repartition(4)).collect()
+    order = sorted(data, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
+    expected = Counter()
+    for k, (i, t) in enumerate(order):
+        t, nxt = t or "", order[(k + 1) % len(order)][1] or ""
+        cut = len(t) // 4
+        expected[i, len(t), hashlib.sha256((t[: len(t) - cut] + nxt[:cut]).encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == expected
+
+
 def test_fingerprints_of_long_texts(spark):
     data = [(k, " ".join(f"{k}x{j}" for j in range(n))) for k, n in enumerate([20_000, 20_000, 100_000, 100_000])]
     got = fingerprints.edited_likeness(spark.createDataFrame(data, "doc_id long, text string")).orderBy("doc_id").collect()
