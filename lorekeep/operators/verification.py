@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-URL = "href=[\"']?(https?://[^\"'\\s>]+)"
+URL = "https?://[^\\s\"'<>()\\[\\]]+"
 # fixed values: patterns of numbers with a meaning, and what they count
 NUMBERS = [
     ("version", "version\\s+(\\d+(?:\\.\\d+)+)"),
@@ -19,10 +19,10 @@ NUMBERS = [
 ]
 
 
-def urls(html: Column) -> Column:
-    """Distinct http(s) links of a page, without those to the local host."""
-    found = F.array_distinct(F.regexp_extract_all(html, F.lit(URL), F.lit(1)))
-    return F.filter(found, lambda u: ~u.rlike("^https?://(localhost|127\\.0\\.0\\.1)"))
+def urls(text: Column) -> Column:
+    """Distinct http(s) links, be they bare, in an attribute or in Markdown, without punctuation at the end and without those to the local host."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(URL), F.lit(0)), lambda u: F.regexp_replace(u, "[.,;:!?]+$", ""))
+    return F.filter(F.array_distinct(found), lambda u: ~u.rlike("^https?://(localhost|127\\.0\\.0\\.1)"))
 
 
 def numbers(rows: DataFrame, text: str, keys: list[str]) -> DataFrame:

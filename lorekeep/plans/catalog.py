@@ -205,9 +205,9 @@ def k15(spark, d):
     return catalog(spark, d).groupBy(F.date_format("created_at", "yyyy-MM").alias("month"), (F.col("status") == "active").alias("stays")).agg(F.count("*").alias("n"))
 
 
-@query("j06_orphan_parents", "select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
+@query("j06_orphan_parents", "select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_orderpriority = '1-URGENT' and o_orderstatus = 'F')")
 def j06(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return table(spark, d, "customer").join(table(spark, d, "orders").filter("o_orderpriority = '1-URGENT' and o_orderstatus = 'F'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("j07_unindexed_files", "select doc_id from documents where doc_id not in (select vec_id from embeddings)")

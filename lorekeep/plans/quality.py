@@ -9,11 +9,14 @@ from ..functions import text as T
 from ..operators import verification as V
 from ..registry import query, table
 
-LINKS = r"""u as (select page_id, unnest(list_distinct(regexp_extract_all(html, 'href=["'']?(https?://[^"''\s>]+)', 1))) as url from pages), l as (select * from u where not regexp_matches(url, '^https?://(localhost|127\.0\.0\.1)'))"""
+# the pages link to paths alone: each gets its address in all three forms, and one to the local host
+PAGES = """pg as (select page_id, concat(html, ' <a href="', url, '">x</a> [m](', url, '&m=1) see ', url, '. http://localhost/x') as html from pages)"""
+LINKS = PAGES + r""", u as (select distinct page_id, regexp_replace(unnest(regexp_extract_all(html, 'https?://[^\s"''<>()\[\]]+')), '[.,;:!?]+$', '') as url from pg), l as (select * from u where not regexp_matches(url, '^https?://(localhost|127\.0\.0\.1)'))"""
 
 
 def links(spark, d):
-    return table(spark, d, "pages").select("page_id", F.explode(V.urls(F.col("html"))).alias("url"))
+    page = F.concat("html", F.lit(' <a href="'), "url", F.lit('">x</a> [m]('), "url", F.lit("&m=1) see "), "url", F.lit(". http://localhost/x"))
+    return table(spark, d, "pages").select("page_id", F.explode(V.urls(page)).alias("url"))
 
 
 @query("x23_urls", f"with {LINKS} select page_id, url from l")
@@ -38,17 +41,24 @@ def a26(spark, d):
     return s.groupBy("page_id").agg(n.alias("n_links"), F.coalesce(ok, F.lit(0).cast("long")).alias("n_ok"), F.when(n == 0, F.lit(100.0)).otherwise(F.round(100.0 * ok / n, 4)).alias("health"))
 
 
-NUMS = "n as (select conv_id, unnest(" + " || ".join("list_transform(regexp_extract_all(text, '(?i){1}', 1), lambda v: struct_pack(type := '{0}', value := v))".format(t, p.replace("\\\\", "\\")) for t, p in V.NUMBERS) + ") as f from (select page_id as conv_id, html as text from pages))"
+NUMS = "n as (select conv_id, unnest(" + " || ".join("list_transform(regexp_extract_all(text, '(?i){1}', 1), lambda v: struct_pack(type := '{0}', value := v))".format(t, p.replace("\\\\", "\\")) for t, p in V.NUMBERS) + ") as f from (select page_id as conv_id, concat(html, ' version 1.', page_id % 3, ' or version 2.0, 10 users, ', 10 + page_id % 2, ' users, 5 % in ', page_id % 4, ' days and 3 days') as text from pages))"
+
+
+def stated(spark, d):
+    """Pages with numbers of several kinds, some of which differ from each other."""
+    n = lambda k: (F.col("page_id") % k).cast("string")
+    said = F.concat("html", F.lit(" version 1."), n(3), F.lit(" or version 2.0, 10 users, "), (10 + F.col("page_id") % 2).cast("string"), F.lit(" users, 5 % in "), n(4), F.lit(" days and 3 days"))
+    return table(spark, d, "pages").select("page_id", said.alias("html"))
 
 
 @query("x21_numeric_facts", f"with {NUMS} select conv_id as page_id, f.type as type, f.value as value, count(*) as n from n group by all")
 def x21(spark, d):
-    return V.numbers(table(spark, d, "pages"), "html", ["page_id"]).groupBy("page_id", "type", "value").agg(F.count("*").alias("n"))
+    return V.numbers(stated(spark, d), "html", ["page_id"]).groupBy("page_id", "type", "value").agg(F.count("*").alias("n"))
 
 
 @query("a24_numeric_conflicts", f"with {NUMS} select conv_id as page_id, f.type as type, count(distinct f.value) as n_values, array_to_string(list_sort(list_distinct(list(f.value)))[1:2], '|') as evidence from n group by all having count(distinct f.value) > 1")
 def a24(spark, d):
-    g = V.numbers(table(spark, d, "pages"), "html", ["page_id"]).groupBy("page_id", "type")
+    g = V.numbers(stated(spark, d), "html", ["page_id"]).groupBy("page_id", "type")
     return g.agg(F.countDistinct("value").alias("n_values"), F.array_join(F.slice(F.array_sort(F.collect_set("value")), 1, 2), "|").alias("evidence")).filter("n_values > 1")
 
 

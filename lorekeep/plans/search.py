@@ -46,10 +46,10 @@ def r21(spark, d):
 
 
 @query("r24_topic_context", f"""with {_wide(P.BM25, 10).replace('rank <= 30', 'rank <= 20')}, u as (select query_id, rank, text, source, sum(length(text) // 4) over (partition by query_id order by rank rows unbounded preceding) as used from txt join documents on doc_id = id)
-select query_id, md5(string_agg(text, concat(chr(10), chr(10), '---', chr(10), chr(10)) order by rank)) as context, array_to_string(list_sort(list_distinct(list(source))), ',') as citations, max(used)::bigint as n_tokens, count(*)::integer as n_chunks from u where used <= 4000 group by query_id""")
+select query_id, md5(string_agg(text, concat(chr(10), chr(10), '---', chr(10), chr(10)) order by rank)) as context, array_to_string(list_sort(list_distinct(list(source))), ',') as citations, max(used)::bigint as n_tokens, count(*)::integer as n_chunks from u where used <= 60000 group by query_id""")
 def r24(spark, d):
     found = P.text_list(spark, d, 20).join(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.col("source").alias("citation")), "id")
-    got = Q.topic_context(found, 4000)
+    got = Q.topic_context(found, 60_000)
     return got.select("query_id", F.md5(F.col("context").cast("binary")).alias("context"), F.array_join("citations", ",").alias("citations"), "n_tokens", "n_chunks")
 
 
@@ -106,12 +106,12 @@ def t05(spark, d):
     return Q.resorted(boosted, "score")
 
 
-@query("u05_related_minus_known", f"with {G.NAMES}, k as (select distinct doc_id, lower(name) as key from m), t as (select key from k where doc_id % 100 = 0) select distinct doc_id from k where key in (select key from t) and doc_id not in (select o_orderkey from orders)")
+@query("u05_related_minus_known", f"with {G.NAMES}, k as (select distinct doc_id, lower(name) as key from m), t as (select key from k where doc_id % 100 = 0) select distinct doc_id from k where key in (select key from t) and doc_id not in (select vec_id from embeddings)")
 def u05(spark, d):
     """Documents that share a name with the stated ones, without those already known."""
     k = G.names(spark, d).select("doc_id", F.lower("name").alias("key")).distinct()
     related = k.join(k.filter("doc_id % 100 = 0").select("key").distinct(), "key", "left_semi").select("doc_id").distinct()
-    return related.join(table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id")), "doc_id", "left_anti")
+    return related.join(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_anti")
 
 
 @query("t06_best_facts", "select conv_id, turn, n_words from (select conv_id, turn, len(regexp_extract_all(text, '[a-zA-Z]+'))::integer as n_words from conversations) order by n_words desc, turn desc, conv_id limit 25")
