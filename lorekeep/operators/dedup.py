@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,12 +37,28 @@ def exact(docs: DataFrame, key: Column, id_col: str = "doc_id") -> DataFrame:
     return hashed.select("id", first.alias("original_id")).filter("id <> original_id")
 
 
-def signature(shingles: Column, n: int = PERMUTATIONS) -> Column:
-    """Least (a h + b) mod p over the shingles' hashes, for each of ``n`` functions; zeros without shingles."""
-    pairs = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in _coefficients(n)])
-    base = F.transform(shingles, lambda s: F.conv(F.substring(F.md5(s.cast("binary")), 1, 8), 16, 10).cast("long") % PRIME)
-    made = F.element_at(F.transform(F.array(base), lambda h: F.transform(pairs, lambda c: F.array_min(F.transform(h, lambda x: (c["a"] * x + c["b"]) % PRIME)))), 1)
-    return F.when(F.size(shingles) > 0, made).otherwise(F.array_repeat(F.lit(0).cast("long"), n))
+def _least(sets: pd.Series) -> pd.Series:
+    """Least (a h + b) mod p over the hashes of each set, for each of PERMUTATIONS functions; zeros for none."""
+    a, b = (np.array(x, np.int64)[:, None] for x in zip(*_coefficients(PERMUTATIONS), strict=True))
+    out = []
+    for s in sets:
+        h = (np.asarray(s, np.int64) & 0x7FFFFFFFFFFFFFFF) % PRIME
+        parts = [((a * h[None, i : i + 8192] + b) % PRIME).min(axis=1) for i in range(0, len(h), 8192)]
+        out.append(np.minimum.reduce(parts) if parts else np.zeros(PERMUTATIONS, np.int64))
+    return pd.Series(out)
+
+
+def signatures(docs: DataFrame, shingles: Column, id_col: str = "doc_id") -> DataFrame:
+    """``id_col, sig``: the MinHash signature of each row's set of shingles; zeros without any.  Hashes are expressions, the minima a batched numpy step."""
+    kind = dict(docs.dtypes)[id_col]
+    hashed = docs.select(id_col, F.transform(F.coalesce(shingles, F.array().cast("array<string>")), lambda s: F.conv(F.substring(F.md5(s.cast("binary")), 1, 8), 16, 10).cast("long")).alias("h"))
+
+    def run(batches):
+        for b in batches:
+            sets = pd.Series([x.values.to_numpy() for x in b.column(1)], dtype=object)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(_least(sets)), pa.list_(pa.int64()))], names=[id_col, "sig"])
+
+    return hashed.mapInArrow(run, f"`{id_col}` {kind}, sig array<long>")
 
 
 def signature_similarity(a: Column, b: Column) -> Column:
@@ -74,17 +91,6 @@ def jaccards(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096)
     return same / (size[0][:, None] + size[1][None, :] - same)
 
 
-def _least(sets: pd.Series) -> pd.Series:
-    """``signature`` over sets of 64-bit hashes, in place of shingles."""
-    a, b = (np.array(x, np.int64)[:, None] for x in zip(*_coefficients(PERMUTATIONS), strict=True))
-    out = []
-    for s in sets:
-        h = (np.asarray(s, np.int64) & 0x7FFFFFFF) % PRIME
-        parts = [((a * h[None, i : i + 8192] + b) % PRIME).min(axis=1) for i in range(0, len(h), 8192)]
-        out.append(np.minimum.reduce(parts))
-    return pd.Series(out)
-
-
 def meetings(keyed: DataFrame, chunk: int) -> tuple[DataFrame, DataFrame]:
     """``id, cell`` and ``unit, cell, other``: ids that share a bucket (``id, band, key``) are in the two cells of some unit.
 

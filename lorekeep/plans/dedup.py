@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import dedup as D
 from ..registry import query, table
+from ..staging import stage
 
 
 @query("j08_exact_duplicates", "with h as (select doc_id as id, min(doc_id) over (partition by sha256(text)) as original_id from documents) select id, original_id from h where id <> original_id")
@@ -58,13 +59,13 @@ g as (select doc_id, case when len(h) = 0 then list_transform({PAIRS}, lambda c:
 
 @query("x12_minhash_signature", f"with {SIGS} select doc_id, len(sig)::bigint as n, md5(array_to_string(sig, ',')) as digest from g")
 def x12(spark, d):
-    s = table(spark, d, "documents").select("doc_id", D.signature(T.shingles(F.col("text"))).alias("sig"))
+    s = D.signatures(table(spark, d, "documents"), T.shingles(F.col("text")))
     return s.select("doc_id", F.size("sig").cast("long").alias("n"), F.md5(F.array_join(F.transform("sig", lambda x: x.cast("string")), ",").cast("binary")).alias("digest"))
 
 
 @query("x13_signature_similarity", f"with {SIGS} select a.doc_id, round(len(list_filter(list_zip(a.sig, b.sig), lambda z: z[1] = z[2])) / {D.PERMUTATIONS}, 6) as similarity from g a join g b on b.doc_id = a.doc_id + 1")
 def x13(spark, d):
-    s = table(spark, d, "documents").select("doc_id", D.signature(T.shingles(F.col("text"))).alias("sig"))
+    s = stage(D.signatures(table(spark, d, "documents"), T.shingles(F.col("text"))))
     nxt = s.select((F.col("doc_id") - 1).alias("doc_id"), F.col("sig").alias("other"))
     return s.join(nxt, "doc_id").select("doc_id", F.round(D.signature_similarity(F.col("sig"), F.col("other")), 6).alias("similarity"))
 
