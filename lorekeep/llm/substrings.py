@@ -15,7 +15,8 @@ of the anchors seen twice, the only thing broadcast, keeps all other text at hom
 
 Defined results: null text has no words; texts shorter than the window keep all
 words; repeated rows are occurrences of each other; null ids are kept apart by their
-text; an empty table gives an empty result; only the id and text columns are read.
+text (the id -2**63 stands for them and counts as null); an empty table gives an empty
+result; only the id and text columns are read.
 """
 
 from __future__ import annotations
