@@ -10,35 +10,30 @@ from ..operators import retrieval as R
 from ..registry import query, table
 from . import retrieval as P
 
-DATED = "t as (select o_orderkey, case o_orderkey % 5 when 0 then concat('due ', strftime(o_orderdate, '%Y-%m-%d'), ' ok') when 1 then concat('on ', strftime(o_orderdate, '%-m/%-d/%Y'), ' or 2031') when 2 then concat('since ', strftime(o_orderdate, '%Y-%m'), ' then') when 3 then 'year 2024 only' else 'none' end as text from orders)"
+# order dates written in ten ways, by order: what each says, the surest date in it, and how sure that is
+DATED = """t as (select o_orderkey, o_orderkey % 10 as k, o_orderdate::date as day, date_trunc('month', o_orderdate)::date as month, date_trunc('year', o_orderdate)::date as year, year(o_orderdate) >= 2000 as late from orders)"""
 
 
 def dated(spark, d):
-    k, day = F.col("o_orderkey") % 5, F.col("o_orderdate")
-    text = (
-        F.when(k == 0, F.concat(F.lit("due "), F.date_format(day, "yyyy-MM-dd"), F.lit(" ok")))
-        .when(k == 1, F.concat(F.lit("on "), F.date_format(day, "M/d/yyyy"), F.lit(" or 2031")))
-        .when(k == 2, F.concat(F.lit("since "), F.date_format(day, "yyyy-MM"), F.lit(" then")))
-        .when(k == 3, F.lit("year 2024 only"))
-        .otherwise("none")
-    )
-    return table(spark, d, "orders").select("o_orderkey", text.alias("text"))
-
-
-@query("x19_best_date", r"""with """ + DATED + r""" select o_orderkey, coalesce(case when regexp_matches(text, '\b\d{4}-\d{2}-\d{2}\b') then regexp_extract(text, '\b(\d{4}-\d{2}-\d{2})\b', 1) end, case when regexp_matches(text, '\b\d{1,2}/\d{1,2}/\d{4}\b') then strftime(strptime(regexp_extract(text, '\b(\d{1,2}/\d{1,2}/\d{4})\b', 1), '%m/%d/%Y'), '%Y-%m-%d') end,
- case when regexp_matches(text, '\b\d{4}-\d{2}\b') then concat(regexp_extract(text, '\b(\d{4}-\d{2})\b', 1), '-01') end, case when regexp_matches(text, '\b20\d{2}\b') then concat(regexp_extract(text, '\b(20\d{2})\b', 1), '-01-01') end) as found,
- case when regexp_matches(text, '\b\d{4}-\d{2}-\d{2}\b') then 0.9::double when regexp_matches(text, '\b\d{1,2}/\d{1,2}/\d{4}\b') then 0.6::double when regexp_matches(text, '\b\d{4}-\d{2}\b') then 0.5::double when regexp_matches(text, '\b20\d{2}\b') then 0.3::double end as confidence from t""")
+    k, day = F.col("o_orderkey") % 10, F.col("o_orderdate")
+    said = [("due ", "yyyy-MM-dd", " ok"), ("on ", "M/d/yyyy", " or 2031"), ("since ", "yyyy-MM", " then"), None, None, ("at ", "yyyy-MM-dd'T'10:30", " sharp"), ("by ", "MMMM d, yyyy", "."), ("by ", "MMM d yyyy", "."), ("am ", "d.M.yyyy", " um"), ("in ", "MMMM yyyy", "!")]
+    text = F.when(k == 3, F.lit("year 2024 only"))
+    for i, x in enumerate(said):
+        if x is not None:
+            text = text.when(k == i, F.concat(F.lit(x[0]), F.date_format(day, x[1]), F.lit(x[2])))
+    return table(spark, d, "orders").select("o_orderkey", text.otherwise("none").alias("text"))
+
+
+@query("x19_best_date", f"""with {DATED} select o_orderkey, strftime(case when k in (0, 1, 5, 6, 7, 8) then day when k in (2, 9) then month when k = 3 then '2024-01-01'::date end, '%Y-%m-%d') as found,
+ case k when 0 then 0.9::double when 1 then 0.6::double when 2 then 0.5::double when 3 then 0.3::double when 5 then 0.95::double when 6 then 0.85::double when 7 then case when month(day) = 5 then 0.85::double else 0.8::double end when 8 then 0.6::double when 9 then 0.5::double end as confidence from t""")
 def x19(spark, d):
     best = dated(spark, d).select("o_orderkey", D.best_date(F.col("text")).alias("b"))
     return best.select("o_orderkey", F.date_format("b.date", "yyyy-MM-dd").alias("found"), F.col("b.confidence").alias("confidence"))
 
 
-DAY, MONTH = "strftime(o_orderdate, '%Y-%m-%d')::date", "date_trunc('month', o_orderdate)::date"
-
-
-@query("x19b_all_dates", f"""with d as (select o_orderkey, o_orderkey % 5 as k, {DAY} as day, {MONTH} as month, date_trunc('year', o_orderdate)::date as year, year(o_orderdate) >= 2000 as late from orders),
-a as (select o_orderkey, 1 as i, day as date, 0.9::double as confidence from d where k = 0 union all select o_orderkey, 2, day, 0.6 from d where k = 1 union all select o_orderkey, 3, month, 0.5 from d where k in (0, 2)
- union all select o_orderkey, 4, year, 0.3 from d where k < 3 and late union all select o_orderkey, 5, '2031-01-01'::date, 0.3 from d where k = 1 union all select o_orderkey, 5, '2024-01-01'::date, 0.3 from d where k = 3),
+@query("x19b_all_dates", f"""with {DATED}, a as (select o_orderkey, 1 as i, day as date, 0.95::double as confidence from t where k = 5 union all select o_orderkey, 2, day, 0.9 from t where k = 0 union all select o_orderkey, 3, day, 0.85 from t where k = 6 or (k = 7 and month(day) = 5)
+ union all select o_orderkey, 4, day, 0.8 from t where k = 7 union all select o_orderkey, 5, day, 0.6 from t where k in (1, 8) union all select o_orderkey, 7, month, 0.5 from t where k in (0, 2, 5, 9)
+ union all select o_orderkey, 9, year, 0.3 from t where k not in (3, 4) and late union all select o_orderkey, 10, '2031-01-01'::date, 0.3 from t where k = 1 union all select o_orderkey, 10, '2024-01-01'::date, 0.3 from t where k = 3),
 f as (select o_orderkey, date, arg_min(confidence, i) as confidence, min(i) as i from a group by o_orderkey, date) select o_orderkey, (row_number() over (partition by o_orderkey order by i) - 1)::integer as place, date, confidence from f""")
 def x19b(spark, d):
     return dated(spark, d).select("o_orderkey", F.posexplode(D.all_dates(F.col("text"))).alias("place", "x")).select("o_orderkey", "place", "x.date", "x.confidence")
@@ -61,9 +56,20 @@ def x48(spark, d):
     return table(spark, d, "events").select("event_id", N.repair_json(broken).alias("repaired"))
 
 
+SNIPPETS = [
+    "import os\n\ndef f{k}(x):\n    return x\n\nclass C:\n    pass\n",
+    "@cache\nasync def g{k}():\n    await h()\n\nx = {k}\n\n@a\n@b\nclass D{k}(Base):\n    def m(self):\n        def inner():\n            pass\n",
+    "def broken{k}(:\n    pass\n",
+    "  \n",
+    "# only {k} comments\nx = 1\n",
+]
+
+
 @query("x08_code_blocks")
 def x08(spark, d):
-    source = F.concat(F.lit("import os\n\ndef f"), "p_partkey", F.lit("(x):\n    return x\n\nclass C:\n    pass\n"))
+    """Sources of several kinds: functions and classes, decorators and nesting, an error, nothing, no definitions."""
+    k = F.col("p_partkey")
+    source = F.replace(F.get(F.array(*[F.lit(s) for s in SNIPPETS]), (k % len(SNIPPETS)).cast("int")), F.lit("{k}"), k.cast("string"))
     return table(spark, d, "part").select("p_partkey", F.posexplode(N.code_blocks(source)).alias("place", "block"))
 
 

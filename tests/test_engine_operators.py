@@ -73,13 +73,28 @@ def test_ingest_counts_chunks(spark):
 
 
 def test_code_blocks(spark):
-    got = [(r.p_partkey, r.place, r.block) for r in QUERIES["x08_code_blocks"](spark, DATA).collect()]
+    from lorekeep.plans.notes import SNIPPETS
+
     by_part = {}
-    for k, place, block in sorted(got):
+    for k, place, block in sorted((r.p_partkey, r.place, r.block) for r in QUERIES["x08_code_blocks"](spark, DATA).collect()):
         by_part.setdefault(k, []).append(block)
-    for k, blocks in by_part.items():
-        assert len(blocks) == 3 and blocks[0].strip() == "import os" and f"def f{k}(x)" in blocks[1] and blocks[2].startswith("class C")
-        ast.parse("\n".join(blocks))
+    seen = set()
+    for r in spark.read.parquet(f"{DATA}/part.parquet").select("p_partkey").collect():
+        k, text = r.p_partkey, SNIPPETS[r.p_partkey % len(SNIPPETS)].replace("{k}", str(r.p_partkey))
+        blocks = by_part.get(k, [])
+        seen.add(k % len(SNIPPETS))
+        if not text.strip():
+            assert not blocks
+            continue
+        assert "".join("".join(blocks).split()) == "".join(text.split())  # nothing is lost or moved
+        try:
+            defined = [n for n in ast.parse(text).body if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef))]
+        except SyntaxError:
+            assert blocks == [text]
+            continue
+        own = [b for b in blocks if any(isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)) for n in ast.parse(b).body)]
+        assert [ast.dump(ast.parse(b).body[0]) for b in own] == [ast.dump(n) for n in defined]
+    assert seen == set(range(len(SNIPPETS)))
 
 
 def test_line_diffs(spark):
