@@ -10,8 +10,10 @@ occurrences or more, the window is repeated and its words go.
 Broadcasting the automata of all shards to all documents would grow with the square of
 the corpus; here each automaton meets just the segments dealt to its shard.
 Anchors that occur once cannot carry a repeated window; a bitmap of a fixed size
-of the anchors seen twice, the only thing broadcast, keeps all other text at home
-(its false hits cost time, never results).
+of the anchors seen twice keeps all other text at home (its false hits cost time,
+never results).  The few anchors that occur very often, at most one in 100,000, would make
+shards of any size; their windows are dealt one by one, by the hash of all their words,
+and equal ones meet without an automaton.  Bitmap and hot anchors are all that is broadcast.
 
 Defined results: null text has no words; texts shorter than the window keep all
 words; repeated rows are occurrences of each other; null ids are kept apart by their
@@ -28,15 +30,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._exchange import BLOCKS, Router
+from ._exchange import BLOCKS, Router, records_of
 from ._runtime import partitions_for, pieces, text_buffers, tidy
-from ._words import U64, grams, word_hashes, word_spans
+from ._words import SHINGLE, U64, grams, mix, word_hashes, word_spans
 
 WINDOW = 35
 ANCHOR_WORDS = 8
 BITMAP_BITS = 27
 _NULL_ID = -(2**63)
-_KEY = np.dtype([("key", "<u8"), ("n", "u1")])
+HOT = 2_000
+_KEY = np.dtype([("key", "<u8"), ("n", "<u4")])
+_WINDOW = np.dtype([("key", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("start", "<i4")])
 _REF = np.dtype([("key", "<u8"), ("seg", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("start", "<i4"), ("n", "<i4")])
 _HEAD = np.dtype([("key", "<u8"), ("seg", "<u8"), ("n", "<i4")])
 _POS_BITS = U64(28)
@@ -143,10 +147,9 @@ def _hashed(batch: pa.RecordBatch, column: int):
         yield i, word_hashes(part, starts, ends), bounds
 
 
-def _seen_twice(texts: DataFrame, window: int, k: int, bits: int) -> np.ndarray:
-    """Bitmap of the anchors that occur twice or more in the corpus."""
-    n_rows = texts.count()
-    n_groups = partitions_for(n_rows * 60, 4_000_000)
+def _seen_twice(texts: DataFrame, window: int, k: int, bits: int, n_anchors: int, hot: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bitmap of the anchors that occur twice or more in the corpus, and those that occur ``hot`` times or more, in order."""
+    n_groups = partitions_for(n_anchors, 1_000_000)
 
     def find(batches):
         router = Router(n_groups)
@@ -154,28 +157,47 @@ def _seen_twice(texts: DataFrame, window: int, k: int, bits: int) -> np.ndarray:
             for _, words, bounds in _hashed(b, 0):
                 keys, counts = np.unique(anchors(words, bounds, window, k)[0], return_counts=True)
                 rec = np.empty(len(keys), _KEY)
-                rec["key"], rec["n"] = keys, np.minimum(counts, 2)
+                rec["key"], rec["n"] = keys, counts
                 yield from router.add(rec)
         yield from router.flush()
 
     def twice(table: pa.Table) -> pa.Table:
         rec = np.concatenate([np.frombuffer(x.as_buffer(), _KEY) for x in table.column("block").combine_chunks()])
         order = np.argsort(rec["key"])
-        keys, n = rec["key"][order], rec["n"][order]
-        again = np.zeros(len(keys), bool)
-        again[1:] = keys[1:] == keys[:-1]
-        hit = np.unique((keys[again | (n > 1)] >> U64(64 - bits)).astype(np.int64))
+        keys, n = rec["key"][order], rec["n"][order].astype(np.int64)
+        new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        keys, n = keys[new], np.add.reduceat(n, new)
+        hit = np.unique((keys[n > 1] >> U64(64 - bits)).astype(np.int64))
         words, which = np.unique(hit >> 6, return_inverse=True)
         value = np.zeros(len(words), np.uint64)
         np.bitwise_or.at(value, which, U64(1) << (hit & 63).astype(U64))
-        return pa.table({"word": pa.array(words, pa.int64()), "bits": pa.array(value.view(np.int64))})
+        often = keys[n >= hot].view(np.int64)
+        return pa.table(
+            {
+                "word": pa.array(np.concatenate((words, np.full(len(often), -1))), pa.int64()),
+                "bits": pa.array(np.concatenate((value.view(np.int64), np.zeros(len(often), np.int64)))),
+                "hot": pa.concat_arrays([pa.nulls(len(words), pa.int64()), pa.array(often, pa.int64())]),
+            }
+        )
 
     blocks = texts.select("text").mapInArrow(tidy(find), BLOCKS)
-    found = blocks.groupBy("part").applyInArrow(tidy(twice), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    packed = found.toArrow()  # at most 2 ** (bits - 6) rows
+    found = blocks.groupBy("part").applyInArrow(tidy(twice), "word long, bits long, hot long").groupBy("word").agg(F.bit_or("bits").alias("bits"), F.collect_set("hot").alias("hot"))
+    packed = found.toArrow()  # at most 2 ** (bits - 6) rows and n_anchors / hot hot anchors
+    word, value = packed.column("word").to_numpy(), packed.column("bits").to_numpy().view(np.uint64)
     out = np.zeros(1 << (bits - 6), np.uint64)
-    out[packed.column("word").to_numpy()] = packed.column("bits").to_numpy().view(np.uint64)
-    return out
+    out[word[word >= 0]] = value[word >= 0]
+    often = [x for s in packed.column("hot").to_pylist() for x in s]
+    return out, np.sort(np.array(often, np.int64).view(np.uint64))
+
+
+def _windows(words: np.ndarray, start: np.ndarray, count: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All windows of some runs: the run of each, where it starts, and the hash of its words."""
+    run = np.repeat(np.arange(len(start)), count)
+    at = start[run] + np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
+    h = np.full(len(at), U64(window))
+    for j in range(window):
+        h += words[at + j] * SHINGLE[j]
+    return run, at, mix(h)
 
 
 def _emit(part: np.ndarray, kind: int, blocks: list[bytes]) -> pa.RecordBatch:
@@ -242,15 +264,18 @@ def _contents(block: bytes):
         at += size
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR_WORDS, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """``doc_id, row, spans`` of the rows with repeated windows: word ranges ``(from, to)``, ``to`` exclusive; ``row`` hashes id and text."""
     texts = _rows(docs, id_col, text_col)
     bits = BITMAP_BITS
-    bitmap = texts.sparkSession.sparkContext.broadcast(_seen_twice(texts, window, k, bits))  # 2 ** (bits - 3) bytes
-    n_groups = partitions_for(texts.count() * 60, 4_000_000, 32)
+    # an anchor stands for some 14 words; a wrong guess only makes groups larger or smaller
+    n_anchors = (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 33
+    bitmap = texts.sparkSession.sparkContext.broadcast(_seen_twice(texts, window, k, bits, n_anchors, max(hot, n_anchors // 100_000)))  # 2 ** (bits - 3) bytes, 100,000 anchors
+    n_groups = partitions_for(n_anchors, 100_000)  # small groups, several a task, are dealt evenly
 
     def send(batches):
-        marked, out = bitmap.value, _Segments(n_groups)
+        (marked, often), out = bitmap.value, _Segments(n_groups)
+        single = Router(n_groups, kind=2)
         for b in batches:
             ids = b.column(0).fill_null(_NULL_ID).to_numpy()
             rows = b.column(1).to_numpy()
@@ -258,6 +283,15 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR_WORDS,
                 key, start, count = anchors(words, bounds, window, k)
                 place = (key >> U64(64 - bits)).astype(np.int64)
                 hit = np.flatnonzero((marked[place >> 6] >> (place & 63).astype(U64)) & U64(1))
+                if len(often) and len(hit):
+                    found = np.minimum(np.searchsorted(often, key[hit]), len(often) - 1)
+                    heavy = often[found] == key[hit]
+                    _, at, h = _windows(words, start[hit[heavy]], count[hit[heavy]], window)
+                    hit = hit[~heavy]
+                    doc = np.searchsorted(bounds, at, side="right") - 1
+                    own = np.empty(len(at), _WINDOW)
+                    own["key"], own["doc"], own["row"], own["start"] = h, ids[first + doc], rows[first + doc], at - bounds[doc]
+                    yield from single.add(own)
                 if not len(hit):
                     continue
                 doc = np.searchsorted(bounds, start[hit], side="right") - 1
@@ -268,20 +302,24 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR_WORDS,
                 refs["seg"] = [_digest(w) for w in pieces_]
                 yield from out.add(refs, pieces_)
         yield from out.flush()
+        yield from single.flush()
 
     def shard(table: pa.Table) -> pa.Table:
         refs, contents = [], {}
         for kind, block in zip(table.column("kind").to_pylist(), table.column("block").combine_chunks(), strict=True):
             if kind == 0:
                 refs.append(np.frombuffer(block.as_buffer(), _REF))
-            else:
+            elif kind == 1:
                 for key, seg, raw in _contents(block.as_py()):
                     contents.setdefault((key, seg), raw)
-        rec = np.concatenate(refs)
+        rec = np.concatenate(refs) if refs else np.zeros(0, _REF)
         rec = rec[np.lexsort((rec["seg"], rec["key"]))]
-        new_key = np.flatnonzero(np.concatenate(([True], rec["key"][1:] != rec["key"][:-1])))
-        ends = np.concatenate((new_key[1:], [len(rec)]))
-        doc, row, lo, hi = [], [], [], []
+        new_key = np.flatnonzero(np.concatenate((np.ones(min(1, len(rec)), bool), rec["key"][1:] != rec["key"][:-1])))
+        ends = np.concatenate((new_key[1:], [len(rec)])) if len(rec) else new_key
+        alone = records_of(table, _WINDOW, 2)
+        _, which, seen = np.unique(alone["key"], return_inverse=True, return_counts=True)
+        alone = alone[seen[which] > 1]
+        doc, row, lo, hi = [alone["doc"]], [alone["row"]], [alone["start"].astype(np.int64)], [alone["start"].astype(np.int64) + window]
         for a, z in zip(new_key.tolist(), ends.tolist(), strict=True):
             own = rec[a:z]
             if z - a == 1 and own["n"][0] == 1:
@@ -329,9 +367,9 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
 
 
-def remove_repeated(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeated(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR_WORDS, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """``doc_id, n_words, n_removed, kept`` for every row; ``kept`` holds the words that stay, joined by one space."""
-    spans = repeated_spans(docs, window, k, id_col, text_col).withColumnsRenamed({"doc_id": "_doc", "row": "_row"})
+    spans = repeated_spans(docs, window, k, id_col, text_col, hot).withColumnsRenamed({"doc_id": "_doc", "row": "_row"})
     texts = _rows(docs, id_col, text_col)
     joined = texts.join(spans, (texts["row"] == F.col("_row")) & texts["doc_id"].eqNullSafe(F.col("_doc")), "left")
 

@@ -482,7 +482,8 @@ def test_language_model_scores_a_copy_of_training_text_higher(spark):
     assert min(copies) > max(others)
 
 
-def test_repeated_passages(docs, empty):
+@pytest.mark.parametrize("hot", [substrings.HOT, 2, 5])
+def test_repeated_passages(docs, empty, hot):
     texts = [(i, words(t)) for i, t in rows()]
     count = Counter(tuple(w[k : k + 35]) for _, w in texts for k in range(len(w) - 34))
     expected = Counter()
@@ -492,8 +493,8 @@ def test_repeated_passages(docs, empty):
             if count[tuple(w[k : k + 35])] > 1:
                 stay[k : k + 35] = [False] * 35
         expected[i, len(w), stay.count(False), " ".join(x for x, y in zip(w, stay, strict=True) if y)] += 1
-    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substrings.remove_repeated(docs).collect()) == expected
-    assert substrings.remove_repeated(empty).count() == 0
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substrings.remove_repeated(docs, hot=hot).collect()) == expected
+    assert substrings.remove_repeated(empty, hot=hot).count() == 0
 
 
 def test_automaton_counts_windows():
