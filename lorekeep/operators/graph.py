@@ -20,7 +20,7 @@ RELATIONS = {
 
 def entities(docs: DataFrame, least: int = 4) -> DataFrame:
     """``doc_id, name`` of every run of one to four capitalised words of ``least`` characters or more, one row a mention."""
-    found = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(NAME), F.lit(1))).alias("name"))
+    found = docs.select("doc_id", F.explode_outer(F.regexp_extract_all("text", F.lit(NAME), F.lit(1))).alias("name"))
     return found.filter(F.char_length("name") >= least)
 
 
@@ -78,6 +78,7 @@ def neighbours(edges: DataFrame, names: DataFrame) -> DataFrame:
 def reachable(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
     """``node, distance`` within ``hops`` undirected steps of ``start`` (column ``node``): a join per hop, without nodes seen before."""
     both = edges.select(F.col("subject").alias("a"), F.col("object").alias("b")).unionByName(edges.select(F.col("object").alias("a"), F.col("subject").alias("b"))).distinct()
+    both = settle(both, 8)  # every hop reads it
     seen = start.select("node").distinct().withColumn("distance", F.lit(0))
     front = seen
     for hop in range(1, hops + 1):

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring as S
 from ..functions import text as T
 from ..functions import vectors as V
+from ..staging import settle
 
 K1, B = 1.2, 0.75
 
@@ -33,7 +34,7 @@ def top(rows: DataFrame, by: list[str], order: list[Column], k: int, name: str =
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The full-text index: ``id, term, tf, length``."""
     tokens = docs.select(F.col(id_col).alias("id"), T.words(F.col(text_col)).alias("w")).withColumn("length", F.size("w"))
-    return tokens.select("id", "length", F.explode("w").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    return tokens.select("id", "length", F.explode_outer("w").alias("term")).filter("term is not null").groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -44,9 +45,10 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", te
     terms = queries.select("query_id", F.explode(F.array_distinct(T.words(F.col("qtext")))).alias("term"))
     sized = docs.select(F.col(id_col).alias("id"), T.words(F.col(text_col)).alias("w")).withColumn("length", F.size("w"))
     stats = sized.agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"))
-    tokens = sized.select("id", "length", F.explode("w").alias("term"))
+    # an inner explode would cut the texts once more, in a filter that it infers
+    tokens = sized.select("id", "length", F.explode_outer("w").alias("term"))
     hits = tokens.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
-    tf = hits.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    tf = settle(hits.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length")))  # of the queries' terms alone, read twice
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     joined = tf.join(F.broadcast(df), "term").join(F.broadcast(terms), "term").join(F.broadcast(stats))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))

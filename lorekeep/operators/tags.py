@@ -14,7 +14,7 @@ def keyword_scores(docs: DataFrame, taxonomy: DataFrame) -> DataFrame:
     Words are counted per document before they meet the keywords, so that a text is read once.
     """
     words = docs.select("doc_id", T.words(F.col("text")).alias("w"))
-    counted = words.select("doc_id", F.size("w").alias("n"), F.explode("w").alias("keyword")).groupBy("doc_id", "keyword").agg(F.count("*").alias("k"), F.first("n").alias("n"))
+    counted = words.select("doc_id", F.size("w").alias("n"), F.explode_outer("w").alias("keyword")).groupBy("doc_id", "keyword").agg(F.count("*").alias("k"), F.first("n").alias("n"))
     total = taxonomy.groupBy("tag").agg(F.count("*").alias("n_keywords"))
     hits = counted.join(F.broadcast(taxonomy), "keyword").groupBy("doc_id", "tag").agg(F.sum("k").alias("n_hits"), F.count("*").alias("n_found"), F.first("n").alias("n"))
     score = (F.least(F.lit(1.0), F.col("n_hits") / (F.col("n") / 100 + 1)) + F.least(F.lit(1.0), F.col("n_found") / F.col("n_keywords"))) / 2
