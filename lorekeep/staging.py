@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of input that one partition of a packed frame stands for at most.
+SHARE = 64 << 20
+
 
 def checkpoint_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; one of its own only for a session of a single machine (tests) that names none."""
@@ -27,11 +32,37 @@ def stage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """``df`` as a Parquet table in the shared folder, of which later reads take only the columns they need, and what deletes it."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}")
+    df.write.parquet(path.toString())
+    return spark.read.schema(df.schema).parquet(path.toString()), lambda: path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files and checkpoints that ``df`` is computed from."""
+    total, leaves = 0, df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
+    conf, paths = df.sparkSession._jsc.hadoopConfiguration(), df.sparkSession._jvm.org.apache.hadoop.fs.Path
+    while leaves.hasNext():
+        leaf = leaves.next()
+        file = leaf.rdd().getCheckpointFile() if leaf.nodeName().startswith("Scan ExistingRDD") or leaf.getClass().getSimpleName() == "LogicalRDD" else None
+        if file is not None and file.isDefined():
+            path = paths(file.get())
+            total += path.getFileSystem(conf).getContentSummary(path).getLength()
+        else:
+            total += int(str(leaf.stats().sizeInBytes()))
+    return total
+
+
 def settle(df: DataFrame, each: int = 2) -> DataFrame:
-    """``stage`` for what comes out of a shuffle: in no more files than ``each`` a core, so that a small frame is not hundreds of them."""
+    """``stage`` for what comes out of a shuffle: in no more files than ``packed`` allows, so that a small frame is not hundreds of them."""
     return stage(packed(df, each))
 
 
 def packed(df: DataFrame, each: int = 8) -> DataFrame:
-    """``df`` in no more partitions than ``each`` a core: what is written from it is not a great many small files."""
-    return df.coalesce(max(8, each * df.sparkSession.sparkContext.defaultParallelism))
+    """``df`` in no more partitions than ``each`` a core or one for each ``SHARE`` bytes that it is computed from, whichever is more.
+
+    What is written from a small frame is then not a great many small files, and a partition's share of a large one does not grow with it.
+    """
+    return df.coalesce(max(8, each * df.sparkSession.sparkContext.defaultParallelism, -(-input_bytes(df) // SHARE)))
