@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..registry import reach
 from ..staging import packed
-from . import bpe, fingerprints, jaccard, lm, mixing, pii, quality, sharding, substrings, toxicity
+from . import bpe, codes, fingerprints, jaccard, lm, mixing, pii, quality, sharding, substrings, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,9 +79,44 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), tokenizer_path())
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors, spread over the cores if their file has fewer splits."""
+    reach(spark)
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    if (cores := spark.sparkContext.defaultParallelism) > rows._jdf.queryExecution().toRdd().getNumPartitions():
+        return rows.repartition(cores)
+    return rows
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, books = codes.encode(embeddings(spark, sf_dir), carry=("label",))
+    digest = hashlib.sha256(",".join(str(x) for part in books for entry in part for x in entry).encode()).hexdigest()
+    hexes = F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    return codes.with_group_error(rows, "label").select("vec_id", hexes.alias("code"), "error", F.col("group_error").alias("label_error"), F.lit(digest).alias("codebooks_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Lloyd's rounds one after the other, every part against every entry."""
+    steps = [
+        "kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v, row_number() OVER (ORDER BY vec_id NULLS LAST) AS rid FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"split AS (SELECT rid, p, v[p * len(v) // {parts} + 1 : (p + 1) * len(v) // {parts}] AS x FROM kept, range({parts}) r(p))",
+        f"b0 AS (SELECT p, rid - 1 AS e, x AS c FROM split WHERE rid <= {entries})",
+    ]
+    for k in range(rounds + 1):
+        steps.append(f"a{k} AS (SELECT rid, p, any_value(x) AS x, min_by(e, d * {entries} + e) AS e, min(d) AS d FROM (SELECT s.rid, s.p, s.x, b.e, list_sum(list_transform(list_zip(s.x, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM split s JOIN b{k} b USING (p)) GROUP BY rid, p)")
+        if k < rounds:
+            steps.append(f"m{k} AS (SELECT p, e, list(m ORDER BY i) AS c FROM (SELECT p, e, i, ((sum(v) - ((sum(v) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS m FROM (SELECT p, e, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM a{k}) GROUP BY p, e, i) GROUP BY p, e)")
+            steps.append(f"b{k + 1} AS (SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM b{k} b LEFT JOIN m{k} m USING (p, e))")
+    steps += [
+        f"coded AS (SELECT rid, string_agg(format('{{:02x}}', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY rid)",
+        f"book AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds})",
+    ]
+    return f"WITH {', '.join(steps)} SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM kept JOIN coded USING (rid), book"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op13_codes": _codes_sql()}
