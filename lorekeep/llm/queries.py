@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..registry import reach
 from ..staging import packed
-from . import bpe, codes, fingerprints, jaccard, lm, mixing, pii, quality, sharding, substrings, toxicity
+from . import bpe, codes, fingerprints, jaccard, lm, mixing, packing, pii, quality, sharding, substrings, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +81,19 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), tokenizer_path())
 
 
+def _crc32(batches):
+    for b in batches:
+        ids = b.column(b.schema.get_field_index("ids"))
+        flat, cuts = ids.values.to_numpy().astype("<u4"), ids.offsets.to_numpy()
+        found = [zlib.crc32(flat[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)]
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "start", "length")), pa.array(found, pa.int64()), *(b.column(c) for c in ("doc_tokens", "sequence_id", "offset"))], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(documents(spark, sf_dir), tokenizer_path(), size=2048)
+    return pieces.mapInArrow(_crc32, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+
+
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vectors, spread over the cores if their file has fewer splits."""
     reach(spark)
