@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..registry import reach
 from ..staging import packed
-from . import bpe, codes, fingerprints, jaccard, lm, mixing, packing, pii, quality, sharding, substrings, toxicity
+from . import bpe, codes, fingerprints, jaccard, lm, mixing, packing, pii, quality, sharding, substrings, toxicity, txlog
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +81,19 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), tokenizer_path())
 
 
+def op11_txlog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    toxic = spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic = 1").select(F.col("doc_id").alias("_toxic")).distinct()
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    kind, key = h % 23, F.floor(h / 100) % 300
+    action = F.when(kind <= 1, "commit").when(kind == 2, "abort").when(kind <= 4, "savepoint").when(kind <= 6, "rollback").otherwise("change")
+    weight = F.crc32(F.concat_ws(":", key.cast("string"), F.col("text")).cast("binary"))
+    rows = documents(spark, sf_dir).select("doc_id", "source", action.alias("action"), key.alias("key"), F.when(F.col("text").isNotNull(), weight).alias("weight"))
+    rows = rows.join(toxic.hint("merge"), F.col("doc_id") == F.col("_toxic"), "left").withColumn("weight", F.when(F.col("_toxic").isNull(), F.col("weight")))
+    log = txlog.reassemble(rows, "doc_id", "source", "action", "key", "weight")
+    undone = log.changes.where("fate <> 'commit'").select(F.col("fate").alias("kind"), F.col("place").alias("id"), F.col("by_place").alias("n"), F.col("key").alias("value"))
+    return txlog.states(log).select(F.lit("state").alias("kind"), F.col("epoch").alias("id"), F.col("n_keys").alias("n"), F.col("weight").alias("value")).unionByName(undone)
+
+
 def _crc32(batches):
     for b in batches:
         ids = b.column(b.schema.get_field_index("ids"))
