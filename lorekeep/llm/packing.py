@@ -26,6 +26,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,70 +36,105 @@ from . import bpe
 from ._exchange import FAN
 from ._runtime import pieces, text_buffers, tidy
 
-#: Words kept with their ids, per worker; the table starts anew when full.  A bound on memory alone.
-WORDS = 1 << 19
+#: Words kept with their ids, per worker, and as many pieces of words; a table starts anew when full.  A bound on memory alone.
+WORDS = 1 << 20
 #: Bytes of text whose words are looked up at once, and tokens in a batch of pieces.
 TEXT, TOKENS = 1 << 24, 1 << 20
 #: Bits of a sequence id that count inside one task, and above these the task's number and level.
 OWN, LEVEL = 33, 26
 
 
+class Known:
+    """Strings with their ids, looked up a column at a time."""
+
+    def __init__(self):
+        self.names, self.size = [pa.array([], pa.string())], 0
+        self.flat, self.ends = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+
+    def add(self, names: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.names.append(names)
+        self.flat.append(ids)
+        self.ends.append(self.ends[-1][-1] + np.cumsum(sizes))
+        self.size += len(names)
+
+    def rows(self, names: pa.Array) -> np.ndarray:
+        """The row of each string, -1 for new ones."""
+        self.names = [pa.concat_arrays(self.names)]
+        return pc.fill_null(pc.index_in(names, self.names[0]), -1).to_numpy(zero_copy_only=False).copy()
+
+    def ids(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these rows one after the other, and how many each has."""
+        self.flat, self.ends = [np.concatenate(self.flat)], [np.concatenate(self.ends)]
+        starts, size = self.ends[0][:-1][rows], np.diff(self.ends[0])[rows]
+        total = np.cumsum(size) if len(size) else np.zeros(1, np.int64)
+        return self.flat[0][np.repeat(starts - total + size, size) + np.arange(total[-1])], size
+
+
 class Words:
-    """The ids of white-space-separated words, kept in one growing table."""
+    """The ids of white-space-separated words.  New ones are split into pieces, new pieces go to the tokenizer's model, all of a batch at once."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.rules, self.model = bpe.load(path), self.library.model
-        self.plain = not self.rules.special or all("<|" in s for s in self.rules.special)
-        self.clear()
-
-    def clear(self) -> None:
-        self.row: dict[str, int] = {"": 0}
-        self.piece: dict[str, list[int]] = {}
-        self.flat = np.zeros(1 << 20, np.int32)
-        self.starts, self.used = [0, 0], 0
-
-    def of(self, word: str) -> list[int]:
-        """One word's ids.  Words that may hold a special token's string go to the library whole; others are normalised, split and given to its model."""
-        if not self.plain or "<|" in word:
-            return self.library.encode(word, add_special_tokens=False).ids
-        out: list[int] = []
-        for p in self.rules.words.findall(self.rules.normalise(word)):
-            ids = self.piece.get(p)
-            if ids is None:
-                letters = p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(self.rules.to_letters)
-                ids = [t.id for t in self.model.tokenize(letters)]
-                if len(p) <= 64:
-                    self.piece[p] = ids
-            out += ids
-        return out
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.library, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.bare.normalizer, self.bare.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+        self.rules = bpe.load(path)
+        self.cut = regex.compile("\n|" + self.rules.words.pattern)
+        self.last = np.array(sorted(i for t, i in self.rules.vocab.items() if t.endswith(bpe.SUFFIX)), np.int32)
+        self.words, self.pieces = Known(), Known()
+
+    def encode_pieces(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces that are not known yet; a piece's last id is one that ends a word."""
+        letters = "\n".join(new.to_pylist()).encode().decode("latin-1").translate(self.rules.to_letters)
+        split = letters.split(self.rules.letters[10])
+        groups = [" ".join(split[i : i + 1000]) for i in range(0, len(split), 1000)]
+        ids = np.concatenate([np.array(e.ids, np.int32) for e in self.bare.encode_batch_fast(groups, add_special_tokens=False)])
+        ends = np.flatnonzero(np.isin(ids, self.last)) + 1
+        if len(ends) != len(new):
+            raise ValueError("the vocabulary does not mark word ends")
+        return ids, np.diff(ends, prepend=0)
+
+    def encode_words(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words without a special token's string: normalised, split, and their pieces' ids put together."""
+        split = pa.array(self.cut.findall(self.rules.normalise("\n".join(new.to_pylist()) + "\n")), pa.string()).dictionary_encode()
+        pieces, at = split.dictionary, split.indices.to_numpy()
+        rows = self.pieces.rows(pieces)
+        sep = pc.equal(pieces, "\n").to_numpy(zero_copy_only=False)
+        fresh = (rows < 0) & ~sep
+        if fresh.any():
+            some = pieces.filter(pa.array(fresh))
+            first = self.pieces.size
+            self.pieces.add(some, *self.encode_pieces(some))
+            rows[fresh] = first + np.arange(len(some))
+        ends = sep[at]
+        ids, size = self.pieces.ids(rows[at[~ends]])
+        word = np.cumsum(ends)[~ends]
+        return ids, np.bincount(word, size, len(new)).astype(np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after the other, and each text's range of them (``n + 1`` offsets)."""
         cut = pc.ascii_split_whitespace(texts)
         words, bounds = cut.flatten().dictionary_encode(), np.concatenate(([0], np.cumsum(pc.list_value_length(cut).to_numpy(zero_copy_only=False)))).astype(np.int64)
-        if len(self.row) > WORDS or len(self.piece) > WORDS:
-            self.clear()
-        known, rows = self.row, []
-        for w in words.dictionary.to_pylist():
-            r = known.get(w)
-            if r is None:
-                ids = self.of(w)
-                if self.used + len(ids) > len(self.flat):
-                    self.flat = np.concatenate((self.flat, np.zeros(max(len(self.flat), len(ids)), np.int32)))
-                self.flat[self.used : self.used + len(ids)] = ids
-                self.used += len(ids)
-                self.starts.append(self.used)
-                r = known[w] = len(self.starts) - 2
-            rows.append(r)
-        at = np.array(rows, np.int64)[words.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
-        starts = np.array(self.starts, np.int64)
-        low, size = starts[at], starts[at + 1] - starts[at]
-        ends = np.concatenate(([0], np.cumsum(size)))
-        ids = self.flat[np.repeat(low - ends[:-1], size) + np.arange(ends[-1])]
-        return ids, ends[bounds]
+        del cut
+        if self.words.size > WORDS:
+            self.words = Known()
+        if self.pieces.size > WORDS:
+            self.pieces = Known()
+        names = words.dictionary
+        rows = self.words.rows(names)
+        special = pc.match_substring(names, "<|").to_numpy(zero_copy_only=False) if self.rules.special else np.zeros(len(names), bool)
+        for new, encode in ((~special & (rows < 0), self.encode_words), (special & (rows < 0), self.encode_special)):
+            if new.any():
+                some = names.filter(pa.array(new))
+                rows[new] = self.words.size + np.arange(len(some))
+                self.words.add(some, *encode(some))
+        ids, size = self.words.ids(rows[words.indices.to_numpy()] if len(names) else np.zeros(0, np.int32))
+        return ids, np.concatenate(([0], np.cumsum(size)))[bounds]
+
+    def encode_special(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Words that may hold a special token's string go to the library whole."""
+        ids = [np.array(e.ids, np.int32) for e in self.library.encode_batch_fast(new.to_pylist(), add_special_tokens=False)]
+        return np.concatenate(ids), np.array([len(i) for i in ids])
 
 
 @lru_cache(2)

@@ -74,7 +74,7 @@ def test_empty_and_one_document(spark, library):
 
 
 def test_words_are_the_library_s(library):
-    words, data = packing.Words(queries.tokenizer_path()), texts()
+    words, data = packing.Words(queries.tokenizer_path()), texts() + ["Σ’s ΑΣ \x85x", "a\u2028b", "<|x <|endoftext|>y"]
     for _ in range(2):  # the second time from the table
         ids, at = words.encode(pa.array([t or "" for t in data]))
         assert [ids[at[k] : at[k + 1]].tolist() for k in range(len(data))] == [library.encode(t or "", add_special_tokens=False).ids for t in data]
