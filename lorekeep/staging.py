@@ -41,17 +41,18 @@ def written(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Bytes of the files and checkpoints that ``df`` is computed from."""
+    """Bytes of the files and checkpoints that ``df`` is computed from; of other RDDs, ``SHARE`` for each partition."""
     total, leaves = 0, df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
     conf, paths = df.sparkSession._jsc.hadoopConfiguration(), df.sparkSession._jvm.org.apache.hadoop.fs.Path
     while leaves.hasNext():
         leaf = leaves.next()
-        file = leaf.rdd().getCheckpointFile() if leaf.nodeName().startswith("Scan ExistingRDD") or leaf.getClass().getSimpleName() == "LogicalRDD" else None
-        if file is not None and file.isDefined():
-            path = paths(file.get())
+        if leaf.getClass().getSimpleName() != "LogicalRDD":
+            total += int(str(leaf.stats().sizeInBytes()))
+        elif leaf.rdd().getCheckpointFile().isDefined():
+            path = paths(leaf.rdd().getCheckpointFile().get())
             total += path.getFileSystem(conf).getContentSummary(path).getLength()
         else:
-            total += int(str(leaf.stats().sizeInBytes()))
+            total += leaf.rdd().getNumPartitions() * SHARE
     return total
 
 
@@ -65,4 +66,4 @@ def packed(df: DataFrame, each: int = 8) -> DataFrame:
 
     What is written from a small frame is then not a great many small files, and a partition's share of a large one does not grow with it.
     """
-    return df.coalesce(max(8, each * df.sparkSession.sparkContext.defaultParallelism, -(-input_bytes(df) // SHARE)))
+    return df.coalesce(min((1 << 31) - 1, max(8, each * df.sparkSession.sparkContext.defaultParallelism, -(-input_bytes(df) // SHARE))))

@@ -157,3 +157,21 @@ def test_sources(spark, tmp_path):
     assert {r.text for r in S3.extract(files, {"bin": lambda x: f"{len(x)} bytes"}).collect()} == {"# hello", "2 bytes"}
     assert [r.name for r in S3.unindexed(files, spark.createDataFrame([("a.md",)], "name string")).collect()] == ["b.bin"]
     assert [tuple(r) for r in S3.terms(spark, [{"value": " X1 ", "type": "code"}, {"value": ""}, {"value": "Y"}]).collect()] == [("X1", "CODE"), ("Y", "CUSTOM")]
+
+
+def test_packed_follows_the_bytes_of_its_input(spark, monkeypatch, tmp_path):
+    from lorekeep import staging
+
+    path = str(tmp_path / "t")
+    spark.range(0, 40000, 1, 30).selectExpr("id", "uuid() as u").write.parquet(path)
+    read = spark.read.option("maxPartitionBytes", 1 << 14).parquet(path).repartition(200)
+    least = max(8, 8 * spark.sparkContext.defaultParallelism)
+    assert staging.packed(read).rdd.getNumPartitions() == least
+    monkeypatch.setattr(staging, "SHARE", 1 << 14)
+    size = staging.input_bytes(read)
+    assert size > least << 14 and staging.packed(read).rdd.getNumPartitions() == -(-size >> 14) or staging.packed(read).rdd.getNumPartitions() == 200
+    kept = staging.stage(read.groupBy((read.id % 7).alias("k")).count())
+    assert 0 < staging.input_bytes(kept.crossJoin(kept.limit(1))) < 1 << 20
+    table, drop = staging.written(read.limit(10))
+    assert table.count() == 10
+    drop()
