@@ -53,6 +53,8 @@ CELL_SETS, CELL_GRAMS = 400, 1 << 20
 LIST = 4096
 GROUP = 1 << 18
 FAMILY = 50
+#: Members of a leader that meet it in one place.
+LED = 256
 BROADCAST_IDS = 500_000
 _SALT = mix(np.arange(1, BANDS * BAND_ROWS + 1, dtype=U64))
 _ENTRY = np.dtype([("key", "<u8"), ("label", "<i8"), ("lo", "<u4"), ("hi", "<u4"), ("rest", "<u4")])
@@ -164,25 +166,32 @@ def leader_links(classes: DataFrame, texts: DataFrame, n: int, percent: int) ->
     heads = keyed.groupBy("band", "bucket").agg(F.min(F.struct(F.xxhash64("band", "node").alias("h"), "node")).alias("head"), F.count("*").alias("n"))
     heads = heads.filter("n > 1").select("band", "bucket", F.col("head.node").alias("u"))
     pairs = settle(keyed.join(heads, ["band", "bucket"]).filter("node <> u").select("u", F.col("node").alias("v")).distinct())
-    own = _texts_of(texts, pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))))
-    left = pairs.join(own.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
-    both = left.join(own.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
+    # a leader's members are dealt to cells, and its text goes once to each of them
+    cells = pairs.groupBy("u").agg(F.ceil(F.count("*") / LED).cast("int").alias("cells"))
+    dealt = pairs.join(cells, "u").select("u", F.pmod(F.xxhash64("v"), F.col("cells")).cast("int").alias("cell"), "v")
+    led = cells.select("u", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"))
+    seats = settle(led.select("u", "cell", F.lit(0).alias("member"), F.col("u").alias("node")).unionByName(dealt.select("u", "cell", F.lit(1).alias("member"), F.col("v").alias("node"))), 8)
+    own = _texts_of(texts, seats.select("node"))
+    met = seats.join(own, "node").select("u", "cell", "member", "node", "text").repartition("u", "cell").sortWithinPartitions("u", "cell", "member")
 
     def verify(batches):
-        last: tuple = (None, None)
+        lead: dict[int, list[np.ndarray]] = {}
         for b in batches:
-            keep, close = [], []
-            heads_ = b.column(2).to_pylist()
-            for a, y in zip(heads_, sets_of(b.column(3), n), strict=True):
-                if last[0] != a:
-                    last = (a, next(iter(sets_of(pa.array([a], pa.string()), n))))
-                same = len(np.intersect1d(last[1], y, assume_unique=True))
-                close.append(bool(linked(same, len(last[1]), len(y), percent)))
-                keep.append(close[-1] or bool(linked(same, len(last[1]), len(y), FAMILY)))
-            found = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(close, pa.bool_())], names=["u", "v", "close"])
-            yield found.filter(pa.array(keep, pa.bool_()))
+            at, u, v, close = (b.column(0).to_pylist(), b.column(1).to_pylist()), [], [], []
+            for h, c, member, node, s in zip(*at, b.column(2).to_pylist(), b.column(3).to_pylist(), sets_of(b.column(4), n), strict=True):
+                if not member:
+                    if (h, c) not in lead:
+                        lead = {(h, c): []}
+                    lead[h, c].append(s)  # an id of several texts leads with all of them
+                    continue
+                for a in lead.get((h, c), []):
+                    same = len(np.intersect1d(a, s, assume_unique=True))
+                    links = bool(linked(same, len(a), len(s), percent))
+                    if links or linked(same, len(a), len(s), FAMILY):
+                        u.append(h), v.append(node), close.append(links)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(close, pa.bool_())], names=["u", "v", "close"])
 
-    return settle(both.select("u", "v", "a", "b").mapInArrow(tidy(verify), "u long, v long, close boolean"), 8)
+    return settle(met.mapInArrow(tidy(verify), "u long, v long, close boolean"), 8)
 
 
 def labels(nodes: DataFrame, links: DataFrame, name: str) -> DataFrame:
@@ -420,10 +429,39 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
     return joined.select(out.alias("doc_id"), "n_shingles", F.when(root != NULL_ID, root).alias("component_id"))
 
 
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """``docs`` with a number of its own for each row or text, ``__lk_node``, and whether rows may share one.
+
+    A row's number is its id.  Rows without id, or whose id has several rows, get numbers beyond the ids, one for each id and text.
+    """
+    ids = docs.select(docs[id_col].cast("long").alias("id"))
+    counts = ids.groupBy("id").agg(F.count("*").alias("n"))
+    alone = F.col("id").isNotNull() & (F.col("n") == 1) & (F.col("id") != NULL_ID)
+    real = F.when(F.col("id") != NULL_ID, F.col("id"))
+    ends = counts.agg(F.max(real).alias("most"), F.min(real).alias("least"), F.sum((~alone).cast("long")).alias("odd")).first()
+    if not ends["odd"]:
+        return docs.withColumn("__lk_node", docs[id_col].cast("long")), False
+    odd = counts.filter(~alone).select(F.col("id").alias("__lk_id"), F.lit(True).alias("__lk_odd"))
+    marked = docs.withColumn("__lk_hash", F.sha2(docs[text_col].cast("binary"), 256))
+    marked = marked.join(odd, marked[id_col].cast("long").eqNullSafe(F.col("__lk_id")), "left").drop("__lk_id")
+    texts = marked.filter("__lk_odd").select(F.col(id_col).cast("long").alias("__lk_id"), F.col("__lk_hash").alias("__lk_of")).distinct()
+    least, most = ends["least"] or 0, ends["most"] or 0
+    beyond = most + 1 if most < 1 << 62 else least - (1 << 62)  # ids at both ends of 64 bits leave no room
+    if not -(1 << 63) <= beyond <= 1 << 62:
+        raise ValueError("no numbers are left beyond the ids")
+    numbers = stage(texts.withColumn("__lk_number", F.monotonically_increasing_id() + F.lit(beyond)))
+    same = marked[id_col].cast("long").eqNullSafe(numbers["__lk_id"]) & marked["__lk_hash"].eqNullSafe(numbers["__lk_of"])
+    joined = marked.join(numbers, same, "left").withColumn("__lk_node", F.coalesce("__lk_number", F.col(id_col).cast("long")))
+    return joined.drop("__lk_hash", "__lk_odd", "__lk_id", "__lk_of", "__lk_number"), True
+
+
 def deduplicate(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near copies: of each component, the document with the least id; of rows that share an id, one."""
-    member = settle(join(docs, n, percent, id_col, text_col))
-    heads = member.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__lk_id"))
-    out = docs.join(heads.distinct(), docs[id_col].eqNullSafe(F.col("__lk_id")), "left_semi")
-    many = heads.groupBy("__lk_id").agg(F.count("*").alias("n")).filter("n > 1")
-    return out if many.isEmpty() else out.dropDuplicates([id_col])
+    """The rows of ``docs`` without near copies: of each component one document, that with the least id.
+
+    Rows without id, or of an id that several rows have, stand for themselves and come after all others; of rows with equal id and text one stays.
+    """
+    keyed, shared = _numbered(docs, id_col, text_col)
+    member = settle(join(keyed, n, percent, "__lk_node", text_col))
+    heads = member.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__lk_node"))
+    out = keyed.join(heads.distinct(), "__lk_node", "left_semi").select(*docs.columns, "__lk_node")
+    return (out.dropDuplicates(["__lk_node"]) if shared else out).drop("__lk_node")

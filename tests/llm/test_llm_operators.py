@@ -111,6 +111,25 @@ def test_jaccard_join(docs, n, percent):
     assert got == set(brute_components(rows(), n, percent).items())
 
 
+def test_deduplicate_keeps_texts_of_rows_without_an_id_of_their_own(spark):
+    def text(k):
+        return " ".join(f"{k}w{i}" for i in range(60))
+
+    rows = [(None, text("a")), (None, text("b")), (None, text("c")), (7, text("d")), (7, text("e")), (8, text("a") + " more"), (9, text("f")), (9, text("f")), (None, None), (None, None), (10, "")]
+    kept = jaccard.deduplicate(spark.createDataFrame([(i, t, None, 1, "", "", 1, "", "") for i, t in rows], SCHEMA).repartition(3))
+    assert sorted(((r.doc_id or -1), r.text or "") for r in kept.collect()) == sorted([(-1, text("b")), (-1, text("c")), (7, text("d")), (7, text("e")), (8, text("a") + " more"), (9, text("f")), (-1, ""), (10, "")])
+    ends = [(2**63 - 1, text("a")), (5, text("b")), (5, text("c")), (None, text("d"))]
+    assert jaccard.deduplicate(spark.createDataFrame(ends, "doc_id long, text string")).count() == 4
+
+
+def test_a_leader_of_many_meets_them_in_cells(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "LED", 3)
+    base = [f"w{i}" for i in range(80)]
+    rows = [(k, " ".join(base[: 80 - k % 2] + [f"own{k}"])) for k in range(60)] + [(100 + k, " ".join(f"x{k}y{i}" for i in range(30))) for k in range(5)]
+    got = {(r.doc_id, r.component_id) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()}
+    assert got == set(brute_components(rows, 5, 80).items())
+
+
 def test_jaccard_empty_and_deduplicate(docs, empty):
     assert jaccard.join(empty).count() == 0
     kept = jaccard.deduplicate(docs)
