@@ -13,17 +13,15 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from ..functions import text as T
-from ..functions import vectors as V
 from ..staging import settle
+from . import vector_index
 
 K1, B = 1.2, 0.75
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
-    """Exact nearest neighbours: ``query_id, id, distance, rank``; ``queries`` (``query_id, qvec``) is a stated, small set."""
-    pairs = vectors.select(F.col(id_col).alias("id"), F.col(vec).alias("v")).join(F.broadcast(queries))
-    scored = pairs.select("query_id", "id", F.round(V.squared_l2(F.col("v"), F.col("qvec")), 9).alias("distance"))
-    return top(scored, ["query_id"], [F.asc("distance"), F.asc("id")], k)
+    """Exact nearest neighbours over all rows, without an index: ``query_id, id, distance, rank``; ``queries`` has ``query_id, qvec``."""
+    return vector_index.brute(vectors, queries, k, id_col, vec)
 
 
 def top(rows: DataFrame, by: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:

@@ -123,13 +123,15 @@ def r27(spark, d):
 s as (select q.vec_id, cached, round(list_sum(list_transform(list_zip(e, f), lambda z: z[1]::double * z[2]::double)) / (sqrt(list_sum(list_transform(e, lambda z: z::double * z::double))) * sqrt(list_sum(list_transform(f, lambda z: z::double * z::double)))), 6) as cosine from q, c)
 select vec_id, min(cached) as cached from s where cosine >= 0.3 group by 1""")
 def r29(spark, d):
-    """The first stored vector that is similar enough to a query's; the queries are a stated set."""
-    from ..functions import vectors as V
+    """The first stored vector that is similar enough to a query's; stored vectors have an index that is kept."""
+    from ..keep import kept
+    from ..operators import vector_index as VI
 
     e = table(spark, d, "embeddings")
-    q = F.broadcast(e.filter("vec_id % 100 = 0").select("vec_id", F.col("embedding").alias("e")))
-    pairs = e.filter("vec_id % 100 > 0").select(F.col("vec_id").alias("cached"), F.col("embedding").alias("f")).join(q)
-    return pairs.filter(F.round(V.cosine(F.col("e"), F.col("f")), 6) >= 0.3).groupBy("vec_id").agg(F.min("cached").alias("cached"))
+    stored = VI.unit(e.filter("vec_id % 100 > 0"))
+    index = VI.opened(spark, kept(spark, e, "stored", lambda path: VI.build(stored, path)))
+    asked = VI.unit(e.filter("vec_id % 100 = 0")).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+    return VI.first_within(index, asked, 0.3).select(F.col("query_id").alias("vec_id"), F.col("id").alias("cached"))
 
 
 @query("a38_retrieval_quality", f"with {P.BM25}, g as (select item_id as query_id, item_id * 11 as expected from benchmark where item_id % 100 = 0) select g.query_id, rank is not null as hit, round(coalesce(1.0::double / rank, 0.0::double), 6) as reciprocal from g left join txt on txt.query_id = g.query_id and txt.id = g.expected and rank <= 10")

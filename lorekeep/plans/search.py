@@ -133,11 +133,12 @@ EXEMPLARS = "x as (select label, vec_id as ex, embedding as xe from embeddings w
 @query("j23_taxonomy_exemplars", f"""with {EXEMPLARS}, s as (select e.vec_id, x.label as tag, round(list_sum(list_transform(list_zip(e.embedding, x.xe), lambda z: z[1]::double * z[2]::double)) / (sqrt(list_sum(list_transform(e.embedding, lambda z: z::double * z::double))) * sqrt(list_sum(list_transform(x.xe, lambda z: z::double * z::double)))), 6) as c from embeddings e, x)
 select vec_id, tag, max(c) as similarity from s group by all""")
 def j23(spark, d):
-    """Every vector against the exemplars of each tag, a stated set; the nearest one counts."""
+    """Every vector against the exemplars of each tag, in blocks; the nearest one counts."""
+    from ..operators import vector_index as VI
+
     e = table(spark, d, "embeddings")
-    exemplars = F.broadcast(e.filter("vec_id % 100 = 0").select(F.col("label").alias("tag"), F.col("embedding").alias("x")))
-    scored = e.select("vec_id", "embedding").join(exemplars).select("vec_id", "tag", F.round(V.cosine(F.col("embedding"), F.col("x")), 6).alias("c"))
-    return scored.groupBy("vec_id", "tag").agg(F.max("c").alias("similarity"))
+    exemplars = e.filter("vec_id % 100 = 0").select(F.col("label").alias("tag"), F.col("embedding").alias("qvec"))
+    return VI.best_of_groups(e, exemplars).select(F.col("id").alias("vec_id"), "tag", "similarity")
 
 
 @query("j11_semantic_conflicts", """with t as (select vec_id, embedding, text from embeddings join documents on doc_id = vec_id), i as (select vec_id, embedding, text from t union all select vec_id + 1000000, list_transform(range(1, len(embedding) + 1), lambda i: case when i > vec_id % 24 then embedding[i] else 0::float end), concat('never ', text) from t),
