@@ -77,12 +77,15 @@ def redistribute(dense: float, text: float, sparse_weight: float, has_sparse: bo
     return (dense, text, sparse_weight) if has_sparse else (dense + 0.7 * sparse_weight, text + 0.3 * sparse_weight, 0.0)
 
 
-def hybrid(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 10, weights: tuple = (0.5, 0.2, 0.3), over: int = 3) -> DataFrame:
-    """The top ``k`` of dense and full-text search, fused; ``queries`` has ``query_id, qtext, qvec``, of which one may be null."""
+def hybrid(docs: DataFrame | None, vectors: DataFrame | None, queries: DataFrame, k: int = 10, weights: tuple = (0.5, 0.2, 0.3), over: int = 3, lists: tuple | None = None) -> DataFrame:
+    """The top ``k`` of dense and full-text search, fused; ``queries`` has ``query_id, qtext, qvec``, of which one may be null.
+
+    ``lists``: the two searches, functions of queries and a number of rows, as an index gives them; else all of ``docs`` and ``vectors`` are read.
+    """
     wd, wt, _ = redistribute(*weights, has_sparse=False)
-    dense = knn(vectors, queries.filter("qvec is not null").select("query_id", "qvec"), over * k)
-    text = bm25(docs, queries.filter("qtext is not null").select("query_id", "qtext"), over * k)
-    return top(fuse({"dense": (dense, wd), "text": (text, wt)}), ["query_id"], [F.desc("rrf_score"), F.asc("id")], k)
+    dense, text = lists or ((lambda q, n: knn(vectors, q, n)), (lambda q, n: bm25(docs, q, n)))
+    found = {"dense": (dense(queries.filter("qvec is not null").select("query_id", "qvec"), over * k), wd), "text": (text(queries.filter("qtext is not null").select("query_id", "qtext"), over * k), wt)}
+    return top(fuse(found), ["query_id"], [F.desc("rrf_score"), F.asc("id")], k)
 
 
 def rerank(rows: DataFrame, scorer: Column, k: int, limit: int = 2048, threshold: float | None = None, by: str = "query_id", content: str = "content") -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..functions import vectors as V
 from ..keep import kept
 from ..operators import retrieval as R
+from ..operators import text_index as TI
 from ..operators import vector_index as VI
 from ..registry import query, table
 
@@ -52,8 +53,19 @@ def dense_list(spark, d, k=30):
     return VI.search(vector_index(spark, d), vecs(spark, d), k, exact=True)
 
 
+def text_index(spark, d):
+    """The postings of all documents, kept from the first search on."""
+    docs = table(spark, d, "documents")
+    return TI.opened(spark, kept(spark, docs, "postings", lambda path: TI.build(docs, path)))
+
+
 def text_list(spark, d, k=30):
-    return R.bm25(table(spark, d, "documents"), texts(spark, d), k)
+    return TI.search(text_index(spark, d), texts(spark, d), k)
+
+
+def indexed(spark, d):
+    """The two searches of a hybrid one, on the kept indexes."""
+    return (lambda asked, k: VI.search(vector_index(spark, d), asked, k, exact=True)), (lambda asked, k: TI.search(text_index(spark, d), asked, k))
 
 
 WD, WT, _ = R.redistribute(0.5, 0.2, 0.3, has_sparse=False)
@@ -76,6 +88,13 @@ def r02(spark, d):
     return text_list(spark, d)
 
 
+@query("r02_documents_as_queries", f"with {BM25.replace(QUERIES, 'select doc_id as query_id, text as qtext from documents where doc_id % 100 = 0').replace('rank <= 30', 'rank <= 10')} select query_id, id, score, rank from txt")
+def r02_documents(spark, d):
+    """Whole documents as queries: hundreds of terms each, the document itself at or near the top."""
+    asked = table(spark, d, "documents").filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("qtext"))
+    return TI.search(text_index(spark, d), asked, 10)
+
+
 SPARSE = r"""qs as (""" + QUERIES + r"""), qt as (select query_id, term, count(*)::double as qw from (select query_id, unnest(regexp_extract_all(lower(qtext), '[\p{L}\p{N}_]+')) as term from qs) group by all),
 dt as (select id, term, ln(1 + count(*))::double as w from (select doc_id as id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) as term from documents) group by all),
 ss as (select query_id, id, round(sum(round(w * qw, 9)::decimal(28,9))::double, 6) as score from dt join qt using (term) group by all),
@@ -83,10 +102,7 @@ spl as (select *, (row_number() over (partition by query_id order by score desc,
 
 
 def sparse_list(spark, d, k=30):
-    qw = texts(spark, d).select("query_id", F.explode(T.words(F.col("qtext"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").cast("double").alias("qw"))
-    p = R.postings(table(spark, d, "documents").select("doc_id", "text")).select("id", "term", F.log(1 + F.col("tf")).alias("w"))
-    joined = p.withColumn("w", F.col("w"))
-    return R.sparse(joined, qw, k)
+    return TI.search(text_index(spark, d), texts(spark, d), k, "sparse")
 
 
 @query("r03_sparse_search", f"with {SPARSE} select query_id, id, score, rank from spl")
@@ -127,7 +143,7 @@ HYBRID = f"{KNN}, {BM25}, {_fused('dense', 'txt', WD, WT, 10)}"
 @query("r08_hybrid_search", f"with {HYBRID} select query_id, id, rrf_score, dense_rank, text_rank, rank from fused")
 def r08(spark, d):
     q = texts(spark, d).join(vecs(spark, d), "query_id", "full_outer")
-    return R.hybrid(table(spark, d, "documents"), table(spark, d, "embeddings"), q, 10)
+    return R.hybrid(None, None, q, 10, lists=indexed(spark, d))
 
 
 @query("r09_scope_merge", f"""with {HYBRID}, l as (select doc_id, max(toxic) as toxic from labels group by 1),

@@ -65,7 +65,7 @@ def r26(spark, d):
 def r30(spark, d):
     """The plain variant: hybrid alone, ten rows beyond what is asked for, a page of it; the score is the fusion's."""
     q = P.texts(spark, d).join(P.vecs(spark, d), "query_id", "full_outer")
-    found = R.hybrid(table(spark, d, "documents"), table(spark, d, "embeddings"), q, 5 + 5 + 10)
+    found = R.hybrid(None, None, q, 5 + 5 + 10, lists=P.indexed(spark, d))
     return Q.page(found, 5, 5).select("query_id", "id", F.col("rrf_score").alias("score"), "rank", "has_more")
 
 
