@@ -11,6 +11,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from . import terms as dictionary
 
 # fixed values: kinds of secrets, their patterns and confidences
 PATTERNS = [
@@ -68,11 +69,9 @@ def redact(docs: DataFrame, found: DataFrame, least: float = 0.7) -> DataFrame:
     return joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(masked)).drop("_spans").select(*docs.columns)
 
 
-def custom_terms(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """``doc_id, term, kind, n`` for a dictionary of whole words or phrases; the dictionary (``term, kind``) is a stated, small set."""
-    pairs = docs.join(F.broadcast(terms), F.expr("contains(lower(text), lower(term))"))
-    n = (F.char_length(F.lower("text")) - F.char_length(F.replace(F.lower("text"), F.lower("term"), F.lit("")))) / F.char_length("term")
-    return pairs.select("doc_id", "term", "kind", n.cast("long").alias("n"))
+def custom_terms(docs: DataFrame, terms: DataFrame, whole_words: bool = False) -> DataFrame:
+    """``doc_id, term, kind, n, first`` for the terms of a dictionary (``term, kind``), case aside; ``terms.find`` has each occurrence with its context."""
+    return dictionary.counted(docs, terms, whole_words)
 
 
 def cards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -10,6 +10,7 @@ from xml.sax.saxutils import escape
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from ..operators import terms as TM
 from ..registry import query, table
 from ..sources import files as S
 from ..sources.office import EXTRACTORS, WORDS
@@ -213,5 +214,5 @@ def s19(spark, d):
 def s20(spark, d):
     """Blank values go, kinds are upper-cased, CUSTOM without one."""
     terms = S.terms(spark, [{"value": " license ", "type": "legal"}, {"value": "Worthless"}, {"value": "  ", "type": "x"}, {"type": "y"}])
-    hits = table(spark, d, "documents").join(F.broadcast(terms), F.expr("contains(lower(text), lower(term))")).groupBy("term").agg(F.count("*").alias("n"))
+    hits = TM.counted(table(spark, d, "documents"), terms).groupBy("term").agg(F.count("*").alias("n"))
     return terms.join(hits, "term", "left").select("term", "kind", F.coalesce("n", F.lit(0).cast("long")).alias("n"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import hooks as H
 from ..operators import ingest as I
+from ..operators import terms as TM
 from ..registry import query, table
 
 
@@ -72,7 +73,8 @@ TAXONOMY = json.dumps({"articles": {"keywords": ["the", " Der ", ""], "threshold
 @query("p07_taxonomy", "with t(tag, keyword, threshold) as (values ('articles', 'the', 0.2), ('articles', 'der', 0.2), ('abuse', 'idiot', 0.5), ('abuse', 'scum', 0.5)) select tag, keyword, threshold::double as threshold, count(doc_id) as n from t left join documents on contains(lower(text), keyword) group by all")
 def p07(spark, d):
     tax = H.taxonomy(spark, TAXONOMY)
-    hits = table(spark, d, "documents").join(F.broadcast(tax), F.expr("contains(lower(text), keyword)")).groupBy("keyword").agg(F.count("*").alias("n"))
+    words = tax.select(F.col("keyword").alias("term"), F.col("tag").alias("kind"))
+    hits = TM.counted(table(spark, d, "documents"), words).groupBy(F.col("term").alias("keyword")).agg(F.count("*").alias("n"))
     return tax.join(hits, "keyword", "left").select("tag", "keyword", "threshold", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..operators import privacy as P
+from ..operators import terms as TM
 from ..registry import query, table
 
 MAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
@@ -102,7 +103,24 @@ def a25(spark, d):
     return found(spark, d).groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_documents"))
 
 
-@query("j21_custom_terms", "with t(term, kind) as (values ('worthless', 'INSULT'), ('license', 'LEGAL'), ('token', 'SECRET')) select doc_id, term, kind, ((length(lower(text)) - length(replace(lower(text), term, ''))) // length(term))::bigint as n from documents join t on contains(lower(text), term)")
+LEXICON = [("worthless", "INSULT"), ("license", "LEGAL"), ("token", "SECRET")]
+LEXICON_SQL = "t(term, kind) as (values ('worthless', 'INSULT'), ('license', 'LEGAL'), ('token', 'SECRET'))"
+
+
+def _lexicon(spark):
+    return spark.createDataFrame(LEXICON, "term string, kind string")
+
+
+@query("j21_custom_terms", f"""with {LEXICON_SQL}, h as (select doc_id, text, term, kind, unnest(string_split(lower(text), term)) as piece, generate_subscripts(string_split(lower(text), term), 1) as i from documents join t on contains(lower(text), term)),
+p as (select *, (sum(length(piece) + length(term)) over (partition by doc_id, term order by i) - length(term))::integer as start, count(*) over (partition by doc_id, term) as n, concat('***', right(term, 4)) as masked from h),
+o as (select *, start + length(term) as "end" from p where i < n)
+select doc_id, term, kind, start, "end"::integer as "end", masked, replace(substr(text, greatest(start - 50, 0) + 1, "end" + 50 - greatest(start - 50, 0)), term, masked) as context from o""")
 def j21(spark, d):
-    terms = spark.createDataFrame([("worthless", "INSULT"), ("license", "LEGAL"), ("token", "SECRET")], "term string, kind string")
-    return P.custom_terms(table(spark, d, "documents").select("doc_id", "text"), terms)
+    return TM.find(table(spark, d, "documents"), _lexicon(spark))
+
+
+@query("j21_whole_words", rf"""with {LEXICON_SQL}, s as (select doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+') as s from documents where regexp_matches(lower(text), 'worthless|license|token')),
+w as (select doc_id, unnest(s) as term, generate_subscripts(s, 1) as i from s), p as (select doc_id, term, (sum(length(term)) over (partition by doc_id order by i) - length(term))::integer as start from w)
+select doc_id, term, kind, count(*) as n, min(start) as first from p join t using (term) group by all""")
+def j21_whole(spark, d):
+    return TM.counted(table(spark, d, "documents"), _lexicon(spark), whole_words=True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import tags as G
+from ..operators import terms as TM
 from ..registry import query, table
 
 TAX = [("articles", "the"), ("articles", "der"), ("articles", "la"), ("links", "and"), ("links", "und"), ("links", "et"), ("abuse", "idiot"), ("abuse", "scum"), ("legal", "license")]
@@ -36,10 +37,10 @@ def x39(spark, d):
     return j18(spark, d).select("tag", "other", F.least(F.lit(0.8), 0.3 + 0.1 * F.floor(F.col("n") / 300)).alias("confidence"))
 
 
-@query("j22_keyword_documents", f"with {TAX_SQL} select doc_id, tag, keyword from documents join tax on contains(lower(text), keyword) where tag = 'abuse'")
+@query("j22_keyword_documents", f"with {TAX_SQL} select doc_id, tag, keyword, ((length(text) - length(replace(lower(text), keyword, ''))) // length(keyword))::bigint as n from documents join tax on contains(lower(text), keyword)")
 def j22(spark, d):
-    tax = spark.createDataFrame([x for x in TAX if x[0] == "abuse"], "tag string, keyword string")
-    return table(spark, d, "documents").join(F.broadcast(tax), F.expr("contains(lower(text), keyword)")).select("doc_id", "tag", "keyword")
+    tax = spark.createDataFrame([(keyword, tag) for tag, keyword in TAX], "term string, kind string")
+    return TM.counted(table(spark, d, "documents"), tax).select("doc_id", F.col("kind").alias("tag"), F.col("term").alias("keyword"), "n")
 
 
 @query("a30_correction_patterns", "select l_returnflag as ai, l_linestatus as human, count(*) as n, max(l_shipdate) as last_seen from lineitem group by all")
