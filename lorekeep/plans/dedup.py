@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import dedup as D
+from ..operators.near_classes import classes
 from ..registry import query, table
 from ..staging import stage
 
@@ -15,11 +16,16 @@ def j08(spark, d):
     return D.exact(table(spark, d, "documents"), T.content_hash(F.col("text")))
 
 
-@query("j09_near_duplicates")
+@query("j09_near_duplicates", r"""with recursive w as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[\s\p{Z}]+'), lambda x: x <> '') as w from documents),
+s as (select doc_id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))) as s from w where len(w) >= 3), g as (select doc_id, len(s) as n, unnest(s) as g from s),
+p as (select a.doc_id as u, b.doc_id as v from g a join g b using (g) where a.doc_id < b.doc_id group by a.doc_id, b.doc_id, a.n, b.n having round(count(*)::double / (a.n + b.n - count(*)), 6) >= 0.8),
+b as (select doc_id, regexp_replace(lower(regexp_replace(text, '[\s\p{Z}]+', ' ', 'g')), '(^|[ ])[^\p{L}\p{N}_ ]+|[^\p{L}\p{N}_ ]+($|[ ])', ' ', 'g') as t from documents),
+h as (select min(doc_id) over (partition by trim(regexp_replace(t, ' +', ' ', 'g'))) as u, doc_id as v from b), e as (select u, v from p union select u, v from h where u <> v),
+r(id, root) as (select doc_id, doc_id from documents union select x.v, r.root from r join (select u, v from e union select v, u from e) x on x.u = r.id where r.root < x.v),
+c as (select id as doc_id, min(root) as class_id from r group by id) select doc_id, class_id, count(*) over (partition by class_id) as class_size from c""")
 def j09(spark, d):
-    docs = table(spark, d, "documents")
-    copies = D.copies(docs).select(F.col("original_id").alias("left_id"), F.col("id").alias("right_id"), F.lit(1.0).alias("jaccard"), F.lit("copy").alias("kind"))
-    return D.near(docs).withColumn("kind", F.lit("near")).unionByName(copies)
+    """A row for each document with its class; near copies are never listed as pairs."""
+    return classes(table(spark, d, "documents"))
 
 
 VECTORS = "v as (select vec_id, embedding from embeddings union all select vec_id + 1000000, list_transform(range(1, len(embedding) + 1), lambda i: case when i > vec_id % 24 then embedding[i] else 0::float end) from embeddings)"
