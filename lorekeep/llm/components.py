@@ -1,43 +1,7 @@
-"""Connected components of an edge table, by alternating large-star and small-star steps.
-
-Every step is an aggregation and a join on the node, so nothing is collected;
-the lineage is cut at each round in the shared checkpoint folder.
-"""
+"""Connected components of an edge table, as the similarity joins use them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from ._runtime import settle
-
-MAX_ROUNDS = 60
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-
+from ..operators.components import MAX_ROUNDS, components
 
-def components(edges: DataFrame) -> DataFrame:
-    """``node, root`` for every node of ``edges`` (columns ``u, v``, long); the root is the component's least node."""
-    now = settle(edges.filter("u <> v").select("u", "v").distinct())
-    mark = None
-    for _ in range(MAX_ROUNDS):
-        now = settle(_small_star(_large_star(now)))
-        seen = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        if mark == (seen["n"], seen["x"]):
-            break
-        mark = (seen["n"], seen["x"])
-    else:
-        raise RuntimeError("components did not settle")
-    roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+__all__ = ["MAX_ROUNDS", "components"]
