@@ -88,6 +88,41 @@ def reachable(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
     return seen
 
 
+def shortest_paths(edges: DataFrame, pairs: DataFrame, hops: int) -> DataFrame:
+    """``start, end, distance, path, relations`` for every pair (``start, end``): the first in order of its shortest undirected paths.
+
+    Both ends of a pair grow a frontier in turn, a join per step for all pairs at once.  A row of a frontier carries the least path to
+    its node; those before it are not entered again.  A pair is done when its frontiers meet, and leaves them.
+    ``path`` has the nodes, ``relations`` the least predicate between each two.  A pair farther apart than ``hops``, or with a null end, has nulls.
+    """
+    out = edges.select(F.col("subject").alias("a"), F.col("object").alias("b"), "predicate").unionByName(edges.select(F.col("object").alias("a"), F.col("subject").alias("b"), "predicate"))
+    both = settle(out.filter("a is not null and b is not null").groupBy("a", "b").agg(F.min("predicate").alias("said")), 8)  # every step reads it
+    asked = pairs.select("start", "end").filter("start is not null and end is not null").distinct()
+    asked = settle(asked.withColumn("id", F.struct("start", "end")))
+    none = F.array().cast("array<string>")
+    front = {side: asked.select("id", F.col(side).alias("node"), F.array(side).alias("path"), none.alias("relations")) for side in ("start", "end")}
+    seen = {side: rows.select("id", "node") for side, rows in front.items()}
+    same = asked.filter("start = end").select("id", F.struct(F.array("start").alias("path"), none.alias("relations")).alias("way"))
+    found, left = settle(same), asked.filter("start <> end").count()
+    for step in range(hops):
+        if not left:
+            break
+        side = ("start", "end")[step % 2]
+        done = found.select("id")
+        going = front[side].join(done, "id", "left_anti").join(both, F.col("node") == F.col("a"))
+        longer = [F.concat("path", F.array("b")), F.concat("relations", F.array("said"))] if side == "start" else [F.concat(F.array("b"), "path"), F.concat(F.array("said"), "relations")]
+        new = going.select("id", F.col("b").alias("node"), F.struct(longer[0].alias("path"), longer[1].alias("relations")).alias("way")).groupBy("id", "node").agg(F.min("way").alias("way"))
+        front[side] = settle(new.join(seen[side], ["id", "node"], "left_anti").select("id", "node", "way.path", "way.relations"), 8)
+        seen[side] = seen[side].unionByName(front[side].select("id", "node"))
+        first = front["start"].select("id", "node", "path", "relations")
+        second = front["end"].select("id", "node", F.col("path").alias("rest"), F.col("relations").alias("more"))
+        whole = F.struct(F.concat("path", F.slice("rest", 2, F.size("rest"))).alias("path"), F.concat("relations", "more").alias("relations"))
+        met = settle(first.join(second, ["id", "node"]).join(done, "id", "left_anti").select("id", whole.alias("way")).groupBy("id").agg(F.min("way").alias("way")))
+        found, left = found.unionByName(met), left - met.count()
+    ways = found.select("id.start", "id.end", "way.path", "way.relations")
+    return pairs.select("start", "end").join(ways, ["start", "end"], "left").select("start", "end", (F.size("path") - 1).alias("distance"), "path", "relations")
+
+
 def as_of(edges: DataFrame, points: DataFrame, by: str, at: str, since: str) -> DataFrame:
     """Each point with the last edge state that began at or before it: one sort of both, no range join."""
     tagged = points.withColumn("_t", F.col(at)).withColumn("_k", F.lit(1)).unionByName(edges.withColumn("_t", F.col(since)).withColumn("_k", F.lit(0)), allowMissingColumns=True)

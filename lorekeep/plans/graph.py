@@ -74,6 +74,23 @@ def j16(spark, d):
     return G.reachable(edges(spark, d), spark.createDataFrame([("s1",)], "node string"), 3)
 
 
+# from every hundredth part to the next part and to a supplier, over at most four edges
+STEPS = ", ".join(f"l{k} as (select s, t, y as node, min(list_append(path, y)) as path from l{k - 1} join b on x = node group by s, t, y)" for k in range(1, 5))
+ENDS = "q as (select distinct concat('p', l_partkey) as s, concat('p', l_partkey + 1) as t from lineitem where l_partkey % 100 = 0 union select distinct concat('p', l_partkey), concat('s', 1 + l_partkey // 100) from lineitem where l_partkey % 100 = 0 union select 's1', 's1' union select 's1', 'nowhere')"
+
+
+@query("j16_path_of_each_pair", f"""with {EDGES}, b as (select subject as x, object as y from e union select object, subject from e), {ENDS}, l0 as (select s, t, s as node, [s] as path from q), {STEPS},
+f as (select s, t, path from l0 where node = t union all select s, t, path from l1 where node = t union all select s, t, path from l2 where node = t union all select s, t, path from l3 where node = t union all select s, t, path from l4 where node = t),
+r as (select s, t, min_by(path, len(path)) as path from f group by s, t)
+select s as start, t as "end", (len(path) - 1)::integer as distance, array_to_string(path, ' ') as path from q left join r using (s, t)""")
+def j16_paths(spark, d):
+    li = table(spark, d, "lineitem").filter("l_partkey % 100 = 0")
+    part = F.concat(F.lit("p"), "l_partkey").alias("start")
+    pairs = li.select(part, F.concat(F.lit("p"), F.col("l_partkey") + 1).alias("end")).unionByName(li.select(part, F.concat(F.lit("s"), F.expr("1 + l_partkey div 100")).alias("end"))).distinct()
+    odd = spark.createDataFrame([("s1", "s1"), ("s1", "nowhere")], "start string, end string")
+    return G.shortest_paths(edges(spark, d), pairs.unionByName(odd), 4).select("start", "end", "distance", F.array_join("path", " ").alias("path"))
+
+
 @query("j17_two_hop_documents", f"""with {NAMES}, k as (select distinct doc_id, lower(name) as key from m), o as (select doc_id from documents where doc_id % 100 = 0),
 s as (select distinct key from k where doc_id in (select doc_id from o)), n as (select distinct doc_id from k where key in (select key from s)), k2 as (select distinct key from k where doc_id in (select doc_id from n))
 select distinct doc_id from k where key in (select key from k2) and doc_id not in (select doc_id from o)""")
