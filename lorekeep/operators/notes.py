@@ -7,11 +7,12 @@ import json
 import re
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .breaks import breaks
+
 
 
 
@@ -82,27 +83,8 @@ def wikilinks(text: Column, name: str) -> Column:
 
 
 def chapters(segments: DataFrame, by: str, at: str, least_gap: float) -> DataFrame:
-    """``by, chapter, started``: a chapter begins when ``least_gap`` has passed since the last one's start.
-
-    The rule looks back at its own result, so each key's times are walked in order, in sorted partitions and constant memory.
-    """
-    key_type = dict(segments.dtypes)[by]
-    ordered = segments.select(by, F.col(at).cast("double").alias("t")).filter("t is not null").repartition(by).sortWithinPartitions(by, "t")
-
-    def walk(batches):
-        key, last, n = object(), 0.0, 0
-        for b in batches:
-            keys, numbers, starts = [], [], []
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if k != key:
-                    key, n = k, -1
-                elif t - last < least_gap:
-                    continue
-                last, n = t, n + 1
-                keys.append(k), numbers.append(n), starts.append(t)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.field(0).type), pa.array(numbers, pa.int32()), pa.array(starts, pa.float64())], names=[by, "chapter", "started"])
-
-    return ordered.mapInArrow(walk, f"`{by}` {key_type}, chapter int, started double")
+    """``by, chapter, started``: a chapter begins when ``least_gap`` has passed since the last one's start; ``breaks`` says how."""
+    return breaks(segments, by, at, least_gap).select(by, F.col("place").cast("int").alias("chapter"), "started")
 
 
 def assign(points: DataFrame, spans: DataFrame, by: str, at: str) -> DataFrame:

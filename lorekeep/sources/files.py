@@ -76,14 +76,17 @@ def chaptered(segments: DataFrame, by: str, at: str, text: str, least_gap: float
 
 
 def keyframes(frames: DataFrame, by: str, at: str, distance: str, least_gap: float, threshold: float) -> DataFrame:
-    """``by, at, kept``: a frame starts a scene if it differs enough from the one before and the last scene is long enough."""
-    from ..operators.walks import walk
+    """``by, at, distance, kept``: a frame starts a scene if it differs enough from the one before and the last scene is long enough.
 
-    def step(last, row):
-        new = last is None or (row[distance] > threshold and row[at] - last >= least_gap)
-        return (row[at] if new else last), new
+    A key's first frame starts one in any case; frames of one instant are kept together.
+    """
+    from ..operators.breaks import breaks
 
-    return walk(frames, by, [at], [distance], lambda: None, step, "kept", "boolean")
+    rows = frames.select(by, at, distance)
+    able = rows.filter(F.col(distance) > threshold).select(by, at).unionByName(rows.groupBy(by).agg(F.min(at).alias(at)))
+    starts = breaks(able, by, at, least_gap).select(F.col(by).alias("_by"), F.col("started").alias("_at"), F.lit(True).alias("_kept"))
+    joined = rows.join(starts, F.col(by).eqNullSafe(F.col("_by")) & (F.col(at).cast("double") == F.col("_at")), "left")
+    return joined.select(by, at, distance, F.coalesce("_kept", F.lit(False)).alias("kept"))
 
 
 def unindexed(files: DataFrame, indexed: DataFrame, force: bool = False) -> DataFrame:
