@@ -12,10 +12,12 @@ rows of one id have their words added up; ties go to the lesser id; without quer
 
 from __future__ import annotations
 
+import zlib
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,8 +25,8 @@ from ..functions import text as T
 from ..staging import stage
 from .retrieval import B, K1, top
 
-#: Documents of a cell, folders of the table, and cells that a query opens to begin with.
-CELL, FOLDERS, FIRST = 1024, 64, 4
+#: Documents of a cell, folders of the table, postings that one task makes blocks of, and cells that a query opens to begin with.
+CELL, FOLDERS, GROUP, FIRST = 1024, 64, 1 << 22, 4
 
 
 class Index(NamedTuple):
@@ -34,51 +36,100 @@ class Index(NamedTuple):
 
 
 def folder_of(term: str = "term") -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(FOLDERS)).cast("int").alias("folder")
+    return (F.crc32(F.col(term).cast("binary")) % FOLDERS).cast("int").alias("folder")
 
 
-def saturation(tf: Column, length: Column, mean: Column) -> Column:
-    """A term's share in a score before its rarity counts."""
-    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
-
-
-def _count(batches):
-    """Each document's terms with their number; the words of a document are in one row, so nothing is shuffled."""
-    for b in batches:
-        words = b.column(2)
-        flat = words.flatten().dictionary_encode()
-        doc = np.repeat(np.arange(len(b)), words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-        n = max(1, len(flat.dictionary))
-        pair, tf = np.unique(doc * n + flat.indices.to_numpy(zero_copy_only=False), return_counts=True)
-        at = pa.array(pair // n)
-        yield pa.RecordBatch.from_arrays([b.column(0).take(at), flat.dictionary.take(pa.array(pair % n)), pa.array(tf.astype(np.int64)), b.column(1).take(at)], names=["id", "term", "tf", "length"])
+def _sender(span: int):
+    """Postings of a batch of documents, packed for the tasks that make blocks of them: a row for each folder and group of cells.
 
+    A document's words are in one row, so its terms are counted on the spot.
+    """
 
-def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, term, tf, length`` of every document and term in it."""
-    cut = docs.select(F.col(id_col).alias("id"), T.words(F.col(text_col)).alias("w")).select("id", F.size("w").alias("length"), "w").filter("w is not null")
-    return cut.mapInArrow(_count, f"id {cut.schema['id'].dataType.simpleString()}, term string, tf long, length int")
+    def send(batches):
+        for b in batches:
+            words = b.column(3)
+            flat = words.flatten().dictionary_encode()
+            doc = np.repeat(np.arange(len(b)), words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            n = max(1, len(flat.dictionary))
+            pair, tf = np.unique(doc * n + flat.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            if not len(pair):
+                continue
+            doc, term = pair // n, pair % n
+            folder = np.array([zlib.crc32(t.encode()) % FOLDERS for t in flat.dictionary.to_pylist()], np.int64)[term]
+            group = b.column(1).to_numpy()[doc] // span
+            order = np.lexsort((term, group, folder))
+            doc, term, tf, folder, group = doc[order], term[order], tf[order], folder[order], group[order]
+            cuts = np.concatenate(([0], np.flatnonzero((np.diff(folder) != 0) | (np.diff(group) != 0)) + 1, [len(doc)]))
+            at = pa.array(doc)
+            rows = pa.table({"id": b.column(0).take(at), "cell": b.column(1).take(at), "length": b.column(2).take(at), "term": flat.dictionary.take(pa.array(term)), "tf": pa.array(tf.astype(np.int32))})
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_table(rows.slice(i, j - i).combine_chunks())
+                yield pa.RecordBatch.from_arrays([pa.array([int(folder[i])], pa.int32()), pa.array([int(group[i])], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["folder", "part", "postings"])
+
+    return send
+
+
+def _blocker(mean: float):
+    """A group's postings as blocks, in order of term and cell."""
+
+    def make(table: pa.Table) -> pa.Table:
+        rows = pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in table.column("postings")]).combine_chunks()
+        one = {c: pa.concat_arrays(rows.column(c).chunks) for c in rows.column_names}
+        names = one["term"].dictionary_encode()
+        rank = np.empty(len(names.dictionary), np.int64)
+        rank[pc.sort_indices(names.dictionary).to_numpy()] = np.arange(len(names.dictionary))
+        term, cell = rank[names.indices.to_numpy()], one["cell"].to_numpy()
+        order = np.lexsort((cell, term))
+        term, cell = term[order], cell[order]
+        starts = np.concatenate(([0], np.flatnonzero((np.diff(term) != 0) | (np.diff(cell) != 0)) + 1))
+        at = pa.array(order)
+        tf, length = one["tf"].take(at), one["length"].take(at)
+        n, size = tf.to_numpy().astype(float), length.to_numpy()
+        part = n * (K1 + 1) / (n + K1 * (1 - B + B * size / mean))
+        offsets = pa.array(np.append(starts, len(order)), pa.int32())
+        first = pa.array(order[starts])
+        return pa.table(
+            {
+                "folder": pa.array(np.full(len(starts), table.column("folder")[0].as_py(), np.int32)),
+                "term": one["term"].take(first),
+                "cell": one["cell"].take(first),
+                "n": pa.array(np.diff(np.append(starts, len(order)))),
+                "best": pa.array(np.maximum.reduceat(part, starts)),
+                "most_tf": pa.array(np.maximum.reduceat(tf.to_numpy(), starts).astype(np.int64)),
+                "ids": pa.ListArray.from_arrays(offsets, one["id"].take(at)),
+                "tfs": pa.ListArray.from_arrays(offsets, tf),
+                "lengths": pa.ListArray.from_arrays(offsets, length),
+            }
+        )
+
+    return make
 
 
 def build(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> Index:
     """Write the index of all documents to ``path``, a folder that all machines share."""
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     words = F.size(T.words(F.col(text_col)))
-    docs.agg(F.count("*").alias("n_docs"), F.avg(words).alias("mean_length"), F.lit(None).cast(kind).alias("id")).write.parquet(f"{path}/stats")
-    known = spark.read.parquet(f"{path}/stats")
-    cells = max(1, -(-known.first()["n_docs"] // CELL))
-    rows = postings(docs, id_col, text_col).join(F.broadcast(known.select("mean_length")))  # one row
-    one = rows.withColumn("cell", F.pmod(F.xxhash64("id"), F.lit(cells)).cast("int"))
-    part = saturation(F.col("tf"), F.col("length"), F.col("mean_length"))
-    block = one.groupBy("term", "cell").agg(F.count("*").alias("n"), F.max(part).alias("best"), F.max("tf").alias("most_tf"), F.collect_list(F.struct("id", "tf", "length")).alias("p"))
-    flat = block.select(folder_of(), "term", "cell", "n", "best", "most_tf", F.col("p.id").alias("ids"), F.col("p.tf").alias("tfs"), F.col("p.length").alias("lengths"))
-    flat.hint("rebalance", "folder").sortWithinPartitions("folder", "term", "cell").write.partitionBy("folder").parquet(f"{path}/blocks")
+    docs.agg(F.count("*").alias("n_docs"), F.avg(words).alias("mean_length"), F.sum(words.cast("long")).alias("n_words"), F.lit(None).cast(kind).alias("id")).write.parquet(f"{path}/stats")
+    known = spark.read.parquet(f"{path}/stats").first()
+    cells = max(1, -(-known["n_docs"] // CELL))
+    span = -(-cells // max(1, -(-(known["n_words"] or 0) // (FOLDERS * GROUP))))
+    cut = docs.select(F.col(id_col).alias("id"), T.words(F.col(text_col)).alias("w")).filter("w is not null")
+    cut = cut.select("id", F.pmod(F.xxhash64("id"), F.lit(cells)).cast("int").alias("cell"), F.size("w").alias("length"), "w")
+    packed = cut.mapInArrow(_sender(span), "folder int, part int, postings binary")
+    blocks = packed.groupBy("folder", "part").applyInArrow(_blocker(known["mean_length"] or 1.0), _schema(kind))
+    blocks.write.partitionBy("folder").parquet(f"{path}/blocks")
     _blocks(spark, path, kind).groupBy("folder", "term").agg(F.sum("n").alias("df")).write.partitionBy("folder").parquet(f"{path}/terms")
     return opened(spark, path)
 
 
+def _schema(kind: str) -> str:
+    return f"folder int, term string, cell int, n long, best double, most_tf long, ids array<{kind}>, tfs array<int>, lengths array<int>"
+
+
 def _blocks(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    return spark.read.schema(f"folder int, term string, cell int, n long, best double, most_tf long, ids array<{kind}>, tfs array<long>, lengths array<int>").parquet(f"{path}/blocks")
+    return spark.read.schema(_schema(kind)).parquet(f"{path}/blocks")
 
 
 def opened(spark: SparkSession, path: str) -> Index:
@@ -103,8 +154,7 @@ def search(index: Index, queries: DataFrame, k: int, kind: str = "bm25", first:
     if kind == "bm25":
         idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         asked = said.join(index.terms.filter(mine), ["folder", "term"]).join(stats).select("query_id", "folder", "term", idf.alias("weight"), "mean_length")
-        bound, part = F.col("best"), saturation(F.col("tf"), F.col("length"), F.col("mean_length"))
-        # in the same order of operations as the plain formula, since parts are rounded
+        bound = F.col("best")
         part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
     else:
         asked = said.select("query_id", "folder", "term", F.col("qw").alias("weight"))

@@ -176,4 +176,4 @@ def a08(spark, d):
 
 @query("k21_postings_index", r"select doc_id as id, term, count(*) as tf from (select doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) as term from documents) group by all")
 def k21(spark, d):
-    return P.text_index(spark, d).blocks.select("term", F.explode(F.arrays_zip("ids", "tfs")).alias("p")).select(F.col("p.ids").alias("id"), "term", F.col("p.tfs").alias("tf"))
+    return P.text_index(spark, d).blocks.select("term", F.explode(F.arrays_zip("ids", "tfs")).alias("p")).select(F.col("p.ids").alias("id"), "term", F.col("p.tfs").cast("long").alias("tf"))
