@@ -139,6 +139,15 @@ def opened(spark: SparkSession, path: str) -> Index:
     return Index(_blocks(spark, path, stats.schema["id"].dataType.simpleString()), terms, stats.select("n_docs", "mean_length"))
 
 
+#: Rows of a search's own (query terms, cells to open) that are sent to the index; more meet it in a shuffle.
+SENT = 1 << 17
+
+
+def sent(rows: DataFrame) -> DataFrame:
+    """``rows``, which are staged, marked to be broadcast if they are few."""
+    return F.broadcast(rows) if rows.limit(SENT + 1).count() <= SENT else rows
+
+
 def search(index: Index, queries: DataFrame, k: int, kind: str = "bm25", first: int = FIRST) -> DataFrame:
     """``query_id, id, score, rank`` of the ``k`` best documents of each query (``query_id, qtext``).
 
@@ -153,7 +162,7 @@ def search(index: Index, queries: DataFrame, k: int, kind: str = "bm25", first:
     stats = F.broadcast(index.stats)  # one row
     if kind == "bm25":
         idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        asked = said.join(index.terms.filter(mine), ["folder", "term"]).join(stats).select("query_id", "folder", "term", idf.alias("weight"), "mean_length")
+        asked = index.terms.filter(mine).join(sent(said), ["folder", "term"]).join(stats).select("query_id", "folder", "term", idf.alias("weight"), "mean_length")
         bound = F.col("best")
         part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
     else:
@@ -161,11 +170,12 @@ def search(index: Index, queries: DataFrame, k: int, kind: str = "bm25", first:
         bound, part = F.log(1 + F.col("most_tf")), F.log(1 + F.col("tf")) * F.col("weight")
     asked = stage(asked)
     heads = index.blocks.filter(mine).select("folder", "term", "cell", bound.alias("bound"))
-    bounds = heads.join(asked, ["folder", "term"]).groupBy("query_id", "cell").agg(F.sum(F.col("weight") * F.col("bound")).alias("most"))
+    bounds = heads.join(sent(asked), ["folder", "term"]).groupBy("query_id", "cell").agg(F.sum(F.col("weight") * F.col("bound")).alias("most"))
     bounds = stage(bounds)
 
     def scored(cells: DataFrame) -> DataFrame:
-        opened_ = cells.join(asked, "query_id").join(index.blocks.filter(mine), ["folder", "term", "cell"])
+        wanted = stage(asked.join(cells, "query_id"))
+        opened_ = index.blocks.filter(mine).join(sent(wanted), ["folder", "term", "cell"])
         zipped = opened_.select("query_id", *(c for c in ("weight", "mean_length") if c in asked.columns), F.explode(F.arrays_zip("ids", "tfs", "lengths")).alias("p"))
         each = zipped.select("*", F.col("p.ids").alias("id"), F.col("p.tfs").alias("tf"), F.col("p.lengths").alias("length"))
         return each.groupBy("query_id", "id").agg(F.round(F.sum(F.round(part, 9).cast("decimal(28,9)")).cast("double"), 6).alias("score"))
