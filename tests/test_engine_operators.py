@@ -113,18 +113,32 @@ def test_line_diffs(spark):
 
 
 def test_near_duplicates_find_what_all_pairs_find(spark):
-    """Recall of the query's own rows against all pairs of the table."""
-    got = QUERIES["j09_near_duplicates"](spark, DATA).collect()
-    near = {(r.left_id, r.right_id) for r in got if r.kind == "near"}
+    """The pair operator's recall against all pairs of the table, and the query's classes: every link of all pairs stays inside one."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    near = {(r.left_id, r.right_id) for r in dedup.near(docs).collect()}
+    copied = [(r.original_id, r.id) for r in dedup.copies(docs).collect()]
     norm = {}
-    for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", F.split(F.lower("text"), r"[\s\p{Z}]+").alias("w")).collect():
+    for r in docs.select("doc_id", F.split(F.lower("text"), r"[\s\p{Z}]+").alias("w")).collect():
         w = [x for x in r.w if x]
         norm[r.doc_id] = frozenset(tuple(w[k : k + 3]) for k in range(len(w) - 2))
-    copies = {r.right_id for r in got if r.kind == "copy"}
+    copies = {i for _, i in copied}
     ids = sorted(i for i, s in norm.items() if s and i not in copies)
     wanted = {(a, b) for a in ids for b in ids if a < b and len(norm[a] & norm[b]) >= 0.8 * len(norm[a] | norm[b])}
     assert near <= wanted and len(near) >= 0.9 * len(wanted) > 0
 
+    parent = {i: i for i in norm}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in [*wanted, *copied]:
+        x, y = sorted((find(a), find(b)))
+        parent[y] = x
+    got = {r.doc_id: r.class_id for r in QUERIES["j09_near_duplicates"](spark, DATA).collect()}
+    assert got == {i: find(i) for i in norm}
+
 
 def test_semantic_duplicates_find_planted_pairs(spark):
     r = np.random.default_rng(4)
