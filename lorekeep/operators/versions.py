@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .diffs import text_diff
 
 
 def numbered(rows: DataFrame, by: str, order: list[str]) -> DataFrame:
@@ -26,17 +24,13 @@ def changed(rows: DataFrame, by: str, order: list[str], state: Column) -> DataFr
     return rows.withColumn("_s", state).withColumn("_p", F.lag("_s").over(w)).filter(F.col("_p").isNull() | (F.col("_s") != F.col("_p"))).drop("_s", "_p")
 
 
-DIFF = T.StructType([T.StructField("added", T.LongType()), T.StructField("removed", T.LongType())])
+_differ = text_diff()
 
 
-@F.pandas_udf(DIFF)
-def line_diff(old: pd.Series, new: pd.Series) -> pd.DataFrame:
-    """Lines added and removed between two texts."""
-    out = []
-    for a, b in zip(old.fillna(""), new.fillna(""), strict=True):
-        lines = list(difflib.ndiff(a.split("\n"), b.split("\n")))
-        out.append((sum(x.startswith("+ ") for x in lines), sum(x.startswith("- ") for x in lines)))
-    return pd.DataFrame(out, columns=["added", "removed"])
+def line_diff(old: Column, new: Column) -> Column:
+    """Lines added and removed between two texts, the fewest possible."""
+    found = _differ(old, new)
+    return F.struct(found["added"].alias("added"), found["removed"].alias("removed"))
 
 
 def rendered(facts: DataFrame, by: list[str], category: str, order: str, text: str, expires: str | None = None, now: Column | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import queries as Q
 from ..operators import versions as V
+from ..operators.diffs import text_diff
 from ..registry import query, table
 
 
@@ -27,11 +28,27 @@ def m13(spark, d):
     return orders.groupBy("o_custkey").agg(F.count("*").alias("n_versions")).join(kept, "o_custkey").select("o_custkey", "n_indexed", "n_versions")
 
 
-@query("x45_line_diff")
+# the oracle fills the table of common lengths a row (a line of the old text) at a time
+X45 = """with recursive p as (select conv_id, turn, string_split(coalesce(text, ''), chr(10)) as b, string_split(coalesce(lag(text) over (partition by conv_id order by turn), ''), chr(10)) as a from conversations),
+t(conv_id, turn, i, l) as (select conv_id, turn, 0, list_transform(b, lambda x: 0) from p union all
+ select p.conv_id, p.turn, i + 1, list_transform(range(1, len(b) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: greatest(l[k], coalesce(l[k - 1], 0) + (a[i + 1] = b[k])::integer)))) from t join p using (conv_id, turn) where i < len(a))
+select conv_id, turn, (len(b) - l[len(b)])::bigint as added, (len(a) - l[len(b)])::bigint as removed from t join p using (conv_id, turn) where i = len(a)"""
+
+
+def _turn_pairs(spark, d):
+    return table(spark, d, "conversations").withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")))
+
+
+@query("x45_line_diff", X45)
 def x45(spark, d):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    rows = table(spark, d, "conversations").withColumn("before", F.lag("text").over(w))
-    return rows.select("conv_id", "turn", V.line_diff(F.col("before"), F.col("text")).alias("x")).select("conv_id", "turn", "x.added", "x.removed")
+    return _turn_pairs(spark, d).select("conv_id", "turn", V.line_diff(F.col("before"), F.col("text")).alias("x")).select("conv_id", "turn", "x.added", "x.removed")
+
+
+@query("x45_hunks")
+def x45_hunks(spark, d):
+    """A row per hunk that turns a turn's predecessor into it."""
+    rows = _turn_pairs(spark, d).select("conv_id", "turn", F.posexplode(text_diff()(F.col("before"), F.col("text"))["hunks"]).alias("place", "h"))
+    return rows.select("conv_id", "turn", "place", "h.old_start", "h.old_lines", "h.new_start", "h.new_lines", "h.body")
 
 
 @query("x45_positional_summary", "with p as (select conv_id, turn, string_split(text, chr(10)) as b, string_split(coalesce(lag(text) over (partition by conv_id order by turn), ''), chr(10)) as a from conversations) select conv_id, turn, len(list_filter(range(1, greatest(len(a), len(b)) + 1), lambda i: a[i] is distinct from b[i]))::bigint as n_changed from p")

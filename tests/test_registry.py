@@ -13,7 +13,7 @@ from lorekeep import registry
 DATA = "/root/testdata/sf0.001"
 QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
 # queries that SQL does not express; test_engine_operators.py holds each against a version of its own
-ELSEWHERE = {"i01_ingest", "j09_near_duplicates", "x07_child_chunks", "x08_code_blocks", "x45_line_diff"}
+ELSEWHERE = {"i01_ingest", "r01_probed_lists", "x07_child_chunks", "x08_code_blocks", "x45_hunks"}
 
 
 @pytest.fixture(scope="module")
