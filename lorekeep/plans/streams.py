@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..registry import query
+from ..registry import query, reach
 from ..streaming import events as E
+from ..streaming import keyed
 
 
 def _plain(rows):
@@ -34,6 +35,15 @@ def m09(spark, d):
     return _plain(E.drain(E.counters(E.read(spark, d, "events")), "complete"))
 
 
+@query("m09_click_counters", "with u as (select distinct on (click_id) * from clicks) select client_id, kind, min(ts) as first_seen, max(ts) as last_seen, count(*) as mentions, max(value) as score from u where click_id is not null group by all")
+def m09_clicks(spark, d):
+    """Every click counted once for its client and kind, repeats and late ones among them, with the ids seen as keyed state."""
+    reach(spark)
+    clicks = E.read(spark, d, "clicks", files_per_trigger=64).filter("click_id is not null")
+    stream = keyed.deltas(clicks, "click_id", ["client_id", "kind"], "ts", "value")
+    return _plain(keyed.totals(E.drain_keyed(stream), "client_id long, kind string"))
+
+
 @query("m05_incremental_dedup", "select distinct event_id from events")
 def m05(spark, d):
     return _plain(E.drain(E.without_repeats(E.read(spark, d, "events"), "event_id").select("event_id"), "append"))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..staging import checkpoint_folder
+from .keyed import PROVIDER, ROCKSDB
 
 
 def read(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int = 1) -> DataFrame:
@@ -40,13 +41,14 @@ def counters(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id", "event_type").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count("*").alias("mentions"), F.max("value").alias("score"))
 
 
-def drain(stream: DataFrame, mode: str) -> DataFrame:
+def drain(stream: DataFrame, mode: str, folder: str | None = None) -> DataFrame:
     """Everything the stream gives for what is there now: a table of Parquet files in the shared checkpoint folder.
 
     In ``append`` mode the sink writes files; other modes rewrite the result at every batch, of which the last one stays.
+    A named ``folder`` keeps state and result, and a later drain into it goes on from there.
     """
     spark = stream.sparkSession
-    folder = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
+    folder = folder or f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
     if mode == "append":
         q = writer.format("parquet").option("path", f"{folder}/out").start()
@@ -54,3 +56,17 @@ def drain(stream: DataFrame, mode: str) -> DataFrame:
         q = writer.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{folder}/out")).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def drain_keyed(stream: DataFrame, folder: str | None = None) -> DataFrame:
+    """``drain`` for streams of ``keyed``: expiring state asks for RocksDB, and would ask for batches without data for ever."""
+    conf = stream.sparkSession.conf
+    own = {PROVIDER: ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    before = {k: conf.get(k, None) for k in own}
+    for k, v in own.items():
+        conf.set(k, v)
+    try:
+        return drain(stream, "append", folder)
+    finally:
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
