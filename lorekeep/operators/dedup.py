@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..staging import settle, stage
+from .vector_index import matrix, usable
 
 PRIME = (1 << 31) - 1
 PERMUTATIONS, BANDS = 128, 32
@@ -144,7 +145,8 @@ def near(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_c
     return dealt.groupBy("unit").applyInPandas(compare, "left_id long, right_id long, jaccard double")
 
 
-TABLES, PLANES = 48, 10
+#: Vectors of a cell: a task compares two cells.
+CELL = 1 << 14
 
 
 def same_vectors(vectors: DataFrame, id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
@@ -152,44 +154,53 @@ def same_vectors(vectors: DataFrame, id_col: str = "vec_id", vec: str = "embeddi
     return exact(vectors.filter(F.col(vec).isNotNull()), F.sha2(F.to_json(vec).cast("binary"), 256), id_col)
 
 
-def semantic(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec: str = "embedding", tables: int = TABLES, planes: int = PLANES, chunk: int = 4 * CHUNK, seed: int = 7) -> DataFrame:
-    """``left_id, right_id, cosine`` of different vectors that share a bucket of one of ``tables`` random projections.
+def semantic(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec: str = "embedding", chunk: int = CELL) -> DataFrame:
+    """``left_id, right_id, cosine`` of all pairs of different vectors whose cosine, rounded to 6 digits, is ``threshold`` or more.
 
-    A bucket is the signs of ``planes`` projections: at a cosine of 0.9 a pair shares a given one with probability 0.21, so
-    all but one in 10^4 share some.  Equal vectors are left out beforehand (``same_vectors`` has them); vectors
-    without direction are in no pair.  All pairs of a bucket are compared, in cells of a bounded size.
+    Exact: cells of about ``chunk`` vectors meet each other, pair by pair of cells, in tasks that read them from the shared folder
+    without a shuffle.  Products in single precision choose, those in double precision are reported.  The work is quadratic in the
+    different vectors, a task's memory is that of two cells.  Equal vectors are left out beforehand (``same_vectors`` has them);
+    vectors without direction are in no pair.
     """
-    rows = vectors.select(F.col(id_col).alias("id"), F.transform(vec, lambda x: x.cast("double")).alias("v")).filter(F.exists("v", lambda x: x != 0))
-    least = rows.groupBy(F.sha2(F.to_json("v").cast("binary"), 256).alias("h")).agg(F.min("id").alias("id"))
-    rows = rows.join(least.select("id"), "id", "left_semi")
-
-    def sign(values: pd.Series) -> pd.Series:
-        out, lengths = [None] * len(values), np.array([len(x) for x in values])
-        for n in np.unique(lengths):
-            at = np.flatnonzero(lengths == n)
-            normal = np.random.Generator(np.random.PCG64([seed, int(n)])).standard_normal((int(n), tables * planes))
-            bits = (np.stack([np.asarray(values.iloc[i], float) for i in at]) @ normal > 0).reshape(len(at), tables, planes)
-            codes = bits @ (1 << np.arange(planes, dtype=np.int64)) + (int(n) << planes)
-            for i, c in zip(at, codes, strict=True):
-                out[i] = c
-        return pd.Series(out)
-
-    keyed = stage(rows.withColumn("keys", F.pandas_udf(sign, "array<long>")("v")))
-    cell, units = meetings(keyed.select("id", F.posexplode("keys").alias("band", "key")), chunk)
-
-    def compare(g: pd.DataFrame) -> pd.DataFrame:
-        a, b = g[g.side == 0], g[g.side == 1]
-        own = not len(b)
-        b = a if own else b
-        found = []
-        for n in {len(x) for x in a.v} & {len(x) for x in b.v}:
-            p, q = (x[[len(v) == n for v in x.v]] for x in (a, b))
-            x, y = p.id.to_numpy(), q.id.to_numpy()
-            m = [np.stack(s.v.to_numpy()).astype(float) for s in (p, q)]
-            m = [s / np.linalg.norm(s, axis=1, keepdims=True) for s in m]
-            c = (m[0] @ m[1].T).round(6)
-            i, k = np.nonzero((c >= threshold) & ((x[:, None] < y[None, :]) | (not own)))
-            found.append(pd.DataFrame({"left_id": np.minimum(x[i], y[k]), "right_id": np.maximum(x[i], y[k]), "cosine": c[i, k]}))
-        return pd.concat(found) if found else pd.DataFrame({"left_id": [], "right_id": [], "cosine": []})
-
-    return seat(keyed.select("id", "v"), cell, units).groupBy("unit").applyInPandas(compare, "left_id long, right_id long, cosine double")
+    rows = usable(vectors, id_col, vec).filter(F.exists("v", lambda x: x != 0))
+    rows = rows.groupBy(F.sha2(F.to_json("v").cast("binary"), 256).alias("h")).agg(F.min_by("v", "id").alias("v"), F.min("id").cast("long").alias("id")).withColumn("width", F.size("v"))
+    rows = stage(rows.select("id", "v", "width"))
+    cells = {r["width"]: -(-r["count"] // chunk) for r in rows.groupBy("width").count().collect()}
+    number = F.coalesce(*[F.when(F.col("width") == w, F.lit(n)) for w, n in cells.items()], F.lit(1))
+
+    def pack(table: pa.Table) -> pa.Table:
+        x = matrix(table.column("v").combine_chunks())
+        return pa.table({"width": table.column("width")[:1], "cell": table.column("cell")[:1], "ids": pa.array([table.column("id").to_numpy().tobytes()], pa.binary()), "vs": pa.array([np.ascontiguousarray(x, float).tobytes()], pa.binary())})
+
+    dealt = rows.withColumn("cell", F.pmod(F.xxhash64("id"), number).cast("int"))
+    packs = dealt.groupBy("width", "cell").applyInArrow(pack, "width int, cell int, ids binary, vs binary")
+    packs = stage(packs.repartition(max(1, sum(cells.values())), "width", "cell"))  # about a cell each
+    other = packs.select(*(F.col(c).alias(f"other_{c}") for c in packs.columns))
+    units = packs.hint("shuffle_replicate_nl").join(other, (F.col("width") == F.col("other_width")) & (F.col("cell") <= F.col("other_cell")))
+
+    def compare(batches):
+        for b in batches:
+            for i in range(len(b)):
+                yield from _alike(*(b.column(c)[i].as_py() for c in range(7)), threshold)
+
+    return units.select("width", "cell", "ids", "vs", "other_cell", "other_ids", "other_vs").mapInArrow(compare, "left_id long, right_id long, cosine double")
+
+
+def _alike(width: int, cell: int, ids: bytes, vs: bytes, other: int, other_ids: bytes, other_vs: bytes, threshold: float):
+    """The pairs of two cells, a block of rows at a time; in a cell that meets itself each pair counts once."""
+    x, y = np.frombuffer(ids, np.int64), np.frombuffer(other_ids, np.int64)
+    a, b = np.frombuffer(vs, float).reshape(-1, width), np.frombuffer(other_vs, float).reshape(-1, width)
+    with np.errstate(over="ignore", invalid="ignore"):
+        short, other_short = ((m / np.sqrt((m * m).sum(1))[:, None]).astype(np.float32) for m in (a, b))
+    for i in range(0, len(a), 1024):
+        near = short[i : i + 1024] @ other_short.T >= threshold - 1e-4
+        r, c = np.divmod(np.flatnonzero(near), len(b))
+        r += i
+        if cell == other:
+            r, c = (v[x[r] < y[c]] for v in (r, c))
+        for j in range(0, len(r), 1 << 16):
+            p, q = r[j : j + (1 << 16)], c[j : j + (1 << 16)]
+            cosine = ((a[p] * b[q]).sum(1) / (np.sqrt((a[p] ** 2).sum(1)) * np.sqrt((b[q] ** 2).sum(1)))).round(6)
+            good = cosine >= threshold
+            left, right = x[p[good]], y[q[good]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right)), pa.array(cosine[good])], names=["left_id", "right_id", "cosine"])

@@ -153,4 +153,4 @@ def j11(spark, d):
     t = table(spark, d, "embeddings").select("vec_id", "embedding").join(docs, "vec_id")
     lacking = F.transform("embedding", lambda x, i: F.when(i >= F.col("vec_id") % 24, x).otherwise(F.lit(0.0).cast("float")))
     variant = t.withColumns({"embedding": lacking, "text": F.concat(F.lit("never "), "text")}).withColumn("vec_id", F.col("vec_id") + 1000000)
-    return K.semantic_conflicts(t.unionByName(variant), 0.8)
+    return K.semantic_conflicts(t.unionByName(variant), 0.8, every=True)

@@ -214,6 +214,29 @@ def test_conflicts_by_rule_and_by_classifier(spark):
     assert {(x.left_id, x.right_id, x.confidence) for x in K.semantic_conflicts(df, classify=says).collect()} == {(1, 2, 0.9)}
 
 
+def test_conflicts_hold_for_all_items_of_equal_vectors_and_for_every_close_pair(spark):
+    r = np.random.default_rng(11)
+    base = r.standard_normal((1500, 16))
+    close = []
+    for v in base:  # cosines between 0.8 and 0.83: pairs that projections may miss
+        noise = r.standard_normal(16)
+        noise -= v * (noise @ v) / (v @ v)
+        c = r.uniform(0.801, 0.83)
+        close.append(v / np.linalg.norm(v) * c + noise / np.linalg.norm(noise) * np.sqrt(1 - c * c))
+    text = "one red fox jumps over small fences"
+    rows = [(i, v.tolist(), text) for i, v in enumerate(base)] + [(10_000 + i, v.tolist(), "never " + text) for i, v in enumerate(close)]
+    rows += [(20_000 + i, v.tolist(), text) for i, v in enumerate(base[:50])] + [(30_000 + i, v.tolist(), "never " + text) for i, v in enumerate(base[:50])]
+    ids, m = np.array([x[0] for x in rows]), np.array([x[1] for x in rows])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    no = np.array([x[2].startswith("never") for x in rows])
+    i, k = np.nonzero(np.triu((m @ m.T).round(6) >= 0.8, 1) & (no[:, None] != no[None, :]))
+    want = {(int(min(ids[a], ids[b])), int(max(ids[a], ids[b]))) for a, b in zip(i, k, strict=True)}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, text string")
+    assert len(want) > 1600
+    assert {(x.left_id, x.right_id) for x in K.semantic_conflicts(df, every=True).collect()} == want
+    assert len({(x.left_id, x.right_id) for x in dedup.semantic(df, 0.8, chunk=700).collect()} ^ {(int(min(ids[a], ids[b])), int(max(ids[a], ids[b]))) for a, b in zip(*np.nonzero(np.triu((m[:3000] @ m[:3000].T).round(6) >= 0.8, 1)), strict=True)}) == 0
+
+
 def test_packing_of_nothing(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "One. Two.")], "doc_id long, text string")
     got = [(r.doc_id, r.content) for r in chunking.children(df, ["doc_id"], "text").collect()]
