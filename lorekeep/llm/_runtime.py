@@ -2,46 +2,14 @@
 
 from __future__ import annotations
 
-import ctypes
-import inspect
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
 
+from ..memory import tidy, trim
 from ..staging import checkpoint_folder, settle, stage
 
 __all__ = ["checkpoint_folder", "partitions_for", "pieces", "settle", "stage", "text_buffers", "tidy", "trim"]
 
-_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
-
-
-def trim() -> None:
-    """Give memory that is free back to the system: workers live on after a task, and what they keep adds up with the next one's."""
-    pa.default_memory_pool().release_unused()
-    if _TRIM is not None:
-        _TRIM(0)
-
-
-def tidy(f: Callable) -> Callable:
-    """``f``, a function of batches (a generator) or of one group, with ``trim`` after each task or group."""
-    if inspect.isgeneratorfunction(f):
-
-        def run(batches):
-            try:
-                yield from f(batches)
-            finally:
-                trim()
-    else:
-
-        def run(table):
-            try:
-                return f(table)
-            finally:
-                trim()
-
-    return run
-
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and ``n + 1`` offsets of a string column; nulls count as empty."""

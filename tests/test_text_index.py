@@ -7,6 +7,8 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from lorekeep.operators import retrieval as R
@@ -84,3 +86,11 @@ def test_empty(spark, tmp_path, made):
     assert X.search(index, asked.limit(0), 5).collect() == []
     none = X.build(spark.createDataFrame([], "doc_id long, text string"), str(tmp_path / "n"))
     assert X.search(none, asked, 5).collect() == []
+
+
+def test_a_task_counts_a_bounded_number_of_words_at_a_time():
+    n = X.WORDS // 20
+    docs = pa.record_batch({"id": pa.array(range(100)), "cell": pa.array([0] * 100, pa.int32()), "length": pa.array([n] * 100, pa.int32()), "w": pa.array([["a", "b"] * (n // 2)] * 100)})
+    sent = [pa.ipc.open_stream(x).read_all() for b in X._sender(1)(iter([docs])) for x in b.column("postings").to_pylist()]
+    assert all(t.num_rows <= 2 * X.WORDS // n + 2 for t in sent)
+    assert sum(t.num_rows for t in sent) == 200 and sum(pc.sum(t["tf"]).as_py() for t in sent) == 100 * (n // 2) * 2
