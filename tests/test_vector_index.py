@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lorekeep.operators import vector_index as V
@@ -115,3 +116,20 @@ def test_recall_on_the_given_vectors(spark, tmp_path):
     probes = V.probes_for(index, 0.9)
     got = {(r.query_id, r.id) for r in V.search(index, asked, 10, probes=probes).collect()}
     assert probes < len(index.centroids) and len(got & want) / len(want) >= 0.9
+
+
+def test_a_cell_and_a_block_of_queries_are_measured_in_bounded_memory():
+    import tracemalloc
+
+    r = np.random.default_rng(3)
+    x, q = r.standard_normal((V.CELL, 8)), r.standard_normal((V.QUERIES, 8))
+    far, gap, tau = np.sqrt((q * q).sum(1)), np.sqrt((x * x).sum(1)), np.full(len(q), 0.5)
+    tracemalloc.start()
+    best = V.Best(5)
+    V.gather(best, pa.array(np.arange(len(x))), x, q, V.distances, tau, V._inside(gap, far, tau))
+    best.cut()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 160 << 20  # the whole matrix alone has 268 MB
+    d = np.sort(V.squared(x, q[:50]), axis=0)[:5]
+    assert all(np.allclose(np.sort(best.score[best.query == i]), [v for v in d[:, i] if v <= 0.5], atol=1e-8) for i in range(50))
