@@ -34,17 +34,31 @@ PATTERNS = [
     ("PHONE", r"\+[0-9][\x20().0-9-]{7,}[0-9]", 0.75),
 ]
 
+# words of which a text has one, in lower case, wherever the pattern matches; patterns of a caller's own are always looked for
+NEEDED = dict(
+    zip(
+        (p for _, p, _ in PATTERNS),
+        (
+            *(("-",), ("ssn", "social"), ("key", "token"), ("akia",), ("key",), ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), ("bearer",), ("xox",), ("aiza",)),
+            *(("_test_", "_live_"), ("sk-",), ("sk-ant-",), ("password", "passwd", "pwd", "secret"), ("://",), ("-----begin",), ("@",), ("+",)),
+        ),
+        strict=True,
+    )
+)
+_FOLDED = re.compile("[\u0130\u0131\u017f\u212a]")  # letters beyond ASCII that match i, s or k in any case
+
 
 def findings(docs: DataFrame, patterns: list[tuple[str, str, float]] = PATTERNS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, kind, start, end, confidence, value`` of every match; of equal spans the surest."""
-    compiled = [(k, re.compile(p, re.IGNORECASE), c) for k, p, c in patterns]
+    compiled = [(k, re.compile(p, re.IGNORECASE), c, NEEDED.get(p, ("",))) for k, p, c in patterns]
 
     def scan(batches):
         for b in batches:
             rows = []
             for key, value in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 text = value.as_py() or ""
-                rows += [(key, k, m.start(), m.end(), c, m[0]) for k, p, c in compiled for m in p.finditer(text)]
+                lower, odd = text.lower(), not text.isascii() and _FOLDED.search(text)
+                rows += [(key, k, m.start(), m.end(), c, m[0]) for k, p, c, needed in compiled if odd or any(w in lower for w in needed) for m in p.finditer(text)]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
             types = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "kind", "start", "end", "confidence", "value"])
