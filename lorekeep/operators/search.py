@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from ..functions import text as T
-from ..functions import vectors as V
+from ..staging import stage
 from . import retrieval as R
+from . import vector_index as VI
+from .text_index import sent
 
 
 def permitted(queries: DataFrame, scope: str = "scope", rights: str = "rights") -> DataFrame:
@@ -56,11 +59,17 @@ def topic_context(ranked: DataFrame, most: int = 4000, by: str = "query_id") ->
 
 def similar_entities(entities: DataFrame, queries: DataFrame, edges: DataFrame, k: int) -> DataFrame:
     """``query_id, name, similarity, n_neighbours``: entities (``name, vec``) near a stated set of query vectors, with their degree."""
-    pairs = entities.join(F.broadcast(queries))
-    near = pairs.select("query_id", "name", F.round(F.greatest(F.lit(0.0), 1 - V.squared_l2(F.col("vec"), F.col("qvec"))), 6).alias("similarity"))
-    best = R.top(near, ["query_id"], [F.desc("similarity"), F.asc("name")], k)
+
+    def score(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+        return -np.maximum(1 - ((x - q) ** 2).sum(1), 0).round(6)
+
+    # beyond a distance of one all are alike and names decide: such ones are among the least 2 k
+    least = entities.join(stage(VI.usable(entities, "name", "vec").select(F.col("id").alias("name")).distinct().orderBy("name").limit(2 * k)), "name", "left_semi")
+    near = VI.brute(entities, queries, k, "name", "vec", score, "far").unionByName(VI.brute(least, queries, 2 * k, "name", "vec", score, "far"))
+    near = near.select("query_id", F.col("id").alias("name"), (F.lit(0.0) - F.col("far")).alias("similarity")).distinct()
+    best = stage(R.top(near, ["query_id"], [F.desc("similarity"), F.asc("name")], k))
     ends = edges.select(F.col("subject").alias("name"), F.col("object").alias("other")).unionByName(edges.select(F.col("object").alias("name"), F.col("subject").alias("other")))
-    degree = ends.join(F.broadcast(best.select("name").distinct()), "name", "left_semi").distinct().groupBy("name").agg(F.count("*").alias("n_neighbours"))
+    degree = ends.join(sent(best.select("name").distinct()), "name", "left_semi").distinct().groupBy("name").agg(F.count("*").alias("n_neighbours"))
     return best.join(degree, "name", "left").select("query_id", "name", "similarity", F.coalesce("n_neighbours", F.lit(0).cast("long")).alias("n_neighbours"))
 
 

@@ -251,6 +251,29 @@ def test_patterns_are_run_only_where_they_can_match(spark, monkeypatch):
         assert all(w == w.lower() and w for w in needed)
 
 
+def test_entities_near_many_queries_in_blocks(spark, monkeypatch):
+    from lorekeep.operators import search, vector_index
+
+    monkeypatch.setattr(vector_index, "QUERIES", 16)  # more queries than are sent to the rows
+    r = np.random.default_rng(8)
+    names, x = [f"s{i}" for i in range(300)], r.normal(0, 0.4, (300, 6)).round(3)
+    x[100:110] = x[0]
+    q = np.concatenate([x[:40], np.full((2, 6), 9.0)])  # the last two are near nothing: names decide
+    edges = [(f"p{i % 37}", "by", f"s{(i * 7) % 250}") for i in range(900)]
+    got = search.similar_entities(
+        spark.createDataFrame([(n, v.tolist()) for n, v in zip(names, x, strict=True)], "name string, vec array<double>"),
+        spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "query_id long, qvec array<double>"),
+        spark.createDataFrame(edges, "subject string, predicate string, object string"),
+        5,
+    )
+    assert "BroadcastNestedLoopJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    want = set()
+    for i, v in enumerate(q):
+        near = sorted((-max(0.0, round(1 - float(((u - v) ** 2).sum()), 6)), n) for n, u in zip(names, x, strict=True))[:5]
+        want |= {(i, n, -s + 0.0, len({a for a, _, b in edges if b == n})) for s, n in near}
+    assert {(y.query_id, y.name, y.similarity, y.n_neighbours) for y in got.collect()} == want
+
+
 def test_packing_of_nothing(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "One. Two.")], "doc_id long, text string")
     got = [(r.doc_id, r.content) for r in chunking.children(df, ["doc_id"], "text").collect()]
