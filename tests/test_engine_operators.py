@@ -274,6 +274,17 @@ def test_entities_near_many_queries_in_blocks(spark, monkeypatch):
     assert {(y.query_id, y.name, y.similarity, y.n_neighbours) for y in got.collect()} == want
 
 
+def test_relations_in_one_pass_over_texts_that_hold_the_verb(spark):
+    from lorekeep.operators import graph
+
+    texts = ["Alpha uses Beta uses Gamma", "a USING b", "uses", "he uses  ", "x depends  on y. y requires z", "Engine is part of Museum belongs to Town", "w wrote b author c authored d", "nothing", "", None, "one\tmentions\ntwo references three", "abuses the users use it"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = graph.relations(df)
+    want = sorted((i, m[1], k, m[2]) for i, t in enumerate(texts) for k, p in graph.RELATIONS.items() for m in re.finditer(p, t or "", re.IGNORECASE | re.ASCII))
+    assert sorted(map(tuple, got.collect())) == want and len(want) == 9
+    assert got._jdf.queryExecution().analyzed().toString().count("regexp_extract_all(text") == len(graph.RELATIONS)  # not one for each word
+
+
 def test_packing_of_nothing(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "One. Two.")], "doc_id long, text string")
     got = [(r.doc_id, r.content) for r in chunking.children(df, ["doc_id"], "text").collect()]
