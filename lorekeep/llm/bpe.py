@@ -24,6 +24,7 @@ import hashlib
 import json
 import unicodedata
 from functools import lru_cache
+from struct import pack
 
 import ahocorasick
 import numpy as np
@@ -89,6 +90,7 @@ class WordBpe:
         self.spines: dict[tuple[int, bool], list[tuple[str, int]]] = {}
         self.to_letters = {i: c for i, c in enumerate(self.letters)}
         self.encode_word = lru_cache(CACHE)(self._encode_word)
+        self.both_ways = lru_cache(CACHE)(self._both_ways)
         # offset table: the characters of all tokens one after the other, and where each begins
         ids = sorted(self.token_of)
         self.id_row = np.full(ids[-1] + 2, -1, np.int64)
@@ -155,7 +157,10 @@ class WordBpe:
         n, length, ends, pairs = len(letters), self.length, self.ends, self.pairs
         starts: list[list[int]] = [[] for _ in range(n)]
         for end, token in self.auto.iter(letters + "\0"):
-            starts[(n if token in ends else end + 1) - length[token]].append(token)
+            if end == n:  # with the word's end, which alone may stand there
+                starts[n - length[token]].append(token)
+            elif end < n - 1:
+                starts[end + 1 - length[token]].append(token)
         path: list[int] = []
         where, at = [0], 0
         options = [starts[0]]  # by length, the longest last
@@ -165,16 +170,13 @@ class WordBpe:
             while k:
                 k -= 1
                 t = own[k]
-                end = at + length[t]
-                if (end == n) != (t in ends):
-                    continue
                 if last >= 0:
                     ok = pairs.get(last << 32 | t)
                     if not (self.compatible(last, t) if ok is None else ok):
                         continue
                 tried[-1] = k
                 path.append(t)
-                at = end
+                at += length[t]
                 where.append(at)
                 if at < n:
                     options.append(starts[at])
@@ -190,6 +192,21 @@ class WordBpe:
                 at = where[-1]
         return tuple(path)
 
+    def _both_ways(self, word: str) -> tuple[bytes, str]:
+        """A word's ids as little-endian integers of 32 bits, and the ids decoded."""
+        ids = self._encode_word(word)
+        return pack(f"<{len(ids)}I", *ids), self.decode(ids)
+
+    def there_and_back(self, text: str) -> tuple[bytes, str]:
+        """``encode``'s ids as little-endian integers of 32 bits, and what ``decode`` makes of them: put together word by word, not id by id."""
+        found: list[tuple[bytes, str]] = []
+        for part in self.special_re.split(text) if self.special_re and "<|" in text else [text]:
+            if part in self.special:
+                found.append((pack("<I", self.special[part]), part))
+            else:
+                found += map(self.both_ways, self.words.findall(self.normalise(part)))
+        return b"".join([f[0] for f in found]), " ".join([f[1] for f in found])
+
     def normalise(self, text: str) -> str:
         """NFC, white space to one space, lower case by Unicode's one-to-one and special mappings without context."""
         if not text.isascii():
@@ -270,10 +287,10 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         for b in batches:
             counts, ids_sha, text_sha = [], [], []
             for t in b.column(1):
-                ids = bpe.encode(t.as_py() or "")
-                counts.append(len(ids))
-                ids_sha.append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
-                text_sha.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
+                ids, text = bpe.there_and_back(t.as_py() or "")
+                counts.append(len(ids) // 4)
+                ids_sha.append(hashlib.sha256(ids).hexdigest())
+                text_sha.append(hashlib.sha256(text.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(text_sha)],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],

@@ -642,3 +642,20 @@ def test_bpe_is_the_librarys(docs, empty):
     got = bpe.digests(docs, path).collect()
     assert len(got) == len(rows()) and bpe.digests(empty, path).count() == 0
     assert {(x.doc_id, x.text) for x in bpe.decode(bpe.encode(docs, path), path).collect()} == {(i, reference.decode(reference.encode(t or "", add_special_tokens=False).ids, skip_special_tokens=False)) for i, t in rows()}
+
+
+def test_bpe_digests_are_put_together_word_by_word():
+    """As encoding a text and decoding its ids; a word that was seen before is neither walked nor decoded again."""
+    from lorekeep.llm.queries import tokenizer_path
+
+    own = bpe.WordBpe(tokenizer_path())
+    texts = [t or "" for _, t in rows()] + ["", " ", "<|endoftext|>", "a<|endoftext|> b<|startoftext|>", "ÅΣς été 12 3", "x" * 300, "\0"]
+    for text in texts:
+        ids = own.encode(text)
+        assert own.there_and_back(text) == (np.array(ids, "<u4").tobytes(), own.decode(ids))
+    known = own.both_ways.cache_info().misses
+    decoded, own.decode = own.decode, None
+    for text in texts:
+        own.there_and_back(text)
+    own.decode = decoded
+    assert own.both_ways.cache_info().misses == known
