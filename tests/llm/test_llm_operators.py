@@ -501,6 +501,37 @@ def test_language_model_scores_a_copy_of_training_text_higher(spark):
     assert min(copies) > max(others)
 
 
+def test_every_position_has_features_of_the_words_before_it():
+    """With any weights the parts of a class are a distribution in every context, and known tokens with a part's unknown place fill it."""
+    r = np.random.default_rng(5)
+    z = r.integers(0, 50, (lm.CLASSES, 1 << lm.BITS)).astype(float)
+    logit, part = lm.choices(z)
+    n = 1 << lm.BITS
+    leaf, cls = np.arange(n), np.full(n, 7)
+    for weights in (np.zeros(1 << 10, np.float32), r.normal(size=1 << 10).astype(np.float32)):
+        one, two = np.full(n, 11, np.uint64), np.full(n, 12, np.uint64)
+        p = 10 ** lm.shared_gains(one, two, cls, leaf, logit, weights)
+        assert abs(p.sum() - 1) < 1e-6
+        assert weights.any() or np.allclose(p, (z[7] + 1) / (z[7] + 1).sum(), atol=1e-6)
+    assert np.allclose(10**part.reshape(z.shape), z + 1)
+    one, two = lm.befores(np.arange(1, 5, dtype=np.uint64), np.array([0, 3, 4]))
+    assert one[0] == one[3] and two[0] == two[1] == two[3] and len({*one.tolist(), *two.tolist()}) == 5
+
+
+def test_order_of_frequent_words_is_learned(spark):
+    """All words are frequent and of one class, so that nothing but the words before tells the next."""
+    r = random.Random(4)
+    vocabulary = [f"{a}{b}{c}ing" for a in "bdfg" for b in "aeio" for c in "lm"]
+    in_order = lambda: [vocabulary[(k + s) % len(vocabulary)] for s in [r.randrange(99)] for k in range(100)]
+    held = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 7 == 2][:40]
+    train = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 7 != 2][:200]
+    texts = {i: in_order() for i in train + held}
+    for i in held[20:]:
+        r.shuffle(texts[i])
+    got = {x.doc_id: x.score - x.base_score for x in lm.score(spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")).collect()}
+    assert min(got[i] for i in held[:20]) > max(got[i] for i in held[20:]) + 10
+
+
 @pytest.mark.parametrize("hot", [substrings.HOT, 2, 5])
 def test_repeated_passages(docs, empty, hot):
     texts = [(i, words(t)) for i, t in rows()]
