@@ -53,3 +53,25 @@ def test_no_edges(spark):
     none = spark.createDataFrame([], "subject string, predicate string, object string")
     got = G.shortest_paths(none, spark.createDataFrame([("a", "b"), ("a", "a")], "start string, end string"), 3).collect()
     assert sorted((r.end, r.distance) for r in got if r.distance is not None) == [("a", 0)] and len(got) == 2
+
+
+def test_the_last_two_steps_are_not_written_and_go_in_bounded_parts(spark, monkeypatch):
+    """With a limit of a few rows the pairs are many parts, and the nodes between are tried in several rounds."""
+    rows, write = [], G.written
+
+    def counted(df):
+        out = write(df)
+        if "path" in df.columns:
+            rows.append(out[0].count())
+        return out
+
+    monkeypatch.setattr(G, "written", counted)
+    monkeypatch.setattr(G, "SENT", 12)
+    r = random.Random(8)
+    edges = [(f"p{k}", "by", f"s{r.randrange(60)}") for k in range(120) for _ in range(3)]
+    pairs = [(f"p{k}", f"p{k + 1}") for k in range(5)] + [("p7", "s3"), ("p8", "nowhere")]
+    got = G.shortest_paths(spark.createDataFrame(edges, "subject string, predicate string, object string"), spark.createDataFrame(pairs, "start string, end string"), 4).collect()
+    for row in got:
+        want = plain(edges, row.start, row.end, 4)
+        assert (row.path, row.relations) == (want or (None, None))
+    assert len(got) == len(pairs) and max(rows) <= 3 * len(pairs) + 60
