@@ -13,12 +13,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..memory import tidy
 from ..staging import settle, stage
 from .vector_index import matrix, usable
 
 PRIME = (1 << 31) - 1
 PERMUTATIONS, BANDS = 128, 32
 CHUNK = 256
+#: Sets whose signatures are held at once, and hashes of a set that meet all functions at once.
+SIGNED, WIDE = 512, 1024
 
 
 def _coefficients(n: int, seed: int = 42) -> list[tuple[int, int]]:
@@ -44,7 +47,7 @@ def _least(sets: pd.Series) -> pd.Series:
     out = []
     for s in sets:
         h = (np.asarray(s, np.int64) & 0x7FFFFFFFFFFFFFFF) % PRIME
-        parts = [((a * h[None, i : i + 8192] + b) % PRIME).min(axis=1) for i in range(0, len(h), 8192)]
+        parts = [((a * h[None, i : i + WIDE] + b) % PRIME).min(axis=1) for i in range(0, len(h), WIDE)]
         out.append(np.minimum.reduce(parts) if parts else np.zeros(PERMUTATIONS, np.int64))
     return pd.Series(out)
 
@@ -55,11 +58,13 @@ def signatures(docs: DataFrame, shingles: Column, id_col: str = "doc_id") -> Dat
     hashed = docs.select(id_col, F.transform(F.coalesce(shingles, F.array().cast("array<string>")), lambda s: F.conv(F.substring(F.md5(s.cast("binary")), 1, 8), 16, 10).cast("long")).alias("h"))
 
     def run(batches):
-        for b in batches:
-            sets = pd.Series([x.values.to_numpy() for x in b.column(1)], dtype=object)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(_least(sets)), pa.list_(pa.int64()))], names=[id_col, "sig"])
+        for whole in batches:
+            for i in range(0, len(whole), SIGNED):
+                b = whole.slice(i, SIGNED)
+                sets = pd.Series([x.values.to_numpy() for x in b.column(1)], dtype=object)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(_least(sets)), pa.list_(pa.int64()))], names=[id_col, "sig"])
 
-    return hashed.mapInArrow(run, f"`{id_col}` {kind}, sig array<long>")
+    return hashed.mapInArrow(tidy(run), f"`{id_col}` {kind}, sig array<long>")
 
 
 def signature_similarity(a: Column, b: Column) -> Column:
