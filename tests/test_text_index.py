@@ -7,12 +7,14 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
 
 from lorekeep.operators import retrieval as R
 from lorekeep.operators import text_index as X
+from lorekeep.operators import text_scan as S
 
 
 def corpus():
@@ -94,3 +96,46 @@ def test_a_task_counts_a_bounded_number_of_words_at_a_time():
     sent = [pa.ipc.open_stream(x).read_all() for b in X._sender(1)(iter([docs])) for x in b.column("postings").to_pylist()]
     assert all(t.num_rows <= 2 * X.WORDS // n + 2 for t in sent)
     assert sum(t.num_rows for t in sent) == 200 and sum(pc.sum(t["tf"]).as_py() for t in sent) == 100 * (n // 2) * 2
+
+
+@pytest.mark.parametrize("kind", ["bm25", "sparse"])
+@pytest.mark.parametrize("k", [1, 10])
+def test_long_queries_are_scored_without_a_row_for_each_term_and_cell(spark, made, monkeypatch, kind, k):
+    docs, queries, _, asked, _, path = made
+    monkeypatch.setattr(X, "LONG", 2)
+    monkeypatch.setattr(S, "QUERIES", 20)
+    monkeypatch.setattr(S, "SPAN", 3)
+    got = {(r.query_id, r.id, r["rank"]): r.score for r in X.search(X.opened(spark, path), asked, k, kind).collect()}
+    want = {(q, i, n): score for q, i, score, n in plain(docs, queries, k, kind)}
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 2e-6 for x in got)
+
+
+def test_a_long_query_stages_no_row_for_a_term_in_a_cell(spark, made, monkeypatch):
+    docs, _, _, _, index, _ = made
+    staged = []
+    for module in (X, S):
+        keep = module.stage
+        monkeypatch.setattr(module, "stage", lambda df, keep=keep: staged.append(keep(df)) or staged[-1])
+    asked = spark.createDataFrame([(q, " ".join(f"w{k}" for k in range(300))) for q in range(20)], "query_id long, qtext string")
+    assert X.search(index, asked, 10).count() == 200
+    assert max(f.count() for f in staged) <= 20 * 300
+
+
+def test_sums_are_the_same_by_matrices_and_one_by_one(monkeypatch):
+    r = np.random.default_rng(3)
+    term = np.sort(r.integers(0, 30, 900))
+    doc, part = r.integers(0, 50, 900), r.integers(1, 10**10, 900).astype(float)
+    pairs = np.unique(term * 50 + doc, return_index=True)[1]
+    term, doc, part = term[pairs], doc[pairs], part[pairs]
+    n = r.integers(1, 40, 30)
+    query = np.concatenate([r.choice(40, x, replace=False) for x in n])
+    first = np.cumsum(n) - n
+    made = []
+    for share in (0.0, 0.3, 2.0):
+        monkeypatch.setattr(S, "RARE", share)
+        monkeypatch.setattr(S, "SUMS", 100)
+        made.append(S._sums(doc, term, part, 50, first, n, query, 40))
+    want = np.zeros((40, 50))
+    for t, d, p in zip(term, doc, part, strict=True):
+        want[query[first[t] : first[t] + n[t]], d] += p
+    assert all((m == want).all() for m in made)
