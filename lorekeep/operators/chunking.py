@@ -58,12 +58,13 @@ def pack(pieces: Column, limit: int, joiner: str, overlap: int = 0) -> Column:
 def parents(docs: DataFrame, limit: int = 1500) -> DataFrame:
     """``doc_id, parent_index, content``: paragraphs packed into parents."""
     paragraphs = F.filter(F.transform(F.split("text", "\n[ \t]*\n"), T.strip), lambda x: x != "")
-    return docs.select("doc_id", F.posexplode(pack(paragraphs, limit, "\n\n")).alias("parent_index", "content"))
+    # an inner explode would pack the texts once more, in a filter that it infers
+    return docs.select("doc_id", F.posexplode_outer(pack(paragraphs, limit, "\n\n")).alias("parent_index", "content")).filter("parent_index is not null")
 
 
 def children(rows: DataFrame, keys: list[str], content: str = "content", target: int = 150, overlap: int = 25) -> DataFrame:
     """``keys..., chunk_index, content``: sentences packed into children with whole-sentence overlap."""
-    return rows.select(*keys, F.posexplode(pack(sentences(F.col(content)), target, " ", overlap)).alias("chunk_index", "content"))
+    return rows.select(*keys, F.posexplode_outer(pack(sentences(F.col(content)), target, " ", overlap)).alias("chunk_index", "content")).filter("chunk_index is not null")
 
 
 def sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -72,6 +72,14 @@ def test_ingest_counts_chunks(spark):
     assert all(0 <= r.quality <= 1 for r in got.values())
 
 
+def test_texts_are_packed_once(spark):
+    docs = spark.createDataFrame([(1, "One. Two.\n\nThree."), (2, ""), (3, None)], "doc_id long, text string")
+    for rows in (chunking.parents(docs), chunking.children(docs, ["doc_id"], "text")):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("aggregate(") and not any("Filter" in line and "aggregate(" in line for line in plan.splitlines())
+        assert {r.doc_id for r in rows.collect()} == {1}
+
+
 def test_code_blocks(spark):
     from lorekeep.plans.notes import SNIPPETS
 
