@@ -103,6 +103,7 @@ def test_a_task_counts_a_bounded_number_of_words_at_a_time():
 def test_long_queries_are_scored_without_a_row_for_each_term_and_cell(spark, made, monkeypatch, kind, k):
     docs, queries, _, asked, _, path = made
     monkeypatch.setattr(X, "LONG", 2)
+    monkeypatch.setattr(X, "MANY", 1 if k == 1 else 256)  # all queries, or the long ones
     monkeypatch.setattr(S, "QUERIES", 20)
     monkeypatch.setattr(S, "SPAN", 3)
     got = {(r.query_id, r.id, r["rank"]): r.score for r in X.search(X.opened(spark, path), asked, k, kind).collect()}
