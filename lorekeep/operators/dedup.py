@@ -6,6 +6,8 @@ by exact Jaccard; semantic pairs come from the buckets of random projections and
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -150,8 +152,8 @@ def near(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_c
     return dealt.groupBy("unit").applyInPandas(compare, "left_id long, right_id long, jaccard double")
 
 
-#: Vectors of a cell: a task compares two cells.
-CELL = 1 << 14
+#: Vectors of a cell: a task compares two cells.  Vectors of both that are compared at once, a multiple of 8 pairs.
+CELL, BLOCK = 1 << 14, (256, 512)
 
 
 def same_vectors(vectors: DataFrame, id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
@@ -163,7 +165,7 @@ def semantic(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id",
     """``left_id, right_id, cosine`` of all pairs of different vectors whose cosine, rounded to 6 digits, is ``threshold`` or more.
 
     Exact: cells of about ``chunk`` vectors meet each other, pair by pair of cells, in tasks that read them from the shared folder
-    without a shuffle.  Products in single precision choose, those in double precision are reported.  The work is quadratic in the
+    without a shuffle.  Products in single precision, of few dimensions first, choose; those in double precision are reported.  The work is quadratic in the
     different vectors, a task's memory is that of two cells.  Equal vectors are left out beforehand (``same_vectors`` has them);
     vectors without direction are in no pair.
     """
@@ -179,7 +181,7 @@ def semantic(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id",
 
     dealt = rows.withColumn("cell", F.pmod(F.xxhash64("id"), number).cast("int"))
     packs = dealt.groupBy("width", "cell").applyInArrow(pack, "width int, cell int, ids binary, vs binary")
-    packs = stage(packs.repartition(max(1, sum(cells.values())), "width", "cell"))  # about a cell each
+    packs = stage(packs.repartition(max(1, sum(cells.values()))))  # about a cell each
     other = packs.select(*(F.col(c).alias(f"other_{c}") for c in packs.columns))
     units = packs.hint("shuffle_replicate_nl").join(other, (F.col("width") == F.col("other_width")) & (F.col("cell") <= F.col("other_cell")))
 
@@ -188,24 +190,82 @@ def semantic(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id",
             for i in range(len(b)):
                 yield from _alike(*(b.column(c)[i].as_py() for c in range(7)), threshold)
 
-    return units.select("width", "cell", "ids", "vs", "other_cell", "other_ids", "other_vs").mapInArrow(compare, "left_id long, right_id long, cosine double")
+    return units.select("width", "cell", "ids", "vs", "other_cell", "other_ids", "other_vs").mapInArrow(tidy(compare), "left_id long, right_id long, cosine double")
+
+
+@lru_cache(4)
+def _leads(width: int, threshold: float) -> np.ndarray | None:
+    """Orthonormal directions of which few unrelated vectors agree so much that their cosine could be ``threshold``; none if that takes most of ``width``."""
+    m = np.arange(1, width // 2)
+    enough = m[m - (1 - threshold) * width >= 3.5 * np.sqrt(m)]
+    return np.linalg.qr(np.random.default_rng(7).standard_normal((width, enough[0])))[0] if len(enough) else None
+
+
+def _bounding(unit: np.ndarray, leads: np.ndarray) -> np.ndarray:
+    """Vectors whose products are cosines at least: coordinates along ``leads``, and the length of all that is across."""
+    along = unit @ leads
+    return np.column_stack((along, np.sqrt(np.maximum(0, 1 - (along * along).sum(1))))).astype(np.float32)
 
 
 def _alike(width: int, cell: int, ids: bytes, vs: bytes, other: int, other_ids: bytes, other_vs: bytes, threshold: float):
-    """The pairs of two cells, a block of rows at a time; in a cell that meets itself each pair counts once."""
+    """The pairs of two cells, a block of both that fits into a core's cache at a time; in a cell that meets itself each pair counts once.
+
+    Products of few dimensions that bound the cosine (Cauchy and Schwarz) choose first, and where they leave much open, those of all
+    dimensions; both leave room for single precision.
+    """
     x, y = np.frombuffer(ids, np.int64), np.frombuffer(other_ids, np.int64)
     a, b = np.frombuffer(vs, float).reshape(-1, width), np.frombuffer(other_vs, float).reshape(-1, width)
-    with np.errstate(over="ignore", invalid="ignore"):
-        short, other_short = ((m / np.sqrt((m * m).sum(1))[:, None]).astype(np.float32) for m in (a, b))
-    for i in range(0, len(a), 1024):
-        near = short[i : i + 1024] @ other_short.T >= threshold - 1e-4
-        r, c = np.divmod(np.flatnonzero(near), len(b))
-        r += i
-        if cell == other:
-            r, c = (v[x[r] < y[c]] for v in (r, c))
+    with np.errstate(all="ignore"):
+        units = [m / np.sqrt((m * m).sum(1))[:, None] for m in (a, b)]
+    short, other_short = (u.astype(np.float32) for u in units)
+    leads = _leads(width, threshold) if all(np.isfinite(u).all() for u in units) else None
+    first, other_first = (short, other_short) if leads is None else (_bounding(u, leads) for u in units)
+    del units
+    least, one = np.float32(threshold - 1e-4), cell == other
+    product, flags = np.empty(BLOCK[0] * BLOCK[1], np.float32), np.zeros(BLOCK[0] * BLOCK[1], bool)
+    held, n_held = [], 0
+
+    def verified():
+        r, c = (np.concatenate(v) for v in zip(*held, strict=True))
         for j in range(0, len(r), 1 << 16):
             p, q = r[j : j + (1 << 16)], c[j : j + (1 << 16)]
             cosine = ((a[p] * b[q]).sum(1) / (np.sqrt((a[p] ** 2).sum(1)) * np.sqrt((b[q] ** 2).sum(1)))).round(6)
             good = cosine >= threshold
             left, right = x[p[good]], y[q[good]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right)), pa.array(cosine[good])], names=["left_id", "right_id", "cosine"])
+
+    for i in range(0, len(a), BLOCK[0]):
+        for j in range(i // BLOCK[1] * BLOCK[1] if one else 0, len(b), BLOCK[1]):
+            rows, columns = slice(i, i + BLOCK[0]), slice(j, j + BLOCK[1])
+            at, n, wide = _chosen(first[rows], other_first[columns], least, product, flags)
+            if leads is not None and len(at) > n // 32:
+                at, n, wide = _chosen(short[rows], other_short[columns], least, product, flags)
+            if not len(at):
+                continue
+            r, c = np.divmod(at, wide)
+            r, c = r + i, c + j
+            if one:
+                r, c = r[r < c], c[r < c]
+            held.append((r, c))
+            n_held += len(r)
+            if n_held > 1 << 16:
+                yield from verified()
+                held, n_held = [], 0
+    if n_held:
+        yield from verified()
+
+
+def _chosen(a: np.ndarray, b: np.ndarray, least: np.float32, product: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, int, int]:
+    """Places of the products of ``least`` or more, how many products there are, and in how many columns.  Flags are sought eight at a time, since few are set."""
+    n = len(a) * len(b)
+    out = product[:n].reshape(len(a), len(b))
+    np.matmul(a, b.T, out=out)
+    with np.errstate(invalid="ignore"):
+        np.greater_equal(product[:n], least, out=flags[:n])
+    flags[n : -(-n // 8) * 8] = False
+    eight = flags[: -(-n // 8) * 8].reshape(-1, 8)
+    some = np.flatnonzero(eight.view(np.uint64) != 0)
+    if not len(some):
+        return some, n, len(b)
+    word, bit = np.nonzero(eight[some])
+    return some[word] * 8 + bit, n, len(b)
