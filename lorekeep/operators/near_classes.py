@@ -28,8 +28,8 @@ from .components import components
 from .dedup import exact, jaccards
 
 BANDS, ROWS, CHUNK, LED = 32, 4, 256, 256
-#: Bytes of text that are cut into words at once.
-PIECE = 1 << 23
+#: Bytes of text that are cut into words at once; ids that are broadcast.
+PIECE, SENT = 1 << 23, 1 << 20
 U = np.uint64
 
 
@@ -44,13 +44,43 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(29))
 
 
+def _words(texts: pa.Array) -> pa.Array:
+    """Words, and empty strings at the ends, between runs of ``[\\s\\x0B\\p{Z}]``; Arrow's own splitter, which is faster, also takes five control characters as white space."""
+    if pc.any(pc.match_substring_regex(texts, r"[\x1C-\x1F\x{85}]")).as_py():
+        return pc.split_pattern_regex(texts, r"[\s\x0B\p{Z}]+")
+    return pc.utf8_split_whitespace(texts)
+
+
+@lru_cache(1)
+def _weights() -> np.ndarray:
+    """Of each byte: what no normalisation of content drops or changes but in case, which is ASCII's letters and digits and the first bytes of some other letters.
+
+    Lower-casing makes i and k of two characters beyond ASCII, so they have no weight.
+    """
+    w = np.zeros(256, U)
+    for n, same in enumerate([*(x + x.upper() for x in "abcdefghjlmnopqrstuvwxyz"), *"0123456789"]):
+        w[list(same.encode())] = _mix(_mix(np.array([n + 1], U)))
+    w[[0xD0, 0xD1]] = _mix(_mix(np.array([101], U)))  # U+0400 to U+047F, in pairs of case
+    w[[0xE5, 0xE6, 0xE7, 0xE8, 0xEB, 0xEC]] = _mix(_mix(np.array([102], U)))  # U+5000 to U+8FFF and U+B000 to U+CFFF, without case
+    return w
+
+
+def letters(text: pa.Scalar) -> int:
+    """A number of the letters and digits of a text, whatever their order and case: texts of equal content have the same."""
+    if not text.is_valid:
+        return 0
+    bytes_ = np.frombuffer(text.as_buffer(), np.uint8)
+    n = sum((np.bincount(bytes_[i : i + (1 << 16)], minlength=256) for i in range(0, len(bytes_), 1 << 16)), np.zeros(256, np.int64))
+    return int((n.astype(U) * _weights()).sum().view(np.int64))
+
+
 def gram_sets(texts: pa.Array, k: int):
     """The distinct hashes of each text's word ``k``-grams, sorted; none for shorter texts."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     ends, i = np.cumsum(sizes), 0
     while i < len(texts):
         j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PIECE, side="right")))
-        cut = pc.split_pattern_regex(pc.utf8_lower(texts[i:j].fill_null("")), r"[\s\x0B\p{Z}]+")
+        cut = _words(pc.utf8_lower(texts[i:j].fill_null("")))
         words, length = cut.flatten().dictionary_encode(), cut.value_lengths().to_numpy(zero_copy_only=False)
         names = words.dictionary.to_numpy(zero_copy_only=False)
         code = words.indices.to_numpy(zero_copy_only=False)
@@ -74,9 +104,10 @@ def bands_of(s: np.ndarray) -> list[int]:
     """A key for each band: its least values under ``ROWS`` random orders."""
     salt, odd = _salts()
     least = np.full(len(salt), np.iinfo(U).max, U)
-    for i in range(0, len(s), 4096):
-        h = (s[None, i : i + 4096] ^ salt[:, None]) * odd[:, None]
-        least = np.minimum(least, (h ^ (h >> U(32))).min(1))
+    for i in range(0, len(s), 1024):
+        h = s[None, i : i + 1024] ^ salt[:, None]
+        h *= odd[:, None]
+        least = np.minimum(least, h.min(1))
     key = np.zeros(BANDS, U)
     for r in range(ROWS):
         key = _mix(key ^ least[r::ROWS])
@@ -84,7 +115,7 @@ def bands_of(s: np.ndarray) -> list[int]:
 
 
 def summaries(rows: DataFrame, k: int) -> DataFrame:
-    """``id, n, a, b, keys``: the size of each set, 128 bits that stand for it, its band keys."""
+    """``id, n, a, b, keys, letters``: the size of each set, 128 bits that stand for it, its band keys, and what texts of equal content have in common."""
 
     def run(batches):
         for batch in batches:
@@ -94,10 +125,19 @@ def summaries(rows: DataFrame, k: int) -> DataFrame:
                 a.append(int(s.sum()) & 0xFFFFFFFFFFFFFFFF)
                 b.append(int(_mix(s ^ U(0x5851F42D4C957F2D)).sum()) & 0xFFFFFFFFFFFFFFFF)
                 keys.append(bands_of(s) if len(s) else [])
-            columns = [batch.column(0), pa.array(n, pa.int64()), *(pa.array(np.array(x, U).view(np.int64)) for x in (a, b)), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "a", "b", "keys"])
+            columns = [batch.column(0), pa.array(n, pa.int64()), *(pa.array(np.array(x, U).view(np.int64)) for x in (a, b)), pa.array(keys, pa.list_(pa.int64())), pa.array([letters(x) for x in batch.column(1)], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "a", "b", "keys", "letters"])
+
+    return stage(rows.mapInArrow(run, "id long, n long, a long, b long, keys array<long>, letters long"))
+
 
-    return stage(rows.mapInArrow(run, "id long, n long, a long, b long, keys array<long>"))
+def _equal_content(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """``u, v``: texts of equal content.  Only those that have the letters of another text are normalised."""
+    several = sets.groupBy("letters").agg((F.min("id") != F.max("id")).alias("several")).filter("several").select("letters")
+    asked = settle(sets.select("id", "letters").join(several, "letters", "left_semi").select("id").distinct())
+    few = asked.limit(SENT + 1).count() <= SENT
+    texts = rows.filter("text is not null").join(F.broadcast(asked) if few else asked, "id", "left_semi")
+    return exact(texts, T.content_hash(T.normalise_content(F.col("text"))), "id").select(F.col("original_id").alias("u"), F.col("id").alias("v"))
 
 
 def _led(pairs: DataFrame, rows: DataFrame, k: int, threshold: float) -> DataFrame:
@@ -175,7 +215,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, k: int = 3, id_col: str = "
     known = sets.filter("n > 0")
     least = known.groupBy("a", "b").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
     equal = known.join(least.filter("copies > 1"), ["a", "b"]).filter("id <> first").select(F.col("first").alias("u"), F.col("id").alias("v"))
-    content = exact(rows.filter("text is not null"), T.content_hash(T.normalise_content(F.col("text"))), "id").select(F.col("original_id").alias("u"), F.col("id").alias("v"))
+    content = _equal_content(rows, sets)
     one = known.join(least.select("a", "b", F.col("first").alias("id")), ["a", "b", "id"], "left_semi")
     keyed = one.select("id", F.posexplode("keys").alias("band", "key")).distinct()
     heads = keyed.groupBy("band", "key").agg(F.min("id").alias("head"), F.count("*").alias("m")).filter("m > 1").drop("m")

@@ -5,7 +5,10 @@ from __future__ import annotations
 import random
 import re
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
+from pyspark.sql import functions as F
 
 from lorekeep.operators import near_classes as N
 
@@ -71,3 +74,36 @@ def test_a_group_of_near_copies_is_linear(spark):
     frame = spark.createDataFrame([(i, " ".join([*base, f"t{i}"])) for i in range(800)], "doc_id long, text string")
     got = N.classes(frame, chunk=32).collect()
     assert {r.class_id for r in got} == {0} and {r.class_size for r in got} == {800}
+
+
+def test_words_are_cut_as_by_the_pattern():
+    """At every code point, alone and beside control characters that only Arrow's own splitter takes as white space."""
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    odd = [c for c in points if c in "\x1c\x1d\x1e\x1f\x85"]
+    for texts in ([f"a{c}b {c}" for c in points if c not in odd], [f"a{c}b {c} c" for c in odd], ["", " ", "a\x1fb\x0bc"]):
+        column = pa.array(texts)
+        assert [[w for w in x if w] for x in N._words(column).to_pylist()] == [[w for w in x if w] for x in pc.split_pattern_regex(column, r"[\s\x0B\p{Z}]+").to_pylist()]
+
+
+def test_texts_of_equal_content_have_the_same_letters(spark):
+    """Whatever normalising content drops or changes, at every code point."""
+    points = [chr(c) for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000]
+    frame = spark.createDataFrame([(f"x{c}y {c}",) for c in points], "text string").repartition(4)
+    for text, bare in frame.select("text", N.T.normalise_content(F.col("text"))).collect():
+        assert N.letters(pa.scalar(text)) == N.letters(pa.scalar(bare))
+    assert N.letters(pa.scalar("One 2, THREE!")) == N.letters(pa.scalar("three one-2")) != N.letters(pa.scalar("one 3, three")) and N.letters(pa.scalar(None, pa.string())) == 0
+
+
+@pytest.mark.parametrize("sent", [1 << 20, 1])
+def test_only_texts_with_the_letters_of_another_are_normalised(spark, monkeypatch, sent):
+    seen = spark.sparkContext.accumulator(0)
+    keep = F.udf(lambda t: (seen.add(1), t)[1])
+    normal = N.T.normalise_content
+    monkeypatch.setattr(N.T, "normalise_content", lambda text: normal(keep(text)))
+    monkeypatch.setattr(N, "SENT", sent)
+    data = [(i, f"text number {i} of many") for i in range(200)] + [(300, "Text  number 7, of many!"), (301, None), (302, None), (303, ""), (304, " ? ")]
+    got = {r.doc_id: r.class_id for r in N.classes(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got[300] == 7 and got[304] == 303 and got[302] == 302 and got == plain(data)
+    lone = spark.createDataFrame([(i, "w" * (i + 1)) for i in range(200)] + [(300, "www")], "doc_id long, text string")
+    seen.value = 0
+    assert {r.doc_id: r.class_id for r in N.classes(lone).collect()}[300] == 2 and 0 < seen.value <= 8
