@@ -532,6 +532,61 @@ def test_order_of_frequent_words_is_learned(spark):
     assert min(got[i] for i in held[:20]) > max(got[i] for i in held[20:]) + 10
 
 
+def _random_texts(n_docs: int, n_words: int):
+    r = random.Random(9)
+    return [(i, " ".join(f"w{int(r.paretovariate(0.7))}" for _ in range(n_words))) for i in range(n_docs)]
+
+
+def test_what_language_model_answers_does_not_grow_with_the_groups(spark, monkeypatch):
+    """Each occurrence's answer goes back to its document in a few bytes, however many groups there are."""
+    data = _random_texts(300, 200)
+    answered, keep = spark.sparkContext.accumulator(0), lm.tidy
+
+    def counted(f):
+        if f.__name__ != "meet":
+            return keep(f)
+
+        def run(table):
+            out = f(table)
+            answered.add(sum(len(x) for x in out.column("block").to_pylist()))
+            return out
+
+        return keep(run)
+
+    monkeypatch.setattr(lm, "tidy", counted)
+    monkeypatch.setattr(lm, "HEAD", 50)
+    monkeypatch.setattr(lm, "partitions_for", lambda total, per_group, least=8: 200)
+    assert lm.score(spark.createDataFrame(data, "doc_id long, text string").coalesce(1)).count() == 300
+    assert 0 < answered.value < 8 * 300 * 200
+
+
+def test_language_model_by_units_of_any_size(spark, monkeypatch):
+    data = [*_random_texts(60, 50), (60, None), (None, "w1 w2"), (5, "w1 w2"), (5, "w1 w2")]
+    frame = spark.createDataFrame(data, "doc_id long, text string").repartition(2)
+    monkeypatch.setattr(lm, "HEAD", 20)
+    monkeypatch.setattr(lm, "KNOWN", 40)
+    got, rows_of_batch = [], "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for unit, numbers, distinct, batch in ((1 << 21, 1 << 16, 1 << 20, 10_000), (300, 7, 30, 3)):
+        for name, value in (("UNIT", unit), ("NUMBERS", numbers), ("DISTINCT", distinct)):
+            monkeypatch.setattr(lm, name, value)
+        spark.conf.set(rows_of_batch, batch)
+        try:
+            rows_ = lm.score(frame).collect()
+        finally:
+            spark.conf.unset(rows_of_batch)
+        got.append(sorted((str(x.doc_id), x.n_tokens, x.n_known, round(x.base_score, 4), round(x.score, 3)) for x in rows_))
+    assert got[0] == got[1] and len(got[0]) == len(data)
+
+
+def test_packed_columns_come_back():
+    from lorekeep.llm._exchange import pack, unpack
+
+    r = np.random.default_rng(2)
+    for n in (0, 1, 1000):
+        columns = [r.integers(0, 2**63, n).astype("<u8"), r.integers(0, 9, n).astype("u1"), r.normal(size=n)]
+        assert all((x == y).all() and x.dtype == y.dtype for x, y in zip(columns, unpack(pack(*columns), "<u8", "u1", "<f8"), strict=True))
+
+
 @pytest.mark.parametrize("hot", [substrings.HOT, 2, 5])
 def test_repeated_passages(docs, empty, hot):
     texts = [(i, words(t)) for i, t in rows()]
