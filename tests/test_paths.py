@@ -75,3 +75,29 @@ def test_the_last_two_steps_are_not_written_and_go_in_bounded_parts(spark, monke
         want = plain(edges, row.start, row.end, 4)
         assert (row.path, row.relations) == (want or (None, None))
     assert len(got) == len(pairs) and max(rows) <= 3 * len(pairs) + 60
+
+
+def test_pairs_that_do_not_meet_are_few_readings_of_the_edges(spark, monkeypatch):
+    """No part of the pairs reads all edges for itself, and an odd distance is not looked for in even steps."""
+    calls, last = [], G._last_steps
+    monkeypatch.setattr(G, "SENT", 12)
+    monkeypatch.setattr(G, "_last_steps", lambda *a: calls.append(a) or last(*a))
+    edges = [(f"{p}{k}", "by", f"{s}{(k + j) % 4}") for p, s in ("ps", "qt") for k in range(200) for j in range(2)]
+    pairs = [(f"p{k}", f"t{k % 4}") for k in range(6)] + [("p1", "s3"), ("p0", "p2")]
+    got = G.shortest_paths(spark.createDataFrame(edges, "subject string, predicate string, object string"), spark.createDataFrame(pairs, "start string, end string"), 4).collect()
+    for row in got:
+        assert (row.path, row.relations) == (plain(edges, row.start, row.end, 4) or (None, None))
+    assert len(got) == len(pairs) and len(calls) <= 2
+
+
+@pytest.mark.parametrize("wide", [1, 3])
+def test_neighbours_of_a_node_may_stand_in_several_rows(spark, monkeypatch, wide):
+    monkeypatch.setattr(G, "WIDE", wide)
+    r = random.Random(5)
+    edges = [(f"n{r.randrange(30)}", r.choice("xyz"), f"n{r.randrange(30)}") for _ in range(45)] + [("n3", "x", "n3")]
+    pairs = [(f"n{r.randrange(30)}", f"n{r.randrange(30)}") for _ in range(25)]
+    for hops in (2, 4):
+        got = G.shortest_paths(spark.createDataFrame(edges, "subject string, predicate string, object string"), spark.createDataFrame(pairs, "start string, end string"), hops).collect()
+        for row in got:
+            assert (row.path, row.relations) == (plain(edges, row.start, row.end, hops) or (None, None))
+        assert len(got) == len(pairs)
