@@ -140,3 +140,16 @@ def test_sums_are_the_same_by_matrices_and_one_by_one(monkeypatch):
     for t, d, p in zip(term, doc, part, strict=True):
         want[query[first[t] : first[t] + n[t]], d] += p
     assert all((m == want).all() for m in made)
+
+
+def test_postings_are_sent_in_few_rows_and_a_word_once_in_each():
+    """2^19 words were two rows for each folder and group, with the word beside every posting."""
+    r = random.Random(3)
+    vocabulary = [f"w{k}" for k in range(300)]
+    texts = [r.choices(vocabulary, k=1 << 13) for _ in range(64)]
+    docs = pa.record_batch({"id": pa.array(range(64)), "cell": pa.array([0] * 64, pa.int32()), "length": pa.array([1 << 13] * 64, pa.int32()), "w": pa.array(texts)})
+    rows = [(f, pa.ipc.open_stream(x).read_all()) for b in X._sender(1)(iter([docs])) for f, x in zip(b.column("folder").to_pylist(), b.column("postings").to_pylist(), strict=True)]
+    assert len(rows) == len({f for f, _ in rows}) <= X.FOLDERS
+    assert sum(len(t["term"].chunk(0).dictionary) for _, t in rows) == 300
+    got = Counter((i, w) for _, t in rows for i, w, n in zip(t["id"].to_pylist(), t["term"].to_pylist(), t["tf"].to_pylist(), strict=True) for _ in range(n))
+    assert got == Counter((i, w) for i, text in enumerate(texts) for w in text)
